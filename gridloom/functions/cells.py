@@ -20,15 +20,18 @@ WHITESPACE = (
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "1", "0")
 TRUE_WORDS = ("true", "yes", "1")
 
+BITS = {BOOLEAN: 1, INTEGER: 2, DECIMAL: 4, DATE: 8, DATETIME: 16}
+
 INTEGER_PATTERN = r"^[0-9]+$"
 DECIMAL_PATTERN = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf(inity)?|nan)$"
 DATE_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
-# date, optional time of day (with or without colons), optional offset
+# date, optional time of day, optional offset
 DATETIME_PATTERN = (
-    r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2})"
-    r"(?:[T ]([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]{1,6})[0-9]*)?)?)?"
-    r"(Z|[+-][0-9]{2}(?::?[0-9]{2}){0,2})?)?$"
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"([T ]([01][0-9]|2[0-3])(:[0-5][0-9](:[0-5][0-9]([.,][0-9]+)?)?)?"
+    r"(Z|[+-]([01][0-9]|2[0-3])(:?[0-5][0-9]){0,2})?)?$"
 )
+OFFSET_PATTERN = r"[+-][0-9:]+$"
 
 
 def normalize_cell(c: Column) -> Column:
@@ -64,45 +67,39 @@ def text_to_date(c: Column) -> Column:
     return F.when(c.rlike(DATE_PATTERN), c.try_cast("date"))
 
 
-def text_to_datetime(c: Column) -> Column:
-    """ISO 8601 text; an offset is applied, so the result is UTC wall-clock time."""
+def is_datetime_text(c: Column) -> Column:
+    """The pattern checks the time of day, the cast the date."""
+    return c.rlike(DATETIME_PATTERN) & F.substring(c, 1, 10).try_cast("date").isNotNull()
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(c, DATETIME_PATTERN, i)
 
-    def two(i: int) -> Column:
-        return F.when(part(i) == "", "00").otherwise(part(i))
+def text_to_datetime(c: Column) -> Column:
+    """ISO 8601 text; an offset is applied, so the result is UTC wall-clock time."""
+    day, clock = F.substring(c, 1, 10), F.replace(F.substring(c, 11, 64), F.lit(","), F.lit("."))
+    offset = F.regexp_extract(clock, OFFSET_PATTERN, 0)
+    local = F.concat(day, F.regexp_replace(clock, rf"(Z|{OFFSET_PATTERN[:-1]})$", ""))
+    # an hour alone is not a time of day to Spark
+    moment = F.when(F.length(local) == 13, F.concat(local, F.lit(":00"))).otherwise(local).try_cast("timestamp_ntz")
+    hhmmss = F.rpad(F.replace(offset, F.lit(":"), F.lit("")), 7, "0").cast("int")
+    # h*10000 + m*100 + s with one sign, as seconds
+    seconds = hhmmss - 40 * (hhmmss / 100).cast("int") - 2400 * (hhmmss / 10000).cast("int")
+    shifted = F.when(F.length(offset) > 0, F.timestamp_add("SECOND", -seconds, moment)).otherwise(moment)
+    return F.when(c.rlike(DATETIME_PATTERN), shifted)
 
-    text = F.concat(
-        part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "),
-        two(4), F.lit(":"), two(5), F.lit(":"), two(6), F.lit("."), F.rpad(part(7), 6, "0"),
-    )
-    offset = F.replace(part(8), F.lit(":"), F.lit(""))
-    sign = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1)
 
-    def digits(start: int) -> Column:
-        return F.coalesce(F.substring(offset, start, 2).try_cast("int"), F.lit(0))
+def type_mask(c: Column) -> Column:
+    """Which types a non-null, stripped text reads as, one bit each; text in general has none.
 
-    seconds = sign * (digits(2) * 3600 + digits(4) * 60 + digits(6))
-    shift = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
-    moment = text.try_cast("timestamp_ntz")
-    shifted = F.when(part(8).isin("", "Z"), moment).otherwise(moment - shift)
-    return F.when(c.rlike(DATETIME_PATTERN), shifted)
+    The cases exclude one another, so a cell is matched against few patterns.
+    """
 
+    def bit(kind: str, condition: Column) -> Column:
+        return F.when(condition, BITS[kind]).otherwise(0)
 
-def text_is(c: Column, kind: str) -> Column:
-    """Does this non-null, stripped text read as ``kind``?"""
-    if kind == BOOLEAN:
-        return F.lower(c).isin(*BOOLEAN_WORDS)
-    if kind == INTEGER:
-        return c.rlike(INTEGER_PATTERN) & c.try_cast("long").isNotNull()
-    if kind == DECIMAL:
-        return decimal_text(c).rlike(DECIMAL_PATTERN)
-    if kind == DATE:
-        return text_to_date(c).isNotNull()
-    if kind == DATETIME:
-        return text_to_datetime(c).isNotNull()
-    return F.lit(True)
+    digits = F.lit(BITS[DECIMAL]) + bit(INTEGER, c.try_cast("long").isNotNull())
+    temporal = bit(DATE, text_to_date(c).isNotNull()) + bit(DATETIME, is_datetime_text(c))
+    other = bit(DECIMAL, decimal_text(c).rlike(DECIMAL_PATTERN))
+    shape = F.when(c.rlike(INTEGER_PATTERN), digits).when(c.rlike("^[0-9]{4}-[0-9]"), temporal).otherwise(other)
+    return F.when(c.isNotNull(), bit(BOOLEAN, F.lower(c).isin(*BOOLEAN_WORDS)) + shape)
 
 
 def cast_text(c: Column, kind: str) -> Column:

@@ -23,12 +23,12 @@ PRECEDENCE = (BOOLEAN, INTEGER, DECIMAL, DATE, DATETIME)
 
 # A cell of a workbook is (kind, text): spreadsheets type their cells, text files do not.
 CELL = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
-NATIVE_KINDS = {
-    BOOLEAN: (BOOLEAN,),
-    INTEGER: (INTEGER,),
-    DECIMAL: (INTEGER, DECIMAL),
-    DATE: (DATE,),
-    DATETIME: (DATETIME,),
+NATIVE_BITS = {
+    BOOLEAN: cells.BITS[BOOLEAN],
+    INTEGER: cells.BITS[INTEGER] | cells.BITS[DECIMAL],
+    DECIMAL: cells.BITS[DECIMAL],
+    DATE: cells.BITS[DATE],
+    DATETIME: cells.BITS[DATETIME],
 }
 
 
@@ -42,36 +42,50 @@ def _value(df: DataFrame, name: str) -> tuple[Column, Column | None]:
     return cells.normalize_cell(column(name)), None
 
 
-def _fits(value: Column, kind: Column | None, target: str) -> Column:
+def _mask(value: Column, kind: Column | None) -> Column:
     if kind is None:
-        return cells.text_is(value, target)
-    native = kind.isin(*NATIVE_KINDS[target])
-    return native | ((kind == TEXT) & cells.text_is(value, target))
-
-
-def inference_aggregates(df: DataFrame) -> list[Column]:
-    """Per column i: how many values it holds, and whether all of them fit each type.
-
-    Types nested in one another are tested by one flag each; nulls drop out of ``bool_and``.
-    """
+        return cells.type_mask(value)
+    native = F.when(kind == TEXT, cells.type_mask(value))
+    for name, bits in NATIVE_BITS.items():
+        native = native.when(kind == name, bits)
+    return F.when(value.isNotNull(), native.otherwise(0))
+
+
+def cell_facts(df: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
+    """Per row and column i: the stripped value ``v_i`` and the types it reads as ``m_i``."""
+    pairs = [_value(df, name) for name in names]
+    stripped = df.select(
+        *keep,
+        *[v.alias(f"v_{i}") for i, (v, _) in enumerate(pairs)],
+        *[k.alias(f"k_{i}") for i, (_, k) in enumerate(pairs) if k is not None],
+    )
+    masks = {
+        f"m_{i}": _mask(F.col(f"v_{i}"), None if k is None else F.col(f"k_{i}")) for i, (_, k) in enumerate(pairs)
+    }
+    return stripped.withColumns(masks)
+
+
+def inference_aggregates(count: int) -> list[Column]:
+    """Over ``cell_facts``: rows, and per column its values, broken texts and common types."""
     result = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(c for c in df.columns if c != ROW_ID):
-        value, kind = _value(df, name)
-        result.append(F.count(value).alias(f"n_{i}"))
-        result.append(F.count_if(F.contains(value, F.lit("�"))).alias(f"broken_{i}"))
-        for target in PRECEDENCE:
-            flag = F.when(value.isNotNull(), _fits(value, kind, target))
-            result.append(F.bool_and(flag).alias(f"{target}_{i}"))
+    for i in range(count):
+        result += [
+            F.count(f"v_{i}").alias(f"n_{i}"),
+            F.count_if(F.contains(F.col(f"v_{i}"), F.lit("\ufffd"))).alias(f"broken_{i}"),
+            F.bit_and(f"m_{i}").alias(f"types_{i}"),
+        ]
     return result
 
 
-def merge_aggregates(columns: Sequence[str]) -> list[Column]:
-    """Combine ``inference_aggregates`` rows of several splits into one."""
-    result = [F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")]
-    for i, _ in enumerate(columns):
-        result += [F.coalesce(F.sum(f"n_{i}"), F.lit(0)).alias(f"n_{i}")]
-        result += [F.coalesce(F.sum(f"broken_{i}"), F.lit(0)).alias(f"broken_{i}")]
-        result += [F.bool_and(f"{target}_{i}").alias(f"{target}_{i}") for target in PRECEDENCE]
+def merge_aggregates(count: int) -> list[Column]:
+    """Combine the aggregates of several splits into one row."""
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0)).alias(name)
+
+    result = [total("rows")]
+    for i in range(count):
+        result += [total(f"n_{i}"), total(f"broken_{i}"), F.bit_and(f"types_{i}").alias(f"types_{i}")]
     return result
 
 
@@ -81,7 +95,8 @@ def decide_fields(columns: Sequence[str], facts) -> list[Field]:
     for i, name in enumerate(columns):
         if facts[f"broken_{i}"]:
             raise WorkspaceError("file_parse_failed", f"{name!r} holds bytes that are not UTF-8")
-        kind = next((t for t in PRECEDENCE if facts[f"{t}_{i}"]), TEXT)
+        types = facts[f"types_{i}"] or 0
+        kind = next((t for t in PRECEDENCE if types & cells.BITS[t]), TEXT)
         fields.append(Field(name, kind, facts[f"n_{i}"] < facts["rows"], i))
     return fields
 
@@ -89,7 +104,7 @@ def decide_fields(columns: Sequence[str], facts) -> list[Field]:
 def infer_fields(df: DataFrame) -> list[Field]:
     """Infer type and nullability of every (text or workbook cell) column in one job."""
     names = [c for c in df.columns if c != ROW_ID]
-    facts = df.agg(*inference_aggregates(df)).first()
+    facts = cell_facts(df, names).agg(*inference_aggregates(len(names))).first()
     return decide_fields(names, facts)
 
 
@@ -100,16 +115,18 @@ def inferred_table(df: DataFrame) -> DataFrame:
     for i, name in enumerate(names):
         kind = F.lit(TEXT)
         for target in reversed(PRECEDENCE):
-            kind = F.when(column(f"{target}_{i}"), target).otherwise(kind)
+            fits = F.col(f"types_{i}").bitwiseAND(F.lit(cells.BITS[target])) != 0
+            kind = F.when(fits, target).otherwise(kind)
         entries.append(
             F.struct(
                 F.lit(i).alias("order"),
                 F.lit(name).alias("name"),
                 kind.alias("inferred_type"),
-                (column(f"n_{i}") < column("rows")).alias("nullable"),
+                (F.col(f"n_{i}") < F.col("rows")).alias("nullable"),
             )
         )
-    return df.agg(*inference_aggregates(df)).select(F.inline(F.array(*entries)))
+    facts = cell_facts(df, names).agg(*inference_aggregates(len(names)))
+    return facts.select(F.inline(F.array(*entries)))
 
 
 def coerce(col: Column, field_type: str, source: T.DataType = T.StringType()) -> Column:
@@ -195,6 +212,6 @@ def drop_row_id(df: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "CELL", "annotate", "coerce", "count_bad", "decide_fields", "drop_row_id", "infer_fields",
+    "CELL", "annotate", "cell_facts", "coerce", "count_bad", "decide_fields", "drop_row_id", "infer_fields",
     "inference_aggregates", "inferred_table", "merge_aggregates", "remap", "reorder", "typed",
 ]

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import astuple, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from ..errors import WorkspaceError
-from ..session import stage
+from ..session import fresh_path
 
 EDGE_COLUMNS = (
     "project_id", "source_type", "source_id", "target_type", "target_id", "transform_type", "transform_id"
@@ -64,15 +64,19 @@ def trace(edge_df: DataFrame, start: Sequence[tuple[str, str]], direction: str =
         F.col(f"{here}_type").alias("from_type"), F.col(f"{here}_id").alias("from_id"),
         F.col(f"{there}_type").alias("node_type"), F.col(f"{there}_id").alias("node_id"),
     )
-    schema = "node_type string, node_id string, depth int"
-    level = edge_df.sparkSession.createDataFrame([(t, i, 0) for t, i in start], schema)
-    seen, depth = level, 0
+    spark, path = edge_df.sparkSession, fresh_path(edge_df.sparkSession, "lineage")
+    depth = 0
+    fresh = spark.createDataFrame([(t, i) for t, i in start], "node_type string, node_id string").distinct()
     while True:
-        depth += 1
-        reached = level.select(F.col("node_type").alias("from_type"), F.col("node_id").alias("from_id"))
-        step = links.join(reached, ["from_type", "from_id"], "left_semi").select(*NODE_COLUMNS).distinct()
-        fresh = step.join(seen, list(NODE_COLUMNS), "left_anti").withColumn("depth", F.lit(depth))
-        level = stage(fresh, "lineage")
-        if level.isEmpty():
+        # one folder per level: the plan of a level does not grow with the depth
+        found = Observation()
+        level = fresh.observe(found, F.count(F.lit(1)).alias("nodes"))
+        level.write.parquet(f"{path}/depth={depth}")
+        seen = spark.read.schema("node_type string, node_id string, depth int").parquet(path)
+        if not found.get["nodes"]:
             return seen
-        seen = seen.unionByName(level)
+        newest = seen.filter(F.col("depth") == depth)
+        reached = newest.select(F.col("node_type").alias("from_type"), F.col("node_id").alias("from_id"))
+        step = links.join(reached, ["from_type", "from_id"], "left_semi").select(*NODE_COLUMNS).distinct()
+        fresh = step.join(seen, list(NODE_COLUMNS), "left_anti")
+        depth += 1

@@ -6,7 +6,6 @@ import datetime
 import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
@@ -25,14 +24,10 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
+        spark.createDataFrame([], SCHEMA).write.mode("ignore").parquet(path)
 
     def entries(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMA).parquet(self.path)
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(self.path)
 
     def check_name(self, project_id: str, name: str, kind: str = "dataset") -> str:
         """The stripped name, if it is free."""

@@ -42,10 +42,11 @@ def scan(df: DataFrame) -> Scan:
     names = df.columns
     marked = row_id.with_split_marks(df)
     keys = [row_id.PATH, row_id.BLOCK]
-    facts = infer.inference_aggregates(df)
-    per_split = marked.groupBy(*keys).agg(*facts, F.min(row_id.MARK).alias("first_mark"))
+    facts = infer.cell_facts(marked, names, *keys, row_id.MARK)
+    aggregates = infer.inference_aggregates(len(names))
+    per_split = facts.groupBy(*keys).agg(*aggregates, F.min(row_id.MARK).alias("first_mark"))
     per_split = stage(per_split, "splits")  # one small row per split, used three times below
-    summary = per_split.agg(*infer.merge_aggregates(names), F.count(F.lit(1)).alias("splits")).first()
+    summary = per_split.agg(*infer.merge_aggregates(len(names)), F.count(F.lit(1)).alias("splits")).first()
     fields = infer.decide_fields(names, summary)
     splits = per_split.select(*keys, "rows", "first_mark")
     return Scan(df, fields, summary["rows"], splits, summary["splits"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cleaning", "profiling", "charts")
+MODULES = ("flagship", "cleaning", "profiling", "charts", "sql_surface", "ingest", "activity", "streams")
 
 
 def load_all() -> None:
