@@ -23,7 +23,9 @@ TRUE_WORDS = ("true", "yes", "1")
 BITS = {BOOLEAN: 1, INTEGER: 2, DECIMAL: 4, DATE: 8, DATETIME: 16}
 
 INTEGER_PATTERN = r"^[0-9]+$"
-DECIMAL_PATTERN = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf(inity)?|nan)$"
+DECIMAL_PATTERN = (
+    r"(?i)^[+-]?(([0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(e[+-]?[0-9][0-9_]*)?|inf(inity)?|nan)$"
+)
 DATE_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 # date, optional time of day, optional offset
 DATETIME_PATTERN = (
@@ -36,7 +38,10 @@ OFFSET_PATTERN = r"[+-][0-9:]+$"
 
 def normalize_cell(c: Column) -> Column:
     """Strip white space on both sides; nothing left means null."""
-    return F.nullif(F.btrim(c, F.lit(WHITESPACE)), F.lit(""))
+    # most cells begin and end with a printable ASCII character, which is quick to see
+    first, last = F.ascii(c), F.ascii(F.right(c, F.lit(1)))
+    clean = first.between(33, 126) & last.between(33, 126)
+    return F.when(clean, c).otherwise(F.nullif(F.btrim(c, F.lit(WHITESPACE)), F.lit("")))
 
 
 def is_blank(c: Column, data_type: T.DataType) -> Column:
@@ -53,14 +58,8 @@ def blank_to_null(c: Column, data_type: T.DataType) -> Column:
 # -- reading text ---------------------------------------------------------------------------
 
 
-def decimal_text(c: Column) -> Column:
-    """Lower case without digit separators, the form the decimal pattern is written for."""
-    return F.lower(F.replace(c, F.lit("_"), F.lit("")))
-
-
 def text_to_double(c: Column) -> Column:
-    plain = decimal_text(c)
-    return F.when(plain.rlike(DECIMAL_PATTERN), plain.try_cast("double"))
+    return F.when(c.rlike(DECIMAL_PATTERN), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def text_to_date(c: Column) -> Column:
@@ -95,11 +94,19 @@ def type_mask(c: Column) -> Column:
     def bit(kind: str, condition: Column) -> Column:
         return F.when(condition, BITS[kind]).otherwise(0)
 
+    first = F.ascii(c)
     digits = F.lit(BITS[DECIMAL]) + bit(INTEGER, c.try_cast("long").isNotNull())
     temporal = bit(DATE, text_to_date(c).isNotNull()) + bit(DATETIME, is_datetime_text(c))
-    other = bit(DECIMAL, decimal_text(c).rlike(DECIMAL_PATTERN))
-    shape = F.when(c.rlike(INTEGER_PATTERN), digits).when(c.rlike("^[0-9]{4}-[0-9]"), temporal).otherwise(other)
-    return F.when(c.isNotNull(), bit(BOOLEAN, F.lower(c).isin(*BOOLEAN_WORDS)) + shape)
+    other = bit(DECIMAL, c.rlike(DECIMAL_PATTERN))
+    from_digit = F.when(c.rlike(INTEGER_PATTERN), digits).when(c.rlike("^[0-9]{4}-[0-9]"), temporal).otherwise(other)
+    # a number that does not begin with a digit begins with one of + - . i n
+    shape = (
+        F.when(first.between(ord("0"), ord("9")), from_digit)
+        .when(first.isin(*map(ord, "+-.iInN")), other)
+        .otherwise(0)
+    )
+    word = bit(BOOLEAN, (F.length(c) <= 5) & F.lower(c).isin(*BOOLEAN_WORDS))
+    return F.when(c.isNotNull(), word + shape)
 
 
 def cast_text(c: Column, kind: str) -> Column:

@@ -51,82 +51,78 @@ def _mask(value: Column, kind: Column | None) -> Column:
     return F.when(value.isNotNull(), native.otherwise(0))
 
 
-def cell_facts(df: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
-    """Per row and column i: the stripped value ``v_i`` and the types it reads as ``m_i``."""
-    pairs = [_value(df, name) for name in names]
-    stripped = df.select(
-        *keep,
-        *[v.alias(f"v_{i}") for i, (v, _) in enumerate(pairs)],
-        *[k.alias(f"k_{i}") for i, (_, k) in enumerate(pairs) if k is not None],
-    )
-    masks = {
-        f"m_{i}": _mask(F.col(f"v_{i}"), None if k is None else F.col(f"k_{i}")) for i, (_, k) in enumerate(pairs)
-    }
-    return stripped.withColumns(masks)
-
-
-def inference_aggregates(count: int) -> list[Column]:
-    """Over ``cell_facts``: rows, and per column its values, broken texts and common types."""
-    result = [F.count(F.lit(1)).alias("rows")]
-    for i in range(count):
-        result += [
-            F.count(f"v_{i}").alias(f"n_{i}"),
-            F.count_if(F.contains(F.col(f"v_{i}"), F.lit("\ufffd"))).alias(f"broken_{i}"),
-            F.bit_and(f"m_{i}").alias(f"types_{i}"),
-        ]
-    return result
+def column_facts(df: DataFrame, names: Sequence[str], by: Sequence[str] = (), *more: Column) -> DataFrame:
+    """Per column (``field``, by position): rows, values, broken texts and the types all values share.
 
+    The table is turned into (field, cell) rows first, so one small expression serves every column and
+    the generated code does not grow with the width of the table.  ``by`` groups the facts further.
+    """
+    kind = df.schema[names[0]].dataType
+    nested = isinstance(kind, T.StructType)
+    if any(df.schema[n].dataType != kind for n in names) or not (nested or isinstance(kind, T.StringType)):
+        raise WorkspaceError("invalid_dataset_fields", "Inference reads columns of text")
+    kept = [c for c in df.columns if c not in names]
+    numbered = df.select(*[column(c) for c in kept], *[column(n).alias(str(i)) for i, n in enumerate(names)])
+    long = numbered.unpivot([column(c) for c in kept], [str(i) for i in range(len(names))], "field", "cell")
+    text = F.col("cell")["text"] if nested else F.col("cell")
+    cell = long.withColumn("value", cells.normalize_cell(text))
+    masked = cell.withColumn("types", _mask(F.col("value"), F.col("cell")["kind"] if nested else None))
+    return masked.groupBy(*by, "field").agg(
+        F.count(F.lit(1)).alias("rows"),
+        # the mask is used twice, so Spark computes it below the aggregation, once per cell
+        F.count("types").alias("values"),
+        F.bit_and("types").alias("types"),
+        F.count_if(F.contains(F.col("value"), F.lit("\ufffd"))).alias("broken"),
+        *more,
+    )
 
-def merge_aggregates(count: int) -> list[Column]:
-    """Combine the aggregates of several splits into one row."""
-
-    def total(name: str) -> Column:
-        return F.coalesce(F.sum(name), F.lit(0)).alias(name)
 
-    result = [total("rows")]
-    for i in range(count):
-        result += [total(f"n_{i}"), total(f"broken_{i}"), F.bit_and(f"types_{i}").alias(f"types_{i}")]
-    return result
+def merge_facts(facts: DataFrame) -> DataFrame:
+    """Combine the facts of several groups into one row per column."""
+    return facts.groupBy("field").agg(
+        F.sum("rows").alias("rows"), F.sum("values").alias("values"),
+        F.bit_and("types").alias("types"), F.sum("broken").alias("broken"),
+    )
 
 
-def decide_fields(columns: Sequence[str], facts) -> list[Field]:
-    """Turn the one row of facts into fields."""
+def decide_fields(names: Sequence[str], facts: DataFrame) -> list[Field]:
+    """Read the facts (one row per column) and decide on the fields."""
+    found = {int(row["field"]): row for row in facts.collect()}
     fields = []
-    for i, name in enumerate(columns):
-        if facts[f"broken_{i}"]:
+    for i, name in enumerate(names):
+        row = found.get(i)
+        if row is None:  # a table without rows
+            fields.append(Field(name, TEXT, False, i))
+            continue
+        if row["broken"]:
             raise WorkspaceError("file_parse_failed", f"{name!r} holds bytes that are not UTF-8")
-        types = facts[f"types_{i}"] or 0
+        types = row["types"] or 0
         kind = next((t for t in PRECEDENCE if types & cells.BITS[t]), TEXT)
-        fields.append(Field(name, kind, facts[f"n_{i}"] < facts["rows"], i))
+        fields.append(Field(name, kind, row["values"] < row["rows"], i))
     return fields
 
 
 def infer_fields(df: DataFrame) -> list[Field]:
     """Infer type and nullability of every (text or workbook cell) column in one job."""
     names = [c for c in df.columns if c != ROW_ID]
-    facts = cell_facts(df, names).agg(*inference_aggregates(len(names))).first()
-    return decide_fields(names, facts)
+    return decide_fields(names, column_facts(df.select(*map(column, names)), names))
 
 
 def inferred_table(df: DataFrame) -> DataFrame:
     """The same inference as a lazy DataFrame: (order, name, inferred_type, nullable)."""
     names = [c for c in df.columns if c != ROW_ID]
-    entries = []
-    for i, name in enumerate(names):
-        kind = F.lit(TEXT)
-        for target in reversed(PRECEDENCE):
-            fits = F.col(f"types_{i}").bitwiseAND(F.lit(cells.BITS[target])) != 0
-            kind = F.when(fits, target).otherwise(kind)
-        entries.append(
-            F.struct(
-                F.lit(i).alias("order"),
-                F.lit(name).alias("name"),
-                kind.alias("inferred_type"),
-                (F.col(f"n_{i}") < F.col("rows")).alias("nullable"),
-            )
-        )
-    facts = cell_facts(df, names).agg(*inference_aggregates(len(names)))
-    return facts.select(F.inline(F.array(*entries)))
+    kind = F.lit(TEXT)
+    for target in reversed(PRECEDENCE):
+        fits = F.col("types").bitwiseAND(F.lit(cells.BITS[target])) != 0
+        kind = F.when(fits, target).otherwise(kind)
+    order = F.col("field").cast("int")
+    facts = column_facts(df.select(*map(column, names)), names)
+    return facts.select(
+        order.alias("order"),
+        F.get(F.array(*map(F.lit, names)), order).alias("name"),
+        kind.alias("inferred_type"),
+        (F.col("values") < F.col("rows")).alias("nullable"),
+    )
 
 
 def coerce(col: Column, field_type: str, source: T.DataType = T.StringType()) -> Column:
@@ -212,6 +208,6 @@ def drop_row_id(df: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "CELL", "annotate", "cell_facts", "coerce", "count_bad", "decide_fields", "drop_row_id", "infer_fields",
-    "inference_aggregates", "inferred_table", "merge_aggregates", "remap", "reorder", "typed",
+    "CELL", "annotate", "coerce", "column_facts", "count_bad", "decide_fields", "drop_row_id",
+    "infer_fields", "inferred_table", "merge_facts", "remap", "reorder", "typed",
 ]

@@ -40,16 +40,13 @@ class Scan:
 def scan(df: DataFrame) -> Scan:
     """Pass 1 over a plain file scan of text (or workbook cell) columns."""
     names = df.columns
-    marked = row_id.with_split_marks(df)
     keys = [row_id.PATH, row_id.BLOCK]
-    facts = infer.cell_facts(marked, names, *keys, row_id.MARK)
-    aggregates = infer.inference_aggregates(len(names))
-    per_split = facts.groupBy(*keys).agg(*aggregates, F.min(row_id.MARK).alias("first_mark"))
-    per_split = stage(per_split, "splits")  # one small row per split, used three times below
-    summary = per_split.agg(*infer.merge_aggregates(len(names)), F.count(F.lit(1)).alias("splits")).first()
-    fields = infer.decide_fields(names, summary)
-    splits = per_split.select(*keys, "rows", "first_mark")
-    return Scan(df, fields, summary["rows"], splits, summary["splits"])
+    mark = F.min(row_id.MARK).alias("first_mark")
+    facts = infer.column_facts(row_id.with_split_marks(df), names, keys, mark)
+    facts = stage(facts, "splits")  # one small row per split and column
+    splits = facts.filter("field = '0'").select(*keys, "rows", "first_mark")
+    total = splits.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+    return Scan(df, infer.decide_fields(names, infer.merge_facts(facts)), total[0], splits, total[1])
 
 
 def preview(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> tuple[list[Field], int, DataFrame]:
