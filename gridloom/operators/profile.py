@@ -6,11 +6,13 @@ once with map-side combining.  Distinct counts and first-seen samples both come
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
 from ..functions import cells
-from ..types import ROW_ID, column, fields_of
+from ..types import ROW_ID, Field, column, fields_of
 from . import quantiles
 
 SAMPLE_SIZE, HIGH_NULL_RATIO = 5, 0.5  # fixed values
@@ -26,15 +28,34 @@ def warnings(*rules: tuple[str, Column]) -> Column:
     return F.filter(found, lambda w: w.isNotNull())
 
 
-def _texts(df: DataFrame) -> list[Column]:
-    result = []
-    for i, f in enumerate(fields_of(df)):
-        c, kind = column(f.name), df.schema[f.name].dataType
-        if isinstance(kind, (T.DoubleType, T.FloatType)):
-            c = c + F.lit(0.0).cast(kind)  # -0.0 and 0.0 are one value, but two texts
-        text = cells.to_text(cells.blank_to_null(c, kind), kind)
-        result.append(text.alias(str(i)))
-    return result
+# How values are counted: as text, doubles or longs, whichever keeps them apart most cheaply.
+def _family(kind: T.DataType) -> str:
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return "double"
+    whole = (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return "long" if isinstance(kind, whole) else "string"
+
+
+def _counted_as(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    return cells.blank_to_null(c, kind).cast(_family(kind))
+
+
+def _shown(v: Column, kind: T.DataType) -> Column:
+    """The counted form of a value back as text."""
+    if isinstance(kind, T.DateType):
+        return F.date_from_unix_date(v.cast("int")).cast("string")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        moment = F.timestamp_add("MICROSECOND", v, F.lit("1970-01-01").cast("timestamp_ntz"))
+        return cells.to_text(moment, T.TimestampNTZType())
+    if isinstance(kind, T.BooleanType):
+        return cells.to_text(v.cast("boolean"), kind)
+    return v.cast("string")
 
 
 def _field_facts(df: DataFrame) -> DataFrame:
@@ -72,36 +93,55 @@ def fields(df: DataFrame, *, approximate: bool = False) -> DataFrame:
     """
     if approximate:
         return _finish(df, _sketched(df))
-    names = [str(f.order) for f in fields_of(df)]
+    families: dict[str, list[Field]] = {}
+    for f in fields_of(df):
+        families.setdefault(_family(df.schema[f.name].dataType), []).append(f)
+    parts = [_count_values(df, members) for members in families.values()]
+    counted = reduce(DataFrame.unionByName, parts)
+    return _finish(df, counted).orderBy("order")
+
+
+def _count_values(df: DataFrame, members: list[Field]) -> DataFrame:
+    """Counts and samples of fields that are counted in the same form.
+
+    A scan reads the columns of its members only, so several families still read each column once.
+    """
+    kinds = {str(f.order): df.schema[f.name].dataType for f in members}
     row_id = column(ROW_ID) if ROW_ID in df.columns else F.lit(0)
-    long = df.select(row_id.alias("r"), *_texts(df)).unpivot("r", names, "field", "value")
+    forms = [_counted_as(column(f.name), kinds[str(f.order)]).alias(str(f.order)) for f in members]
+    long = df.select(row_id.alias("r"), *forms).unpivot("r", list(kinds), "field", "value")
     groups = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("first_row"))
-    # first values per field: the rank filter cuts each task to a few rows before they are shuffled
-    seen = Window.partitionBy("field").orderBy("first_row", "value")
-    first = groups.filter("value IS NOT NULL").withColumn("rank", F.row_number().over(seen))
-    samples = (
-        first.filter(F.col("rank") <= SAMPLE_SIZE)
-        .groupBy("field")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("s"), F.max("n").alias("_n"))
-    )
-    # first_row is read here too, so that both branches share one exchange of the groups
+    # always true; makes both branches below read the same columns, so that they share one exchange
+    groups = groups.filter((F.col("n") > 0) & (F.col("first_row") >= 0))
     counts = groups.groupBy("field").agg(
         F.sum("n").alias("row_count"),
         F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("null_count"),
         F.count("value").alias("distinct_count"),
-        F.min("first_row").alias("_first"),
     )
-    counted = counts.join(samples, "field", "left").select(
+    # first values per field: the rank filter cuts each task to a few rows before they are shuffled
+    seen = Window.partitionBy("field").orderBy(F.col("value").isNull(), "first_row", "value")
+    first = groups.withColumn("rank", F.row_number().over(seen)).filter(F.col("rank") <= SAMPLE_SIZE)
+    sample = F.when(F.col("value").isNotNull(), F.struct("rank", "value"))
+    samples = first.groupBy("field").agg(F.sort_array(F.collect_list(sample)).alias("s"))
+    both = counts.unionByName(samples, allowMissingColumns=True).groupBy("field").agg(
+        *[F.max(c).alias(c) for c in ("row_count", "null_count", "distinct_count")], F.max("s.value").alias("s")
+    )
+    shown = F.transform("s", lambda v: v.cast("string"))
+    for order, kind in kinds.items():
+        if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+            special = F.transform("s", lambda v, kind=kind: _shown(v, kind))
+            shown = F.when(F.col("field") == order, special).otherwise(shown)
+    return both.select(
         F.col("field").cast("int").alias("order"), "row_count", "null_count", "distinct_count",
-        F.col("s.value").alias("sample_values"),
+        shown.alias("sample_values"),
     )
-    return _finish(df, counted).orderBy("order")
 
 
 def _sketched(df: DataFrame) -> DataFrame:
-    texts = _texts(df)
-    names = [str(f.order) for f in fields_of(df)]
-    prepared = df.select(*texts)
+    fields = fields_of(df)
+    names = [str(f.order) for f in fields]
+    forms = [_counted_as(column(f.name), df.schema[f.name].dataType).alias(str(f.order)) for f in fields]
+    prepared = df.select(*forms)
     facts = [F.count(F.lit(1)).alias("rows")]
     for n in names:
         facts += [F.count(column(n)).alias(f"c{n}"), F.approx_count_distinct(column(n), 0.01).alias(f"d{n}")]

@@ -1,50 +1,73 @@
 """Exact quantiles of groups of any size.
 
-Spark's exact ``percentile`` keeps all distinct values of a group in one task.  Here the (group,
-value) pairs are range-sorted and numbered instead, so a group that holds most rows is spread over
-many tasks, and the few rows at the wanted ranks are picked by their number.
+Spark's exact ``percentile`` keeps all distinct values of a group in one task.  Here equal values are
+counted first, the counted values are range-sorted over many tasks, and running counts tell which
+values lie at the wanted ranks.  A group that holds most rows, or a value that does, is no burden.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..types import ROW_ID, column
-from .row_id import number
+from ..session import stage
+from ..types import column
+from .row_id import MARK, PATH, join_offsets, offsets
+
+
+def _running_counts(counted: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``upto``, the running sum of ``n`` in the given order, over the whole table.
+
+    The sorted rows are written once; each file is a range of bounded size, summed up on its own behind
+    the sum of the files before it.
+    """
+    stored = stage(counted.orderBy(*order), "counts")
+    located = stored.select("*", F.col("_metadata.file_path").alias(PATH), F.col("_metadata.row_index").alias(MARK))
+    per_file = located.groupBy(PATH).agg(F.sum("n").alias("rows"))
+    placed = offsets(per_file, [PATH], "rows").select(PATH, "offset")
+    inside = Window.partitionBy(PATH).orderBy(MARK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = join_offsets(located, placed, [PATH], len(stored.inputFiles()))
+    upto = F.col("offset") + F.sum("n").over(inside)
+    return joined.select(*[column(c) for c in counted.columns], upto.alias("upto"))
 
 
 def exact(df: DataFrame, group_by: Sequence[str], field: str, probabilities: Sequence[float]) -> DataFrame:
     """Interpolated quantiles (``percentile_cont``) per group, columns ``q0, q1, ...``; nulls ignored."""
     groups = [column(g).alias(f"g{i}") for i, g in enumerate(group_by)]
     names = [f"g{i}" for i in range(len(groups))]
-    pairs = df.select(*groups, column(field).cast("double").alias("v")).filter("v IS NOT NULL")
-    ranked = number(pairs, [*names, "v"]).withColumnRenamed(ROW_ID, "rank")
-    spans = ranked.groupBy(*names).agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("n"))
-    # no rows at all: the ungrouped aggregate still yields one row, with a null start
-    spans = spans.filter(F.col("n") > 0)
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("n") - 1)).alias("position"))
-        for i, p in enumerate(probabilities)
-    ])
-    targets = (
-        spans.select(*names, "start", F.inline(wanted))
-        .select(*names, "i", "position", F.col("start"),
-                F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))).alias("step"))
-        .withColumn("rank", F.col("start") + F.col("step"))
-    )
-    # every pair of neighbouring ranks meets again per (group, i): two rows at most
-    picked = ranked.select("rank", "v").join(targets, "rank")
-    ends = picked.groupBy(*names, "i", "position").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    share = F.col("position") - F.floor("position")
-    point = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(
-        F.col("lo") + (F.col("hi") - F.col("lo")) * share
-    )
-    quantiles = [F.max(F.when(F.col("i") == i, point)).alias(f"q{i}") for i in range(len(probabilities))]
-    renamed = [column(f"g{i}").alias(g) for i, g in enumerate(group_by)]
-    return ends.groupBy(*names).agg(*quantiles).select(*renamed, *[f"q{i}" for i in range(len(probabilities))])
+    values = df.select(*groups, column(field).cast("double").alias("v")).filter("v IS NOT NULL")
+    counted = values.groupBy(*names, "v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = _running_counts(counted, [*names, "v"])
+    span = F.struct(F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("rows")).alias("span")
+    spans = ranked.groupBy(*names).agg(span)
+    if names:
+        match = [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]
+        placed = ranked.alias("a").join(spans.alias("b"), match).select("a.*", "span")
+    else:
+        placed = ranked.withColumn("span", spans.scalar())
+    # the value covers the places (from, to] of its group, counted from 0
+    start, last = F.col("span.start"), F.col("span.rows") - 1
+    begin, end = F.col("upto") - F.col("n") - start, F.col("upto") - start
+    ends, picked = [], F.lit(False)
+    for i, p in enumerate(probabilities):
+        position = F.lit(float(p)) * last
+        low, high = F.floor(position), F.ceil(position)
+        at_low, at_high = (begin <= low) & (low < end), (begin <= high) & (high < end)
+        picked = picked | at_low | at_high
+        ends += [
+            F.max(F.when(at_low, F.col("v"))).alias(f"lo{i}"), F.max(F.when(at_high, F.col("v"))).alias(f"hi{i}"),
+            F.max(position - low).alias(f"share{i}"),
+        ]
+    found = placed.filter(picked).groupBy(*names).agg(*ends)
+    quantiles = [
+        F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}"))
+        .otherwise(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"share{i}"))
+        .alias(f"q{i}")
+        for i in range(len(probabilities))
+    ]
+    return found.select(*[F.col(n).alias(g) for n, g in zip(names, group_by)], *quantiles)
 
 
 def sketched(
