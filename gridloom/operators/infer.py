@@ -130,16 +130,23 @@ def coerce(col: Column, field_type: str, source: T.DataType = T.StringType()) ->
 
 
 def typed(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
-    """Cast text (or cell) columns to the given fields, one projection, row identity kept."""
+    """Cast text (or cell) columns to the given fields, row identity kept."""
     keep = [column(ROW_ID)] if ROW_ID in df.columns else []
+    pairs = [_value(df, f.name) for f in fields]
+    # stripped first, in a projection of its own: the casts read each cell several times
+    stripped = df.select(
+        *keep,
+        *[value.alias(f"v{i}") for i, (value, _) in enumerate(pairs)],
+        *[kind.alias(f"k{i}") for i, (_, kind) in enumerate(pairs) if kind is not None],
+    )
     projected = []
-    for f in fields:
-        value, kind = _value(df, f.name)
+    for i, (f, (_, kind)) in enumerate(zip(fields, pairs)):
+        value = F.col(f"v{i}")
         cast = cells.cast_text(value, f.type)
         if kind is not None and f.type == BOOLEAN:
-            cast = F.when(kind == BOOLEAN, value == "true").otherwise(cast)
+            cast = F.when(F.col(f"k{i}") == BOOLEAN, value == "true").otherwise(cast)
         projected.append(cast.alias(f.name, metadata=f.metadata))
-    return df.select(*keep, *projected)
+    return stripped.select(*keep, *projected)
 
 
 def _sources(source_fields: Sequence[Field], target_fields: Sequence[Field], code: str) -> list[tuple[Field, Field]]:

@@ -6,6 +6,7 @@ once with map-side combining.  Distinct counts and first-seen samples both come
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, types as T
@@ -58,6 +59,10 @@ def _shown(v: Column, kind: T.DataType) -> Column:
     return v.cast("string")
 
 
+def _shown_as(kind: T.DataType) -> Callable[[Column], Column]:
+    return lambda v: _shown(v, kind)
+
+
 def _field_facts(df: DataFrame) -> DataFrame:
     """One row per declared field, known from the schema."""
     rows = [(f.order, f.name, f.type, f.nullable) for f in fields_of(df)]
@@ -129,7 +134,7 @@ def _count_values(df: DataFrame, members: list[Field]) -> DataFrame:
     shown = F.transform("s", lambda v: v.cast("string"))
     for order, kind in kinds.items():
         if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
-            special = F.transform("s", lambda v, kind=kind: _shown(v, kind))
+            special = F.transform("s", _shown_as(kind))
             shown = F.when(F.col("field") == order, special).otherwise(shown)
     return both.select(
         F.col("field").cast("int").alias("order"), "row_count", "null_count", "distinct_count",

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..errors import WorkspaceError
 from ..operators import infer
 from ..operators.steps import Flow, Step, fold
 from ..sources.delimited import OPTIONS, text_schema
-from ..types import Field
+from ..types import Field, column
 
 # Steps that look at one row at a time mean the same on a stream as on a table.
 ROW_STEPS = (
@@ -45,7 +46,7 @@ def apply_steps(stream: DataFrame, steps: Sequence[Step], *, event_time: str | N
             keys = step.config.get("fields") or []
             if not keys or not set(keys) <= set(flow.df.columns):
                 raise WorkspaceError("invalid_cleaning_step", "deduplicate needs existing fields")
-            flow = flow.to(flow.df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys))
+            flow = flow.to(_deduplicate(flow.df, keys, event_time, delay))
         elif step.operation in ROW_STEPS:
             flow = fold(flow, [step])
         else:
@@ -53,6 +54,16 @@ def apply_steps(stream: DataFrame, steps: Sequence[Step], *, event_time: str | N
     return flow.df
 
 
+def _deduplicate(df: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
+    """Watermarks want an instant; wall-clock times are taken as UTC."""
+    moment = column(event_time)
+    if isinstance(df.schema[event_time].dataType, T.TimestampNTZType):
+        start = F.lit("1970-01-01").cast("timestamp_ntz")
+        moment = F.timestamp_micros(F.timestamp_diff("MICROSECOND", start, moment))
+    timed = df.withColumn("_event_time", moment).withWatermark("_event_time", delay)
+    return timed.dropDuplicatesWithinWatermark(keys).drop("_event_time")
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Write what has arrived and stop; a later call goes on with the files that are new since.
 
