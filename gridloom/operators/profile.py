@@ -114,7 +114,9 @@ def _count_values(df: DataFrame, members: list[Field]) -> DataFrame:
     kinds = {str(f.order): df.schema[f.name].dataType for f in members}
     row_id = column(ROW_ID) if ROW_ID in df.columns else F.lit(0)
     forms = [_counted_as(column(f.name), kinds[str(f.order)]).alias(str(f.order)) for f in members]
-    long = df.select(row_id.alias("r"), *forms).unpivot("r", list(kinds), "field", "value")
+    # an exploded array, as Spark does not share exchanges above an unpivot
+    cell = F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in kinds]))
+    long = df.select(row_id.alias("r"), *forms).select("r", cell)
     groups = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("first_row"))
     # always true; makes both branches below read the same columns, so that they share one exchange
     groups = groups.filter((F.col("n") > 0) & (F.col("first_row") >= 0))

@@ -43,6 +43,7 @@ def exact(df: DataFrame, group_by: Sequence[str], field: str, probabilities: Seq
     span = F.struct(F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("rows")).alias("span")
     spans = ranked.groupBy(*names).agg(span)
     if names:
+        spans = stage(spans, "spans")  # one row per group, of known size from here on
         match = [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]
         placed = ranked.alias("a").join(spans.alias("b"), match).select("a.*", "span")
     else:

@@ -6,6 +6,7 @@ Steps only add to the logical plan; nothing runs until the recipe is previewed o
 from __future__ import annotations
 
 import datetime
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 
 from ..errors import WorkspaceError
 from ..functions import cells, conditions
+from ..session import stage
 from ..types import (
-    BOOLEAN, DATE, DATETIME, DECIMAL, INTEGER, ROW_ID, SPARK_TYPES, Field, column, field_type,
+    BOOLEAN, DATE, DATETIME, DECIMAL, INTEGER, ROW_ID, SPARK_TYPES, column, field_type, quoted,
 )
 from . import quantiles
-from .guard import check_functions
+from .guard import bare, check_functions
 
 CODE = "invalid_cleaning_step"
 
@@ -36,13 +38,15 @@ class Flow:
     """A table on its way through a recipe.
 
     ``unique_ids``: every row still has a row id of its own.  ``sorted``: the row order of the plan is
-    the wanted one.  Both decide how the result is numbered.
+    the wanted one.  Both decide how the result is numbered.  ``dry``: only the schema matters, so no
+    step may run a job.
     """
 
     df: DataFrame
     unique_ids: bool = True
     sorted: bool = False
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    dry: bool = False
 
     @property
     def names(self) -> list[str]:
@@ -175,7 +179,9 @@ def deduplicate(flow: Flow, config: dict) -> Flow:
     names = field_list(flow, config)
     if ROW_ID not in flow.df.columns:
         raise fail("deduplicate needs row ids; materialize the table first")
-    first = Window.partitionBy(*[column(n) for n in names]).orderBy(column(ROW_ID))
+    # after a join several rows may carry one id: the other fields then decide
+    ties = [] if flow.unique_ids else [column(n) for n in flow.names if n not in names]
+    first = Window.partitionBy(*[column(n) for n in names]).orderBy(column(ROW_ID), *ties)
     df = flow.df.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
     return flow.to(df, sorted=False)
 
@@ -339,6 +345,8 @@ def add(flow: Flow, name: str, value: Column) -> Flow:
 def calculate(flow: Flow, config: dict) -> Flow:
     target, expression = new_name(flow, config), text(config, "expression")
     check_functions(expression)
+    if re.search(r"(?i)\bselect\b", bare(expression)):
+        raise fail("An expression computes from the fields of its row, not from queries")
     try:
         result = add(flow, target, F.expr(expression))
         result.df.schema  # resolve now, so a bad expression is a bad step
@@ -438,7 +446,10 @@ def aggregate(flow: Flow, config: dict) -> Flow:
 
 
 def join(flow: Flow, config: dict) -> Flow:
-    """Equi-join with another table of the recipe's scope; Spark picks the strategy from sizes."""
+    """Equi-join with another table of the recipe's scope.
+
+    Spark broadcasts a side it knows to be small and otherwise shuffles, splitting hot keys.
+    """
     how = _choice(config, "how", ("inner", "left", "right", "full", "semi", "anti"), "inner")
     other_name = text(config, "table")
     if other_name not in flow.tables:
@@ -454,24 +465,36 @@ def join(flow: Flow, config: dict) -> Flow:
         rights.append(text(pair, "right"))
         if rights[-1] not in other.columns:
             raise fail(f"No such field: {rights[-1]}")
-    match = [F.col(f"l.`{a}`") == F.col(f"r.`{b}`") for a, b in zip(lefts, rights)]
-    joined = left.join(right, match, {"semi": "left_semi", "anti": "left_anti"}.get(how, how))
+    match = [F.col(f"l.{quoted(a)}") == F.col(f"r.{quoted(b)}") for a, b in zip(lefts, rights)]
     if how in ("semi", "anti"):
-        return flow.to(joined, sorted=False)
+        return flow.to(left.join(right, match, f"left_{how}"), sorted=False)
     # a key of the same name on both sides is one column of the result
     shared = {a: b for a, b in zip(lefts, rights) if a == b}
-    columns = []
-    for c in flow.df.columns:
-        mine = F.col(f"l.`{c}`")
-        columns.append(F.coalesce(mine, F.col(f"r.`{shared[c]}`")).alias(c) if c in shared else mine)
     extra = [c for c in other.columns if c not in shared]
     clash = {c.lower() for c in extra} & {c.lower() for c in flow.df.columns}
     if clash:
         raise fail(f"Both tables have a field {', '.join(sorted(clash))}")
-    df = joined.select(*columns, *[F.col(f"r.`{c}`") for c in extra])
+
+    others = [F.col(f"r.{quoted(c)}") for c in extra]
+    joined = left.join(right, match, "left" if how == "full" else how)
+    df = joined.select(*[_either(c, shared) for c in flow.df.columns], *others)
+    if how == "full":
+        # left join plus unmatched right rows: unlike a full join, Spark can split a hot key in both
+        unmatched = right.join(left, match, "left_anti")
+        alone = [
+            (F.col(f"r.{quoted(shared[c])}") if c in shared else F.lit(None).cast(flow.df.schema[c].dataType)).alias(c)
+            for c in flow.df.columns
+        ]
+        df = df.unionByName(unmatched.select(*alone, *others))
     return flow.to(df, unique_ids=False, sorted=False)
 
 
+def _either(name: str, shared: dict[str, str]) -> Column:
+    """A column of the left table; a shared key is taken from whichever side has the row."""
+    mine = F.col(f"l.{quoted(name)}")
+    return F.coalesce(mine, F.col(f"r.{quoted(shared[name])}")).alias(name) if name in shared else mine
+
+
 def pivot(flow: Flow, config: dict) -> Flow:
     """Listed values of one field become fields."""
     keys, name = field_list(flow, config, "group_by"), one_field(flow, config, "column")
@@ -509,6 +532,8 @@ def flag_outliers(flow: Flow, config: dict) -> Flow:
     keys = field_list(flow, config, "group_by") if config.get("group_by") else []
     target = new_name(flow, config)
     threshold = float(config.get("threshold", 3.0 if method == "zscore" else 1.5))
+    if flow.dry:
+        return add(flow, target, F.lit(False))
     if method == "zscore":
         facts = flow.df.groupBy(*[column(k) for k in keys]).agg(
             F.avg(column(name)).alias("a"), F.stddev_pop(column(name)).alias("b")
@@ -523,6 +548,8 @@ def flag_outliers(flow: Flow, config: dict) -> Flow:
         bounds = limits.scalar()
         outside = (column(name) < bounds["low"]) | (column(name) > bounds["high"])
         return add(flow, target, F.coalesce(outside, F.lit(False)))
+    # one row per group; once written its size is known, so Spark broadcasts it only if it is small
+    limits = stage(limits, "limits")
     match = [column(k).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)]
     outside = (column(name) < F.col("limits.low")) | (column(name) > F.col("limits.high"))
     joined = flow.df.join(limits, match, "left")
@@ -568,4 +595,4 @@ def fold(flow: Flow, steps: list[Step]) -> Flow:
     return flow
 
 
-__all__ = ["AGGREGATES", "Field", "Flow", "STEPS", "Step", "fold"]
+__all__ = ["AGGREGATES", "Flow", "STEPS", "Step", "fold"]

@@ -15,7 +15,7 @@ from ..types import ROW_ID, column, fields_of
 def validate(steps: Sequence[Step], schema: T.StructType, scope: Mapping[str, DataFrame] | None = None) -> list[Step]:
     """Check every step against the schema the steps before it leave; no data is read."""
     empty = SparkSession.active().createDataFrame([], schema)
-    fold(Flow(empty, tables=dict(scope or {})), list(steps))
+    fold(Flow(empty, tables=dict(scope or {}), dry=True), list(steps))
     return sorted(steps, key=lambda s: s.order)
 
 
