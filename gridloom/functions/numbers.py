@@ -47,9 +47,8 @@ def group_label(c: Column, data_type: T.DataType) -> Column:
     elif isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType)):
         text = number_label(c.cast("double"))
     elif isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-        micros = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        text = F.when(F.date_trunc("second", c) == c, whole).otherwise(micros)
+        iso = F.replace(c.cast("string"), F.lit(" "), F.lit("T"))
+        text = F.when(F.contains(iso, F.lit(".")), F.rpad(iso, 26, "0")).otherwise(iso)  # no or six decimals
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit(NULL_LABEL))

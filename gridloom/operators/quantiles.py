@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from ..types import column
-from .row_id import MARK, PATH, join_offsets, offsets
+from .row_id import MARK, PATH, file_order, join_offsets, offsets
 
 
 def _running_counts(counted: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def _running_counts(counted: DataFrame, order: Sequence[str]) -> DataFrame:
     stored = stage(counted.orderBy(*order), "counts")
     located = stored.select("*", F.col("_metadata.file_path").alias(PATH), F.col("_metadata.row_index").alias(MARK))
     per_file = located.groupBy(PATH).agg(F.sum("n").alias("rows"))
-    placed = offsets(per_file, [PATH], "rows").select(PATH, "offset")
+    placed = offsets(per_file, file_order(), "rows").select(PATH, "offset")
     inside = Window.partitionBy(PATH).orderBy(MARK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = join_offsets(located, placed, [PATH], len(stored.inputFiles()))
     upto = F.col("offset") + F.sum("n").over(inside)

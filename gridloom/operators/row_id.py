@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -30,7 +30,17 @@ def with_split_marks(df: DataFrame) -> DataFrame:
     )
 
 
-def offsets(pieces: DataFrame, order: Sequence[str], count: str) -> DataFrame:
+def file_order() -> list[Column]:
+    """Source order of files: by folder, then by part number where Spark wrote them, then by name.
+
+    Part numbers have five digits at least, so their names alone do not sort from 100 000 on.
+    """
+    folder = F.regexp_replace(F.col(PATH), r"[^/]*$", "")
+    part = F.regexp_extract(F.col(PATH), r"/part-([0-9]+)[^/]*$", 1).try_cast("long")
+    return [folder, part, F.col(PATH)]
+
+
+def offsets(pieces: DataFrame, order: Sequence[Column], count: str) -> DataFrame:
     """Running count over the pieces: how many rows come before each.
 
     One row per piece, so the window holds as many rows as the table has files or splits.
@@ -51,7 +61,7 @@ def _checked(offset):
 
 def number_splits(df: DataFrame, splits: DataFrame, n_splits: int) -> DataFrame:
     """Number the rows of a marked scan, given (path, block, rows, first mark) per split."""
-    placed = offsets(splits, [PATH, BLOCK], "rows").select(PATH, BLOCK, "offset", "first_mark")
+    placed = offsets(splits, [*file_order(), F.col(BLOCK)], "rows").select(PATH, BLOCK, "offset", "first_mark")
     joined = join_offsets(df, placed, [PATH, BLOCK], n_splits)
     row_id = _checked(F.col("offset")) + (F.col(MARK) - F.col("first_mark")) + 1
     names = [c for c in df.columns if c not in (PATH, BLOCK, MARK)]
@@ -66,7 +76,7 @@ def number_files(df: DataFrame) -> DataFrame:
     """
     located = df.select("*", F.col("_metadata.file_path").alias(PATH), F.col("_metadata.row_index").alias(MARK))
     per_file = located.groupBy(PATH).agg(F.count(F.lit(1)).alias("rows"))
-    pieces = offsets(per_file, [PATH], "rows").select(PATH, "offset")
+    pieces = offsets(per_file, file_order(), "rows").select(PATH, "offset")
     joined = join_offsets(located, pieces, [PATH], len(df.inputFiles()))
     row_id = _checked(F.col("offset")) + F.col(MARK) + 1
     return joined.select(row_id.alias(ROW_ID), *[column(c) for c in df.columns])
@@ -98,7 +108,7 @@ def renumber(df: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     bucketed = df.withColumn("_bucket", F.floor((column(ROW_ID) - 1) / F.lit(bucket_rows)).cast("long"))
     counts = stage(bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("rows")), "buckets")
     n_buckets = counts.count()
-    placed = offsets(counts, ["_bucket"], "rows").select("_bucket", "offset")
+    placed = offsets(counts, [F.col("_bucket")], "rows").select("_bucket", "offset")
     inside = Window.partitionBy("_bucket").orderBy(column(ROW_ID))
     joined = join_offsets(bucketed, placed, ["_bucket"], n_buckets)
     new_id = _checked(F.col("offset")) + F.row_number().over(inside)

@@ -38,10 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise WorkspaceError("checkpoint_dir_missing", f"Set {CHECKPOINT_CONF} to a shared folder")
-        folder = tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

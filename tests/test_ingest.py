@@ -169,3 +169,46 @@ def test_workbooks_must_share_a_header(spark, folder):
     put(folder, "odd/b.xlsx", workbook([["b"], [1]]))
     assert code_of(workbooks.read_workbooks, spark, folder("odd")) == "workbook_header_mismatch"
     assert code_of(workbooks.read_workbooks, spark, put(folder, "n/notes.txt", "x")) == "unsupported_file_type"
+
+
+def test_part_numbers_beyond_five_digits(spark, folder):
+    import pandas as pd
+
+    pathlib.Path(folder("parts")).mkdir()
+    for part, v in ((99999, 1), (100000, 2), (7, 0)):
+        pd.DataFrame({"v": [v]}).to_parquet(f"{folder('parts')}/part-{part:05d}-x.parquet")
+    got = row_id.number_files(spark.read.parquet(folder("parts"))).orderBy(ROW_ID).collect()
+    assert [r.v for r in got] == [0, 1, 2]
+
+
+SHEET = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
+<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>
+<row r="3"><c r="A3" t="str"><v>calc</v></c><c r="B3" s="1"><v>1.5</v></c><c r="C3" t="e"><v>#N/A</v></c></row>
+<row r="4"><c r="B4" s="2"><v>0.25</v></c><c r="C4" s="0"><v>2.50</v></c><c r="D4"><v>9</v></c></row>
+</sheetData></worksheet>"""
+
+
+def test_workbook_parts(folder):
+    """Shared and rich strings, custom date formats, the 1904 calendar, a later active sheet."""
+    import io
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as book:
+        book.writestr("xl/workbook.xml", f"""<workbook {main} xmlns:r="urn:r"><workbookPr date1904="1"/>
+            <bookViews><workbookView activeTab="1"/></bookViews>
+            <sheets><sheet name="a" r:id="r1"/><sheet name="b" r:id="r2"/></sheets></workbook>""")
+        book.writestr("xl/_rels/workbook.xml.rels", """<Relationships><Relationship Id="r1" Target="worksheets/no.xml"/>
+            <Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>""")
+        book.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>na</t><rPh><t>x</t></rPh></si><si><r><t>no</t></r><r><t>te</t></r></si></sst>")
+        book.writestr("xl/styles.xml", f"""<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/>
+            <numFmt numFmtId="171" formatCode="0.00&quot;days&quot;"/></numFmts>
+            <cellXfs><xf numFmtId="171"/><xf numFmtId="170"/><xf numFmtId="20"/></cellXfs></styleSheet>""")
+        book.writestr("xl/worksheets/sheet2.xml", SHEET)
+    rows = [[c and (c["kind"], c["text"]) for c in row] for row in workbooks.sheet_rows(buffer.getvalue())]
+    assert rows == [
+        [("text", "na"), None, ("text", "note")],
+        [("text", "calc"), ("datetime", "1904-01-02T12:00:00"), ("text", "#N/A")],
+        [None, ("time", "06:00:00"), ("decimal", "2.5"), ("integer", "9")],
+    ]
