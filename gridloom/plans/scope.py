@@ -49,7 +49,7 @@ class Scope:
         try:
             result = self._session.sql(f"SELECT * FROM (\n{clean}\n) AS query_result")
         except ParseException as error:
-            raise WorkspaceError("sql_not_read_only", _first_line(error)) from None
+            raise WorkspaceError("sql_invalid", _first_line(error)) from None
         except AnalysisException as error:
             missing = "TABLE_OR_VIEW_NOT_FOUND" in str(error)
             raise WorkspaceError("sql_unknown_dataset" if missing else "sql_invalid", _first_line(error)) from None
@@ -94,7 +94,7 @@ class Scope:
 
 
 def _first_line(error: Exception) -> str:
-    return str(error).splitlines()[0]
+    return str(error).strip().splitlines()[0]
 
 
 def view_edges(views: DataFrame) -> DataFrame:

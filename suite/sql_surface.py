@@ -164,7 +164,7 @@ family(
     DENSE_RANK() OVER (PARTITION BY user_id ORDER BY event_type) AS dr, NTILE(4) OVER w AS bucket,
     LAG(value) OVER w AS before, LEAD(value, 2) OVER w AS after,
     FIRST_VALUE(event_type) OVER w AS first_type,
-    LAST_VALUE(event_type) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last_type,
+    LAST_VALUE(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last_type,
     ROUND(SUM(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last3,
     COUNT(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS near
     FROM dataset_events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",

@@ -72,6 +72,7 @@ def test_scope_is_closed(spark, scope, folder):
     assert code_of(scope.query, "SELECT * FROM `global_temp`.`shared`") == "sql_unknown_dataset"
     assert code_of(scope.query, f"SELECT * FROM parquet.`{folder('file')}`") in ("sql_unknown_dataset", "sql_invalid")
     assert code_of(scope.query, "SELECT absent FROM dataset_orders") == "sql_invalid"
+    assert code_of(scope.query, "SELECT FROM WHERE") == "sql_invalid"
     assert code_of(Scope, spark, {}) == "sql_no_project_datasets"
 
 
