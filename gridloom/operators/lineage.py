@@ -45,6 +45,39 @@ def edge_table(
     return df.select(*[value(v).cast("string").alias(n) for n, v in zip(EDGE_COLUMNS, values)])
 
 
+# How a table can come about, as source type and transform type.
+ORIGINS = {
+    "file": ("file_import_preview", "dataset_creation"),
+    "external_table": ("external_database_table", "external_table_import"),
+    "external_sql": ("external_database_sql", "external_sql_import"),
+}
+
+
+def origin_edge(project_id: str, origin: str, source_id: str, dataset_id: str) -> Edge:
+    """A table and where it was imported from."""
+    source_type, transform = ORIGINS[origin]
+    return Edge(project_id, source_type, source_id, "dataset", dataset_id, transform, dataset_id)
+
+
+def chart_edges(charts: DataFrame) -> DataFrame:
+    """Edges of charts given as (project_id, chart_id, data_view_id)."""
+    chart = F.col("chart_id")
+    return edge_table(
+        charts, project_id=F.col("project_id"), source=("data_view", F.col("data_view_id")),
+        target=("chart", chart), transform=("chart_definition", chart),
+    )
+
+
+def dashboard_edges(refs: DataFrame) -> DataFrame:
+    """Edges of dashboards given as (project_id, dashboard_id, chart_id, mode); mode may be null."""
+    dashboard = F.col("dashboard_id")
+    layout = F.concat(F.coalesce(F.col("mode"), F.lit("dashboard")), F.lit("_layout"))
+    return edge_table(
+        refs, project_id=F.col("project_id"), source=("chart", F.col("chart_id")),
+        target=("dashboard", dashboard), transform=(layout, dashboard),
+    )
+
+
 def append(new_edges: DataFrame, path: str) -> None:
     """Add edges to the edge table."""
     new_edges.select(*EDGE_COLUMNS).write.mode("append").parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom import ROW_ID, chart
+from gridloom import ROW_ID, chart, lineage
 from gridloom.functions import numbers
 
 from .registry import dataset, register, table
@@ -165,6 +165,25 @@ def g10_invalid(spark, sf):
     return chart.invalid_refs(chart.dashboard_refs(dashboards(spark, sf), "layout"), charts(spark, sf))
 
 
+@register(
+    "h1_chart_edges",
+    f"""SELECT project_id, 'data_view' AS source_type, data_view_id AS source_id, 'chart' AS target_type, chart_id AS target_id,
+    'chart_definition' AS transform_type, chart_id AS transform_id FROM ({CHARTS_SQL})""",
+)
+def h1_charts(spark, sf):
+    return lineage.chart_edges(charts(spark, sf))
+
+
+@register(
+    "h1_dashboard_edges",
+    f"""SELECT project_id, 'chart' AS source_type, chart_id AS source_id, 'dashboard' AS target_type, dashboard_id AS target_id,
+    'dashboard_layout' AS transform_type, dashboard_id AS transform_id FROM ({REFS_SQL})""",
+)
+def h1_dashboards(spark, sf):
+    df = dashboards(spark, sf).withColumn("mode", F.get_json_object("layout", "$.mode"))
+    return lineage.dashboard_edges(chart.dashboard_refs(df, "layout"))
+
+
 @register(
     "g11_charts_out_of_scope",
     f"""SELECT * FROM ({CHARTS_SQL}) c WHERE data_view_id NOT IN
