@@ -38,7 +38,8 @@ def _point(df: DataFrame, metric: str, aggregation: str) -> tuple[Column, Column
 def aggregate(
     df: DataFrame, dimension: str, metric: str, aggregation: str = "sum", max_rows: int | None = None
 ) -> DataFrame:
-    """The points of a chart, (label, value), in the order in which labels first appear.
+    """The points of a chart, (label, value), in the order in which labels first appear (by label, where
+    the rows carry no ids).
 
     The whole view is aggregated; ``max_rows`` restricts it to its first rows.
     """
@@ -52,13 +53,14 @@ def aggregate(
     else:
         label = F.lit(numbers.NULL_LABEL)
     value, point = _point(df, metric, aggregation)
-    first = column(ROW_ID) if ROW_ID in df.columns else label
-    points = (
-        df.select(label.alias("label"), value.alias("v"), first.alias("r"))
-        .groupBy("label")
-        .agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("rows"), F.min("r").alias("r"))
-    )
-    return points.orderBy("r").select("label", numbers.round_point(point).alias("value"))
+    total, rows = F.sum("v").alias("total"), F.count(F.lit(1)).alias("rows")
+    if ROW_ID in df.columns:
+        cells = df.select(label.alias("label"), value.alias("v"), column(ROW_ID).alias("r"))
+        points = cells.groupBy("label").agg(total, rows, F.min("r").alias("r")).orderBy("r")
+    else:  # rows without ids have no first one
+        cells = df.select(label.alias("label"), value.alias("v"))
+        points = cells.groupBy("label").agg(total, rows).orderBy("label")
+    return points.select("label", numbers.round_point(point).alias("value"))
 
 
 def metric_card(df: DataFrame, metric: str, aggregation: str = "sum") -> DataFrame:
