@@ -19,6 +19,7 @@ from ..sources import delimited, tables
 from ..types import ROW_ID, Field, validate_fields
 
 PREVIEW_ROWS = 20  # fixed value
+HEADER_ERRORS = ("CSV header does not conform to the schema", "Number of column in CSV header is not equal")
 
 
 @dataclass(frozen=True)
@@ -49,9 +50,19 @@ def scan(df: DataFrame) -> Scan:
     return Scan(df, infer.decide_fields(names, infer.merge_facts(facts)), total[0], splits, total[1])
 
 
+def scan_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> Scan:
+    """Pass 1 over CSV files; files with different headers are refused."""
+    try:
+        return scan(delimited.read_csv(spark, paths, multi_line))
+    except Exception as error:  # Spark's reader names the file that differs
+        if any(text in str(error) for text in HEADER_ERRORS):
+            raise WorkspaceError("file_header_mismatch", "The files do not share one header") from error
+        raise
+
+
 def preview(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> tuple[list[Field], int, DataFrame]:
     """Import preview: inferred fields, row count, first rows."""
-    found = scan(delimited.read_csv(spark, paths, multi_line))
+    found = scan_csv(spark, paths, multi_line)
     head = found.numbered().filter(F.col(ROW_ID) <= PREVIEW_ROWS).orderBy(ROW_ID).drop(ROW_ID)
     return found.fields, found.row_count, head
 
@@ -65,7 +76,7 @@ def import_csv(
     multi_line: bool = False,
 ) -> tuple[DataFrame, int]:
     """CSV files to a table; ``fields`` is the edited schema, matched to the inferred one by order."""
-    found = scan(delimited.read_csv(spark, paths, multi_line))
+    found = scan_csv(spark, paths, multi_line)
     data = found.numbered()
     if fields is not None:
         validate_fields(fields)

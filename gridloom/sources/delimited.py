@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, types as T
+from pyspark.sql import functions as F
 
 from ..errors import WorkspaceError
 from ..functions.names import normalize_headers
@@ -28,14 +29,12 @@ def check_file_type(path: str) -> str:
     return suffix[1:]
 
 
-def read_header(spark: SparkSession, path: str, multi_line: bool = False) -> list[str]:
-    """The cleaned names in the first row of one file."""
+def read_header(spark: SparkSession, path: str, multi_line: bool = False) -> list[str | None]:
+    """The first row of one file, as it stands there."""
     first = spark.read.options(**OPTIONS).option("multiLine", multi_line).csv(path, header=False).first()
     if first is None:
         raise WorkspaceError("empty_file", "The file has no rows")
-    names = normalize_headers(list(first))
-    validate_fields([Field(n, "text") for n in names])
-    return names
+    return list(first)
 
 
 def text_schema(names: Sequence[str]) -> T.StructType:
@@ -56,6 +55,25 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool =
     files = located.inputFiles()
     if not files:
         raise WorkspaceError("empty_file", "No files to read")
-    names = read_header(spark, min(files), multi_line)
+    raw = read_header(spark, min(files), multi_line)
+    names = normalize_headers(raw)
+    validate_fields([Field(n, "text") for n in names])
     reader = spark.read.options(**OPTIONS).option("multiLine", multi_line)
-    return reader.schema(text_schema(names)).csv(paths, header=True, enforceSchema=True)
+    if len(files) > 1 and names != raw:
+        _check_headers(reader, paths, raw)
+    # unchanged names can be checked by Spark, file by file, as it reads
+    return reader.schema(text_schema(names)).csv(paths, header=True, enforceSchema=names != raw)
+
+
+def _check_headers(reader: DataFrameReader, paths: list[str], raw: Sequence[str | None]) -> None:
+    """Cleaned names are not those in the files, so the files' first rows are compared here."""
+    cells = [f"c{i}" for i in range(len(raw))]
+    rows = reader.schema(text_schema(cells)).csv(paths, header=False)
+    starts = rows.select(
+        F.struct(*cells).alias("header"), F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+    )
+    headers = starts.groupBy("path").agg(F.min_by("header", "place").alias("header"))
+    first = F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(cells, raw)])
+    if not headers.filter(~F.col("header").eqNullSafe(first)).isEmpty():
+        raise WorkspaceError("file_header_mismatch", "The files do not share one header")

@@ -23,10 +23,15 @@ ROW_STEPS = (
 
 
 def read_csv_drops(
-    spark: SparkSession, folder: str, fields: Sequence[Field], files_per_trigger: int | None = None
+    spark: SparkSession, folder: str, fields: Sequence[Field], files_per_trigger: int | None = None,
+    check_header: bool = True,
 ) -> DataFrame:
-    """New CSV files of a folder as typed rows; the schema is fixed beforehand."""
-    reader = spark.readStream.options(**OPTIONS).option("header", True).option("enforceSchema", True)
+    """New CSV files of a folder as typed rows; the schema is fixed beforehand.
+
+    A file whose header names other fields stops the stream, unless ``check_header`` is off and the
+    columns are taken by place.
+    """
+    reader = spark.readStream.options(**OPTIONS).option("header", True).option("enforceSchema", not check_header)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return infer.typed(reader.schema(text_schema([f.name for f in fields])).csv(folder), fields)

@@ -36,6 +36,22 @@ def test_csv_edges(spark, folder):
     assert found.row_count == 4 and all(f.nullable for f in found.fields)
 
 
+@pytest.mark.parametrize(
+    ("first", "second", "code"),
+    [
+        ("a,b", "b,a", "file_header_mismatch"), ("a,b", "a,b,c", "file_header_mismatch"), (" a,b", "a,b", "file_header_mismatch"),
+        ("a,a", "a,b", "file_header_mismatch"), ("a,b", "a,b", None), (" a,", " a,", None), ("\ufeffa,b", "a,b", None),
+    ],
+)
+def test_files_share_one_header(spark, folder, first, second, code):
+    put(folder, "two/1.csv", f"{first}\n1,2\n")
+    put(folder, "two/2.csv", f"{second}\n3,4\n")
+    if code:
+        assert code_of(imports.scan_csv, spark, folder("two")) == code
+    else:
+        assert imports.scan_csv(spark, folder("two")).row_count == 2
+
+
 def test_quoted_newlines_need_multi_line(spark, folder):
     path = put(folder, "lines.csv", 'id,text\n1,"two\nlines"\n2,one\n')
     df = delimited.read_csv(spark, path, multi_line=True)
