@@ -1,4 +1,4 @@
 """Importing this module registers the query of every operator."""
 
-from . import bpe, secret_scan  # noqa: F401
+from . import bpe, secret_scan, sharding, url_filter  # noqa: F401
 from .common import ORACLE, QUERIES  # noqa: F401
