@@ -1,4 +1,4 @@
 """Importing this module registers the query of every operator."""
 
-from . import bpe, decontaminate, jaccard_join, language_id, neighbours, quality, secret_scan, sharding, url_filter  # noqa: F401
+from . import bpe, decontaminate, jaccard_join, language_id, maxent, neighbours, quality, secret_scan, sharding, url_filter  # noqa: F401
 from .common import ORACLE, QUERIES  # noqa: F401
