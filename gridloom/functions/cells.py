@@ -73,7 +73,7 @@ def is_datetime_text(c: Column) -> Column:
 
 def text_to_datetime(c: Column) -> Column:
     """ISO 8601 text; an offset is applied, so the result is UTC wall-clock time."""
-    day, clock = F.substring(c, 1, 10), F.replace(F.substring(c, 11, 64), F.lit(","), F.lit("."))
+    day, clock = F.substring(c, 1, 10), F.replace(F.substr(c, F.lit(11)), F.lit(","), F.lit("."))
     offset = F.regexp_extract(clock, OFFSET_PATTERN, 0)
     local = F.concat(day, F.regexp_replace(clock, rf"(Z|{OFFSET_PATTERN[:-1]})$", ""))
     # an hour alone is not a time of day to Spark
@@ -128,8 +128,33 @@ def cast_text(c: Column, kind: str) -> Column:
 # -- writing text ---------------------------------------------------------------------------
 
 
+# Outside this range decimals are written with an exponent.
+DECIMAL_PLAIN_BELOW, DECIMAL_PLAIN_FROM = 1e16, 1e-4
+
+
+def decimal_text(c: Column) -> Column:
+    """A double in its shortest form: ``12345678.5``, ``0.0005``, ``10000000.0``, ``1e-05``, ``1.5e+20``."""
+    shortest, size = c.cast("string"), F.abs(c)
+    plain = F.regexp_replace(shortest.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
+    plain = F.regexp_replace(plain, r"\.$", ".0")
+    power = F.regexp_extract(shortest, r"E(-?[0-9]+)$", 1).try_cast("int")
+    exponent = F.concat(
+        F.regexp_replace(F.regexp_extract(shortest, r"^[^E]*", 0), r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"),
+        F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")),
+    )
+    return (
+        F.when(F.isnan(c), "nan")
+        .when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
+        .when(~shortest.contains("E"), shortest)
+        .when((size >= DECIMAL_PLAIN_FROM) & (size < DECIMAL_PLAIN_BELOW), plain)
+        .otherwise(exponent)
+    )
+
+
 def to_text(c: Column, data_type: T.DataType) -> Column:
     """Text of a typed value as the workspace shows it: ISO dates, True/False, plain numbers."""
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return decimal_text(c if isinstance(data_type, T.DoubleType) else c.cast("string").cast("double"))
     if isinstance(data_type, T.BooleanType):
         return F.when(c, "True").when(~c, "False")
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):

@@ -6,6 +6,8 @@ A leaf is ``{"field", "op", "value"}``; nodes are ``{"and": [...]}``, ``{"or": [
 
 from __future__ import annotations
 
+import datetime
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, types as T
@@ -45,6 +47,17 @@ def build(tree: dict, schema: T.StructType, code: str = "invalid_cleaning_step")
     return _leaf(tree, schema, code)
 
 
+def _number(v: object, name: str, code: str) -> int | float:
+    try:
+        if isinstance(v, (bool, int)):
+            return int(v)
+        if isinstance(v, str) and v.strip().lstrip("+-").isdigit():
+            return int(v)
+        return float(v)
+    except (TypeError, ValueError):
+        raise WorkspaceError(code, f"{v!r} does not fit field {name!r}") from None
+
+
 def _leaf(leaf: dict, schema: T.StructType, code: str) -> Column:
     name, op, value = leaf.get("field"), leaf.get("op"), leaf.get("value")
     if name not in schema.names:
@@ -57,7 +70,22 @@ def _leaf(leaf: dict, schema: T.StructType, code: str) -> Column:
     if op == "not_blank":
         return ~is_blank(c, data_type)
 
+    if isinstance(data_type, T.NumericType) and op not in ("like", "matches"):
+        values = value if isinstance(value, (list, tuple)) else [value]
+        values = [_number(v, name, code) for v in values if v is not None]
+        if any(isinstance(v, float) and not (math.isfinite(v) and v.is_integer()) or abs(v) >= 2**63 for v in values) and not isinstance(data_type, T.DecimalType):
+            data_type, c = T.DoubleType(), c.cast("double")  # a bound between two integers stays where it is
+
     def typed(v: object) -> Column:
+        if v is None:
+            return F.lit(None).cast(data_type)
+        if isinstance(data_type, T.NumericType):
+            return F.lit(_number(v, name, code)).cast(data_type)
+        if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)) and isinstance(v, str):
+            try:
+                datetime.datetime.fromisoformat(v.strip())
+            except ValueError:
+                raise WorkspaceError(code, f"{v!r} does not fit field {name!r}") from None
         return F.lit(v).cast(data_type)
 
     if op in ("in", "not_in", "between"):

@@ -63,11 +63,10 @@ def to_number(c: Column, data_type: T.DataType) -> Column:
         plain = F.when(
             text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double")
         )
-        digits = F.substring(text, 3, 64)
         value = (
-            F.when(text.rlike(r"^0[xX][0-9a-fA-F]{1,15}$"), F.conv(digits, 16, 10).try_cast("double"))
-            .when(text.rlike(r"^0[oO][0-7]{1,20}$"), F.conv(digits, 8, 10).try_cast("double"))
-            .when(text.rlike(r"^0[bB][01]{1,62}$"), F.conv(digits, 2, 10).try_cast("double"))
+            F.when(text.rlike(r"^0[xX][0-9a-fA-F]+$"), _based(text, 16, 4))
+            .when(text.rlike(r"^0[oO][0-7]+$"), _based(text, 8, 3))
+            .when(text.rlike(r"^0[bB][01]+$"), _based(text, 2, 1))
             .otherwise(plain)
         )
     else:
@@ -76,6 +75,20 @@ def to_number(c: Column, data_type: T.DataType) -> Column:
     return F.when(finite, value).otherwise(0.0)
 
 
+def _based(text: Column, base: int, bits: int) -> Column:
+    """Digits of a base after a two-character mark, of any number, as the nearest double.
+
+    The leading 60 bits and one more for "anything after them" round as the whole number would.
+    """
+    digits = F.regexp_replace(F.substr(text, F.lit(3)), "^0+(?=.)", "")
+    lead = 60 // bits
+    rest = F.substr(digits, F.lit(lead + 1))
+    exact = F.conv(F.left(digits, F.lit(lead)), base, 10).try_cast("long")
+    sticky = F.when(rest.rlike("[^0]"), 1).otherwise(0)
+    scaled = (exact * 2 + sticky).cast("double") * F.pow(F.lit(2.0), (F.length(rest) * bits - 1).cast("double"))
+    return F.when(F.length(digits) <= lead, exact.cast("double")).otherwise(scaled)
+
+
 def round_point(c: Column) -> Column:
     """Two decimals, halves up (toward plus infinity), as ``floor(100 v + 1/2) / 100``."""
     scaled = c * 100

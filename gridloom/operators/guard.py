@@ -10,7 +10,6 @@ import re
 
 from ..errors import WorkspaceError
 
-MAX_SQL_CHARS = 20_000  # fixed value
 # How a query starts, and the words it must not hold outside quotes.
 STARTERS = ("select", "with")
 FORBIDDEN_WORDS = (
@@ -48,10 +47,10 @@ def check_functions(sql: str) -> None:
         raise WorkspaceError("sql_forbidden_operation", f"Function {found[1]} is not allowed")
 
 
-def validate(sql: str) -> str:
+def validate(sql: str, max_chars: int | None = None) -> str:
     """Check the text and return it without comments and closing semicolon."""
-    if len(sql) > MAX_SQL_CHARS:
-        raise WorkspaceError("sql_too_long", f"SQL is limited to {MAX_SQL_CHARS} characters")
+    if max_chars is not None and len(sql) > max_chars:
+        raise WorkspaceError("sql_too_long", f"SQL is limited to {max_chars} characters")
     clean = without_comments(sql).strip().rstrip(";").strip()
     if not clean:
         raise WorkspaceError("sql_empty", "SQL cannot be empty")

@@ -56,6 +56,8 @@ def _shown(v: Column, kind: T.DataType) -> Column:
         return cells.to_text(moment, T.TimestampNTZType())
     if isinstance(kind, T.BooleanType):
         return cells.to_text(v.cast("boolean"), kind)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return cells.to_text(v.cast(kind), kind)
     return v.cast("string")
 
 

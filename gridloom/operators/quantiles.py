@@ -28,7 +28,7 @@ def _running_counts(counted: DataFrame, order: Sequence[str]) -> DataFrame:
     per_file = located.groupBy(PATH).agg(F.sum("n").alias("rows"))
     placed = offsets(per_file, file_order(), "rows").select(PATH, "offset")
     inside = Window.partitionBy(PATH).orderBy(MARK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = join_offsets(located, placed, [PATH], len(stored.inputFiles()))
+    joined = join_offsets(located, placed, [PATH])
     upto = F.col("offset") + F.sum("n").over(inside)
     return joined.select(*[column(c) for c in counted.columns], upto.alias("upto"))
 

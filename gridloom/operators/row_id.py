@@ -16,8 +16,6 @@ from ..session import stage
 from ..types import ROW_ID, column
 
 PATH, BLOCK, MARK = "_split_path", "_split_block", "_split_mark"
-# Offsets are broadcast up to this many pieces (tens of MB); beyond it they are joined by shuffle.
-BROADCAST_PIECES = 200_000
 
 
 def with_split_marks(df: DataFrame) -> DataFrame:
@@ -49,21 +47,27 @@ def offsets(pieces: DataFrame, order: Sequence[Column], count: str) -> DataFrame
     return pieces.withColumn("offset", F.coalesce(F.sum(count).over(before), F.lit(0)))
 
 
-def join_offsets(df: DataFrame, pieces: DataFrame, keys: Sequence[str], n_pieces: int) -> DataFrame:
-    """Attach the piece's columns to its rows; a row whose piece is unknown fails the query."""
-    side = F.broadcast(pieces) if n_pieces <= BROADCAST_PIECES else pieces
-    return df.join(side, list(keys), "left")
+def join_offsets(df: DataFrame, pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach the piece's columns to its rows; the size of the pieces decides how."""
+    return df.join(pieces, list(keys), "left")
 
 
 def _checked(offset):
-    return F.when(offset.isNull(), F.raise_error(F.lit("row numbering: the file splits changed"))).otherwise(offset)
+    return F.when(offset.isNull(), F.raise_error(F.lit("row numbering: the file splits changed between the two scans; keep the split settings and run again"))).otherwise(offset)
 
 
-def number_splits(df: DataFrame, splits: DataFrame, n_splits: int) -> DataFrame:
-    """Number the rows of a marked scan, given (path, block, rows, first mark) per split."""
-    placed = offsets(splits, [*file_order(), F.col(BLOCK)], "rows").select(PATH, BLOCK, "offset", "first_mark")
-    joined = join_offsets(df, placed, [PATH, BLOCK], n_splits)
-    row_id = _checked(F.col("offset")) + (F.col(MARK) - F.col("first_mark")) + 1
+def number_splits(df: DataFrame, splits: DataFrame) -> DataFrame:
+    """Number the rows of a marked scan, given (path, block, rows, first mark) per split.
+
+    A mark tells a row's place only where this scan packs the splits into tasks as the counting scan did. Were a
+    split moved, the places of its rows would all shift, so at least one of them would lie outside the
+    split's count, which fails the query.
+    """
+    placed = offsets(splits, [*file_order(), F.col(BLOCK)], "rows").select(PATH, BLOCK, "offset", "first_mark", "rows")
+    joined = join_offsets(df, placed, [PATH, BLOCK])
+    place = F.col(MARK) - F.col("first_mark")
+    within = F.when((place >= 0) & (place < F.col("rows")), F.col("offset"))
+    row_id = _checked(within) + place + 1
     names = [c for c in df.columns if c not in (PATH, BLOCK, MARK)]
     return joined.select(row_id.alias(ROW_ID), *[column(c) for c in names])
 
@@ -77,7 +81,7 @@ def number_files(df: DataFrame) -> DataFrame:
     located = df.select("*", F.col("_metadata.file_path").alias(PATH), F.col("_metadata.row_index").alias(MARK))
     per_file = located.groupBy(PATH).agg(F.count(F.lit(1)).alias("rows"))
     pieces = offsets(per_file, file_order(), "rows").select(PATH, "offset")
-    joined = join_offsets(located, pieces, [PATH], len(df.inputFiles()))
+    joined = join_offsets(located, pieces, [PATH])
     row_id = _checked(F.col("offset")) + F.col(MARK) + 1
     return joined.select(row_id.alias(ROW_ID), *[column(c) for c in df.columns])
 
@@ -107,10 +111,9 @@ def renumber(df: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """
     bucketed = df.withColumn("_bucket", F.floor((column(ROW_ID) - 1) / F.lit(bucket_rows)).cast("long"))
     counts = stage(bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("rows")), "buckets")
-    n_buckets = counts.count()
     placed = offsets(counts, [F.col("_bucket")], "rows").select("_bucket", "offset")
     inside = Window.partitionBy("_bucket").orderBy(column(ROW_ID))
-    joined = join_offsets(bucketed, placed, ["_bucket"], n_buckets)
+    joined = join_offsets(bucketed, placed, ["_bucket"])
     new_id = _checked(F.col("offset")) + F.row_number().over(inside)
     names = [c for c in df.columns if c != ROW_ID]
     return joined.select(new_id.alias(ROW_ID), *[column(c) for c in names])

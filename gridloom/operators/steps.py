@@ -243,10 +243,13 @@ def _numeric(flow: Flow, name: str, config: dict) -> tuple[Column, bool]:
     elif action == "abs":
         c = F.abs(c)
     elif action == "clip":
-        if config.get("min") is not None:
-            c = F.when(c < float(config["min"]), F.lit(config["min"]).cast(source)).otherwise(c)
-        if config.get("max") is not None:
-            c = F.when(c > float(config["max"]), F.lit(config["max"]).cast(source)).otherwise(c)
+        bounds = {k: literal(config[k], DECIMAL) for k in ("min", "max") if config.get(k) is not None}
+        if any(not b.is_integer() for b in bounds.values()) and not isinstance(source, (T.DoubleType, T.DecimalType)):
+            source, c = T.DoubleType(), c.cast("double")  # a bound between two integers makes decimals
+        if "min" in bounds:
+            c = F.when(c < bounds["min"], F.lit(bounds["min"]).cast(source)).otherwise(c)
+        if "max" in bounds:
+            c = F.when(c > bounds["max"], F.lit(bounds["max"]).cast(source)).otherwise(c)
     else:
         c = c * float(config.get("factor", 1)) + float(config.get("offset", 0))
     return c, is_nullable(flow, name)

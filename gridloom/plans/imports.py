@@ -30,12 +30,11 @@ class Scan:
     fields: list[Field]
     row_count: int
     splits: DataFrame
-    n_splits: int
 
     def numbered(self) -> DataFrame:
         """The typed rows with their row ids, lazily."""
         marked = row_id.with_split_marks(self.data)
-        return infer.typed(row_id.number_splits(marked, self.splits, self.n_splits), self.fields)
+        return infer.typed(row_id.number_splits(marked, self.splits), self.fields)
 
 
 def scan(df: DataFrame) -> Scan:
@@ -46,8 +45,8 @@ def scan(df: DataFrame) -> Scan:
     facts = infer.column_facts(row_id.with_split_marks(df), names, keys, mark)
     facts = stage(facts, "splits")  # one small row per split and column
     splits = facts.filter("field = '0'").select(*keys, "rows", "first_mark")
-    total = splits.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
-    return Scan(df, infer.decide_fields(names, infer.merge_facts(facts)), total[0], splits, total[1])
+    total = splits.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return Scan(df, infer.decide_fields(names, infer.merge_facts(facts)), total, splits)
 
 
 def scan_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> Scan:

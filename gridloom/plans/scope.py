@@ -16,9 +16,10 @@ from ..operators import guard, lineage
 from ..sources import tables
 from ..types import ROW_ID, fields_of, quoted, validate_fields
 
-# Rows of a run and of a saved view unless the caller asks for another number.
-RUN_LIMIT, SAVE_LIMIT = 100, 500
 ALIAS_PATTERN = r"\bdataset_[A-Za-z0-9_]+\b"
+CTE_PATTERN = r"(?i)(?:\bwith\b(?:\s+recursive\b)?|,|\))\s*(\w+)\s*(?:\([^()]*\))?\s*(?:max\s+recursion\s+level\s+\d+\s*)?\bas\s*\("
+# Settings of the scope itself, and of where the catalog lies.
+KEPT_SETTINGS = ("spark.sql.runSQLOnFiles", "spark.sql.warehouse.dir", "spark.sql.catalogImplementation")
 
 
 class Scope:
@@ -30,8 +31,9 @@ class Scope:
         self.tables = {**datasets, **(views or {})}
         self._session = spark.newSession()
         self._session.conf.set("spark.sql.runSQLOnFiles", "false")
-        for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
-            self._session.conf.set(key, spark.conf.get(key))
+        for key, value in spark.conf.getAll.items():
+            if key.startswith("spark.sql.") and key not in KEPT_SETTINGS and spark.conf.isModifiable(key):
+                self._session.conf.set(key, value)
         for alias, df in self.tables.items():
             # temp views belong to one session; a short-lived global view hands the plan over
             handover = f"handover_{uuid.uuid4().hex}"
@@ -56,25 +58,27 @@ class Scope:
         return result.drop(ROW_ID)
 
     def _refuse_stored_tables(self, sql: str) -> None:
-        """A new session still sees the shared catalog; its tables are outside the project."""
-        catalog = self._session.catalog
+        """A new session still sees the shared catalog; its tables are outside the project.
+
+        Spark's parser says which names stand for relations; columns of any name are free.
+        """
+        try:
+            parsed = self._session._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+        except ParseException as error:
+            raise WorkspaceError("sql_invalid", _first_line(error)) from None
         plain = guard.bare(guard.QUOTED_NAME.sub(r"\1", sql))
-        names = {re.sub(r"\s", "", n).lower() for n in re.findall(r"[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*", plain)}
-        stored = {t.name.lower() for t in catalog.listTables() if not t.isTemporary}
-        databases = {d.name.lower() for d in catalog.listDatabases()} | {"global_temp", "spark_catalog"}
-        own = {t.lower() for t in self.tables}
-        for name in names:
-            head, _, rest = name.partition(".")
-            outside = (head in databases and head not in own) if rest else (name in stored - own)
-            if outside:
-                raise WorkspaceError("sql_unknown_dataset", f"Not in the project: {name}")
-
-    def run(self, sql: str, limit: int = RUN_LIMIT) -> DataFrame:
-        """The first rows of a query; an ORDER BY in it decides which."""
-        return self.query(sql).limit(limit)
-
-    def save(self, sql: str, path: str, limit: int | None = SAVE_LIMIT) -> tuple[DataFrame, int]:
-        """Materialize a query as a data view; ``limit=None`` keeps all rows."""
+        own = {t.lower() for t in self.tables} | {n.lower() for n in re.findall(CTE_PATTERN, plain)}
+        for relation in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed):
+            if relation.lower() not in own:
+                raise WorkspaceError("sql_unknown_dataset", f"Not in the project: {relation.replace(', ', '.')}")
+
+    def run(self, sql: str, limit: int | None = None) -> DataFrame:
+        """The rows of a query, or the first ``limit``; an ORDER BY in it decides which."""
+        result = self.query(sql)
+        return result if limit is None else result.limit(limit)
+
+    def save(self, sql: str, path: str, limit: int | None = None) -> tuple[DataFrame, int]:
+        """Materialize a query as a data view: all its rows, or the first ``limit``."""
         result = self.query(sql)
         validate_fields(fields_of(result), "data_view")
         return tables.write(result if limit is None else result.limit(limit), path, kind="data_view")

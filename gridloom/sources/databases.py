@@ -13,9 +13,8 @@ from ..functions import cells
 from ..operators import guard, infer
 from ..types import SPARK_TYPES, Field, column, field_type
 
-# Hidden system schemas, default row caps of previews and imports, connect timeout.
+# Hidden system schemas, timeout of connecting, reading and writing.
 SYSTEM_SCHEMAS = ("information_schema", "pg_catalog")
-PREVIEW_LIMIT, IMPORT_LIMIT = 100, 1000
 CONNECT_SECONDS = 5
 FETCH_ROWS = "10000"
 
@@ -63,6 +62,8 @@ def capped(query: str, limit: int | None, kind: str) -> str:
 def table_options(schema: str | None, table: str, kind: str, limit: int | None, partition: Partitioning | None) -> dict[str, str]:
     """The reader options that name what to read."""
     name = ".".join(quote_name(p, kind) for p in (schema, table) if p)
+    if limit is not None and partition:
+        raise WorkspaceError("invalid_connection", "A row limit is one query; give a limit or a partitioning")
     if limit is not None:
         return {"query": capped(f"SELECT * FROM {name}", limit, kind)}
     options = {"dbtable": name}
@@ -81,7 +82,7 @@ def connect_options(options: Mapping[str, str]) -> dict[str, str]:
     kind = dialect(options)
     timeouts = {
         "postgresql": {"connectTimeout": str(CONNECT_SECONDS)},
-        "mysql": {"connectTimeout": str(CONNECT_SECONDS * 1000)},
+        "mysql": {"connectTimeout": str(CONNECT_SECONDS * 1000), "socketTimeout": str(CONNECT_SECONDS * 1000)},
     }
     return {"fetchsize": FETCH_ROWS, **timeouts.get(kind, {}), **options}
 

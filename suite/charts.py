@@ -70,6 +70,17 @@ def g3(spark, sf):
     return chart.aggregate(df, "event_type", "amount", "sum")
 
 
+@register(
+    "g3_long_number_text",
+    """SELECT event_type AS label, sum(16.0 ** 20 + (event_id % 16) * 16.0 ** 19) AS value FROM events GROUP BY 1""",
+)
+def g3_long(spark, sf):
+    """Hexadecimal text of 21 digits, beyond a long."""
+    digit = F.lower(F.hex(F.col("event_id") % 16))
+    df = table(spark, sf, "events").select("event_type", F.concat(F.lit("0x1"), digit, F.repeat(F.lit("0"), F.lit(19))).alias("amount"))
+    return chart.aggregate(df, "event_type", "amount", "sum")
+
+
 @register(
     "g4_average_over_all_rows",
     f"""SELECT r_name AS label, {POINT.format("sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END) / count(*)")} AS value
@@ -211,6 +222,16 @@ def g12(spark, sf):
     return chart.aggregate(chart.apply_filters(by_region(spark, sf), filters), "r_name", "o_totalprice", "sum")
 
 
+@register(
+    "g12_fraction_range",
+    """SELECT l_returnflag AS label, count(*)::DOUBLE AS value FROM lineitem WHERE l_linenumber BETWEEN 1.5 AND 3.5 GROUP BY 1""",
+)
+def g12_fraction(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+    kept = chart.apply_filters(df, [{"field": "l_linenumber", "type": "range", "value": [1.5, 3.5]}])
+    return chart.aggregate(kept, "l_returnflag", None, "count")
+
+
 @register("g13_metric_card", f"SELECT {POINT.format('sum(o_totalprice) / count(*)')} AS value FROM orders")
 def g13(spark, sf):
     return chart.metric_card(table(spark, sf, "orders"), "o_totalprice", "avg")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom import ROW_ID, Step, recipe
+from gridloom.functions import conditions
 from gridloom.session import fresh_path
 from gridloom.types import fields_of
 
@@ -232,6 +233,32 @@ def c13(spark, sf):
     return out.drop("l_extendedprice", "l_discount", "l_tax")
 
 
+@register(
+    "c10_fraction_on_integer",
+    """SELECT l_orderkey, l_linenumber, l_linenumber < 2.5 AS below, l_linenumber >= 2.5 AS above FROM lineitem
+    WHERE (l_linenumber < 2.5 OR l_linenumber BETWEEN 3.5 AND 4.5 OR l_linenumber = 2.5 OR l_linenumber IN (5, 6.5)) AND l_linenumber <> 1.5""",
+)
+def c10_fraction(spark, sf):
+    """Bounds between two integers stay where they are, for every operator."""
+    df = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+    of = lambda op, value: {"field": "l_linenumber", "op": op, "value": value}
+    tree = {"and": [{"or": [of("<", 2.5), of("between", [3.5, 4.5]), of("=", 2.5), of("in", [5, 6.5])]}, of("!=", 1.5)]}
+    df = apply(df, ("filter_rows", {"condition": tree}))
+    return df.withColumn("below", conditions.build(of("<", 2.5), df.schema)).withColumn("above", conditions.build(of(">=", 2.5), df.schema))
+
+
+@register(
+    "c14_merge_decimals",
+    """SELECT o_orderkey, v::VARCHAR || '/' || o_orderstatus AS merged
+    FROM (SELECT o_orderkey, o_orderstatus, round(o_totalprice * 1000) AS v FROM orders)""",
+)
+def c14_decimals(spark, sf):
+    """Decimals of ten million and more keep plain digits in merged text."""
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice") * 1000).alias("v"))
+    merge = {"fields": ["v", "o_orderstatus"], "target": "merged", "separator": "/"}
+    return apply(df, ("merge_fields", merge)).select("o_orderkey", "merged")
+
+
 @register(
     "c14_split_merge",
     """SELECT page_id, url, split_part(url, '/', 1) AS scheme, split_part(url, '/', 3) AS host,
@@ -287,6 +314,15 @@ def c17(spark, sf):
     return out.select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
+@register(
+    "c18_clip_fraction",
+    "SELECT l_orderkey, least(greatest(l_linenumber::DOUBLE, 1.5), 4.5) AS clipped FROM lineitem",
+)
+def c18_fraction(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("clipped"))
+    return apply(df, ("numeric", {"field": "clipped", "action": "clip", "min": 1.5, "max": 4.5}))
+
+
 @register(
     "c18_numeric",
     """SELECT c_custkey, round(greatest(least(abs(c_acctbal), 5000), 100), 1) AS c_acctbal FROM customer""",

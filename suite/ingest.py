@@ -185,6 +185,31 @@ def b5(spark, sf):
     return infer.remap(df, [Field(f.name, "text", True, i) for i, f in enumerate(df.schema)], target)
 
 
+@register(
+    "b5_decimal_to_text",
+    """SELECT l_orderkey, l_linenumber, (l_extendedprice * 1000)::VARCHAR AS large, (l_tax / 1000)::VARCHAR AS small FROM lineitem""",
+)
+def b5_decimals(spark, sf):
+    """Decimals from ten million on and below a thousandth as text."""
+    df = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 1000).alias("large"), (F.col("l_tax") / 1000).alias("small")
+    )
+    source = [Field(c, "integer" if i < 2 else "decimal", True, i) for i, c in enumerate(df.columns)]
+    target = [Field(f.name, f.type if f.order < 2 else "text", True, f.order) for f in source]
+    return infer.remap(df, source, target)
+
+
+@register(
+    "b4_datetime_offsets",
+    """SELECT o_orderkey, date_trunc('second', o_orderdate) + INTERVAL 123456 MICROSECOND - INTERVAL 8 HOUR AS moment FROM orders""",
+)
+def b4_offsets(spark, sf):
+    """A fraction of 70 digits before the offset."""
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("." + "1234567890" * 7 + "+08:00"))
+    df = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), text.alias("moment"))
+    return infer.typed(df, [Field("o_orderkey", "integer", False, 0), Field("moment", "datetime", False, 1)])
+
+
 @register(
     "b5_bad_values",
     """SELECT 'o_orderpriority' AS name, count(*) AS bad FROM orders UNION ALL SELECT 'o_custkey', 0 UNION ALL

@@ -41,7 +41,7 @@ TOP_CUSTOMERS = """SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS spent FROM d
 
 @register("e3_run_with_cap", TOP_CUSTOMERS.replace("dataset_", "") + " LIMIT 100")
 def e3_cap(spark, sf):
-    return scope(spark, sf, "orders").run(TOP_CUSTOMERS + " -- the cap comes from the run\n;")
+    return scope(spark, sf, "orders").run(TOP_CUSTOMERS + " -- the cap comes from the run\n;", limit=100)
 
 
 SAVED = "SELECT o_custkey, o_orderstatus, COUNT(*) AS n FROM dataset_orders GROUP BY ALL ORDER BY o_custkey, o_orderstatus"
@@ -52,7 +52,7 @@ SAVED = "SELECT o_custkey, o_orderstatus, COUNT(*) AS n FROM dataset_orders GROU
     f"SELECT row_number() OVER (ORDER BY o_custkey, o_orderstatus) AS _das_row_id, * FROM ({SAVED.replace('dataset_', '')})",
 )
 def e4(spark, sf):
-    return scope(spark, sf, "orders").save(SAVED, fresh_path(spark, "view"), limit=None)[0]
+    return scope(spark, sf, "orders").save(SAVED, fresh_path(spark, "view"))[0]
 
 
 @register(
@@ -60,7 +60,16 @@ def e4(spark, sf):
     f"""SELECT row_number() OVER (ORDER BY o_custkey, o_orderstatus) AS _das_row_id, * FROM ({SAVED.replace('dataset_', '')} LIMIT 500)""",
 )
 def e4_cap(spark, sf):
-    return scope(spark, sf, "orders").save(SAVED, fresh_path(spark, "view"))[0]
+    return scope(spark, sf, "orders").save(SAVED, fresh_path(spark, "view"), limit=500)[0]
+
+
+@register(
+    "e4_save_all_rows",
+    "SELECT row_number() OVER (ORDER BY o_orderkey) AS _das_row_id, * FROM (SELECT o_orderkey, o_orderstatus FROM orders)",
+)
+def e4_all(spark, sf):
+    sql = "SELECT o_orderkey, o_orderstatus FROM dataset_orders ORDER BY o_orderkey"
+    return scope(spark, sf, "orders").save(sql, fresh_path(spark, "view"))[0]
 
 
 @register(

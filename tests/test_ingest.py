@@ -103,14 +103,37 @@ def test_row_ids_over_many_splits(spark, folder):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
-    assert found.n_splits > 5
+    assert found.splits.count() > 5
     assert got == [(i, v) for i, v in enumerate(expected, 1)]
 
 
-def test_joined_offsets_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(row_id, "BROADCAST_PIECES", 0)
-    out = row_id.number(spark.range(1000).select((F.lit(999) - F.col("id")).alias("v")), ["v"])
-    assert out.filter(F.col(ROW_ID) != F.col("v") + 1).count() == 0 and out.count() == 1000
+def test_moved_splits_never_give_wrong_ids(spark, folder):
+    """Small files are packed otherwise in the second scan: right ids or an error, never others."""
+    expected = []
+    for part in range(12):
+        rows = [part * 100 + i for i in range(5 + part)]
+        put(folder, f"small/part-{part:02d}.csv", "v\n" + "\n".join(map(str, rows)) + "\n")
+        expected += rows
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {k: spark.conf.get(k) for k in keys}
+    outcomes = set()
+    try:
+        for later in (("134217728", "4194304"), ("100", "0"), ("200", "10"), ("134217728", "0")):
+            for k, v in zip(keys, ("134217728", "4194304")):
+                spark.conf.set(k, v)
+            found = imports.scan(delimited.read_csv(spark, folder("small")))
+            for k, v in zip(keys, later):
+                spark.conf.set(k, v)
+            try:
+                assert [tuple(r) for r in found.numbered().orderBy(ROW_ID).collect()] == [(i, v) for i, v in enumerate(expected, 1)]
+                outcomes.add("right")
+            except Exception as error:
+                assert "file splits changed" in str(error)
+                outcomes.add("refused")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert outcomes == {"right", "refused"}
 
 
 def test_renumber_small_buckets(spark):

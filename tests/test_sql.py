@@ -18,13 +18,18 @@ from gridloom import ROW_ID, Scope, guard
         ("SELECT reflect('java.lang.Math', 'abs', -1)", "sql_forbidden_operation"),
         ("SELECT `java_method`('java.lang.Math', 'abs', -1)", "sql_forbidden_operation"),
         ("SELECT try_reflect /* x */ ('java.lang.Math', 'abs', -1)", "sql_forbidden_operation"),
-        ("SELECT '" + "x" * 20_000 + "'", "sql_too_long"),
     ],
 )
 def test_refused(sql, code):
     assert code_of(guard.validate, sql) == code
 
 
+def test_length_is_free_unless_asked():
+    sql = "SELECT '" + "x" * 20_000 + "'"
+    guard.validate(sql)
+    assert code_of(guard.validate, sql, 1000) == "sql_too_long"
+
+
 @pytest.mark.parametrize(
     "sql",
     [
@@ -58,8 +63,8 @@ def test_row_ids_can_be_used_inside(scope):
 
 def test_caps_and_order(scope):
     assert scope.run("SELECT id FROM dataset_big ORDER BY id DESC").collect()[0].id == 699
-    assert scope.run("SELECT id FROM dataset_big").count() == 100
-    assert scope.query("SELECT id FROM dataset_big").count() == 700
+    assert scope.run("SELECT id FROM dataset_big").count() == 700
+    assert scope.run("SELECT id FROM dataset_big", limit=100).count() == 100
 
 
 def test_scope_is_closed(spark, scope, folder):
@@ -86,6 +91,27 @@ def test_stored_tables_are_outside(spark, scope, folder):
         spark.sql("DROP TABLE stored_one")
 
 
+def test_columns_may_be_named_like_stored_tables(spark, scope, folder):
+    spark.sql(f"CREATE TABLE region (id BIGINT) USING parquet LOCATION '{folder('named')}'")
+    try:
+        assert scope.query("SELECT region FROM dataset_orders").count() == 2
+        assert scope.query("WITH region AS (SELECT 1 AS x), y AS (SELECT * FROM region) SELECT * FROM y, region").count() == 1
+        assert code_of(scope.query, "SELECT (SELECT count(*) FROM region) AS n FROM dataset_orders") == "sql_unknown_dataset"
+        assert code_of(scope.query, "WITH a AS (SELECT * FROM other.db.t) SELECT * FROM a") == "sql_unknown_dataset"
+    finally:
+        spark.sql("DROP TABLE region")
+
+
+def test_settings_are_carried_over(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        assert Scope(spark, {"dataset_a": spark.range(1)})._session.conf.get(key) == "-1"
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_scopes_do_not_see_each_other(spark):
     first, second = Scope(spark, {"dataset_a": spark.range(1)}), Scope(spark, {"dataset_b": spark.range(2)})
     assert first.query("SELECT * FROM dataset_a").count() == 1
