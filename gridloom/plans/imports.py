@@ -16,7 +16,7 @@ from ..errors import WorkspaceError
 from ..operators import infer, row_id
 from ..session import stage
 from ..sources import delimited, tables
-from ..types import ROW_ID, Field, validate_fields
+from ..types import ROW_ID, Field, column, validate_fields
 
 PREVIEW_ROWS = 20  # fixed value
 HEADER_ERRORS = ("CSV header does not conform to the schema", "Number of column in CSV header is not equal")
@@ -39,11 +39,17 @@ class Scan:
 
 def scan(df: DataFrame) -> Scan:
     """Pass 1 over a plain file scan of text (or workbook cell) columns."""
-    names = df.columns
+    names = [c for c in df.columns if c != delimited.TORN]
     keys = [row_id.PATH, row_id.BLOCK]
     mark = F.min(row_id.MARK).alias("first_mark")
-    facts = infer.column_facts(row_id.with_split_marks(df), names, keys, mark)
+    marked = row_id.with_split_marks(df)
+    torn = delimited.is_torn(F.col(delimited.TORN)) if delimited.TORN in df.columns else F.lit(False)
+    marked = marked.withColumn(delimited.TORN, torn)
+    facts = infer.column_facts(marked, names, keys, mark, F.max(delimited.TORN).alias("torn"))
     facts = stage(facts, "splits")  # one small row per split and column
+    if not facts.filter("torn").isEmpty():
+        raise WorkspaceError("file_parse_failed", "A line break inside quotes; read the files with multi_line=True")
+    df = df.select(*map(column, names))
     splits = facts.filter("field = '0'").select(*keys, "rows", "first_mark")
     total = splits.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     return Scan(df, infer.decide_fields(names, infer.merge_facts(facts)), total, splits)
@@ -52,7 +58,9 @@ def scan(df: DataFrame) -> Scan:
 def scan_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> Scan:
     """Pass 1 over CSV files; files with different headers are refused."""
     try:
-        return scan(delimited.read_csv(spark, paths, multi_line))
+        return scan(delimited.read_csv(spark, paths, multi_line, torn=True))
+    except WorkspaceError:
+        raise
     except Exception as error:  # Spark's reader names the file that differs
         if any(text in str(error) for text in HEADER_ERRORS):
             raise WorkspaceError("file_header_mismatch", "The files do not share one header") from error

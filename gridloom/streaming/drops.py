@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..errors import WorkspaceError
-from ..operators import infer
+from ..functions import cells
+from ..operators import row_id
 from ..operators.steps import Flow, Step, fold
 from ..sources.delimited import OPTIONS, text_schema
-from ..types import Field, column
+from ..types import ROW_ID, Field, column
+
+BAD = "_bad_cells"
 
 # Steps that look at one row at a time mean the same on a stream as on a table.
 ROW_STEPS = (
@@ -24,17 +27,56 @@ ROW_STEPS = (
 
 def read_csv_drops(
     spark: SparkSession, folder: str, fields: Sequence[Field], files_per_trigger: int | None = None,
-    check_header: bool = True,
+    check_header: bool = True, on_bad: str = "fail",
 ) -> DataFrame:
     """New CSV files of a folder as typed rows; the schema is fixed beforehand.
 
     A file whose header names other fields stops the stream, unless ``check_header`` is off and the
-    columns are taken by place.
+    columns are taken by place. A cell that does not fit its field, or is blank where the field must not
+    be, stops the stream with ``invalid_field_value``; with ``on_bad="mark"`` the row keeps its cells as text in
+    the column ``BAD`` instead, for ``accepted`` and ``rejected`` to part.
     """
+    if on_bad not in ("fail", "mark"):
+        raise WorkspaceError("invalid_dataset_fields", "on_bad is fail or mark")
     reader = spark.readStream.options(**OPTIONS).option("header", True).option("enforceSchema", not check_header)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return infer.typed(reader.schema(text_schema([f.name for f in fields])).csv(folder), fields)
+    return _checked(reader.schema(text_schema([f.name for f in fields])).csv(folder), fields, on_bad)
+
+
+def _checked(cells_of: DataFrame, fields: Sequence[Field], on_bad: str) -> DataFrame:
+    text = {f.name: cells.normalize_cell(column(f.name)) for f in fields}
+    values, faults = [], []
+    for f in fields:
+        value = cells.cast_text(text[f.name], f.type)
+        bad = text[f.name].isNotNull() & value.isNull()
+        if not f.nullable:
+            bad = bad | text[f.name].isNull()
+        shown = F.concat(F.lit(f"{f.name}="), F.coalesce(text[f.name], F.lit("")))
+        faults.append(F.when(bad, shown))
+        if on_bad == "fail":
+            value = F.when(bad, F.raise_error(F.concat(F.lit("invalid_field_value: "), shown))).otherwise(value)
+        values.append(value.alias(f.name, metadata=f.metadata))
+    if on_bad == "mark":
+        found = F.array_compact(F.array(*faults))
+        values.append(F.when(F.size(found) > 0, F.array_join(found, "; ")).alias(BAD))
+    return cells_of.select(*values)
+
+
+def accepted(stream: DataFrame) -> DataFrame:
+    """The rows of a marked stream whose cells all fit."""
+    return stream.where(F.col(BAD).isNull()).drop(BAD)
+
+
+def rejected(stream: DataFrame) -> DataFrame:
+    """The others, with the offending cells in ``BAD``."""
+    return stream.where(F.col(BAD).isNotNull())
+
+
+def as_table(spark: SparkSession, target: str, fields: Sequence[Field]) -> DataFrame:
+    """What a stream has written so far as a table: declared fields and row ids, numbered file by file."""
+    stored = row_id.number_files(spark.read.parquet(target))
+    return stored.select(column(ROW_ID), *[column(f.name).alias(f.name, metadata=f.metadata) for f in fields])
 
 
 def apply_steps(stream: DataFrame, steps: Sequence[Step], *, event_time: str | None = None, delay: str | None = None) -> DataFrame:

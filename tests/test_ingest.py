@@ -251,3 +251,12 @@ def test_workbook_parts(folder):
         [("text", "calc"), ("datetime", "1904-01-02T12:00:00"), ("text", "#N/A")],
         [None, ("time", "06:00:00"), ("decimal", "2.5"), ("integer", "9")],
     ]
+
+
+def test_a_quoted_line_break_is_noticed(spark, folder):
+    put(folder, "torn/a.csv", 'id,note\n1,"two\nlines"\n2,"whole, ""quoted"""\n')
+    assert code_of(imports.scan_csv, spark, folder("torn")) == "file_parse_failed"
+    found = imports.scan_csv(spark, folder("torn"), multi_line=True)
+    assert [(f.name, f.type) for f in found.fields] == [("id", "integer"), ("note", "text")] and found.row_count == 2
+    put(folder, "short/a.csv", 'id,note\n1\n2,b,extra\n3,"c ""q"""\n')
+    assert imports.scan_csv(spark, folder("short")).row_count == 3

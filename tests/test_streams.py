@@ -2,7 +2,8 @@ import pathlib
 
 from conftest import code_of
 
-from gridloom import Field, Step, drops
+from gridloom import Field, Step, drops, tables
+from gridloom.types import fields_of
 
 FIELDS = [Field("id", "integer", True, 0), Field("name", "text", True, 1), Field("at", "datetime", True, 2)]
 
@@ -42,3 +43,34 @@ def test_table_steps_are_refused_on_streams(spark, folder):
     stream = drops.read_csv_drops(spark, folder("in"), FIELDS)
     step = Step("sort", 0, {"by": [{"field": "id"}]})
     assert code_of(drops.apply_steps, stream, [step]) == "invalid_cleaning_step"
+
+
+STRICT = [Field("id", "integer", False, 0), Field("name", "text", True, 1), Field("at", "datetime", True, 2)]
+
+
+def test_bad_cells_stop_the_stream(spark, folder):
+    drop(folder, "a.csv", "1,x,2026-01-05T10:00", "ten,y,2026-01-05T10:01")
+    try:
+        drops.ingest(drops.read_csv_drops(spark, folder("in"), STRICT), folder("out"), folder("log"))
+    except Exception as error:
+        assert "invalid_field_value: id=ten" in str(error)
+    else:
+        raise AssertionError("a bad cell was taken")
+
+
+def test_bad_rows_can_be_diverted(spark, folder):
+    drop(folder, "a.csv", "1,x,2026-01-05T10:00", "ten,y,soon", ",z,", "4,,")
+    stream = drops.read_csv_drops(spark, folder("in"), STRICT, on_bad="mark")
+    drops.ingest(drops.accepted(stream), folder("out"), folder("log"))
+    drops.ingest(drops.rejected(stream), folder("bad"), folder("badlog"))
+    assert sorted(tuple(r)[:2] for r in spark.read.parquet(folder("out")).collect()) == [(1, "x"), (4, None)]
+    assert sorted(r[drops.BAD] for r in spark.read.parquet(folder("bad")).collect()) == ["id=", "id=ten; at=soon"]
+
+
+def test_a_streamed_table_has_row_ids_and_fields(spark, folder):
+    for name, rows in (("a.csv", ["1,x,2026-01-05T10:00", "2,y,"]), ("b.csv", ["3,z,"])):
+        drop(folder, name, *rows)
+        drops.ingest(drops.read_csv_drops(spark, folder("in"), STRICT), folder("out"), folder("log"))
+    stored = drops.as_table(spark, folder("out"), STRICT)
+    assert sorted(r[0] for r in stored.collect()) == [1, 2, 3] and [f.name for f in fields_of(stored)] == ["id", "name", "at"]
+    assert tables.page(stored, 1, 2).count() == 2
