@@ -48,6 +48,24 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_staged: list[str] = []
+
+
+def staged() -> int:
+    """How many folders ``stage`` has written so far; a mark for ``drop_staged``."""
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, start: int, end: int | None = None) -> None:
+    """Delete the folders staged between two marks; only for a caller whose results no longer need them."""
+    context = spark.sparkContext
+    for i, path in enumerate(_staged[start:end], start):
+        if path:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+            _staged[i] = ""
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage cut, survives lost executors.
 
@@ -55,4 +73,5 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
