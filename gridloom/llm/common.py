@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from gridloom.session import stage
@@ -32,6 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_of(*parts: T.StructType | str) -> T.StructType:
+    """One schema of the fields of several, each a schema or a DDL text; every field may be null."""
+    fields = [f for p in parts for f in (T.StructType.fromDDL(p) if isinstance(p, str) else p).fields]
+    return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in fields])
+
+
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed all the way down."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of a few rows."""
     for batch in batches:

@@ -1,7 +1,8 @@
 """N-gram Jaccard join, size-aware: small sets by fixed-size subsets, large sets by inverted lists.
 
 A document's set is its distinct shingles of consecutive words. Equal sets are one class. Shingles are ordered
-from rare to common by a fixed-size count sketch of the whole corpus; any order gives exact results.
+from rare to common by fixed-size count sketches of the whole corpus: first by how far a shingle's cell lies above the
+usual load, then by the frequencies of its words. Any order gives exact results.
 Two sets of Jaccard at least t overlap in c >= t * n shingles of either, so their (n - c + l)-prefixes in that
 order share l shingles. Small sets are keyed by every 2-subset of their prefix (l = 2), large ones by every
 shingle of theirs (l = 1): an inverted list. Sets whose partners may lie across the boundary get
@@ -24,15 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.session import stage
 
-from .common import components, register, slices, table, utf8
+from .common import components, register, schema_of, slices, table, utf8
 
 WIDTH, PERCENT = 4, 85
-SKETCH_CELLS, SKETCH_CHUNKS = 1 << 20, 64
+SKETCH_CELLS = 1 << 22  # of shingles; a quarter as many for words
+SHINGLE_CHUNKS, WORD_CHUNKS = 64, 16
 BUCKET_BYTES = 12 << 20
 LIST_SETS = 200_000
 CELL_SHINGLES = 2_000_000
@@ -64,19 +67,35 @@ class Shingler:
     def __init__(self, width: int = WIDTH):
         self.width, self.hashes = width, _Hashes()
 
-    def set_of(self, text: bytes | None) -> np.ndarray:
+    def words_of(self, text: bytes | None) -> np.ndarray:
+        """Hashes of the words, in order."""
         words = text.lower().split() if text else []  # bytes: A-Z only, ASCII white space only
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64)
         if len(self.hashes) > WORDS_KEPT:
             self.hashes = _Hashes()
-        w = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
+        return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+
+    def rolled(self, w: np.ndarray) -> np.ndarray:
+        """Hashes of the shingles, in order."""
+        n = len(w)
+        if not n:
+            return w
         width = min(n, self.width)
         h = np.full(n - width + 1, width, np.uint64)
         for k in range(width):
             h = mix(h + w[k:n - width + 1 + k])
-        return np.unique(h)
+        return h
+
+    def set_of(self, text: bytes | None) -> np.ndarray:
+        return np.unique(self.rolled(self.words_of(text)))
+
+    def ranked_set(self, text: bytes | None, word_level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The set, and for each shingle the sum of its words' levels, at most 255."""
+        w = self.words_of(text)
+        s, first = np.unique(self.rolled(w), return_index=True)
+        level = word_level[(w & np.uint64(len(word_level) - 1)).astype(np.int64)]
+        width = min(len(w), self.width)
+        total = np.convolve(level, np.ones(width, np.int64), "valid") if width else level
+        return s, np.minimum(total[first], 255)
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -91,56 +110,64 @@ def summarise(docs: DataFrame, text: str, keep: list[str] | None, width: int, ce
     """Rows of documents (rec, n, sig, th) and, at each task's end, rows of its sketch (chunk, part, counts)."""
     kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     value = F.col(text).cast("string")
-    rows = docs.select(F.struct(*kept).alias("rec"), F.xxhash64(value).alias("th"), F.spark_partition_id().alias("part"), value.alias("text"))
-    schema = rows.select("rec").schema.simpleString()[7:-1] + ",th bigint,n bigint,sig binary,chunk int,part int,counts binary"
+    rows = docs.select(F.struct(*kept).alias("rec"), F.xxhash64(value).alias("th"), F.spark_partition_id().alias("part"), value.alias("text"), F.monotonically_increasing_id().alias("at"))
+    schema = schema_of(rows.select("rec").schema, "th bigint, at bigint, n bigint, sig binary, chunk int, part int, counts binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, total, part, rec_type, waiting, held = Shingler(width), np.zeros(cells, np.uint32), 0, None, [], 0
-        mask = np.uint64(cells - 1)
+        shingler, total, part, rec_type, waiting, held = Shingler(width), np.zeros(cells + cells // 4, np.uint32), 0, None, [], 0
+        mask, word_mask = np.uint64(cells - 1), np.uint64(cells // 4 - 1)
+
+        def count() -> None:
+            total[:] += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.uint32)
+            waiting.clear()
+
         for batch in slices(batches, 512):
-            sets = [shingler.set_of(t) for t in utf8(batch)]
-            waiting += [(s & mask).astype(np.int32) for s in sets]
-            held += sum(map(len, sets))
-            if held > 1_000_000:
-                total += np.bincount(np.concatenate(waiting), minlength=cells).astype(np.uint32)
-                waiting, held = [], 0
+            sets = []
+            for t in utf8(batch):
+                w = shingler.words_of(t)
+                s = np.unique(shingler.rolled(w))
+                sets.append(s)
+                waiting += [(s & mask).astype(np.int32), (w & word_mask).astype(np.int32) + np.int32(cells)]
+                held += len(w)
+                if held > 2_000_000:
+                    count()
+                    held = 0
             n, part, rec_type = batch.num_rows, batch.column(2)[0].as_py(), batch.schema.field(0).type
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column(0), batch.column(1), batch.column(4), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-            ], names=["rec", "th", "n", "sig", "chunk", "part", "counts"])
+            ], names=["rec", "th", "at", "n", "sig", "chunk", "part", "counts"])
         if rec_type is not None:
             if waiting:
-                total += np.bincount(np.concatenate(waiting), minlength=cells).astype(np.uint32)
-            parts = [p.tobytes() for p in np.split(total, SKETCH_CHUNKS)]
+                count()
+            parts = [zstandard.compress(p.tobytes(), 1) for p in np.split(total, SHINGLE_CHUNKS + WORD_CHUNKS)]
             n = len(parts)
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(n, rec_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
+                pa.nulls(n, rec_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
                 pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array(parts, pa.binary()),
-            ], names=["rec", "th", "n", "sig", "chunk", "part", "counts"])
+            ], names=["rec", "th", "at", "n", "sig", "chunk", "part", "counts"])
 
     return stage(rows.mapInArrow(run, schema), "jaccard-sets")
 
 
-def sketch_of(summary: DataFrame, cells: int) -> np.ndarray:
-    """The summed sketch; its size is fixed. Tasks are summed by the thousand first."""
+def sketch_of(summary: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The summed sketches of shingles and words; their size is fixed. Tasks are summed by the thousand first."""
+    size = cells // SHINGLE_CHUNKS
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(cells // SKETCH_CHUNKS, np.uint64)
+        total = np.zeros(size, np.uint64)
         for b in group.column("counts"):
-            total += np.frombuffer(b.as_py(), np.uint32)
-        counts = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()
+            total += np.frombuffer(zstandard.decompress(b.as_py()), np.uint32)
+        counts = zstandard.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
         return pa.table([group.column("chunk")[:1], pa.array([counts], pa.binary())], names=["chunk", "counts"])
 
     rows = summary.where("chunk is not null").select("chunk", F.floor(F.col("part") / 1000).alias("thousand"), "counts")
     some = rows.groupBy("chunk", "thousand").applyInArrow(add, "chunk int, counts binary")
-    found = some.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    counts = np.zeros(cells, np.uint32)
-    for row in found:
-        at = row["chunk"] * (cells // SKETCH_CHUNKS)
-        counts[at:at + cells // SKETCH_CHUNKS] = np.frombuffer(row["counts"], np.uint32)
-    return counts
+    counts = np.zeros(cells + cells // 4, np.uint32)
+    for row in some.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
+        counts[row["chunk"] * size:(row["chunk"] + 1) * size] = np.frombuffer(zstandard.decompress(row["counts"]), np.uint32)
+    return counts[:cells], counts[cells:]
 
 
 def boundary(sizes: dict[int, int], counts: np.ndarray, percent: int) -> int:
@@ -167,20 +194,24 @@ def boundary(sizes: dict[int, int], counts: np.ndarray, percent: int) -> int:
 
 
 def candidate_lists(
-    docs: DataFrame, text: str, width: int, percent: int, counts: np.ndarray, edge: int, entries: int, list_sets: int = LIST_SETS,
+    docs: DataFrame, text: str, width: int, percent: int, counts: np.ndarray, word_counts: np.ndarray, edge: int, entries: int,
+    list_sets: int = LIST_SETS,
 ) -> DataFrame:
     """(list, sig, n, pivot): the sets of each list of two or more; the pivot is the list's least signature."""
     buckets = 1 + entries * ENTRY.itemsize // BUCKET_BYTES
     cells = len(counts)
-    rank = np.ceil(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
-    usual = int(2 * counts.mean()) + 1
-    shipped = docs.sparkSession.sparkContext.broadcast((rank, usual))  # a byte for each cell of the sketch
+    load = float(counts.mean())
+    above = np.maximum(counts.astype(np.float64) - load, 0)
+    common = np.ceil(np.log2(above + 1)).astype(np.uint8)  # 0 for a cell of less than the mean load, else the bits of what it has more
+    word_level = np.rint(2.0 * np.log2(word_counts + 1.0)).astype(np.int64)
+    shipped = docs.sparkSession.sparkContext.broadcast((common, word_level))  # as large as the sketch has cells
     rows = docs.select(F.col(text).cast("string").alias("text"))
 
-    def keys_of(s: np.ndarray, rank: np.ndarray, usual: int, pairs: dict) -> np.ndarray:
+    def keys_of(s: np.ndarray, words: np.ndarray, common: np.ndarray, pairs: dict) -> np.ndarray:
         n = len(s)
-        r = rank[(s & np.uint64(cells - 1)).astype(np.int64)]
-        token = r.astype(np.uint64) << np.uint64(58) | s >> np.uint64(6)
+        cell = (s & np.uint64(cells - 1)).astype(np.int64)
+        rank = common[cell].astype(np.uint64) << np.uint64(8) | words.astype(np.uint64)
+        token = rank << np.uint64(50) | s >> np.uint64(14)
         p = n - least_overlap(n, percent)
         out = []
         if n * percent <= edge * 100:
@@ -190,10 +221,9 @@ def candidate_lists(
             i, j = pairs[len(token2)]
             out.append(mix(mix(token2[i]) + token2[j]))
         if n > edge:
-            token1 = np.partition(token, p)[:p + 1]
-            key = mix(token1)
-            common = (token1 >> np.uint64(58)).astype(np.int64)
-            split = np.maximum(((1 << common) - usual) // list_sets, 0) + 1
+            chosen = np.argpartition(token, p)[:p + 1]
+            key = mix(token[chosen])
+            split = ((1 << common[cell[chosen]].astype(np.int64)) - 1) // list_sets + 1
             out.append(key[split == 1])
             for k, many in zip(key[split > 1], split[split > 1].tolist()):
                 own = int(s[0] % np.uint64(many))  # the set's own chunk of this list
@@ -202,7 +232,7 @@ def candidate_lists(
         return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, usual = shipped.value
+        common, word_level = shipped.value
         shingler, seen, pairs, waiting, held = Shingler(width), set(), {}, [], 0
 
         def flush() -> pa.RecordBatch:
@@ -216,7 +246,7 @@ def candidate_lists(
 
         for batch in slices(batches):
             for value in utf8(batch):
-                s = shingler.set_of(value)
+                s, words = shingler.ranked_set(value, word_level)
                 n = len(s)
                 if not n or n * 100 // percent == n:  # no other size is within reach
                     continue
@@ -224,7 +254,7 @@ def candidate_lists(
                 if sig in seen:
                     continue
                 seen.add(sig)
-                keys = keys_of(s, rank, usual, pairs)
+                keys = keys_of(s, words, common, pairs)
                 e = np.empty(len(keys), ENTRY)
                 e["key"], e["n"] = keys, n
                 e["hi"], e["lo"] = np.frombuffer(sig, ">u8")
@@ -311,63 +341,61 @@ def verify(docs: DataFrame, text: str, width: int, percent: int, lists: DataFram
     apart = lists.join(large, F.col("sig") == F.col("node"), "left_semi").select(F.col("list").alias("cell"), "sig")
     cells = stage(whole.unionAll(apart.distinct()), "jaccard-cells")
 
-    asked = cells.select("sig").distinct().join(classes, "sig").select(F.col("id").alias("ask_id"), F.col("th").alias("ask_th"), "sig")
+    asked = cells.join(classes, "sig").select("cell", "sig", F.col("id").alias("ask_id"), F.col("th").alias("ask_th"))
     value = F.col(text).cast("string")
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), value.alias("text"))
-    rows = rows.join(asked, F.col("id").eqNullSafe(F.col("ask_id")) & (F.xxhash64("text") == F.col("ask_th"))).select("sig", "text")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch in slices(batches):
-            sets = [shingler.set_of(t) for t in utf8(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "members"])
+    rows = rows.join(asked, F.col("id").eqNullSafe(F.col("ask_id")) & (F.xxhash64("text") == F.col("ask_th"))).select("cell", "sig", "text")
 
-    sets = stage(rows.mapInArrow(sets_of, "sig binary, members binary"), "jaccard-members").dropDuplicates(["sig"])
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):  # packed texts take a fraction of their sets
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([zstandard.compress(t, 1) for t in utf8(batch)], pa.binary())
+            ], names=["cell", "sig", "text"])
 
     def links(group: pa.Table) -> pa.Table:
-        sigs = group.column("sig").to_pylist()
-        order = sorted(range(len(sigs)), key=sigs.__getitem__)
-        sigs = [sigs[i] for i in order]
-        raw = group.column("members")
-        label = linked([np.frombuffer(raw[i].as_py(), "<u8") for i in order], percent)
+        shingler = Shingler(width)
+        by_sig = dict(zip(group.column("sig").to_pylist(), group.column("text")))  # repeated rows are one
+        sigs = sorted(by_sig)
+        label = linked([shingler.set_of(zstandard.decompress(by_sig[s].as_py())) for s in sigs], percent)
         first: dict[int, bytes] = {}
         pairs = [(s, first.setdefault(x, s)) for s, x in zip(sigs, label.tolist())]
         pairs = [p for p in pairs if p[0] != p[1]]
         return pa.table([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
 
-    return cells.join(sets, "sig").groupBy("cell").applyInArrow(links, "a binary, b binary")
+    texts = rows.mapInArrow(packed, "cell binary, sig binary, text binary")
+    return texts.groupBy("cell").applyInArrow(links, "a binary, b binary")
 
 
 def join_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, keep: list[str] | None = None,
     sketch_cells: int = SKETCH_CELLS, list_sets: int = LIST_SETS, cell_shingles: int = CELL_SHINGLES,
 ) -> DataFrame:
-    """(rec, n_shingles, component, first): each record, its set's size, the least id of its component, and
-    whether it is the one document of the component to stay.
+    """(rec, n_shingles, component, first, text_hash): each record, its set's size, the least id of its component, whether
+    it is the one row of the component to stay, and xxhash64 of its text.
 
     Two documents link when 100 * intersection >= ``percent`` * union. A record with an empty set is a component of its own.
     """
     summary = summarise(docs, text, sorted({doc_id, *(docs.columns if keep is None else keep)}, key=docs.columns.index), width, sketch_cells)
-    found = summary.where("chunk is null").select("rec", F.col(f"rec.`{doc_id}`").alias("id"), "th", "n", "sig")
-    classes = found.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "th")).alias("least"), F.max("n").alias("n"))
-    classes = stage(classes.select("sig", F.col("least.id").alias("id"), F.col("least.th").alias("th"), "n"), "jaccard-classes")
-    counts = sketch_of(summary, sketch_cells)
+    found = summary.where("chunk is null").select("rec", F.col(f"rec.`{doc_id}`").alias("id"), "th", "at", "n", "sig")
+    classes = found.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "th", "at")).alias("row"), F.min("id").alias("least"), F.max("n").alias("n"))
+    classes = stage(classes.select("sig", F.col("row.id").alias("id"), F.col("row.th").alias("th"), "row", "least", "n"), "jaccard-classes")
+    counts, word_counts = sketch_of(summary, sketch_cells)
     sizes = {r[0]: r[1] for r in classes.where(F.col("n") <= MOST_SMALL * 2).groupBy("n").count().collect()}
     total = classes.agg(F.sum("n")).first()[0] or 0
     entries = total * (101 - percent) // 100
     edge = boundary(sizes, counts, percent)
-    lists = candidate_lists(docs, text, width, percent, counts, edge, entries, list_sets)
-    edges = verify(docs, text, width, percent, lists, classes, doc_id, cell_shingles)
+    lists = candidate_lists(docs, text, width, percent, counts, word_counts, edge, entries, list_sets)
+    edges = verify(docs, text, width, percent, lists, classes.select("sig", "id", "th"), doc_id, cell_shingles)
     groups = components(edges, "jaccard-links")
-    rooted = classes.join(groups, F.col("sig") == F.col("node"), "left").select(F.coalesce("root", "sig").alias("root"), "sig", "id", "th")
-    least = rooted.groupBy("root").agg(F.min("id").alias("component"), F.min(F.struct("id", "th", "sig")).alias("keep"))
-    of = rooted.join(least, "root").select("sig", "component", "keep")
-    joined = found.where("n > 0").join(of, "sig").select("rec", "n", "component", "id", "th", "sig", "keep")
-    some = joined.select(
-        "rec", F.col("n").alias("n_shingles"), "component",
-        (F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("th") == F.col("keep.th")) & (F.col("sig") == F.col("keep.sig"))).alias("first"),
+    rooted = classes.join(groups, F.col("sig") == F.col("node"), "left").select(F.coalesce("root", "sig").alias("root"), "sig", "row", "least")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"), F.min("row").alias("stays"))
+    of = rooted.join(least, "root").select("sig", "component", F.col("stays.at").alias("stays"))
+    some = found.where("n > 0").join(of, "sig").select(
+        "rec", F.col("n").alias("n_shingles"), "component", (F.col("at") == F.col("stays")).alias("first"), F.col("th").alias("text_hash")
+    )
+    none = found.where("n = 0").select(
+        "rec", F.col("n").alias("n_shingles"), F.col("id").alias("component"), F.lit(True).alias("first"), F.col("th").alias("text_hash")
     )
-    none = found.where("n = 0").select("rec", F.col("n").alias("n_shingles"), F.col("id").alias("component"), F.lit(True).alias("first"))
     return some.unionAll(none)
 
 
