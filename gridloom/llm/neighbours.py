@@ -30,7 +30,7 @@ from .common import register, table
 
 BLOCK_ROWS = 16_384
 CHUNK_QUERIES = 2_048
-TREES, LEAF_ROWS, LEAF_SHARE = 16, 128, 1.0
+TREES, LEAF_ROWS, LEAF_SHARE = 16, 64, 1.4
 
 
 def usable(vector: Column) -> Column:
