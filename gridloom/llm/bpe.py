@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pylist, register, slices, table
+from .common import pylist, register, schema_of, slices, table
 
 NONE = np.int64(1) << 40
 CACHE_WORDS = 300_000
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
         shipped = docs.sparkSession.sparkContext.broadcast(file.read())
     kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     rows = docs.select(F.struct(*kept).alias("rec"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    schema = rows.select("rec").schema.simpleString()[len("struct<"):-1] + ",n_tokens:bigint,ids:string,decoded:string"
+    schema = schema_of(rows.select("rec").schema, "n_tokens bigint, ids string, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(shipped.value)

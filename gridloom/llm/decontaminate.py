@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import stage
 
-from .common import blocks, register, table, text_bytes, utf8
+from .common import blocks, register, schema_of, table, text_bytes, utf8
 
 BLOCK_BYTES = 6 << 20
 RUN_BYTES = 8 << 20
@@ -71,7 +71,7 @@ def build_index(docs: DataFrame, text: str = "text", keep: list[str] | None = No
     rows = docs.select(
         F.struct(*kept).alias("rec"), F.col(text).cast("string").alias("text"), F.spark_partition_id().alias("part")
     )
-    schema = "block bigint,term binary,n bigint,places binary," + rows.select("rec").schema.simpleString()[7:-1] + ",start bigint"
+    schema = schema_of("block bigint, term binary, n bigint, places binary", rows.select("rec").schema, "start bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, pieces in enumerate(blocks(batches, text_bytes, block_bytes)):

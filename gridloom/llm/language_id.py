@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pylist, register, slices, table, utf8
+from .common import pylist, register, schema_of, slices, table, utf8
 
 CELLS = 1 << 14
 SCALE = 1024
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     value = F.col(text).cast("string")
     rows = docs.select(F.struct(*kept).alias("rec"), F.coalesce(value.rlike(r"\p{L}"), F.lit(False)).alias("letters"), value.alias("text"))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = rows.select("rec").schema.simpleString()[7:-1] + ",lang_pred string,score double,ambiguous boolean"
+    schema = schema_of(rows.select("rec").schema, "lang_pred string, score double, ambiguous boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import register, slices, table, utf8
+from .common import register, schema_of, slices, table, utf8
 from .language_id import fold
 
 TRAIN_ROWS = 20_000
@@ -139,8 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             x = [np.array(statistics(t)).tobytes() for t in utf8(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["id", "y", "x"])
 
-    id_type = joined.schema["id"].dataType.simpleString()
-    vectors = joined.mapInArrow(run, f"id {id_type}, y double, x binary").groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x"))
+    vectors = joined.mapInArrow(run, schema_of(joined.select("id", "y").schema, "x binary")).groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x"))
     taken = sorted(vectors.toLocalIterator(), key=lambda r: r["id"])
     x = np.array([np.frombuffer(r["x"]) for r in taken]).reshape(len(taken), FEATURES)
     return grow(x, np.array([r["y"] for r in taken]))
@@ -151,7 +150,7 @@ def score(docs: DataFrame, trees: Trees, text: str = "text", keep: list[str] | N
     kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     rows = docs.select(F.struct(*kept).alias("rec"), F.col(text).cast("string").alias("text"))
     shipped = docs.sparkSession.sparkContext.broadcast(trees)
-    schema = rows.select("rec").schema.simpleString()[7:-1] + ",score double"
+    schema = schema_of(rows.select("rec").schema, "score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):

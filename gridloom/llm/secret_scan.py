@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import stage
 
-from .common import pylist, register, slices, table
+from .common import pylist, register, schema_of, slices, table
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -90,7 +90,7 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository:
         F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
         F.col(text).cast("string").alias("text"),
     )
-    schema = rows.drop("text").schema.simpleString()[len("struct<"):-1] + f",spans:array<{SPAN}>"
+    schema = schema_of(rows.drop("text").schema, f"spans array<{SPAN}>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([

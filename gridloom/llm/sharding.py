@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import stage
 
-from .common import register, table
+from .common import register, schema_of, table
 
 BUCKET_BYTES = 8 << 20
 ROW_BYTES = 64
@@ -43,7 +43,8 @@ def external_shuffle(df: DataFrame, text: str = "text", seed: int = 7, bucket_by
             shuffled.column("bucket"), pa.array(np.arange(len(order)), pa.int64()), shuffled.column("rec")
         ], names=["bucket", "place", "rec"])
 
-    schema = "bucket int, place bigint, " + rows.select("rec").schema.simpleString()[len("struct<"):-1]
+    schema = schema_of("bucket int, place bigint", rows.select("rec").schema)
+    rows = rows.withColumn("rec", F.col("rec").cast(schema["rec"].dataType))
     spread = rows.repartition(max(buckets, 1), "bucket") if buckets > 1 else rows
     return stage(spread.groupBy("bucket").applyInArrow(shuffle, schema), "shards")
 
