@@ -103,7 +103,8 @@ def fields(df: DataFrame, *, approximate: bool = False) -> DataFrame:
     families: dict[str, list[Field]] = {}
     for f in fields_of(df):
         families.setdefault(_family(df.schema[f.name].dataType), []).append(f)
-    parts = [_count_values(df, members) for members in families.values()]
+    by_digest = ROW_ID in df.columns
+    parts = [(_count_digests if by_digest and family == "string" else _count_values)(df, members) for family, members in families.items()]
     counted = reduce(DataFrame.unionByName, parts)
     return _finish(df, counted).orderBy("order")
 
@@ -146,6 +147,39 @@ def _count_values(df: DataFrame, members: list[Field]) -> DataFrame:
     )
 
 
+def digest(*columns: Column) -> list[Column]:
+    """128 bits of the columns' values: equal values give equal digests, nulls have their place."""
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    return [F.xxhash64(F.lit(seed), nulls, *columns).alias(f"h{seed}") for seed in (1, 2)]
+
+
+def _count_digests(df: DataFrame, members: list[Field]) -> DataFrame:
+    """The same for texts of any length: digests are shuffled, not values, and the few samples fetched by row id."""
+    forms = [_counted_as(column(f.name), df.schema[f.name].dataType).alias(str(f.order)) for f in members]
+    names = [str(f.order) for f in members]
+    cell = F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in names]))
+    long = df.select(column(ROW_ID).alias("r"), *forms).select("r", cell)
+    there = F.col("value").isNotNull().alias("there")
+    groups = long.select("field", "r", there, *digest(F.col("value"))).groupBy("field", "there", "h1", "h2").agg(
+        F.count(F.lit(1)).alias("n"), F.min("r").alias("first_row")
+    )
+    groups = groups.filter((F.col("n") > 0) & (F.col("first_row") >= 0))  # as above: one exchange for both branches
+    counts = groups.groupBy("field").agg(
+        F.sum("n").alias("row_count"), F.sum(F.when(~F.col("there"), F.col("n"))).alias("null_count"), F.count_if("there").alias("distinct_count")
+    )
+    seen = Window.partitionBy("field").orderBy(~F.col("there"), "first_row")
+    first = groups.withColumn("rank", F.row_number().over(seen)).filter((F.col("rank") <= SAMPLE_SIZE) & F.col("there"))
+    first = first.select("field", "rank", F.col("first_row").alias("r"))
+    sampled = long.join(F.broadcast(first), ["field", "r"])  # at most SAMPLE_SIZE rows of three numbers for each field
+    samples = sampled.groupBy("field").agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("s"))
+    both = counts.unionByName(samples, allowMissingColumns=True).groupBy("field").agg(
+        *[F.max(c).alias(c) for c in ("row_count", "null_count", "distinct_count")], F.max("s.value").alias("s")
+    )
+    return both.select(
+        F.col("field").cast("int").alias("order"), "row_count", "null_count", "distinct_count", F.col("s").alias("sample_values")
+    )
+
+
 def _sketched(df: DataFrame) -> DataFrame:
     fields = fields_of(df)
     names = [str(f.order) for f in fields]
@@ -167,20 +201,25 @@ def _sketched(df: DataFrame) -> DataFrame:
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of equal rows, row id left out; combined before the shuffle."""
-    names = [column(f.name) for f in fields_of(df)]
-    copies = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows beyond the first of each set of equal rows, row id left out; digests of rows are shuffled, not rows."""
+    values = [
+        # one zero and one NaN
+        F.when(F.isnan(c), F.lit(float("nan"))).otherwise(c + F.lit(0.0)) if isinstance(kind, (T.DoubleType, T.FloatType)) else c
+        for c, kind in ((column(f.name), df.schema[f.name].dataType) for f in fields_of(df))
+    ]
+    copies = df.select(*digest(*values)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n"))
     return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_row_count"))
 
 
 def dataset(df: DataFrame, *, approximate: bool = False) -> DataFrame:
-    """The roll-up of the field profiles, one row."""
-    by_field = fields(df, approximate=approximate)
-    rolled = by_field.agg(
-        F.coalesce(F.max("row_count"), F.lit(0)).alias("row_count"),
-        F.count(F.lit(1)).alias("field_count"),
-        F.coalesce(F.sum("null_count"), F.lit(0)).alias("null_cell_count"),
-        F.coalesce(F.max("null_ratio"), F.lit(0.0)).alias("worst"),
+    """The roll-up of the field profiles, one row: counts in one pass, no distinct values and no samples."""
+    names = fields_of(df)
+    present = [F.count(cells.blank_to_null(column(f.name), df.schema[f.name].dataType)).alias(f"c{i}") for i, f in enumerate(names)]
+    nulls = [F.col("row_count") - F.col(f"c{i}") for i in range(len(names))]
+    counted = df.agg(F.count(F.lit(1)).alias("row_count"), *present)
+    rolled = counted.select(
+        "row_count", F.lit(len(names)).cast("bigint").alias("field_count"), reduce(Column.__add__, nulls).alias("null_cell_count"),
+        F.greatest(*[ratio(n, F.col("row_count")) for n in nulls], F.lit(0.0)).alias("worst"),
     )
     full = rolled.withColumn("duplicate_row_count", duplicate_row_count(df).scalar())
     return full.select(

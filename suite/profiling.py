@@ -69,6 +69,21 @@ def d1(spark, sf):
     return flat(profile.fields(docs(spark, sf)))
 
 
+ALL_FIELDS = [
+    ("doc_id", "CAST(doc_id AS VARCHAR)", "integer", True), ("text", "text", "text", True), ("lang", "lang", "text", True),
+    ("source", "source", "text", True), ("n_chars", "CAST(n_chars AS VARCHAR)", "integer", True),
+]
+
+
+@register(
+    "d1_d4_field_profile_all_documents",
+    profile_sql("SELECT row_number() OVER (ORDER BY doc_id) AS r, * FROM documents", "r", ALL_FIELDS),
+)
+def d1_all(spark, sf):
+    """All columns, the whole texts among them."""
+    return flat(profile.fields(dataset(spark, sf, "documents")))
+
+
 LINE_FIELDS = [
     (n, f"CAST({n} AS VARCHAR)" if n != "l_shipdate" else "strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S')", k, True)
     for n, k in (

@@ -54,13 +54,22 @@ def test_dataset_roll_up(spark):
 
 
 def test_groups_are_shuffled_once(spark):
-    df = spark.range(1, 100).select(F.col("id").alias(ROW_ID), F.col("id").cast("string").alias("v"))
+    df = spark.range(1, 100).select(F.col("id").alias(ROW_ID), (F.col("id") % 7).alias("v"))
     result = profile.fields(df)
     result.collect()
     final = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("functions=[partial_count(1), partial_min(r") == 1 and "ReusedExchange" in final
 
 
+def test_texts_are_not_shuffled(spark):
+    rows = [(1, "long text " * 50, None), (2, "", "x"), (3, "long text " * 50, "x"), (4, "other", "")]
+    result = profile.fields(spark.createDataFrame(rows, f"{ROW_ID} long, a string, b string"))
+    got = {r.name: (r.null_count, r.distinct_count, r.sample_values) for r in result.collect()}
+    assert got == {"a": (1, 2, ["long text " * 50, "other"]), "b": (2, 1, ["x"])}
+    plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning(field" in plan and "value#" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
 def test_approximate_profile_and_summary(spark):
     df = spark.range(1, 501).select(F.col("id").alias(ROW_ID), (F.col("id") % 10).alias("v"), F.lit(None).cast("double").alias("n"))
     got = by_name(profile.fields(df, approximate=True))
