@@ -375,13 +375,13 @@ def c20(spark, sf):
 @register(
     "c20_join_full",
     """SELECT coalesce(a.nation, b.nation) AS nation, c_custkey, s_suppkey FROM
-    (SELECT c_nationkey AS nation, min(c_custkey) AS c_custkey FROM customer WHERE c_acctbal > 9500 GROUP BY 1) a FULL JOIN
-    (SELECT s_nationkey AS nation, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b
+    (SELECT c_nationkey AS nation, min(c_custkey) AS c_custkey FROM customer GROUP BY 1) a FULL JOIN
+    (SELECT s_nationkey AS nation, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) b
     ON a.nation = b.nation""",
 )
 def c20_full(spark, sf):
-    rich = table(spark, sf, "customer").filter("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("nation"))
-    suppliers = table(spark, sf, "supplier").filter("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nation"))
+    rich = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation"))
+    suppliers = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation"))
     scope = {"suppliers": suppliers.agg(F.min("s_suppkey").alias("s_suppkey"))}
     on = [{"left": "nation", "right": "nation"}]
     return apply(
