@@ -8,11 +8,14 @@ order share l shingles. Small sets are keyed by every 2-subset of their prefix (
 shingle of theirs (l = 1): an inverted list. Sets whose partners may lie across the boundary get
 both kinds of keys. The boundary minimises keys written plus list entries scanned, over the sizes met.
 
-Keys travel packed, a blob for each task and bucket. Shingles that the sketch shows to be very common have their list
-split into chunks, each pair of chunks a list of its own, so no task holds an unbounded list. Lists with two or
-more sets make candidates. Candidates connected by lists are verified together in one cell where their
-sets fit, else list by list: exact overlaps, each set against the sets it is not yet connected to. Only a
-spanning forest of links leaves a cell, never all pairs of a group.
+Keys travel packed, a blob for each task and bucket. A shingle that the sketch shows to be very common is hot: two hot
+shingles make no 2-subset, the rarer one is a key by itself, and the entries of a hot key are dealt over many
+buckets, so no task holds an unbounded list. Lists with two or more sets make candidates. Candidates connected by
+lists are verified together in one cell where their sets fit. Where they do not, each set is first met in one
+of its lists, in chunks that fit a cell and share the list's pivot, so that near copies become connected; then only
+lists with sets not yet connected are cut into chunks again, and each pair of chunks that may hold a new link is a
+cell. In a cell overlaps are exact, each set against the sets it is not yet connected to. Only a spanning forest of
+links leaves a cell, never all pairs of a group.
 
 Null, empty and wordless texts have empty sets and link with nothing. Repeated rows fall into one class. An
 empty table gives an empty result. Records travel in a struct, so column names cannot clash.
@@ -197,7 +200,10 @@ def candidate_lists(
     docs: DataFrame, text: str, width: int, percent: int, counts: np.ndarray, word_counts: np.ndarray, edge: int, entries: int,
     list_sets: int = LIST_SETS,
 ) -> DataFrame:
-    """(list, sig, n, pivot): the sets of each list of two or more; the pivot is the list's least signature."""
+    """(list, sig, n, pivot): the sets of each list of two or more; the pivot is the list's least signature.
+
+    A list of more than ``list_sets`` sets, by the sketch, is met in parts of about so many, and nowhere as a whole.
+    """
     buckets = 1 + entries * ENTRY.itemsize // BUCKET_BYTES
     cells = len(counts)
     load = float(counts.mean())
@@ -207,40 +213,45 @@ def candidate_lists(
     shipped = docs.sparkSession.sparkContext.broadcast((common, word_level))  # as large as the sketch has cells
     rows = docs.select(F.col(text).cast("string").alias("text"))
 
-    def keys_of(s: np.ndarray, words: np.ndarray, common: np.ndarray, pairs: dict) -> np.ndarray:
+    def keys_of(s: np.ndarray, words: np.ndarray, common: np.ndarray, pairs: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The set's keys, and into how many parts each key's list is dealt. A pair's list is no longer than its rarer shingle's."""
         n = len(s)
         cell = (s & np.uint64(cells - 1)).astype(np.int64)
-        rank = common[cell].astype(np.uint64) << np.uint64(8) | words.astype(np.uint64)
-        token = rank << np.uint64(50) | s >> np.uint64(14)
+        level = common[cell]
+        token = (level.astype(np.uint64) << np.uint64(8) | words.astype(np.uint64)) << np.uint64(50) | s >> np.uint64(14)
+        parts = ((1 << level.astype(np.int64)) - 1) // list_sets + 1
         p = n - least_overlap(n, percent)
-        out = []
+        keys, dealt = [], []
         if n * percent <= edge * 100:
-            token2 = np.sort(token)[:p + 2]
+            chosen = np.argsort(token)[:p + 2]
+            token2, parts2 = token[chosen], parts[chosen]
+            cold = int((parts2 == 1).sum())  # the order is by level first, so hot shingles come last
             if len(token2) not in pairs:
                 pairs[len(token2)] = np.triu_indices(len(token2), 1)
             i, j = pairs[len(token2)]
-            out.append(mix(mix(token2[i]) + token2[j]))
+            if cold < len(token2):
+                i, j = i[i < cold], j[i < cold]
+            keys += [mix(mix(token2[i]) + token2[j]), mix(token2[cold:-1])]  # of two shared shingles one is not the last
+            dealt += [np.ones(len(i), np.int64), parts2[cold:-1]]
         if n > edge:
             chosen = np.argpartition(token, p)[:p + 1]
-            key = mix(token[chosen])
-            split = ((1 << common[cell[chosen]].astype(np.int64)) - 1) // list_sets + 1
-            out.append(key[split == 1])
-            for k, many in zip(key[split > 1], split[split > 1].tolist()):
-                own = int(s[0] % np.uint64(many))  # the set's own chunk of this list
-                pair = [(min(own, o), max(own, o)) for o in range(many)]
-                out.append(mix(k + mix(np.array([(a << 32) + b + 1 for a, b in pair], np.uint64))))
-        return np.concatenate(out)
+            keys.append(mix(token[chosen]))
+            dealt.append(parts[chosen])
+        return np.concatenate(keys), np.concatenate(dealt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, word_level = shipped.value
         shingler, seen, pairs, waiting, held = Shingler(width), set(), {}, [], 0
 
         def flush() -> pa.RecordBatch:
-            e = np.concatenate(waiting)
+            e, dealt = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
             bucket = (e["key"] % np.uint64(buckets)).astype(np.int64)
+            hot = np.flatnonzero(dealt > 1)  # below 0: lists in parts
+            part = mix(e["key"][hot] + mix(e["lo"][hot] % dealt[hot].astype(np.uint64)))
+            bucket[hot] = -1 - (part % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             e, bucket = e[order], bucket[order]
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            cut = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
             blobs = [x.tobytes() for x in np.split(e, cut[1:])]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
@@ -254,20 +265,32 @@ def candidate_lists(
                 if sig in seen:
                     continue
                 seen.add(sig)
-                keys = keys_of(s, words, common, pairs)
+                keys, dealt = keys_of(s, words, common, pairs)
                 e = np.empty(len(keys), ENTRY)
                 e["key"], e["n"] = keys, n
                 e["hi"], e["lo"] = np.frombuffer(sig, ">u8")
-                waiting.append(e)
+                waiting.append((e, dealt))
                 held += len(e)
                 if held >= FLUSH:
                     yield flush()
                     waiting, held = [], 0
-        if waiting:
+        if held:
             yield flush()
 
+    def parts_of(e: np.ndarray) -> pa.Table:
+        """Lists in parts as they are; their partners may be in other buckets."""
+        e = e[np.lexsort((e["lo"], e["hi"], e["key"]))]
+        e = e[np.concatenate(([True], (e["key"][1:] != e["key"][:-1]) | (e["hi"][1:] != e["hi"][:-1]) | (e["lo"][1:] != e["lo"][:-1])))]
+        raw, names = np.stack([e["hi"], e["lo"]], 1).astype(">u8").tobytes(), e["key"].astype(">u8").tobytes()
+        return pa.table([
+            pa.array([names[i:i + 8] for i in range(0, len(names), 8)], pa.binary()), pa.array([raw[i:i + 16] for i in range(0, len(raw), 16)], pa.binary()),
+            pa.array(e["n"].astype(np.int64)), pa.nulls(len(e), pa.binary()),
+        ], names=["list", "sig", "n", "pivot"])
+
     def lists(group: pa.Table) -> pa.Table:
         e = np.concatenate([np.frombuffer(b.as_py(), ENTRY) for b in group.column("entries")])
+        if group.column("bucket")[0].as_py() < 0:
+            return parts_of(e)
         order = np.argsort(e["key"])
         key = e["key"][order]
         twice = np.concatenate((key[1:] == key[:-1], [False]))
@@ -298,7 +321,12 @@ def candidate_lists(
         return pa.table([pa.array(names, pa.binary()), pa.array(sigs, pa.binary()), pa.array(e["n"].astype(np.int64)), pa.array(pivots, pa.binary())], names=["list", "sig", "n", "pivot"])
 
     packed = rows.mapInArrow(run, "bucket bigint, entries binary")
-    return stage(packed.groupBy("bucket").applyInArrow(lists, "list binary, sig binary, n bigint, pivot binary"), "jaccard-lists")
+    found = stage(packed.groupBy("bucket").applyInArrow(lists, "list binary, sig binary, n bigint, pivot binary"), "jaccard-lists")
+    hot = found.where("pivot is null").drop("pivot")
+    if hot.isEmpty():
+        return found
+    pivots = hot.groupBy("list").agg(F.min("sig").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    return stage(found.where("pivot is not null").unionByName(hot.join(pivots, "list")), "jaccard-lists")
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -329,6 +357,38 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return label
 
 
+def pivot_cells(apart: DataFrame, half: int) -> DataFrame:
+    """(cell, sig): each set once, in a chunk of its heaviest list; every chunk of a list holds the list's pivot."""
+    weight = apart.groupBy("list").agg(F.sum("n").alias("weight"))
+    one = apart.join(weight, "list").groupBy("sig").agg(F.max(F.struct("weight", "list", "pivot")).alias("l"))
+    chunk = F.pmod(F.xxhash64("sig"), F.ceil(F.col("l.weight") / half))
+    one = one.select(F.concat_ws(":", F.hex("l.list"), chunk).alias("cell"), "sig", "l.pivot")
+    return one.select("cell", "sig").unionAll(one.select("cell", F.col("pivot").alias("sig"))).distinct()
+
+
+def pair_cells(apart: DataFrame, roots: DataFrame, half: int) -> DataFrame:
+    """(cell, sig): chunks of the lists, two to a cell, so that sets of one list but different roots meet."""
+    rooted = apart.join(roots, F.col("sig") == F.col("node"), "left").select("list", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    unlike = rooted.groupBy("list").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    rooted = stage(rooted.join(unlike, "list", "left_semi"), "jaccard-open")
+    weight = rooted.groupBy("list", "root").agg(F.sum("n").alias("weight"))
+    rest = weight.where(F.col("weight") < half).groupBy("list").agg(F.sum("weight").alias("rest"))
+    both = rooted.join(weight, ["list", "root"]).join(rest, "list", "left")
+    own = F.col("weight") >= half  # chunks of one root; the smaller roots share chunks, each root in one
+    chunk = F.when(own, F.concat_ws("-", F.hex("root"), F.pmod(F.xxhash64("sig"), F.ceil(F.col("weight") / half)))).otherwise(
+        F.pmod(F.xxhash64("root"), F.ceil(F.col("rest") / half)).cast("string")
+    )
+    held = stage(both.select("list", "sig", chunk.alias("chunk"), F.when(own, F.col("root")).alias("root")), "jaccard-chunks")
+    chunks = held.select("list", "chunk", "root").distinct()
+    chunks = chunks.join(chunks.groupBy("list").agg(F.count(F.lit(1)).alias("many")), "list")
+    a, b = (chunks.select("list", F.col("chunk").alias(k), F.col("root").alias(f"{k}_root"), F.col("many").alias(f"{k}_many")) for k in "ab")
+    unlike = F.col("a_root").isNull() | F.col("b_root").isNull() | (F.col("a_root") != F.col("b_root"))
+    pairs = a.join(b, "list").where((F.col("a") < F.col("b")) & unlike | (F.col("a") == F.col("b")) & (F.col("a_many") == 1))
+    cell = F.concat_ws(":", F.hex("list"), "a", "b").alias("cell")
+    asked = pairs.select(cell, "list", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"))
+    return asked.join(held, ["list", "chunk"]).select("cell", "sig")
+
+
 def verify(docs: DataFrame, text: str, width: int, percent: int, lists: DataFrame, classes: DataFrame, doc_id: str, cell_shingles: int) -> DataFrame:
     """Links (a, b) of signatures that connect every two sets which are linked."""
     near = components(lists.where("sig != pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")), "jaccard-near")
@@ -336,11 +396,20 @@ def verify(docs: DataFrame, text: str, width: int, percent: int, lists: DataFram
     nodes = lists.select("sig", "n").distinct().join(near, F.col("sig") == F.col("node"))
     weight = nodes.groupBy("root").agg(F.sum("n").alias("weight"))
     fits = F.col("weight") <= cell_shingles
-    whole = nodes.join(weight.where(fits), "root").select(F.col("root").alias("cell"), "sig")
+    whole = nodes.join(weight.where(fits), "root").select(F.hex("root").alias("cell"), "sig")
     large = weight.where(~fits).select("root").join(near, "root").select("node")
-    apart = lists.join(large, F.col("sig") == F.col("node"), "left_semi").select(F.col("list").alias("cell"), "sig")
-    cells = stage(whole.unionAll(apart.distinct()), "jaccard-cells")
-
+    apart = stage(lists.join(large, F.col("sig") == F.col("node"), "left_semi").distinct(), "jaccard-apart")
+    half = max(1, cell_shingles // 2)
+    if apart.isEmpty():
+        return links_in(docs, text, width, percent, stage(whole, "jaccard-cells"), classes, doc_id)
+    cells = stage(whole.unionAll(pivot_cells(apart, half)), "jaccard-cells")
+    some = stage(links_in(docs, text, width, percent, cells, classes, doc_id), "jaccard-some")
+    cells = stage(pair_cells(apart, components(some, "jaccard-first"), half), "jaccard-cells")
+    return some.unionAll(links_in(docs, text, width, percent, cells, classes, doc_id))
+
+
+def links_in(docs: DataFrame, text: str, width: int, percent: int, cells: DataFrame, classes: DataFrame, doc_id: str) -> DataFrame:
+    """Links (a, b) that connect every two sets of a cell which are linked there."""
     asked = cells.join(classes, "sig").select("cell", "sig", F.col("id").alias("ask_id"), F.col("th").alias("ask_th"))
     value = F.col(text).cast("string")
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), value.alias("text"))
@@ -362,7 +431,7 @@ def verify(docs: DataFrame, text: str, width: int, percent: int, lists: DataFram
         pairs = [p for p in pairs if p[0] != p[1]]
         return pa.table([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
 
-    texts = rows.mapInArrow(packed, "cell binary, sig binary, text binary")
+    texts = rows.mapInArrow(packed, "cell string, sig binary, text binary")
     return texts.groupBy("cell").applyInArrow(links, "a binary, b binary")
 
 

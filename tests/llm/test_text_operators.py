@@ -180,6 +180,30 @@ def test_jaccard_agrees_with_brute_force(spark, odd_docs, options):
     assert len(kept) == len(set(kept)), "one of each group"
 
 
+def test_jaccard_meets_hot_lists_in_bounded_cells(spark, monkeypatch):
+    """Near copies of one text, each with a word of its own changed: no cell and no task holds their lists as a whole."""
+    words, rows = sentence(300, 120).split(), []
+    for i in range(90):
+        w = list(words)
+        w[i * 7 % 120] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, sentence(1000 + i, 60)) for i in range(20)]
+    kept = {}
+
+    def keep(df, label="stage", real=jaccard_join.stage):
+        out = real(df, label)
+        kept.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", keep)
+    monkeypatch.setattr(jaccard_join, "boundary", lambda *a: jaccard_join.MOST_SMALL)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = jaccard_join.join_groups(docs, list_sets=8, cell_shingles=2400).select("rec.doc_id", "n_shingles", "component").collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(rows)
+    most = max(c.groupBy("cell").count().agg(F.max("count")).first()[0] or 0 for c in kept["jaccard-cells"])
+    assert most <= 2 * 2400 // 117, "sets of 117 shingles in a cell of 2400, twice for the unevenness of chunks"
+
+
 def test_jaccard_of_nothing(no_docs):
     assert jaccard_join.join_groups(no_docs).count() == 0
 
