@@ -4,7 +4,8 @@ Every text is searched for credential patterns. The three base kinds always coun
 (key blocks, signed tokens, prefixed keys, opaque strings) are only candidates: their values are
 hashed, the hashes are counted over distinct repositories and owners of the whole corpus, and a value
 that many owners share is a copied example, while one that stays with few owners and looks random is
-live. Only live candidates become spans.
+live, in however many documents of theirs it stands. How many owners are many grows with the owners of the
+corpus. Only live candidates become spans. Repositories are distinct texts where no column names them.
 
 Nulls: a null text has no spans; a null owner or repository counts as one owner or repository of its
 own. Empty tables give empty results. Repeated rows are scanned row by row.
@@ -82,12 +83,13 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str | None = None) -> DataFrame:
     """Rows of (row, rec, owner, repository, spans): every record with what the patterns match in it."""
+    held_in = F.xxhash64(F.col(text).cast("string")) if repository is None else F.col(repository)
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.struct("*").alias("rec"),
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
-        F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
+        F.coalesce(held_in.cast("string"), F.lit("")).alias("repository"),
         F.col(text).cast("string").alias("text"),
     )
     schema = schema_of(rows.drop("text").schema, f"spans array<{SPAN}>")
@@ -121,12 +123,12 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def find_secrets(
-    docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", keep: list[str] | None = None,
-    live_owners: int = 2, live_repositories: int = 20, live_entropy: float = 3.0,
+    docs: DataFrame, text: str = "text", owner: str = "source", repository: str | None = None, keep: list[str] | None = None,
+    live_owners: int = 2, live_share: float = 0.001, live_entropy: float = 3.0,
 ) -> DataFrame:
     """(rec, spans): each record and its spans, sorted; a span has kind, start, end, owners, repositories, live.
 
-    ``live`` holds where at most ``live_owners`` owners and ``live_repositories`` repositories have the
+    ``live`` holds where at most ``live_owners`` owners, or ``live_share`` of all owners if that is more, have the
     value and its entropy reaches ``live_entropy``. Base spans are returned whatever they are, the others
     only if live. ``keep`` names the record's columns to carry, all by default.
     """
@@ -136,9 +138,8 @@ def find_secrets(
     scanned = stage(scanned, "secret-scan")
     one = scanned.select("row", F.explode("spans").alias("s")).select("row", "s.*")
     judged = one.join(ownership(scanned), "digest")
-    live = (
-        (F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories) & (F.col("entropy") >= live_entropy)
-    )
+    all_owners = scanned.select("owner").distinct().count()
+    live = (F.col("owners") <= max(live_owners, int(live_share * all_owners))) & (F.col("entropy") >= live_entropy)
     judged = judged.withColumn("live", live).where(F.col("live") | (F.col("ord") < len(BASE)))
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("ord") + 1).alias("kind")
     kept = judged.groupBy("row").agg(
