@@ -5,7 +5,7 @@ line, documents apart by a gap, and writes for every term the sorted list of its
 (block, term). Test items become windows of consecutive words. In each block a window is found by
 taking the list of its rarest term, adjusting it by the term's offset, and intersecting it with the adjusted
 lists of the other terms, rarest first: what is left are the places of the exact phrase. Proximity
-matches let each word lie up to ``slack`` places off.
+matches let each word lie up to ``slack`` places off, as seen from the rarest, whose document has the match.
 
 Only postings of terms that occur in test items leave the index, grouped by block, so a group is bounded by
 the block size however common a term is. Test items are taken in runs of bounded size, each run against all
@@ -184,11 +184,12 @@ def _finder(shipped, slack: int) -> Callable[[pa.Table], pa.Table]:
             if not count[list(terms_of)].all():
                 continue
             found = phrase_places(terms_of, count, places)
+            anchor = int(np.argmin(count[list(terms_of)]))  # a start may lie before its document, the rarest word does not
             close = np.setdiff1d(phrase_places(terms_of, count, places, slack), found) if slack else found[:0]
             for many, into, width in ((found, exact, len(terms_of)), (close, near, 0)):
-                doc = np.searchsorted(starts, many, "right") - 1
+                doc = np.searchsorted(starts, many + anchor, "right") - 1
                 for d in np.unique(doc).tolist():
-                    inside = many[doc == d] - starts[d]
+                    inside = np.maximum(many[doc == d] - starts[d], 0)
                     for item in of:
                         into.setdefault((d, item), []).append((inside, inside + width))
         rows = []
@@ -246,11 +247,13 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[dict[str, int]]:
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    keep: list[str] | None = None, window: int = WINDOW,
+    keep: list[str] | None = None, window: int = WINDOW, slack: int = 0,
 ) -> DataFrame:
-    """(rec, n_words, n_hit, items): each record, its words, the words inside a match, the ids of the items matched."""
+    """(rec, n_words, n_hit, items, n_near, near_items): each record, its words, the words inside a match, the ids of the items
+    matched, and with a ``slack`` the places where a proximity match starts that is no exact one, and the ids of their items.
+    """
     index = build_index(docs, text, keep)
-    hits = search(index, items, item_id, item_text, window).where(F.size("spans") > 0)
+    hits = search(index, items, item_id, item_text, window, slack)
     start = F.struct(F.lit(0).alias("sum"), F.lit(-1).alias("to"))
 
     def step(done, s):
@@ -258,11 +261,17 @@ def decontaminate(
         return F.struct((done["sum"] + fresh).alias("sum"), F.greatest(done["to"], s["to"]).alias("to"))
 
     covered = F.aggregate(F.sort_array(F.flatten(F.collect_list("spans"))), start, step, lambda done: done["sum"])
-    by_doc = hits.groupBy("block", "start").agg(covered.alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
+    ids = lambda held: F.sort_array(F.collect_set(F.when(F.size(held) > 0, F.col("item"))))
+    by_doc = hits.groupBy("block", "start").agg(
+        covered.alias("n_hit"), ids("spans").alias("items"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("near")))).alias("n_near"), ids("near").alias("near_items"),
+    )
     all_docs = index.where("term is null").select("block", "start", "rec", F.col("n").alias("n_words"))
     return all_docs.join(by_doc, ["block", "start"], "left").select(
         "rec", "n_words", F.coalesce(F.col("n_hit"), F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce(F.col("n_near"), F.lit(0)).cast("bigint").alias("n_near"),
+        F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"),
     )
 
 

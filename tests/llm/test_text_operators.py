@@ -64,6 +64,28 @@ def test_proximity(spark):
     assert got == {1: (1, 0), 2: (0, 1)}
 
 
+def test_near_matches_agree_with_brute_force(spark):
+    texts = ["x y z", "a b c", "q a a b c", "a x a b c", "c b a", "b", "a a b c a c b", "", "a a x b c"]
+    window, slack = ["a", "a", "b", "c"], 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    count = {w: sum(t.split().count(w) for t in texts) for w in window}
+    anchor = min(range(4), key=lambda j: count[window[j]])
+    want = {}
+    for i, t in enumerate(texts):
+        w, near, exact = t.split(), set(), 0
+        for at in (at for at, x in enumerate(w) if x == window[anchor]):
+            start = at - anchor
+            if start >= 0 and w[start:start + 4] == window:
+                exact += 1
+            elif all(any(0 <= q < len(w) and w[q] == x for q in range(start + j - slack, start + j + slack + 1)) for j, x in enumerate(window) if j != anchor):
+                near.add(max(start, 0))
+        want[i] = (len(near), ["7"] if near else [], ["7"] if exact else [])
+    bench = spark.createDataFrame([(7, "a a b c")], "item_id bigint, text string")
+    found = decontaminate.decontaminate(docs, bench, slack=slack).collect()
+    assert {r["rec"]["doc_id"]: (r["n_near"], r["near_items"], r["items"]) for r in found} == want
+    assert want[1][0] and not want[0][0], "the match before its document's start is in its own document"
+
+
 def test_decontamination_of_nothing(spark, no_docs, odd_docs):
     bench = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     none = spark.createDataFrame([], "item_id bigint, text string")
