@@ -6,8 +6,8 @@ them. All pairs of all new words of a block are checked at once in numpy; only t
 pair are merged exactly. Decoding joins the bytes of the tokens, broken UTF-8 becoming U+FFFD.
 
 A null text counts as empty and has no tokens; repeated rows are encoded row by row; an empty table gives
-an empty result. Input columns travel in a struct, so names cannot clash. A worker's word cache is
-cleared when it is full, so memory stays bounded.
+an empty result. Input columns travel in a struct, so names cannot clash. A worker's word cache has two
+halves, the older of which is dropped when the newer is full, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import pylist, register, schema_of, slices, table
 
 NONE = np.int64(1) << 40
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CACHE_WORD_BYTES = 200
 
 # The split pattern, and the characters newer than the Unicode version (16) that the
@@ -98,7 +98,12 @@ class Vocabulary:
             sound[i] = not bad and sound.get(self.left[i], False) and sound.get(self.right[i], False)
         #: Only tokens that their own bytes are encoded to may be proposed.
         self.longest = {self.bytes[i]: i for i, good in sound.items() if good}
-        self.most = max(map(len, self.longest))
+        by_start: dict[bytes, set[int]] = {}
+        for token in self.longest:
+            if len(token) > 2:
+                by_start.setdefault(token[:3], set()).add(len(token))
+        #: The lengths of the tokens that begin with given three bytes, longest first.
+        self.lengths = {start: tuple(sorted(found, reverse=True)) for start, found in by_start.items()}
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -130,15 +135,21 @@ class Vocabulary:
         return bad
 
     def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
+        """Greedy longest match; only lengths that a token of the same start has are tried."""
         out, at, n = [], 0, len(word)
-        longest = self.longest
+        token_of, lengths_of = self.longest.get, self.lengths.get
         while at < n:
-            for end in range(min(n, at + self.most), at, -1):
-                if (token := longest.get(word[at:end])) is not None:
-                    out.append(token)
-                    at = end
+            for size in lengths_of(word[at:at + 3], ()):
+                if (token := token_of(word[at:at + size])) is not None and at + size <= n:
                     break
+            else:
+                size = 2
+                token = token_of(word[at:at + 2])
+                if token is None or at + 2 > n:
+                    size = 1
+                    token = token_of(word[at:at + 1])
+            out.append(token)
+            at += size
         return out
 
     def merge(self, word: bytes) -> list[int]:
@@ -180,6 +191,7 @@ class Coder:
         self.vocabulary = vocabulary
         self.ids: dict[str, str] = {}
         self.back: dict[str, bytes] = {}
+        self.older: tuple[dict[str, str], dict[str, bytes]] = {}, {}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
     def _learn(self, words: list[str]) -> tuple[dict[str, str], dict[str, bytes]]:
@@ -188,7 +200,12 @@ class Coder:
         return {w: ",".join(map(str, c)) for w, c in zip(words, cuts)}, {w: b"".join([token[i] for i in c]) for w, c in zip(words, cuts)}
 
     def run(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(tokens, ids joined by commas, decoded text) of each text."""
+        """(tokens, ids joined by commas, decoded text) of each text; equal texts are coded once."""
+        distinct = list(dict.fromkeys(texts))
+        coded = dict(zip(distinct, self._code(distinct)))
+        return [coded[t] for t in texts]
+
+    def _code(self, texts: list[str]) -> list[tuple[int, str, str]]:
         split = []
         for text in texts:
             if self.cut is not None and any(s in text for s in self.vocabulary.special):
@@ -198,11 +215,15 @@ class Coder:
             else:
                 words = words_of(text)
             split.append(words)
-        if len(self.ids) > CACHE_WORDS:
+        if len(self.ids) > CACHE_WORDS:  # words met again come back from the older half
+            self.older = self.ids, self.back
             self.ids, self.back = {}, {}
         for special, i in self.vocabulary.special.items():
             self.ids[special], self.back[special] = str(i), self.vocabulary.bytes[i]
         fresh = set().union(*split).difference(self.ids)
+        for w in fresh.intersection(self.older[0]):
+            self.ids[w], self.back[w] = self.older[0][w], self.older[1][w]
+        fresh.difference_update(self.ids)
         long = {w for w in fresh if len(w) > CACHE_WORD_BYTES}
         ids, back = self._learn(list(fresh - long))
         self.ids |= ids
