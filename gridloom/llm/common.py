@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
@@ -88,6 +92,75 @@ def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+#: Bits of a key filter, and of each piece of one: its size is fixed, whatever the number of keys.
+FILTER_BITS, PIECE_BITS = 1 << 26, 1 << 15
+
+
+class KeyFilter:
+    """A test whether a 64-bit key may be among ``keys`` (one column); it never misses one of them.
+
+    Each task packs its keys into pieces of a bitmap, pieces are joined by Spark, and the whole is broadcast. With so many
+    keys that most bits are set the test lets everything through; whoever uses it joins exactly afterwards.
+    """
+
+    def __init__(self, keys: DataFrame):
+        self.shipped, self.mark = keys.sparkSession.sparkContext.broadcast(_bitmap(keys)), uuid.uuid4().hex
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """For each of some keys, in a task."""
+        held = _filters.get(self.mark)
+        if held is None:
+            _filters.clear()
+            held = _filters[self.mark] = np.frombuffer(zstandard.decompress(self.shipped.value), np.uint8)
+        bit = keys.astype(np.int64, copy=False).view(np.uint64) % np.uint64(FILTER_BITS)
+        return (held[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+    def column(self, key: Column) -> Column:
+        """As a column; only the keys go to Python."""
+        test = self.may_hold
+
+        @F.pandas_udf("boolean")
+        def may_hold(key: pd.Series) -> pd.Series:
+            return pd.Series(test(key.to_numpy()))
+
+        return may_hold(key)
+
+
+#: The filter a worker has unpacked last.
+_filters: dict[str, np.ndarray] = {}
+
+
+def _bitmap(keys: DataFrame) -> bytes:
+    name = keys.columns[0]
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [np.unique(b.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)) for b in batches]
+        if not bits:
+            return
+        whole = np.unique(np.concatenate(bits)).astype(np.int64)
+        piece, first = np.unique(whole // PIECE_BITS, return_index=True)
+        blobs = []
+        for mine in np.split(whole % PIECE_BITS, first[1:]):
+            flags = np.zeros(PIECE_BITS, np.uint8)
+            flags[mine] = 1
+            blobs.append(zstandard.compress(np.packbits(flags).tobytes(), 1))
+        yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(blobs, pa.binary())], names=["piece", "bits"])
+
+    def join(group: pa.Table) -> pa.Table:
+        total = np.zeros(PIECE_BITS // 8, np.uint8)
+        for b in group.column("bits"):
+            total |= np.frombuffer(zstandard.decompress(b.as_py()), np.uint8)
+        return pa.table([group.column("piece")[:1], pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["piece", "bits"])
+
+    schema = "piece int, bits binary"
+    parts = keys.where(F.col(name).isNotNull()).mapInArrow(pack, schema).groupBy("piece").applyInArrow(join, schema)
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in parts.collect():  # FILTER_BITS / PIECE_BITS rows at most
+        start = row["piece"] * (PIECE_BITS // 8)
+        whole[start:start + PIECE_BITS // 8] = np.frombuffer(zstandard.decompress(row["bits"]), np.uint8)
+    return zstandard.compress(whole.tobytes(), 1)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for each node of the undirected ``edges`` (a, b); root is the component's least node.
 

@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.session import stage
+from gridloom.types import column
 
-from .common import components, register, schema_of, slices, table, utf8
+from .common import KeyFilter, components, register, schema_of, slices, table, utf8
 
 WIDTH, PERCENT = 4, 85
 SKETCH_CELLS = 1 << 22  # of shingles; a quarter as many for words
@@ -400,26 +401,39 @@ def verify(docs: DataFrame, text: str, width: int, percent: int, lists: DataFram
     large = weight.where(~fits).select("root").join(near, "root").select("node")
     apart = stage(lists.join(large, F.col("sig") == F.col("node"), "left_semi").distinct(), "jaccard-apart")
     half = max(1, cell_shingles // 2)
+    asked = classes.join(nodes.select("sig"), "sig", "left_semi")
+    texts = stage(packed_texts(docs, text, doc_id, width, asked), "jaccard-texts")
     if apart.isEmpty():
-        return links_in(docs, text, width, percent, stage(whole, "jaccard-cells"), classes, doc_id)
+        return links_in(stage(whole, "jaccard-cells"), texts, width, percent)
     cells = stage(whole.unionAll(pivot_cells(apart, half)), "jaccard-cells")
-    some = stage(links_in(docs, text, width, percent, cells, classes, doc_id), "jaccard-some")
+    some = stage(links_in(cells, texts, width, percent), "jaccard-some")
     cells = stage(pair_cells(apart, components(some, "jaccard-first"), half), "jaccard-cells")
-    return some.unionAll(links_in(docs, text, width, percent, cells, classes, doc_id))
+    return some.unionAll(links_in(cells, texts, width, percent))
 
 
-def links_in(docs: DataFrame, text: str, width: int, percent: int, cells: DataFrame, classes: DataFrame, doc_id: str) -> DataFrame:
-    """Links (a, b) that connect every two sets of a cell which are linked there."""
-    asked = cells.join(classes, "sig").select("cell", "sig", F.col("id").alias("ask_id"), F.col("th").alias("ask_th"))
-    value = F.col(text).cast("string")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), value.alias("text"))
-    rows = rows.join(asked, F.col("id").eqNullSafe(F.col("ask_id")) & (F.xxhash64("text") == F.col("ask_th"))).select("cell", "sig", "text")
+def packed_texts(docs: DataFrame, text: str, doc_id: str, width: int, asked: DataFrame) -> DataFrame:
+    """(sig, text): the compressed text of each asked set (id, th), and of a few others; no text is shuffled."""
+    keys = KeyFilter(asked.select(F.xxhash64("id", "th")))
+    value = column(text).cast("string")
+    rows = docs.select(value.alias("text"), F.xxhash64(column(doc_id), F.xxhash64(value)).alias("key"))
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):  # packed texts take a fraction of their sets
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([zstandard.compress(t, 1) for t in utf8(batch)], pa.binary())
-            ], names=["cell", "sig", "text"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(width), set()
+        for batch in slices(batches):
+            sigs, texts = [], []
+            for t in utf8(batch.filter(pa.array(keys.may_hold(batch.column(1).to_numpy())))):
+                s = shingler.set_of(t)
+                if len(s) and (sig := signature(s)) not in seen:  # equal sets are one
+                    seen.add(sig)
+                    sigs.append(sig)
+                    texts.append(zstandard.compress(t, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(texts, pa.binary())], names=["sig", "text"])
+
+    return rows.mapInArrow(pack, "sig binary, text binary")
+
+
+def links_in(cells: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect every two sets of a cell which are linked there."""
 
     def links(group: pa.Table) -> pa.Table:
         shingler = Shingler(width)
@@ -431,8 +445,7 @@ def links_in(docs: DataFrame, text: str, width: int, percent: int, cells: DataFr
         pairs = [p for p in pairs if p[0] != p[1]]
         return pa.table([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
 
-    texts = rows.mapInArrow(packed, "cell string, sig binary, text binary")
-    return texts.groupBy("cell").applyInArrow(links, "a binary, b binary")
+    return cells.join(texts, "sig").select("cell", "sig", "text").groupBy("cell").applyInArrow(links, "a binary, b binary")
 
 
 def join_groups(
