@@ -7,19 +7,20 @@
 5. BPE encodes what is left, and decodes it again.
 
 All stages but the last return the columns of ``documents``.
+
+A null or empty text has no language and leaves in stage 1. Repeated rows count as copies: one of them stays. Very long
+texts are handled whole. Further columns travel on whatever their names, also through stages that make columns of the same
+name, which only the last adds (there the made ones win). An empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontaminate, jaccard_join, language_id, secret_scan
-from gridloom.llm.common import table
-from gridloom.session import drop_staged, fresh_path, staged
-
-#: White space between words.
-BLANK = r"[\x20\x09-\x0D]+"
+from gridloom.llm.common import KeyFilter, table
+from gridloom.session import drop_staged, fresh_path, stage, staged
 
 #: Columns that the last stage makes.
 MADE = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -35,20 +36,41 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")).select(*_columns(docs))
 
 
+def _key(doc_id, text_hash) -> Column:
+    return F.xxhash64(doc_id, text_hash)
+
+
+def _without(docs: DataFrame, touched: DataFrame) -> DataFrame:
+    """``docs`` less the rows that ``touched`` (doc_id, text_hash, stays) names; of rows that stay, repeated ones leave.
+
+    Only documents whose key may be touched are shuffled, as whole records in a struct.
+    """
+    may_be_touched = KeyFilter(touched.select(_key("doc_id", "text_hash")))
+    rows = docs.select(F.struct("*").alias("rec")).withColumn("hash", F.xxhash64("rec.text"))
+    maybe = F.coalesce(may_be_touched.column(_key("rec.doc_id", "hash")), F.lit(False))
+    named = touched.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("of"), "stays")
+    judged = rows.where(maybe).join(named, F.col("rec.doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")), "left")
+    once = judged.where("stays").withColumn("id", F.col("rec.doc_id")).dropDuplicates(["id", "hash"])
+    left = rows.where(~maybe).select("rec").unionAll(judged.where("stays is null").select("rec")).unionAll(once.select("rec"))
+    return left.select(*_columns(docs))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The groups are found without carrying the texts along; the rows that stay are then taken from the documents."""
-    groups = jaccard_join.join_groups(docs, keep=["doc_id"]).where("first")
-    stays = groups.select(F.col("rec.doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
-    hashed = docs.withColumn("stay_key", F.xxhash64("text"))
-    kept = hashed.join(stays, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("stay_key") == F.col("stay_hash")), "left_semi")
-    blank = F.coalesce(F.length(F.regexp_replace("text", BLANK, "")), F.lit(0)) == 0
-    own = F.when(blank, F.monotonically_increasing_id())  # documents without words are no copies of one another
-    return kept.withColumn("stay_own", own).dropDuplicates(["doc_id", "stay_key", "stay_own"]).select(*docs.columns)
+    """The groups are found without carrying the texts along; documents without words are no copies of one another."""
+    groups = jaccard_join.join_groups(docs, keep=["doc_id"])
+    by_key = groups.groupBy(F.col("rec.doc_id").alias("doc_id"), "text_hash").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("first").alias("stay"),
+    )
+    touched = by_key.where("stay < rows").select("doc_id", "text_hash", (F.col("stay") > 0).alias("stays"))
+    return _without(docs, stage(touched, "copies"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return judged.where("n_hit = 0").select(*_columns(docs))
+    """The index carries ids and hashes only."""
+    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    judged = decontaminate.decontaminate(slim, table(spark, sf_dir, "benchmark"), keep=["doc_id", "text_hash"])
+    hit = judged.where("n_hit > 0").select("rec.doc_id", "rec.text_hash", F.lit(False).alias("stays")).distinct()
+    return _without(docs, stage(hit, "contaminated"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,14 +96,14 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 _before: list[tuple[int, int]] = []
 
 
-def _alone(stage):
+def _alone(step):
     """A stage that first drops what the stages before it had staged: their results are written by then."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _before:
             drop_staged(spark, *_before.pop())
         start = staged()
-        out = stage(spark, docs, sf_dir)
+        out = step(spark, docs, sf_dir)
         _before.append((start, staged()))
         return out
 
@@ -99,9 +121,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, step in STAGES:
         path = fresh_path(spark, "pipeline-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
 
