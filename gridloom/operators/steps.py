@@ -139,6 +139,16 @@ def literal(value: object, kind: str) -> object:
 
 def typed_literal(value: object, spark_type: T.DataType) -> Column:
     """The config value as a literal of the column's own type, so the schema does not move."""
+    grid = conditions.grid_of(spark_type)
+    if grid and value is not None:
+        try:
+            number = conditions.exact_number(value)
+        except ValueError:
+            raise fail(f"{value!r} is not a number") from None
+        scale, least, most = grid
+        if not least <= number <= most or conditions.on_grid(number, scale) != number:
+            raise fail(f"{value!r} does not fit a field of type {spark_type.simpleString()}")
+        return conditions.grid_literal(number, spark_type)
     return F.lit(literal(value, field_type(spark_type))).cast(spark_type)
 
 
@@ -243,13 +253,26 @@ def _numeric(flow: Flow, name: str, config: dict) -> tuple[Column, bool]:
     elif action == "abs":
         c = F.abs(c)
     elif action == "clip":
-        bounds = {k: literal(config[k], DECIMAL) for k in ("min", "max") if config.get(k) is not None}
-        if any(not b.is_integer() for b in bounds.values()) and not isinstance(source, (T.DoubleType, T.DecimalType)):
-            source, c = T.DoubleType(), c.cast("double")  # a bound between two integers makes decimals
-        if "min" in bounds:
-            c = F.when(c < bounds["min"], F.lit(bounds["min"]).cast(source)).otherwise(c)
-        if "max" in bounds:
-            c = F.when(c > bounds["max"], F.lit(bounds["max"]).cast(source)).otherwise(c)
+        try:
+            bounds = {k: conditions.exact_number(config[k]) for k in ("min", "max") if config.get(k) is not None}
+        except ValueError:
+            raise fail(f"{config.get('min')!r} or {config.get('max')!r} is not a number") from None
+        grid = conditions.grid_of(source)
+        if grid and any(b.is_finite() and conditions.on_grid(b, grid[0]) != b for b in bounds.values()):
+            source, c, grid = T.DoubleType(), c.cast("double"), None  # a bound between two values of the type makes doubles
+        for key, op in (("min", "<"), ("max", ">")):
+            if key not in bounds:
+                continue
+            b = bounds[key]
+            if grid is None:
+                beyond, limit = (c < float(b) if op == "<" else c > float(b)), F.lit(float(b)).cast(source)
+            elif grid[1] <= b <= grid[2]:
+                beyond, limit = conditions.compare_exactly(c, source, op, b), conditions.grid_literal(b, source)
+            elif (b > grid[2]) == (op == ">"):
+                continue  # no value of the type lies beyond
+            else:
+                raise fail(f"Every value of {name!r} lies beyond {key} {config[key]!r}, which its type cannot hold")
+            c = F.when(beyond, limit).otherwise(c)
     else:
         c = c * float(config.get("factor", 1)) + float(config.get("offset", 0))
     return c, is_nullable(flow, name)

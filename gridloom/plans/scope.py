@@ -17,7 +17,10 @@ from ..sources import tables
 from ..types import ROW_ID, fields_of, quoted, validate_fields
 
 ALIAS_PATTERN = r"\bdataset_[A-Za-z0-9_]+\b"
-CTE_PATTERN = r"(?i)(?:\bwith\b(?:\s+recursive\b)?|,|\))\s*(\w+)\s*(?:\([^()]*\))?\s*(?:max\s+recursion\s+level\s+\d+\s*)?\bas\s*\("
+# Leaves of an analysed plan that hold no stored rows: literals, row generators, references to a CTE of the query.
+OWN_LEAVES = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef")
+# Spark's conditions for a name that stands for no table.
+NOT_FOUND = ("TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND", "CATALOG_NOT_FOUND", "SINGLE_PART_NAMESPACE")
 # Settings of the scope itself, and of where the catalog lies.
 KEPT_SETTINGS = ("spark.sql.runSQLOnFiles", "spark.sql.warehouse.dir", "spark.sql.catalogImplementation")
 
@@ -47,31 +50,16 @@ class Scope:
         unknown = set(re.findall(ALIAS_PATTERN, guard.bare(clean))) - set(self.tables)
         if unknown:
             raise WorkspaceError("sql_unknown_dataset", f"Not in the project: {', '.join(sorted(unknown))}")
-        self._refuse_stored_tables(clean)
         try:
             result = self._session.sql(f"SELECT * FROM (\n{clean}\n) AS query_result")
         except ParseException as error:
             raise WorkspaceError("sql_invalid", _first_line(error)) from None
         except AnalysisException as error:
-            missing = "TABLE_OR_VIEW_NOT_FOUND" in str(error)
+            missing = any(condition in str(error) for condition in NOT_FOUND)
             raise WorkspaceError("sql_unknown_dataset" if missing else "sql_invalid", _first_line(error)) from None
+        _refuse_stored_tables(result._jdf.queryExecution().analyzed())
         return result.drop(ROW_ID)
 
-    def _refuse_stored_tables(self, sql: str) -> None:
-        """A new session still sees the shared catalog; its tables are outside the project.
-
-        Spark's parser says which names stand for relations; columns of any name are free.
-        """
-        try:
-            parsed = self._session._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
-        except ParseException as error:
-            raise WorkspaceError("sql_invalid", _first_line(error)) from None
-        plain = guard.bare(guard.QUOTED_NAME.sub(r"\1", sql))
-        own = {t.lower() for t in self.tables} | {n.lower() for n in re.findall(CTE_PATTERN, plain)}
-        for relation in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed):
-            if relation.lower() not in own:
-                raise WorkspaceError("sql_unknown_dataset", f"Not in the project: {relation.replace(', ', '.')}")
-
     def run(self, sql: str, limit: int | None = None) -> DataFrame:
         """The rows of a query, or the first ``limit``; an ORDER BY in it decides which."""
         result = self.query(sql)
@@ -97,6 +85,23 @@ class Scope:
         return self._session.createDataFrame(rows, schema)
 
 
+def _refuse_stored_tables(plan) -> None:
+    """A new session still sees the shared catalog; its tables are outside the project.
+
+    Walks the analysed plan, where every name is resolved: whatever is below a temporary view is the scope's own; any
+    other leaf is a stored table or file, by whatever name, CTE or subquery the text has come to it.
+    """
+    kind = plan.getClass().getSimpleName()
+    own = kind == "View" and plan.isTempView() and plan.desc().identifier().database().isEmpty()  # a global view has a database
+    if own:
+        return
+    below = [seq.apply(i) for seq in (plan.children(), plan.subqueries()) for i in range(seq.size())]
+    if kind == "View" or not below and kind.rstrip("$") not in OWN_LEAVES:
+        raise WorkspaceError("sql_unknown_dataset", f"Not in the project: {plan.simpleString(5)}")
+    for child in below:
+        _refuse_stored_tables(child)
+
+
 def _first_line(error: Exception) -> str:
     return str(error).strip().splitlines()[0]
 

@@ -247,6 +247,67 @@ def c10_fraction(spark, sf):
     return df.withColumn("below", conditions.build(of("<", 2.5), df.schema)).withColumn("above", conditions.build(of(">=", 2.5), df.schema))
 
 
+BOUND_OPERATORS = {"eq": "=", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+BOUNDS_ON_TENTHS = {"between_two": "20.25", "on_one": "20.3", "beyond": "1000000000000"}
+TENTHS = "CAST((CAST(l_quantity AS BIGINT) * 10 + l_linenumber)::DECIMAL(12,1) * 0.1::DECIMAL(2,1) AS DECIMAL(12,1))"
+
+
+def compared(df, field: str, bounds: dict):
+    """A boolean column for each operator and bound."""
+    build = lambda op, value: conditions.build({"field": field, "op": op, "value": value}, df.schema)
+    return df.select("*", *[
+        build(op, value).alias(f"{name}_{label}") for label, value in bounds.items() for name, op in BOUND_OPERATORS.items()
+    ])
+
+
+def compared_sql(field: str, bounds: dict) -> str:
+    return ", ".join(
+        f"{field} {op.replace('!=', '<>')} {value} AS {name}_{label}" for label, value in bounds.items() for name, op in BOUND_OPERATORS.items()
+    )
+
+
+@register(
+    "c10_decimal_bounds",
+    f"""SELECT l_orderkey, l_linenumber, v IN (20.3, 20.25, 1000000000000) AS listed, v BETWEEN 20.25 AND 30.05 AS between_bounds,
+    {compared_sql('v', BOUNDS_ON_TENTHS)} FROM (SELECT l_orderkey, l_linenumber, {TENTHS} AS v FROM lineitem)""",
+)
+def c10_decimals(spark, sf):
+    """Bounds with more places than the field, or beyond its digits, are compared as they are."""
+    ten = F.lit(10).cast("decimal(12,0)")
+    v = F.col("l_quantity").cast("decimal(12,1)") + F.col("l_linenumber").cast("decimal(12,1)") / ten
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", v.cast("decimal(12,1)").alias("v"))
+    one = lambda op, value: conditions.build({"field": "v", "op": op, "value": value}, df.schema)
+    out = compared(df, "v", {k: float(b) for k, b in BOUNDS_ON_TENTHS.items()})
+    listed, inside = one("in", [20.3, "20.25", 10**12]), one("between", [20.25, "30.05"])
+    return out.select("*", listed.alias("listed"), inside.alias("between_bounds")).drop("v")
+
+
+BOUNDS_ON_INTEGERS = {"above": "5000000000", "below": "-5000000000", "inside": "3"}
+
+
+@register(
+    "c10_int_beyond_range",
+    f"""SELECT o_orderkey, v IN (3, 5000000000) AS listed, v NOT IN (3, 5000000000) AS unlisted,
+    {compared_sql('v', BOUNDS_ON_INTEGERS)} FROM (SELECT o_orderkey, CAST(o_custkey % 7 AS INTEGER) AS v FROM orders)""",
+)
+def c10_int(spark, sf):
+    """Bounds that the field's type cannot hold are beyond every value; none ends the query."""
+    df = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 7).cast("int").alias("v"))
+    one = lambda op: conditions.build({"field": "v", "op": op, "value": [3, 5 * 10**9]}, df.schema)
+    out = compared(df, "v", {k: int(b) for k, b in BOUNDS_ON_INTEGERS.items()})
+    return out.select("*", one("in").alias("listed"), one("not_in").alias("unlisted")).drop("v")
+
+
+@register(
+    "c18_clip_large",
+    """SELECT o_orderkey, least(greatest(9007199254740992 + o_orderkey, 9007199254741993), 9007199254742995) AS clipped FROM orders""",
+)
+def c18_large(spark, sf):
+    """Whole-number bounds above 2^53 are kept to the last digit."""
+    df = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") + F.lit(2**53)).alias("clipped"))
+    return apply(df, ("numeric", {"field": "clipped", "action": "clip", "min": 2**53 + 1001, "max": 2**53 + 2003}))
+
+
 @register(
     "c14_merge_decimals",
     """SELECT o_orderkey, v::VARCHAR || '/' || o_orderstatus AS merged

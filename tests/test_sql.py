@@ -130,3 +130,52 @@ def test_metadata(scope):
     assert [(r.field_name, r.inferred_type, r.row_count) for r in rows] == [
         ("customer", "text", 2), ("amount", "decimal", 2), ("region", "text", 2),
     ]
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """A stored table and a stored view beside the scope."""
+    path = str(tmp_path_factory.mktemp("stored") / "secret")
+    spark.range(3).write.parquet(path)
+    spark.sql(f"CREATE TABLE secret USING parquet LOCATION '{path}'")
+    spark.sql("CREATE VIEW secret_view AS SELECT * FROM secret")
+    yield "secret"
+    spark.sql("DROP VIEW secret_view")
+    spark.sql("DROP TABLE secret")
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT * FROM secret",
+        "SELECT * FROM secret_view",
+        "SELECT * FROM default.secret",
+        "SELECT * FROM spark_catalog.default.secret",
+        "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+        "SELECT * FROM secret WHERE EXISTS (WITH secret AS (SELECT 1 AS k) SELECT * FROM secret)",
+        "SELECT * FROM dataset_orders WHERE 1 IN (SELECT id FROM secret)",
+        "SELECT (SELECT max(id) FROM secret) AS m",
+        "SELECT * FROM dataset_orders, LATERAL (SELECT id FROM secret WHERE id > amount)",
+        "WITH a AS (SELECT 1 AS x), b AS (SELECT * FROM secret) SELECT * FROM a",
+    ],
+)
+def test_stored_tables_stay_outside(scope, stored, sql):
+    assert code_of(scope.query, sql) == "sql_unknown_dataset"
+
+
+@pytest.mark.parametrize(
+    ("sql", "rows"),
+    [
+        ("WITH secret AS (SELECT 1 AS k) SELECT * FROM secret", 1),
+        ("WITH `odd name` (k) AS (SELECT 1) SELECT * FROM `odd name` WHERE EXISTS (WITH x AS (SELECT 1) SELECT * FROM x)", 1),
+        ("SELECT * FROM VALUES (1), (2) AS t(v) JOIN range(2) ON v > id", 3),
+        ("WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r", 3),
+        ("SELECT customer FROM dataset_orders WHERE amount = (SELECT max(amount) FROM dataset_orders)", 1),
+    ],
+)
+def test_own_names_are_free(scope, stored, sql, rows):
+    assert scope.run(sql).count() == rows
+
+
+def test_views_over_stored_tables_may_be_given(spark, stored):
+    assert Scope(spark, {"dataset_given": spark.table(stored)}).run("SELECT * FROM dataset_given").count() == 3
