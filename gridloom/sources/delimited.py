@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from ..errors import WorkspaceError
@@ -13,7 +13,6 @@ from ..types import Field, validate_fields
 
 # The file types an import takes.
 CSV_SUFFIXES, WORKBOOK_SUFFIXES = (".csv",), (".xlsx", ".xlsm")
-TORN = "_torn_line"  # raw text of lines whose number of cells is not the header's
 OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": "UTF-8"}
 
 
@@ -42,17 +41,22 @@ def text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def is_torn(line: Column) -> Column:
-    """A line with an odd number of quotes: a quoted line break cut it off."""
-    return F.coalesce(F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1, F.lit(False))
+def has_torn_line(spark: SparkSession, paths: str | Sequence[str]) -> bool:
+    """Whether any line has an odd number of quotes: a line break inside quotes cut it off.
+
+    Looks at the raw lines, whatever cells they fall into; one scan without parsing.
+    """
+    lines = spark.read.text([paths] if isinstance(paths, str) else list(paths))
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    return bool(lines.agg(F.max(odd)).first()[0])
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False, torn: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
     """Read CSV files that share one header, all cells as text.
 
     Short rows are padded with null, extra cells dropped, empty lines skipped.  ``multi_line`` allows
-    line breaks inside quotes at the price of one task per file; without it files are split. ``torn``
-    adds the column ``TORN``, by which an import notices such line breaks.
+    line breaks inside quotes at the price of one task per file; without it files are split.
+    ``records.read_records`` allows both.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     for path in paths:
@@ -69,10 +73,6 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool =
     if len(files) > 1 and names != raw:
         _check_headers(reader, paths, raw)
     # unchanged names can be checked by Spark, file by file, as it reads
-    if torn and not multi_line:
-        reader = reader.option("columnNameOfCorruptRecord", TORN)
-        names = [*names, TORN]
-        return reader.schema(text_schema(names)).csv(paths, header=True, enforceSchema=names[:-1] != raw)
     return reader.schema(text_schema(names)).csv(paths, header=True, enforceSchema=names != raw)
 
 

@@ -40,6 +40,23 @@ def a1_multi_line(spark, sf):
     return df.select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
+@register(
+    "a1_csv_multi_line_split",
+    """SELECT row_number() OVER (ORDER BY doc_id) AS _das_row_id, doc_id, sha256(nullif(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '')) AS digest,
+    lang, source, n_chars FROM documents""",
+)
+def a1_multi_line_split(spark, sf):
+    """All documents from two large files, cut into many tasks inside their quoted texts, typed and numbered in file order."""
+    path = drop_csv(table(spark, sf, "documents"), "doc_id", files=2)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+        out, _ = imports.import_csv(spark, path, fresh_path(spark, "table"), multi_line="split")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    return out.withColumn("digest", F.sha2("text", 256)).drop("text")
+
+
 @register("a2_header_names", "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, c_mktsegment AS name_2, CAST(c_nationkey AS VARCHAR) AS column_4 FROM customer")
 def a2(spark, sf):
     df = table(spark, sf, "customer")

@@ -1,10 +1,13 @@
+import csv
+import io
 import pathlib
+import random
 
 import pytest
 from conftest import code_of
 from pyspark.sql import functions as F
 
-from gridloom import ROW_ID, Catalog, Field, delimited, imports, row_id, tables, workbooks
+from gridloom import ROW_ID, Catalog, Field, delimited, imports, records, row_id, tables, workbooks
 from gridloom.functions.names import normalize_headers
 from suite.workbook_bytes import workbook
 
@@ -260,3 +263,58 @@ def test_a_quoted_line_break_is_noticed(spark, folder):
     assert [(f.name, f.type) for f in found.fields] == [("id", "integer"), ("note", "text")] and found.row_count == 2
     put(folder, "short/a.csv", 'id,note\n1\n2,b,extra\n3,"c ""q"""\n')
     assert imports.scan_csv(spark, folder("short")).row_count == 3
+
+
+def test_torn_lines_of_equal_width_are_noticed(spark, folder):
+    path = put(folder, "equal.csv", 'id,note\n1,"two\nx, lines"\n2,plain\n')
+    assert code_of(imports.scan_csv, spark, path) == "file_parse_failed"
+    found = imports.scan_csv(spark, path, multi_line="split")
+    assert [tuple(r) for r in found.numbered().orderBy(ROW_ID).collect()] == [(1, 1, "two\nx, lines"), (2, 2, "plain")]
+
+
+@pytest.mark.parametrize("block", [16, 40, 1 << 20])
+def test_split_records_at_any_border(spark, folder, block):
+    """Whatever bytes a file is cut at, records, cells and ids are those of a plain reader."""
+    rng = random.Random(block)
+    bits = ["a", "\n", "\n\n", '"', '""', ",", "é漢", " ", "\n,\n", "x\ty", ""]
+    want = []
+    for f in range(2):
+        out = io.StringIO(newline="")
+        writer = csv.writer(out, lineterminator="\n")
+        writer.writerow(["id", "no\nte", "z"])
+        for i in range(25):
+            row = [str(len(want)), "".join(rng.choice(bits) for _ in range(rng.randrange(6))), rng.choice(["", "p", "q\nr"])]
+            want.append(row)
+            writer.writerow(row)
+            if rng.random() < 0.2:
+                out.write("  \n")
+        put(folder, f"border{block}/part-0000{f}.csv", out.getvalue())
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        df = records.read_records(spark, folder(f"border{block}"))
+        counted = df.groupBy(row_id.PATH, row_id.BLOCK).agg(F.count(F.lit(1)).alias("rows"), F.min(row_id.MARK).alias("first_mark"))
+        got = row_id.number_splits(df, counted).orderBy(ROW_ID).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got[0].__fields__ == [ROW_ID, "id", "no\nte", "z"]
+    assert [r[0] for r in got] == list(range(1, len(want) + 1))
+    plain = lambda text: text or None
+    assert [[plain(c) for c in r[1:]] for r in got] == [[plain(c) for c in r] for r in want]
+
+
+@pytest.mark.parametrize("text", ['id,a\n1,"open\n2,b\n', 'id,a\n1,5" pipe\n2,b\n3,6" pipe\n'])
+def test_quotes_that_do_not_pair_are_refused(spark, folder, text):
+    assert code_of(records.read_records, spark, put(folder, f"unpaired{len(text)}.csv", text)) == "file_parse_failed"
+
+
+def test_split_records_of_odd_files(spark, folder):
+    assert code_of(records.read_records, spark, put(folder, "nothing.csv", "")) == "empty_file"
+    put(folder, "heads/a.csv", "id,a\n1,x\n")
+    put(folder, "heads/b.csv", "id,b\n1,x\n")
+    assert code_of(records.read_records, spark, folder("heads")) == "file_header_mismatch"
+    crlf = put(folder, "crlf.csv", 'id,a,\r\n1,"x ""y""",z\r\n2\r\n3,b,c,d\r\n')
+    got = records.read_records(spark, crlf).drop(row_id.PATH, row_id.BLOCK, row_id.MARK)
+    assert got.columns == ["id", "a", "column_3"]
+    assert sorted(map(tuple, got.collect()), key=str) == [("1", 'x "y"', "z"), ("2", None, None), ("3", "b", "c")]
+    assert records.read_records(spark, put(folder, "headonly.csv", "id,a\n")).count() == 0
