@@ -6,12 +6,13 @@ from .operators.steps import Step
 from .plans import catalog, imports, recipe
 from .plans.catalog import Catalog
 from .plans.scope import Scope
+from .plans.workspace import CommitLog, Workspace
 from .sources import databases, delimited, records, tables, workbooks
 from .streaming import drops
 from .types import ROW_ID, Field
 
 __all__ = [
-    "Catalog", "Field", "ROW_ID", "Scope", "Step", "WorkspaceError", "activity", "catalog", "chart",
+    "Catalog", "CommitLog", "Field", "ROW_ID", "Scope", "Step", "WorkspaceError", "activity", "catalog", "chart",
     "databases", "delimited", "drops", "guard", "imports", "infer", "lineage", "profile", "quantiles",
-    "recipe", "records", "row_id", "steps", "tables", "workbooks",
+    "recipe", "records", "row_id", "steps", "tables", "workbooks", "Workspace",
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import astuple, dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from ..errors import WorkspaceError
-from ..session import fresh_path
+from ..session import fresh_path, stage
 
 EDGE_COLUMNS = (
     "project_id", "source_type", "source_id", "target_type", "target_id", "transform_type", "transform_id"
@@ -83,33 +84,70 @@ def append(new_edges: DataFrame, path: str) -> None:
     new_edges.select(*EDGE_COLUMNS).write.mode("append").parquet(path)
 
 
-def trace(edge_df: DataFrame, start: Sequence[tuple[str, str]], direction: str = "downstream") -> DataFrame:
+#: A node with more neighbours than this has them dealt over several parts.
+HUB_LINKS = 1_000_000
+
+
+class Adjacency:
+    """The links of all edges in one direction, distinct, written once and bucketed by the node they leave.
+
+    A level of a trace joins its frontier to the buckets: only the frontier moves. The neighbours of a hub lie in
+    several parts, each in a bucket of its own, and the frontier asks for each part.
+    """
+
+    KEYS = ("from_type", "from_id", "part")
+
+    def __init__(self, edge_df: DataFrame, direction: str, hub_links: int = HUB_LINKS):
+        if direction not in ("downstream", "upstream"):
+            raise WorkspaceError("invalid_lineage_direction", "direction is downstream or upstream")
+        here, there = ("source", "target") if direction == "downstream" else ("target", "source")
+        self.spark = edge_df.sparkSession
+        links = stage(edge_df.select(
+            F.col(f"{here}_type").alias("from_type"), F.col(f"{here}_id").alias("from_id"),
+            F.col(f"{there}_type").alias("node_type"), F.col(f"{there}_id").alias("node_id"),
+        ).distinct(), "links")
+        degree = links.groupBy("from_type", "from_id").agg(F.count(F.lit(1)).alias("links")).where(F.col("links") > hub_links)
+        self.hubs = stage(degree.select("from_type", "from_id", F.ceil(F.col("links") / hub_links).alias("parts")), "hubs")
+        part = F.coalesce(F.pmod(F.xxhash64("node_type", "node_id"), F.col("parts")), F.lit(0))
+        dealt = links.join(self.hubs, ["from_type", "from_id"], "left").select(*links.columns, part.alias("part"))
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.table, path = f"lineage_{uuid.uuid4().hex}", fresh_path(self.spark, "adjacency")
+        bucketed = dealt.repartition(buckets, *self.KEYS).write.bucketBy(buckets, *self.KEYS).sortBy(*self.KEYS)
+        bucketed.option("path", path).saveAsTable(self.table)
+
+    def step(self, nodes: DataFrame) -> DataFrame:
+        """The distinct neighbours of some nodes."""
+        asked = nodes.select(F.col("node_type").alias("from_type"), F.col("node_id").alias("from_id")).join(self.hubs, ["from_type", "from_id"], "left")
+        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+        asked = asked.select("from_type", "from_id", parts)
+        return self.spark.table(self.table).join(asked, list(self.KEYS), "left_semi").select(*NODE_COLUMNS).distinct()
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def trace(edge_df: DataFrame, start: Sequence[tuple[str, str]], direction: str = "downstream", hub_links: int = HUB_LINKS) -> DataFrame:
     """Every asset reachable from ``start`` with its distance: (node_type, node_id, depth).
 
-    Level by level: one join of the edges with the newest level, without the nodes already seen, so
-    cycles end.  Each level is written to the shared folder, which keeps the plan short and the work
-    safe from lost executors.
+    The edges are read once, into an adjacency; then level by level the newest nodes ask it for their neighbours,
+    without the nodes already seen, so cycles end.  Each level is written to the shared folder, which keeps the plan
+    short and the work safe from lost executors.
     """
-    if direction not in ("downstream", "upstream"):
-        raise WorkspaceError("invalid_lineage_direction", "direction is downstream or upstream")
-    here, there = ("source", "target") if direction == "downstream" else ("target", "source")
-    links = edge_df.select(
-        F.col(f"{here}_type").alias("from_type"), F.col(f"{here}_id").alias("from_id"),
-        F.col(f"{there}_type").alias("node_type"), F.col(f"{there}_id").alias("node_id"),
-    )
+    links = Adjacency(edge_df, direction, hub_links)
     spark, path = edge_df.sparkSession, fresh_path(edge_df.sparkSession, "lineage")
     depth = 0
     fresh = spark.createDataFrame([(t, i) for t, i in start], "node_type string, node_id string").distinct()
-    while True:
-        # one folder per level: the plan of a level does not grow with the depth
-        found = Observation()
-        level = fresh.observe(found, F.count(F.lit(1)).alias("nodes"))
-        level.write.parquet(f"{path}/depth={depth}")
-        seen = spark.read.schema("node_type string, node_id string, depth int").parquet(path)
-        if not found.get["nodes"]:
-            return seen
-        newest = seen.filter(F.col("depth") == depth)
-        reached = newest.select(F.col("node_type").alias("from_type"), F.col("node_id").alias("from_id"))
-        step = links.join(reached, ["from_type", "from_id"], "left_semi").select(*NODE_COLUMNS).distinct()
-        fresh = step.join(seen, list(NODE_COLUMNS), "left_anti")
-        depth += 1
+    try:
+        while True:
+            # one folder per level: the plan of a level does not grow with the depth
+            found = Observation()
+            level = fresh.observe(found, F.count(F.lit(1)).alias("nodes"))
+            level.write.parquet(f"{path}/depth={depth}")
+            seen = spark.read.schema("node_type string, node_id string, depth int").parquet(path)
+            if not found.get["nodes"]:
+                return seen
+            newest = spark.read.schema("node_type string, node_id string").parquet(f"{path}/depth={depth}")
+            fresh = links.step(newest).join(seen, list(NODE_COLUMNS), "left_anti")
+            depth += 1
+    finally:
+        links.drop()

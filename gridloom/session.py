@@ -75,3 +75,10 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     df.write.parquet(path)
     _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file of the caller's own; one that is not there is no error."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

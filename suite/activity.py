@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom import activity, lineage
+from gridloom import Scope, Step, Workspace, activity, lineage
 from gridloom.plans.scope import view_edges
 from gridloom.session import fresh_path
 
@@ -149,3 +149,53 @@ def h6(spark, sf):
     rows = activity.log_query(users, F.col("text"), F.length("text")).select("conv_id", "turn", "action", "detail")
     other = df.filter("role <> 'user'").select("conv_id", "turn", F.lit("chart.created").alias("action"), F.lit("{}").alias("detail"))
     return activity.query_history(rows.unionByName(other))
+
+
+RUNS = (
+    "SELECT o_orderstatus, count(*) AS n FROM dataset_orders GROUP BY 1",
+    "SELECT o_orderkey FROM dataset_orders WHERE o_totalprice > 100000",
+    "SELECT o_custkey, max(o_totalprice) AS most FROM dataset_large GROUP BY o_custkey",
+)
+
+
+def published(spark, sf) -> Workspace:
+    """Orders and a table derived from them by a recipe with a counter, published by commits."""
+    ws = Workspace(spark, fresh_path(spark, "workspace"))
+    made = lineage.Edge("p1", "external_database_table", "orders", "dataset", "orders", "external_table_import", "orders")
+    orders = table(spark, sf, "orders")
+    ws.add("p1", "orders", orders, made, asset_id="orders")
+    large = {"condition": {"field": "o_totalprice", "op": ">", "value": 50000}}
+    ws.execute("p1", "large", "orders", "recipe-1", [Step("filter_rows", 0, large), Step("deduplicate", 1, {"fields": ["o_custkey", "o_orderpriority"]})], asset_id="large")
+    return ws
+
+
+@register(
+    "h6_run_log",
+    f"""WITH dataset_orders AS (SELECT * FROM orders),
+    dataset_large AS (SELECT DISTINCT ON (o_custkey, o_orderpriority) * FROM orders WHERE o_totalprice > 50000 ORDER BY o_custkey, o_orderpriority, o_orderkey)
+    {' UNION ALL '.join(f"SELECT '{q}' AS sql, (SELECT count(*) FROM ({q})) AS row_count" for q in RUNS)}""",
+)
+def h6_log(spark, sf):
+    """Executed queries and their row counts, read back from the commit log."""
+    ws = published(spark, sf)
+    scope = Scope(spark, {"dataset_orders": ws.open("orders"), "dataset_large": ws.open("large")})
+    for sql in RUNS:
+        ws.run("p1", scope, sql)
+    return ws.history("p1").select("sql", "row_count")
+
+
+@register(
+    "c8_execution_edges",
+    """SELECT * FROM (VALUES
+    ('external_database_table', 'orders', 'dataset', 'orders', 'external_table_import', 'orders', (SELECT count(*) FROM orders)),
+    ('dataset', 'orders', 'dataset', 'large', 'cleaning_recipe_execution', 'recipe-1',
+     (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_totalprice > 50000))),
+    ('cleaning_recipe', 'recipe-1', 'dataset', 'large', 'cleaning_recipe_execution', 'recipe-1',
+     (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_totalprice > 50000))))
+    t(source_type, source_id, target_type, target_id, transform_type, transform_id, row_count)""",
+)
+def c8_edges(spark, sf):
+    """The edges of published transforms with the row counts of the tables they made, read back from the commit log."""
+    ws = published(spark, sf)
+    made = ws.commits.tables().select(F.col("id").alias("target_id"), "row_count")
+    return ws.commits.edges().drop("project_id").join(made, "target_id")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from gridloom import activity
+from gridloom import activity, lineage
 from gridloom.functions import names
 
 
@@ -51,3 +51,33 @@ def test_stable_references(spark):
 
     digest = hashlib.sha256(long_id.encode()).hexdigest()[:24]
     assert got == [f"sql_query_{hashlib.sha256(b'SELECT 1').hexdigest()[:24]}", "d1", f"web_page_{digest}", "v", f"source_{digest}"]
+
+
+def test_a_long_chain_with_cycles_and_a_hub(spark):
+    """Twenty levels, a way back from every fourth node, and a hub whose neighbours lie in parts."""
+    chain = [lineage.Edge("p", "n", str(i), "n", str(i + 1)) for i in range(20)]
+    back = [lineage.Edge("p", "n", str(i), "n", "0") for i in range(0, 20, 4)]
+    hub = [lineage.Edge("p", "n", "20", "leaf", str(i)) for i in range(200)]
+    edges = lineage.edges(spark, chain + back + hub + chain)
+    for hub_links in (lineage.HUB_LINKS, 30):
+        got = {(r.node_type, r.node_id): r.depth for r in lineage.trace(edges, [("n", "0")], hub_links=hub_links).collect()}
+        assert got == {("n", str(i)): i for i in range(21)} | {("leaf", str(i)): 21 for i in range(200)}
+    up = {(r.node_type, r.node_id): r.depth for r in lineage.trace(edges, [("leaf", "7")], "upstream").collect()}
+    assert up == {("leaf", "7"): 0} | {("n", str(i)): 21 - i for i in range(21)}
+
+
+def test_a_level_moves_no_edges(spark):
+    edges = lineage.edges(spark, [lineage.Edge("p", "n", str(i), "n", str(i + 1)) for i in range(50)])
+    links = lineage.Adjacency(edges, "downstream")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        nodes = spark.createDataFrame([("n", "3"), ("n", "8")], "node_type string, node_id string")
+        plan = links.step(nodes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    scan = plan[:plan.index(links.table)]
+    assert "SortMergeJoin" in scan and "Exchange" not in scan[scan.rindex("SortMergeJoin"):]
+    assert sorted(r.node_id for r in links.step(nodes).collect()) == ["4", "9"]
+    links.drop()
+    assert not spark.catalog.tableExists(links.table)
