@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import pylist, register, schema_of, slices, table
 
 NONE = np.int64(1) << 40
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 CACHE_WORD_BYTES = 200
 
 # The split pattern, and the characters newer than the Unicode version (16) that the
@@ -199,6 +199,10 @@ class Coder:
         token = self.vocabulary.bytes
         return {w: ",".join(map(str, c)) for w, c in zip(words, cuts)}, {w: b"".join([token[i] for i in c]) for w, c in zip(words, cuts)}
 
+    def forget(self) -> None:
+        """Drop the words; the vocabulary stays."""
+        self.ids, self.back, self.older = {}, {}, ({}, {})
+
     def run(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(tokens, ids joined by commas, decoded text) of each text; equal texts are coded once."""
         distinct = list(dict.fromkeys(texts))
@@ -268,6 +272,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 schema=pa.schema([batch.schema.field(0), *fields]),
             )
+        coder.forget()  # the worker may serve other stages next
 
     return rows.mapInArrow(run, schema)
 
