@@ -249,7 +249,7 @@ def summary(df: DataFrame, *, approximate: bool = False) -> DataFrame:
     )
     medians = (
         quantiles.sketched(long, ["field"], "value", [0.5]) if approximate
-        else quantiles.exact(long, ["field"], "value", [0.5])
+        else quantiles.exact(long, ["field"], "value", [0.5], few_groups=True)
     )
     joined = basics.join(medians, "field", "left").withColumn("order", F.col("field").cast("int"))
     named = _field_facts(df).select("order", "name").join(joined, "order")

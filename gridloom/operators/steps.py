@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..errors import WorkspaceError
 from ..functions import cells, conditions
-from ..session import stage
 from ..types import (
     BOOLEAN, DATE, DATETIME, DECIMAL, INTEGER, ROW_ID, SPARK_TYPES, column, field_type, quoted,
 )
@@ -574,8 +573,7 @@ def flag_outliers(flow: Flow, config: dict) -> Flow:
         bounds = limits.scalar()
         outside = (column(name) < bounds["low"]) | (column(name) > bounds["high"])
         return add(flow, target, F.coalesce(outside, F.lit(False)))
-    # one row per group; once written its size is known, so Spark broadcasts it only if it is small
-    limits = stage(limits, "limits")
+    # one row per group; Spark broadcasts it only if it turns out small
     match = [column(k).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)]
     outside = (column(name) < F.col("limits.low")) | (column(name) > F.col("limits.high"))
     joined = flow.df.join(limits, match, "left")

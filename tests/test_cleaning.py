@@ -151,6 +151,35 @@ def test_exact_quantiles_of_a_skewed_table(spark):
     assert whole.q0 == pytest.approx(np.median([v for _, v in data if v is not None]))
 
 
+def test_brackets_are_narrowed_and_exact(spark):
+    """A coarse sketch and small brackets: groups far larger than both, with ties, infinities and NaN."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = [("a", float(v)) for v in rng.normal(size=20_000)] + [("ties", float(v)) for v in rng.integers(0, 3, 9000)]
+    data += [("nan", v) for v in [float("nan")] * 300 + [float("inf")] * 200 + [1.0] * 500]
+    df = spark.createDataFrame(data, "g string, v double").repartition(4)
+    probabilities = [0.0, 0.01, 0.25, 0.333, 0.5, 0.75, 0.999, 1.0]
+    for few in (False, True):
+        found = quantiles.exact(df, ["g"], "v", probabilities, few_groups=few, accuracy=200, bracket_rows=50)
+        got = {r[0]: list(r)[1:] for r in found.collect()}
+        for g in ("a", "ties"):
+            assert got[g] == pytest.approx(list(np.quantile([v for k, v in data if k == g], probabilities)), abs=1e-12)
+        assert got["nan"][:3] == [1.0, 1.0, 1.0] and got["nan"][4] == float("inf") and all(np.isnan(got["nan"][5:]))
+
+
+def test_quantiles_start_no_job_and_sort_nothing(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS g", "CAST(id AS DOUBLE) AS v")
+    tracker, group = spark.sparkContext.statusTracker(), "quantiles-laziness"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        flagged = recipe.apply_steps(df, [Step("flag_outliers", 0, {"field": "v", "method": "iqr", "group_by": ["g"], "target": "far"})])
+        assert not tracker.getJobIdsForGroup(group)
+        assert "rangepartitioning" not in flagged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_lineage_trace_ends_on_cycles(spark):
     steps = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("x", "d")]
     edges = lineage.edges(spark, [lineage.Edge("p", "t", s, "t", t) for s, t in steps])
