@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,9 +118,9 @@ class KeyFilter:
         """As a column; only the keys go to Python."""
         test = self.may_hold
 
-        @F.pandas_udf("boolean")
-        def may_hold(key: pd.Series) -> pd.Series:
-            return pd.Series(test(key.to_numpy()))
+        @F.arrow_udf("boolean")
+        def may_hold(key: pa.Array) -> pa.Array:
+            return pa.array(test(key.to_numpy(zero_copy_only=False)))
 
         return may_hold(key)
 
