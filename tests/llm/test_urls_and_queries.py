@@ -102,3 +102,30 @@ def test_run_is_the_last_stage(spark):
     if not os.path.isdir(SF_DIR):
         pytest.skip("no test tables")
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(corpus_pipeline.run(spark, SF_DIR).columns)
+
+
+def test_unlabelled_branches_are_judged_by_those_alike(spark):
+    """Branches with the same spread of templates share counts; one with another spread keeps its own and is allowed."""
+    urls = [f"http://h/{b}/{b}{i}{end}" for b in ("bad", "twin") for i in range(20) for end in ("", "/x")]
+    urls += [f"http://h/other/o{i}" for i in range(40)]
+    urls += [f"http://calm/{b}/{b}{i}" for b in ("good", "twin") for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = url_filter.filter_urls(df, rules=(("block", "h/bad/"), ("allow", "calm/good/")))
+    verdicts = {(r["host"], r["template"], r["verdict"]) for r in got.where("rule is null").select("host", "template", "verdict").distinct().collect()}
+    assert verdicts == {
+        ("h", "/twin/*", "block"), ("h", "/twin/*/x", "block"), ("h", "/other/*", "allow"), ("calm", "/twin/*", "allow"),
+    }
+
+
+def test_levels_below_variable_words_are_counted_together(spark):
+    words = "ash beech cedar date elm fir gum hazel".split()
+    pages = [(i, f"http://h/user/{w}/{v}{w}") for i, (w, v) in enumerate((w, v) for w in words for v in ("in", "out"))]
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id bigint, url string"), rules=())
+    assert {r["template"] for r in got.select("template").distinct().collect()} == {"/user/*/*"}
+
+
+@data
+def test_the_tree_rejects_pages_that_no_rule_fits(spark):
+    pages = spark.read.parquet(f"{os.path.dirname(SF_DIR)}/sf0.1/pages.parquet")
+    free = url_filter.filter_urls(pages).where("rule is null").groupBy("verdict").count().collect()
+    assert {r["verdict"] for r in free} == {"allow", "block"}
