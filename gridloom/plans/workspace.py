@@ -4,9 +4,6 @@ Data is written first, to a folder that nothing refers to yet. Then one numbered
 table, its edges and its log rows visible together. An entry is a file that is created only if it is absent, so of two
 writers of one number exactly one wins; the other looks at what was committed meanwhile and tries the next number,
 unless its table's name has been taken: then it gives up and deletes its own data. Readers see whole commits only.
-
-Creating a file if absent is a hard link on a local file system and a rename without overwriting elsewhere; the file system
-has to make that atomic, as HDFS does.
 """
 
 from __future__ import annotations
@@ -18,14 +15,13 @@ import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import WorkspaceError
 from ..operators import activity, lineage
 from ..operators.steps import Step
-from ..session import drop_path
+from ..session import create_if_absent, drop_path
 from ..sources import tables
 from ..types import Field, fields_of
 from . import catalog, imports, recipe
@@ -58,26 +54,7 @@ class CommitLog:
 
     def _create(self, version: int, text: str) -> bool:
         """Create the entry with its whole content; False where it is there already."""
-        draft = self._path(f"{self.root}/log/.{uuid.uuid4().hex}")
-        entry = self._path(f"{self.root}/log/{version:020d}.json")
-        out = self._files.create(draft, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        try:
-            if self._files.getUri().getScheme() == "file":
-                local = [self._jvm.java.io.File(self._files.makeQualified(p).toUri().getPath()).toPath() for p in (entry, draft)]
-                self._jvm.java.nio.file.Files.createLink(*local)
-            else:
-                hadoop = self._jvm.org.apache.hadoop.fs
-                plain = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
-                hadoop.FileContext.getFileContext(self._files.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, entry, plain)
-        except Py4JJavaError as error:
-            if "FileAlreadyExists" in error.java_exception.getClass().getName():
-                return False
-            raise
-        finally:
-            self._files.delete(draft, False)
-        return True
+        return create_if_absent(self.spark, f"{self.root}/log/{version:020d}.json", text)
 
     def entries(self, after: int = 0) -> DataFrame:
         """Whole commits: (version, committed_at, table, edges, log)."""

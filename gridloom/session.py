@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import WorkspaceError
@@ -82,3 +83,34 @@ def drop_path(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     folder = context._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with its whole content; False where it is there already.
+
+    This is a hard link on a local file system and a rename without overwriting elsewhere; the file system has to make
+    that atomic, as HDFS does.
+    """
+    context = spark.sparkContext
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    entry = jvm.org.apache.hadoop.fs.Path(path)
+    draft = jvm.org.apache.hadoop.fs.Path(entry.getParent(), f".{uuid.uuid4().hex}")
+    files = entry.getFileSystem(conf)
+    out = files.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if files.getUri().getScheme() == "file":
+            local = [jvm.java.io.File(files.makeQualified(p).toUri().getPath()).toPath() for p in (entry, draft)]
+            jvm.java.nio.file.Files.createLink(*local)
+        else:
+            hadoop = jvm.org.apache.hadoop.fs
+            plain = context._gateway.new_array(hadoop.Options.Rename, 0)
+            hadoop.FileContext.getFileContext(files.getUri(), conf).rename(draft, entry, plain)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        files.delete(draft, False)
+    return True

@@ -10,10 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..errors import WorkspaceError
 from ..functions import cells
-from ..operators import row_id
 from ..operators.steps import Flow, Step, fold
 from ..sources.delimited import OPTIONS, text_schema
 from ..types import ROW_ID, Field, column
+from .batches import BatchTable
 
 BAD = "_bad_cells"
 
@@ -74,11 +74,16 @@ def rejected(stream: DataFrame) -> DataFrame:
 
 
 def as_table(spark: SparkSession, target: str, fields: Sequence[Field]) -> DataFrame:
-    """What a stream has written so far as a table: declared fields and row ids, numbered file by file."""
-    stored = row_id.number_files(spark.read.parquet(target))
+    """What a stream has written so far as a table: declared fields and row ids, batch by batch."""
+    stored = committed(spark, target)
     return stored.select(column(ROW_ID), *[column(f.name).alias(f.name, metadata=f.metadata) for f in fields])
 
 
+def committed(spark: SparkSession, target: str) -> DataFrame:
+    """The committed rows of ``ingest`` with row ids that stay when later batches arrive."""
+    return BatchTable(spark, target).rows()
+
+
 def apply_steps(stream: DataFrame, steps: Sequence[Step], *, event_time: str | None = None, delay: str | None = None) -> DataFrame:
     """A recipe on a stream.
 
@@ -111,12 +116,28 @@ def _deduplicate(df: DataFrame, keys: list[str], event_time: str, delay: str) ->
     return timed.dropDuplicatesWithinWatermark(keys).drop("_event_time")
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def ingest(
+    stream: DataFrame, target: str, checkpoint: str, *, deduplicate: Sequence[str] = (), order_by: Sequence[str] = (),
+) -> StreamingQuery:
     """Write what has arrived and stop; a later call goes on with the files that are new since.
 
-    The checkpoint and the file sink's log make each input row appear once, also after a crash.
+    The checkpoint and the ledger of the target make each input row appear once, also after a crash; read it with
+    ``committed`` or ``as_table``. ``deduplicate`` names fields of which each combination of values is kept once in the whole table,
+    without a watermark: its first row, which is the batch's result over ``as_table``. Rows of a batch are
+    numbered in the order of ``order_by``, else as they arrive.
     """
-    writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-    query = writer.trigger(availableNow=True).start(target)
+    unknown = {*deduplicate, *order_by} - set(stream.columns)
+    if unknown:
+        raise WorkspaceError("invalid_cleaning_step", f"No such field: {', '.join(sorted(unknown))}")
+
+    def commit(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        query = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not query:
+            raise WorkspaceError("stream_unknown", "the batch belongs to no query")
+        BatchTable(session, target).append(batch, query, number, keys=deduplicate, order_by=order_by)
+
+    writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query

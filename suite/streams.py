@@ -24,7 +24,7 @@ def k1(spark, sf):
         _drop(spark, sf, folder, condition)
         drops.ingest(drops.read_csv_drops(spark, folder, fields), target, checkpoint)
     drops.ingest(drops.read_csv_drops(spark, folder, fields), target, checkpoint)
-    return spark.read.parquet(target)
+    return drops.committed(spark, target).select(*COLUMNS)
 
 
 @register(
@@ -46,5 +46,38 @@ def k2(spark, sf):
         Step("rename_field", 2, {"source_field": "event_id", "target_field": "id"}),
     ]
     drops.ingest(drops.apply_steps(drops.read_csv_drops(spark, folder, fields), steps), target, checkpoint)
-    return spark.read.parquet(target)
+    return drops.committed(spark, target).select("id", "user_id", "event_type", "value")
 
+
+def _two_drops(spark, sf, deduplicate=()):
+    """Events in two drops, the later half of the ids first, so that ids follow arrival and not the values."""
+    folder, target, checkpoint = (fresh_path(spark, p) for p in ("drops", "numbered", "number-log"))
+    events = table(spark, sf, "events").select(*COLUMNS)
+    fields = infer.infer_fields(events.selectExpr(*[f"CAST({c} AS STRING) AS {c}" for c in COLUMNS]))
+    for condition in ("event_id % 2 = 1", "event_id % 2 = 0"):
+        _drop(spark, sf, folder, condition)
+        stream = drops.read_csv_drops(spark, folder, fields)
+        drops.ingest(stream, target, checkpoint, deduplicate=deduplicate, order_by=["event_id"])
+    return drops.as_table(spark, target, fields)
+
+
+@register(
+    "a11_row_ids_over_drops",
+    """SELECT row_number() OVER (ORDER BY event_id % 2 DESC, event_id) AS row_id, event_id, user_id, event_type, value FROM events""",
+)
+def a11_ids(spark, sf):
+    """Rows of a later drop are numbered behind those of an earlier one."""
+    df = _two_drops(spark, sf)
+    return df.select(df[df.columns[0]].alias("row_id"), *COLUMNS)
+
+
+@register(
+    "k2_stream_deduplicate",
+    """SELECT row_number() OVER (ORDER BY event_id % 2 DESC, event_id) AS row_id, event_id, user_id, event_type, value FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 2 DESC, event_id) AS place FROM events
+    ) WHERE place = 1""",
+)
+def k2_deduplicate(spark, sf):
+    """The first row of each key over all drops, as the table step gives it."""
+    df = _two_drops(spark, sf, ["user_id", "event_type"])
+    return df.select(df[df.columns[0]].alias("row_id"), *COLUMNS)

@@ -2,8 +2,10 @@ import pathlib
 
 from conftest import code_of
 
-from gridloom import Field, Step, drops, tables
-from gridloom.types import fields_of
+from gridloom import Field, Step, drops, recipe, tables
+from gridloom.operators.steps import Flow
+from gridloom.streaming import batches
+from gridloom.types import ROW_ID, fields_of
 
 FIELDS = [Field("id", "integer", True, 0), Field("name", "text", True, 1), Field("at", "datetime", True, 2)]
 
@@ -74,3 +76,46 @@ def test_a_streamed_table_has_row_ids_and_fields(spark, folder):
     stored = drops.as_table(spark, folder("out"), STRICT)
     assert sorted(r[0] for r in stored.collect()) == [1, 2, 3] and [f.name for f in fields_of(stored)] == ["id", "name", "at"]
     assert tables.page(stored, 1, 2).count() == 2
+
+
+def test_ids_stay_when_files_arrive(spark, folder):
+    def run():
+        drops.ingest(drops.read_csv_drops(spark, folder("in"), STRICT), folder("out"), folder("log"))
+        return {r["id"]: r[0] for r in drops.as_table(spark, folder("out"), STRICT).collect()}
+
+    drop(folder, "m.csv", *[f"{i},x," for i in range(300)])
+    first = run()
+    drop(folder, "a.csv", *[f"{i},x," for i in range(300, 600)])
+    second = run()
+    assert {k: second[k] for k in first} == first and sorted(second.values()) == list(range(1, 601))
+
+
+def test_a_lost_run_is_replayed_once(spark, folder):
+    """A batch written but not committed is invisible; its replay, and one after the commit, leave it once."""
+    table = batches.BatchTable(spark, folder("out"))
+    first = spark.range(10).selectExpr("id")
+    table.append(first, "q", 0)
+    spark.range(10, 15).selectExpr("id").write.parquet(folder("out") + "/_batch=q-1")
+    assert table.rows().count() == 10
+    table.append(spark.range(10, 20).selectExpr("id"), "q", 1)
+    table.append(spark.range(10, 20).selectExpr("id"), "q", 1)
+    table.append(spark.range(20, 22).selectExpr("id"), "other", 0)
+    assert sorted((r["id"], r[0]) for r in table.rows().collect()) == [(i, i + 1) for i in range(22)]
+    assert table.ledger().count() == 3
+
+
+def test_deduplication_over_batches_is_the_table_step(spark, folder):
+    lines = [f"{i % 7},{'abc'[i % 3] if i % 5 else ''},2026-01-05T10:{i:02d}" for i in range(40)]
+    whole = spark.createDataFrame([(i + 1, i % 7, "abc"[i % 3] if i % 5 else None) for i in range(40)], f"{ROW_ID} long, id long, name string")
+    for k, part in enumerate((lines[:15], lines[15:16], lines[16:])):
+        drop(folder, f"{'zma'[k]}.csv", *part)
+        stream = drops.read_csv_drops(spark, folder("in"), FIELDS)
+        drops.ingest(stream, folder("out"), folder("log"), deduplicate=["id", "name"], order_by=["at"])
+    kept = recipe.fold(Flow(whole), [Step("deduplicate", 0, {"fields": ["id", "name"]})]).df
+    got = sorted(((r[0], r["id"], r["name"]) for r in drops.committed(spark, folder("out")).collect()))
+    assert [r[1:] for r in got] == [(r["id"], r["name"]) for r in kept.orderBy(ROW_ID).collect()] and [r[0] for r in got] == list(range(1, len(got) + 1))
+    assert code_of(drops.ingest, stream, folder("out"), folder("log"), deduplicate=["gone"]) == "invalid_cleaning_step"
+
+
+def test_nothing_committed_is_no_table(spark, folder):
+    assert code_of(drops.committed, spark, folder("none")) == "physical_table_not_found"
