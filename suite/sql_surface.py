@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom import Scope
 from gridloom.functions import names
+from gridloom.operators.range_join import range_join
 from gridloom.session import fresh_path
 
 from .registry import dataset, register, table
@@ -232,3 +233,18 @@ family(
     """SELECT event_type, COUNT(*) AS n, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total,
     MAX(CAST(json_extract_string(props, '$.k') AS INT)) AS most FROM events GROUP BY event_type""",
 )
+
+
+@register(
+    "e12_join_range_bins",
+    """SELECT o_orderkey, COUNT(*) AS n, MIN(c_custkey) AS least, MAX(c_custkey) AS most FROM orders
+    JOIN customer ON o_totalprice BETWEEN c_acctbal * 50 AND c_acctbal * 50 + c_custkey % 400 GROUP BY o_orderkey""",
+)
+def e12_range_bins(spark, sf):
+    """Values in intervals of many widths, no equal field."""
+    lows = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") * 50).alias("low"))
+    intervals = lows.select("c_custkey", "low", (F.col("low") + F.col("c_custkey") % 400).alias("high"))
+    met = range_join(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), intervals, "o_totalprice", "low", "high")
+    return met.groupBy("o_orderkey").agg(
+        F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("least"), F.max("c_custkey").alias("most")
+    )
