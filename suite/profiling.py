@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-
 from gridloom import ROW_ID, profile
 
+from gridloom.session import fresh_path
+
 from .registry import dataset, register, table
 
 
@@ -167,3 +168,40 @@ def _stats(i: int, name: str) -> str:
 def d8(spark, sf):
     df = table(spark, sf, "lineitem").select("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return profile.summary(df).withColumns({c: F.round(c, 4) for c in ("mean", "stddev")})
+
+
+def _two_parts(spark, sf):
+    """The states of two parts of the documents, stored as they arrive, and the whole table."""
+    whole, folder = docs(spark, sf), fresh_path(spark, "profile-states")
+    for condition in (F.col("n_chars").isNull(), F.col("n_chars").isNotNull()):
+        profile.state(whole.where(condition)).write.mode("append").parquet(folder)
+    return whole, profile.merge(spark.read.parquet(folder))
+
+
+@register(
+    "d1_d3_merged_profile",
+    f"""SELECT "order", name, row_count, null_count, null_ratio, sample_values, true AS distinct_within FROM ({profile_sql(DOCS_SQL, 'r', DOC_FIELDS)})""",
+)
+def d1_merged(spark, sf):
+    """The profile merged from two parts; the distinct counts, which are sketched, lie within 3 % of the exact ones."""
+    whole, known = _two_parts(spark, sf)
+    exact = profile.fields(whole).select("order", F.col("distinct_count").alias("exact"))
+    within = F.abs(F.col("distinct_count") - F.col("exact")) <= F.col("exact") * 0.03
+    both = profile.fields_of_state(known).join(exact, "order")
+    return flat(both.select("order", "name", "row_count", "null_count", "null_ratio", "sample_values", within.alias("distinct_within")))
+
+
+@register(
+    "d5_merged_dataset_profile",
+    f"""SELECT max(row_count) AS row_count, count(*) AS field_count, CAST(sum(null_count) AS BIGINT) AS null_cell_count,
+    CAST(0 AS BIGINT) AS duplicate_row_count FROM ({profile_sql(DOCS_SQL, 'r', DOC_FIELDS)})""",
+)
+def d5_merged(spark, sf):
+    """The roll-up of the merged parts; row numbers are left out of the fields, but no row has a copy."""
+    whole = docs(spark, sf)
+    named = whole.select(ROW_ID, F.col(ROW_ID).alias("id"), *[c for c in whole.columns if c != ROW_ID])
+    folder = fresh_path(spark, "profile-states")
+    for k in range(2):
+        profile.state(named.where(F.col(ROW_ID) % 2 == k), samples=False).write.mode("append").parquet(folder)
+    rolled = profile.dataset_of(profile.merge(spark.read.parquet(folder)))
+    return rolled.select("row_count", (F.col("field_count") - 1).alias("field_count"), "null_cell_count", "duplicate_row_count")

@@ -77,3 +77,26 @@ def test_approximate_profile_and_summary(spark):
     stats = by_name(profile.summary(df))
     assert (stats["v"]["count"], stats["v"].min, stats["v"].max, stats["v"].mean, stats["v"].median) == (500, 0.0, 9.0, 4.5, 4.5)
     assert stats["n"]["count"] == 0 and stats["n"].median is None
+
+
+def test_merged_states_equal_one_profile(spark):
+    rows = [(i + 1, f"v{i % 1500}" if i % 4 else None, i % 3, float(i), "") for i in range(6000)]
+    df = spark.createDataFrame(rows, f"{ROW_ID} long, text string, n int, d double, blank string")
+    parts = [profile.state(df.where(f"{ROW_ID} % 3 = {k}")) for k in range(3)] + [profile.state(df.where("n > 5"))]
+    merged = profile.merge(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    got, want = by_name(profile.fields_of_state(merged)), by_name(profile.fields(df))
+    assert set(got) == set(want)
+    for name, row in want.items():
+        exact = ("order", "row_count", "null_count", "null_ratio", "sample_values", "warnings", "inferred_type", "nullable")
+        assert [got[name][c] for c in exact] == [row[c] for c in exact]
+        assert abs(got[name]["distinct_count"] - row["distinct_count"]) <= 0.03 * row["distinct_count"]
+
+
+def test_approximate_roll_up(spark):
+    once = spark.range(20_000).selectExpr("id", "if(id % 5 = 0, NULL, id) AS v")
+    exact, sketched = (profile.dataset(once, approximate=a).first().asDict() for a in (False, True))
+    assert sketched == exact and exact["duplicate_row_count"] == 0
+    twice = profile.dataset(once.unionByName(once), approximate=True).first()
+    assert abs(twice["duplicate_row_count"] - 20_000) <= 600 and list(twice["warnings"]) == ["duplicate_rows_detected"]
+    empty = profile.dataset(once.where("id < 0"), approximate=True).first()
+    assert empty["row_count"] == 0 and list(empty["warnings"]) == ["empty_dataset"]
