@@ -19,7 +19,7 @@ from ..functions import cells, conditions
 from ..types import (
     BOOLEAN, DATE, DATETIME, DECIMAL, INTEGER, ROW_ID, SPARK_TYPES, column, field_type, quoted,
 )
-from . import quantiles
+from . import heavy_join, quantiles
 from .guard import bare, check_functions
 
 CODE = "invalid_cleaning_step"
@@ -473,7 +473,8 @@ def aggregate(flow: Flow, config: dict) -> Flow:
 def join(flow: Flow, config: dict) -> Flow:
     """Equi-join with another table of the recipe's scope.
 
-    Spark broadcasts a side it knows to be small and otherwise shuffles, splitting hot keys.
+    Spark broadcasts a side it knows to be small and otherwise shuffles, splitting hot keys. It does not where a step
+    that groups by the key follows; with ``split_heavy`` they are split there as well.
     """
     how = _choice(config, "how", ("inner", "left", "right", "full", "semi", "anti"), "inner")
     other_name = text(config, "table")
@@ -483,16 +484,23 @@ def join(flow: Flow, config: dict) -> Flow:
     pairs = config.get("on")
     if not isinstance(pairs, list) or not pairs:
         raise fail("on must be a non-empty list")
-    left, right = flow.df.alias("l"), other.alias("r")
     lefts, rights = [], []
     for pair in pairs:
         lefts.append(one_field(flow, pair, "left"))
         rights.append(text(pair, "right"))
         if rights[-1] not in other.columns:
             raise fail(f"No such field: {rights[-1]}")
+    left, right = flow.df, other
     match = [F.col(f"l.{quoted(a)}") == F.col(f"r.{quoted(b)}") for a, b in zip(lefts, rights)]
+    if config.get("split_heavy"):
+        alike = all(left.schema[a].dataType == right.schema[b].dataType for a, b in zip(lefts, rights))
+        if not alike or {"_part_l", "_part_r"} & {c.lower() for c in (*left.columns, *right.columns)}:
+            raise fail("split_heavy needs keys of equal types, and no fields named _part_l or _part_r")
+        left, right = heavy_join.sides(left, right, lefts, rights, "left" if how == "full" else how, ("_part_l", "_part_r"))
+        match += [F.col(f"l.{p}") == F.col(f"r.{p}") for p in ("_part_l", "_part_r")]
+    left, right = left.alias("l"), right.alias("r")
     if how in ("semi", "anti"):
-        return flow.to(left.join(right, match, f"left_{how}"), sorted=False)
+        return flow.to(left.join(right, match, f"left_{how}").select(*[F.col(f"l.{quoted(c)}") for c in flow.df.columns]), sorted=False)
     # a key of the same name on both sides is one column of the result
     shared = {a: b for a, b in zip(lefts, rights) if a == b}
     extra = [c for c in other.columns if c not in shared]
@@ -505,7 +513,8 @@ def join(flow: Flow, config: dict) -> Flow:
     df = joined.select(*[_either(c, shared) for c in flow.df.columns], *others)
     if how == "full":
         # left join plus unmatched right rows: unlike a full join, Spark can split a hot key in both
-        unmatched = right.join(left, match, "left_anti")
+        plain = match[: len(lefts)]
+        unmatched = other.alias("r").join(flow.df.alias("l"), plain, "left_anti")
         alone = [
             (F.col(f"r.{quoted(shared[c])}") if c in shared else F.lit(None).cast(flow.df.schema[c].dataType)).alias(c)
             for c in flow.df.columns

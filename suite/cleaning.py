@@ -433,6 +433,26 @@ def c20(spark, sf):
     return out.select("o_orderkey", "c_name", "n_name", "o_totalprice")
 
 
+@register(
+    "c20_join_split_heavy",
+    """SELECT k, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(c_name) AS c_name FROM
+    (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_custkey END AS k, o_totalprice FROM orders) JOIN customer ON k = c_custkey GROUP BY k""",
+)
+def c20_heavy(spark, sf):
+    """A third of the rows have one key, and a grouping by it follows."""
+    key = F.when(F.col("o_orderkey") % 3 == 0, F.lit(1).cast("bigint")).otherwise(F.col("o_custkey"))
+    out = apply(
+        table(spark, sf, "orders").select("o_orderkey", key.alias("k"), "o_totalprice"),
+        ("join", {"table": "customer", "on": [{"left": "k", "right": "c_custkey"}], "split_heavy": True}),
+        ("aggregate", {"group_by": ["k"], "aggregations": [
+            {"function": "count", "name": "n"}, {"function": "sum", "field": "o_totalprice", "name": "total"},
+            {"function": "min", "field": "c_name", "name": "c_name"},
+        ]}),
+        scope={"customer": table(spark, sf, "customer").select("c_custkey", "c_name")},
+    )
+    return out.withColumn("total", F.round("total", 2))
+
+
 @register(
     "c20_join_full",
     """SELECT coalesce(a.nation, b.nation) AS nation, c_custkey, s_suppkey FROM
