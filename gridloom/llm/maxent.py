@@ -1,24 +1,31 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is that of its class times its probability in the class. The most frequent
-words share ``TOP_CLASSES`` classes by frequency and are told apart by a softmax of their own; every other word,
-met or not, belongs to one of ``RARE_CLASSES`` classes by its ending, where the add-one unigram counts of
-the class decide. Both softmaxes add hashed features of the context: the last word, the one before it
-(skipping the last), and both together. The weights are trained over all training tokens by distributed gradient
-steps: in each round every task takes Adagrad steps over its share and the weighted mean of the tasks' weights is the next
-start. Scoring runs the same sparse batches in numpy.
-
-Texts are kept as word numbers of their block. A block's distinct words go, packed by hash bucket, to the task that
-counts the bucket's words over the corpus, and the counts come back as arrays, so no token is shuffled. The counts and the vocabulary grow with the corpus; the weights have a fixed
-size. A null text counts as empty: its one token is the end. Repeated rows count as often as they
-occur. Without training texts every word is unknown. An empty table gives an empty result. Records travel in
-a struct, so column names cannot clash.
+A token's probability is that of its kind times its probability in the kind. The most frequent words share
+``TOP_CLASSES`` kinds and are told apart by a softmax of their own. Every other word, met or not, belongs to one of
+``RARE_CLASSES`` kinds by its ending and, in it, to one of about sqrt(documents) classes by the first bits of its hash; class
+and word are then found by yes-no softmaxes, one a bit. So every token is predicted by featured softmaxes down to its word. Each of them
+starts from the counts and adds hashed features of the context: the last word, the one before it (skipping the last), and
+both together. A class keeps one word's share for all unknown words; words whose bits are all equal share by their counts.
+
+The weights are trained over all training tokens by distributed gradient steps: in each round every task takes Adagrad
+steps over its share. The next start is the mean of the tasks' weights; a weight of the bits is averaged over the tasks that
+moved it, in proportion to their gradients. Scoring runs the same sparse batches in numpy.
+
+Texts are kept as word numbers of their block. A block's distinct words go, packed by class, to the task that
+counts the class's words over the corpus, and the counts come back as arrays, so no token is shuffled. Counts, vocabulary and
+classes grow with the corpus, the table of bit weights with the vocabulary's root up to ``MOST_TREE_BITS``, so that a worker's memory has a
+bound; the tables of the kinds have a fixed size.
+
+A null text counts as empty: its one token is the end. Very long texts are handled whole, in a block of their own if need be. Repeated
+rows count as often as they occur; equally frequent words rank by their bytes. Without training texts every word is unknown. An empty table gives an
+empty result. Records travel in a struct, so column names cannot clash.
 """
 
 from __future__ import annotations
 
 import heapq
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +42,18 @@ from .common import blocks, register, schema_of, table, text_bytes, utf8
 from .language_id import fold
 
 BLOCK_BYTES = 24 << 20
-BUCKET_ROWS = 4096
+#: Classes of a kind, as a share of the root of the number of documents; bits of the largest table of bit weights.
+CLASS_SHARE, MOST_TREE_BITS = 0.25, 20
 TOP_CLASSES, CLASS_WORDS, RARE_CLASSES = 12, 32, 20
 CLASSES = TOP_CLASSES + RARE_CLASSES
 LAST, SKIP, BOTH = 2048, 1024, 8192
 LAST_IN, SKIP_IN = 512, 256
 BATCH, ROUNDS, RATE = 8192, 3, 0.15
+#: Added to the root of a bit weight's squares, so that a feature met once moves little.
+TREE_EASE = 1.0
+#: Log odds are kept in sixteenths; ``SURE`` marks a bit that all words of a node share.
+ODDS, SURE = 16, -128
+MOST_FREQUENT = TOP_CLASSES * CLASS_WORDS
 END = b"\n"
 TASKS_SUMMED = 64
 #: The model's tables in the order they are shipped: (name, rows, columns).
@@ -66,18 +79,27 @@ def _opened(blob: bytes) -> dict[str, np.ndarray]:
     return np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(blob)))
 
 
+def class_bits(documents: int) -> int:
+    """How many bits of a word's hash name its class within a kind."""
+    return max(0, round(math.log2(max(1.0, CLASS_SHARE * math.sqrt(documents)))))
+
+
 def number_blocks(docs: DataFrame, text: str, held_out: Column, keep: list[str] | None) -> DataFrame:
-    """Rows of blocks (block, recs, texts) and of their words, packed by bucket of the word's hash (block, bucket, words)."""
+    """Rows of blocks (block, recs, texts, often) and of their words, packed by the first bits of the word's hash (block, bucket, words).
+
+    ``often`` lists the block's most frequent trained words.
+    """
     kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     rows = docs.select(
         F.struct(*kept).alias("rec"), held_out.alias("held"), F.spark_partition_id().alias("part"), F.col(text).cast("string").alias("text")
     )
-    buckets = 1 + docs.count() // BUCKET_ROWS
+    bits = class_bits(docs.count())
     recs = T.StructType([T.StructField("recs", T.ArrayType(rows.schema["rec"].dataType))])
-    schema = schema_of("block bigint", recs, "texts binary, bucket bigint, words binary")
+    schema = schema_of("block bigint", recs, "texts binary, often array<struct<word:binary, c:bigint>>, bits int, bucket bigint, words binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "recs", "texts", "bucket", "words"]
+        names = ["block", "recs", "texts", "often", "bits", "bucket", "words"]
+        list_kind = pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64())]))
         for k, pieces in enumerate(blocks(batches, text_bytes, BLOCK_BYTES)):
             block = pieces[0].column(2)[0].as_py() << 32 | k
             number, ids, sizes = _Numbers(), [], []
@@ -94,11 +116,13 @@ def number_blocks(docs: DataFrame, text: str, held_out: Column, keep: list[str]
             recs = pa.concat_arrays([p.column(0) for p in pieces])
             listed = pa.ListArray.from_arrays(pa.array([0, len(recs)], pa.int32()), recs)
             blob = _packed(ids=flat, sizes=np.array(sizes, np.int64), held=held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), listed, pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names=names
-            )
             words = list(number)
-            bucket = np.fromiter((word_hash(w) % buckets for w in words), np.int64, len(words))
+            most = heapq.nsmallest(4 * MOST_FREQUENT, ((-int(trained[i]), words[i]) for i in np.flatnonzero(trained)))
+            often = pa.array([[{"word": w, "c": -c} for c, w in most]], list_kind)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([block]), listed, pa.array([blob], pa.binary()), often, pa.array([bits], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+            ], names=names)
+            bucket = np.fromiter((word_hash(w) >> (64 - bits) for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             packed = [
@@ -107,7 +131,7 @@ def number_blocks(docs: DataFrame, text: str, held_out: Column, keep: list[str]
             ]
             n = len(cut)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, block)), pa.nulls(n, listed.type), pa.nulls(n, pa.binary()), pa.array(bucket[order][cut]), pa.array(packed, pa.binary()),
+                pa.array(np.full(n, block)), pa.nulls(n, listed.type), pa.nulls(n, pa.binary()), pa.nulls(n, list_kind), pa.nulls(n, pa.int32()), pa.array(bucket[order][cut]), pa.array(packed, pa.binary()),
             ], names=names)
 
     return stage(rows.mapInArrow(run, schema), "lm-blocks")
@@ -118,40 +142,75 @@ def word_hash(word: bytes) -> int:
 
 
 def rare_class(word: bytes) -> int:
-    """The class of a word that is not frequent, by its last two bytes."""
-    return TOP_CLASSES + xxhash.xxh3_64_intdigest(word[-2:]) % RARE_CLASSES
+    """The kind of a word that is not frequent, by its last two bytes."""
+    return xxhash.xxh3_64_intdigest(word[-2:]) % RARE_CLASSES
 
 
 class Shape:
-    """What is known of the corpus: tokens, words, per class its count of tokens and words, and the frequent words."""
-
-    def __init__(self, class_tokens: np.ndarray, class_words: np.ndarray, top_counts: np.ndarray, top_hashes: np.ndarray):
-        self.tokens, self.words = int(class_tokens.sum()), int(class_words.sum())
-        self.class_tokens, self.class_words, self.top_counts, self.top_hashes = class_tokens, class_words, top_counts, top_hashes
-
-    def frequent(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The rank of each word among the frequent ones, or -1; hash and count together tell a word."""
-        if not len(self.top_counts):
-            return np.full(len(counts), -1)
-        key = lambda h, c: h.astype(np.uint64) << np.uint64(32) | np.minimum(c, 0xFFFFFFFF).astype(np.uint64)
-        own, met = key(self.top_hashes, self.top_counts), key(hashes, counts)
-        order = np.argsort(own)
-        at = np.minimum(np.searchsorted(own[order], met), len(own) - 1)
-        return np.where(own[order][at] == met, order[at], -1)
+    """What is known of the corpus: tokens, words, the frequent words' counts, and the mass (tokens, words and one unknown) of each class."""
+
+    def __init__(self, tokens: int, words: int, top_counts: np.ndarray, mass: np.ndarray):
+        self.tokens, self.words, self.top_counts, self.mass = tokens, words, top_counts, mass
+        self.bits = mass.shape[1].bit_length() - 1
+        self.tree_bits = min(MOST_TREE_BITS, 8 + round(math.log2(max(words, 1)) / 2))
+        top = np.add.reduceat(np.append(top_counts, np.zeros(MOST_FREQUENT - len(top_counts))), np.arange(0, MOST_FREQUENT, CLASS_WORDS))
+        self.class_tokens = np.concatenate([top, (mass - 1).sum(1)])
+        self.tables = (*TABLES, ("tree", 1 << self.tree_bits, 1))
 
     def weights(self) -> dict[str, np.ndarray]:
         """Zero weights, the biases at the unigram model."""
-        w = {name: np.zeros((rows, columns), np.float32) for name, rows, columns in TABLES}
-        w["bias"][0] = np.log((self.class_tokens + 1) / (self.tokens + CLASSES))
-        inside = np.full(TOP_CLASSES * CLASS_WORDS, -30.0)
+        w = {name: np.zeros((rows, columns), np.float32) for name, rows, columns in self.tables}
+        w["bias"][0] = np.log((self.class_tokens + 1) / (self.class_tokens.sum() + CLASSES))
+        inside = np.full(MOST_FREQUENT, -30.0)
         inside[: len(self.top_counts)] = np.log(self.top_counts)
         w["bias_in"][:] = inside.reshape(TOP_CLASSES, CLASS_WORDS)
         return w
 
+    def class_odds(self, kind: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The log odds of each bit that leads from a rare kind to a word's class, in sixteenths."""
+        out = np.empty((len(kind), self.bits), np.int8)
+        for bit in range(self.bits):
+            sides = self.mass.reshape(RARE_CLASSES, 1 << bit, 2, -1).sum(3)
+            out[:, bit] = in_sixteenths(sides[..., 1], sides[..., 0])[kind, hashes.astype(np.int64) >> (32 - bit)]
+        return out
+
+
+def in_sixteenths(right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = np.round(ODDS * np.log(right / left))
+    return np.where((right > 0) & (left > 0), np.clip(np.nan_to_num(odds), -127, 127), SURE).astype(np.int8)
+
+
+def word_odds(kind: np.ndarray, hashes: np.ndarray, c: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the known words of one class number: log odds of the bits after the first ``bits``, and the log share among words of equal bits.
+
+    There are as many bits as tell about one word from another in the largest kind.
+    """
+    key = kind.astype(np.int64) << 32 | hashes.astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, mass = key[order], (c[order] + 1).astype(np.float64)
+    most = int(np.bincount(kind).max()) if len(kind) else 1
+    depth = min(32 - bits, most.bit_length())
+    odds, share = np.empty((len(key), depth), np.int8), np.zeros(len(key), np.float32)
+    for level in range(depth + 1 if len(key) else 0):
+        node = key >> (32 - bits - level)
+        new = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        sizes = np.diff(np.append(new, len(node)))
+        whole = np.add.reduceat(mass, new)
+        if level == depth:
+            share[order] = np.log(mass / np.repeat(whole, sizes))
+        else:
+            right = np.add.reduceat(mass * (key >> (31 - bits - level) & 1), new)
+            odds[order, level] = np.repeat(in_sixteenths(right, whole - right), sizes)
+    return odds, share
+
 
 def resolve(numbered: DataFrame) -> tuple[DataFrame, Shape]:
     """Blocks with their words' arrays (block, recs, texts, words), and the corpus's shape."""
-    most = TOP_CLASSES * CLASS_WORDS
+    often = numbered.select(F.explode("often").alias("x")).groupBy("x.word").agg(F.sum("x.c").alias("c"))
+    top = often.orderBy(F.col("c").desc(), "word").limit(MOST_FREQUENT).collect()
+    ranks = {bytes(row["word"]): i for i, row in enumerate(top)}
+    bits = numbered.agg(F.max("bits")).first()[0] or 0
 
     def opened(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         held = _opened(blob)
@@ -159,55 +218,60 @@ def resolve(numbered: DataFrame) -> tuple[DataFrame, Shape]:
 
     def count(group: pa.Table) -> pa.Table:
         blobs, owners = group.column("words").to_pylist(), group.column("block").to_pylist()
-        total: dict[bytes, int] = {}
+        number, c = _Numbers(), np.zeros(1024, np.int64)
+        places = []
         for blob in blobs:
             words, _, trained = opened(blob)
-            for w, c in zip(words, trained.tolist()):
-                total[w] = total.get(w, 0) + c
+            at = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+            if len(number) > len(c):
+                c = np.concatenate([c, np.zeros(len(number), np.int64)])
+            c[at] += trained
+            places.append(at)
+        n = len(number)
+        c = c[:n]
+        hashes = np.fromiter((word_hash(w) >> 32 for w in number), np.uint32, n)
+        kind = np.fromiter((rare_class(w) for w in number), np.int8, n)
+        rank = np.fromiter((ranks.get(w, -1) for w in number), np.int16, n)
+        rare = np.flatnonzero((c > 0) & (rank < 0))
+        found, shares = word_odds(kind[rare], hashes[rare], c[rare], bits)
+        odds, share = np.full((n, found.shape[1]), SURE, np.int8), np.zeros(n, np.float32)
+        odds[rare], share[rare] = found, shares
         out = []
-        for owner, blob in zip(owners, blobs):
-            words, numbers, _ = opened(blob)
-            n = len(words)
-            arrays = _packed(
-                numbers=numbers, c=np.fromiter(map(total.__getitem__, words), np.int64, n), kind=np.fromiter(map(rare_class, words), np.int8, n),
-                hash=np.fromiter((word_hash(w) >> 32 for w in words), np.uint32, n),
-            )
+        for owner, blob, at in zip(owners, blobs, places):
+            arrays = _packed(numbers=_opened(blob)["numbers"], c=c[at], kind=kind[at], rank=rank[at], hash=hashes[at], odds=odds[at], share=share[at])
             out.append({"block": owner, "arrays": arrays})
-        tokens, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for w, c in total.items():
-            if c:
-                k = rare_class(w)
-                tokens[k] += c
-                kinds[k] += 1
-        top = heapq.nsmallest(most, ((-c, w) for w, c in total.items() if c))
+        tokens, kinds = np.bincount(kind[rare], c[rare], RARE_CLASSES), np.bincount(kind[rare], minlength=RARE_CLASSES)
         out.append({
-            "classes": [{"kind": k, "n": int(tokens[k]), "v": int(kinds[k])} for k in range(CLASSES) if kinds[k]],
-            "top": [{"c": -c, "word": w} for c, w in top],
+            "bucket": group.column("bucket")[0].as_py(),
+            "classes": [{"kind": k, "n": int(tokens[k]), "v": int(kinds[k])} for k in range(RARE_CLASSES) if kinds[k]],
+            "top": [{"rank": int(rank[i]), "c": int(c[i])} for i in np.flatnonzero(rank >= 0)],
         })
         return pa.Table.from_pylist(out, pa.schema([
-            ("block", pa.int64()), ("arrays", pa.binary()),
+            ("block", pa.int64()), ("arrays", pa.binary()), ("bucket", pa.int64()),
             ("classes", pa.list_(pa.struct([("kind", pa.int32()), ("n", pa.int64()), ("v", pa.int64())]))),
-            ("top", pa.list_(pa.struct([("c", pa.int64()), ("word", pa.binary())]))),
+            ("top", pa.list_(pa.struct([("rank", pa.int32()), ("c", pa.int64())]))),
         ]))
 
-    schema = "block bigint, arrays binary, classes array<struct<kind:int, n:bigint, v:bigint>>, top array<struct<c:bigint, word:binary>>"
-    counted = stage(numbered.where("words is not null").select("block", "bucket", "words").groupBy("bucket").applyInArrow(count, schema), "lm-counts")
-    class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for row in counted.select(F.explode("classes").alias("x")).groupBy("x.kind").agg(F.sum("x.n").alias("n"), F.sum("x.v").alias("v")).collect():
-        class_tokens[row["kind"]], class_words[row["kind"]] = row["n"], row["v"]
-    top = counted.select(F.explode("top").alias("x")).select("x.c", "x.word").orderBy(F.col("c").desc(), "word").limit(most).collect()
-    for i, row in enumerate(top):
-        for kind, sign in ((rare_class(bytes(row["word"])), -1), (i // CLASS_WORDS, 1)):
-            class_tokens[kind] += sign * row["c"]
-            class_words[kind] += sign
-    shape = Shape(
-        class_tokens, class_words, np.array([r["c"] for r in top], np.int64), np.array([word_hash(bytes(r["word"])) >> 32 for r in top], np.uint32)
+    schema = (
+        "block bigint, arrays binary, bucket bigint, classes array<struct<kind:int, n:bigint, v:bigint>>, top array<struct<rank:int, c:bigint>>"
     )
+    counted = stage(numbered.where("words is not null").select("block", "bucket", "words").groupBy("bucket").applyInArrow(count, schema), "lm-counts")
+    mass, words, top_counts = np.ones((RARE_CLASSES, 1 << bits)), len(top), np.zeros(len(top))
+    for row in counted.select("bucket", F.explode("classes").alias("x")).select("bucket", "x.*").toLocalIterator():  # a row a class
+        mass[row["kind"], row["bucket"]] += row["n"] + row["v"]
+        words += row["v"]
+    for row in counted.select(F.explode("top").alias("x")).select("x.*").collect():  # the frequent words
+        top_counts[row["rank"]] = row["c"]
+    tokens = int(top_counts.sum() + (mass - 1).sum()) - (words - len(top))
+    shape = Shape(tokens, words, top_counts, mass)
 
     def merge(group: pa.Table) -> pa.Table:
-        parts = [_opened(b.as_py()) for b in group.column("arrays")]
+        parts = [dict(_opened(b.as_py())) for b in group.column("arrays")]
         order = np.argsort(np.concatenate([p["numbers"] for p in parts]))
-        blob = _packed(**{name: np.concatenate([p[name] for p in parts])[order] for name in ("c", "kind", "hash")})
+        depth = max(p["odds"].shape[1] for p in parts)
+        for p in parts:
+            p["odds"] = np.pad(p["odds"], ((0, 0), (0, depth - p["odds"].shape[1])), constant_values=SURE)
+        blob = _packed(**{name: np.concatenate([p[name] for p in parts])[order] for name in ("c", "kind", "rank", "hash", "odds", "share")})
         return pa.table([group.column("block")[:1], pa.array([blob], pa.binary())], names=["at", "words"])
 
     arrays = counted.where("arrays is not null").select("block", "arrays").groupBy("block").applyInArrow(merge, "at bigint, words binary")
@@ -221,13 +285,19 @@ class Batches:
     def __init__(self, texts: bytes, words: bytes, shape: Shape):
         t, w = _opened(texts), _opened(words)
         self.ids, self.sizes, self.held = t["ids"].astype(np.int64), t["sizes"], t["held"]
-        self.c = w["c"]
-        rank = shape.frequent(w["hash"], self.c)
-        self.kind = np.where(rank < 0, w["kind"].astype(np.int64), rank // CLASS_WORDS)
+        self.c, rank, rare = w["c"], w["rank"].astype(np.int64), w["kind"].astype(np.int64)
+        self.kind = np.where(rank < 0, rare + TOP_CLASSES, rank // CLASS_WORDS)
         self.inside = np.maximum(rank, 0) % CLASS_WORDS
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
         self.one = w["hash"]
         self.two = (self.one * np.uint32(0x9E3779B1)) ^ (self.one >> np.uint32(15))
+        self.odds = np.concatenate([shape.class_odds(rare, self.one), w["odds"]], axis=1)
+        self.shift = np.uint32(32 - shape.tree_bits)
+        mass = shape.mass[rare, self.one.astype(np.int64) >> (32 - shape.bits)]
+        with np.errstate(divide="ignore"):
+            known = np.log(mass - 1) + w["share"]
+        #: What is left of a word's log probability behind all softmaxes.
+        self.rest = np.where(rank >= 0, 0.0, np.where(self.c > 0, known, 0.0) - np.log(mass))
 
     def features(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """Hashes of the last word, the one before, and both, for tokens given by place; ``first`` is their text's start."""
@@ -237,8 +307,22 @@ class Batches:
         both = (both ^ (both >> np.uint32(13))) * np.uint32(0xC2B2AE35)
         return last, skip, both >> np.uint32(8)
 
+    def bits_of(self, ids: np.ndarray, features: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """(token, log odds by counts, the bit, rows of the bit weights by feature) for every bit that is open in the given rare tokens."""
+        odds = self.odds[ids]
+        token, level = np.nonzero(odds != SURE)
+        hashes, level = self.one[ids][token], level.astype(np.uint32)
+        above = np.where(level > 0, hashes >> np.minimum(np.uint32(32) - level, np.uint32(31)), np.uint32(0))
+        node = (above * np.uint32(0x9E3779B1)) ^ (self.kind[ids][token].astype(np.uint32) * np.uint32(0x85EBCA6B)) ^ (level * np.uint32(0x27D4EB2F))
+        node ^= node >> np.uint32(16)
+        rows = np.empty((len(features), len(token)), np.int64)
+        for i, f in enumerate(features):
+            own = (f * np.uint32(0xC2B2AE35) + np.uint32(i + 1) * np.uint32(0x165667B1))[token]
+            rows[i] = ((own ^ node) * np.uint32(0x9E3779B1)) >> self.shift
+        return token, odds[odds != SURE].astype(np.float32) / ODDS, (hashes >> (np.uint32(31) - level)) & np.uint32(1), rows
+
     def of(self, chosen: np.ndarray) -> Iterator[tuple]:
-        """(places, kind, inside, rows of the class tables, rows of the inner tables of frequent words) of the chosen texts' tokens."""
+        """(places, kind, inside, rows of the kind tables, frequent tokens, their rows of the inner tables, rare tokens, their bits)."""
         places = np.concatenate([np.arange(s, s + n) for s, n in zip(self.starts[chosen], self.sizes[chosen])]) if len(chosen) else np.zeros(0, np.int64)
         first = np.repeat(self.starts[chosen], self.sizes[chosen])
         for a in range(0, len(places), BATCH):
@@ -247,10 +331,22 @@ class Batches:
             ids = self.ids[p]
             kind = self.kind[ids]
             outer = {"bias": np.zeros(len(p), np.int64), "last": last % LAST, "skip": skip % SKIP, "both": both % BOTH}
-            often = np.flatnonzero(kind < TOP_CLASSES)
+            often, seldom = np.flatnonzero(kind < TOP_CLASSES), np.flatnonzero(kind >= TOP_CLASSES)
             k = kind[often].astype(np.int64)
             inner = {"bias_in": k, "last_in": last[often] % LAST_IN * TOP_CLASSES + k, "skip_in": skip[often] % SKIP_IN * TOP_CLASSES + k}
-            yield p, kind, self.inside[ids[often]], outer, often, inner
+            yield p, kind, self.inside[ids[often]], outer, often, inner, seldom, self.bits_of(ids[seldom], (last[seldom], skip[seldom], both[seldom]))
+
+
+def bit_logits(w: dict[str, np.ndarray], odds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return odds + w["tree"][:, 0].take(rows).sum(0)
+
+
+def bit_step(w: dict[str, np.ndarray], squares: dict[str, np.ndarray], odds: np.ndarray, bit: np.ndarray, rows: np.ndarray) -> None:
+    """One Adagrad step of the bit weights."""
+    g = 1 / (1 + np.exp(-bit_logits(w, odds, rows))) - bit
+    total = np.bincount(rows.ravel(), np.tile(g, len(rows)), len(w["tree"])).astype(np.float32)
+    squares["tree"] += total * total
+    w["tree"][:, 0] -= RATE * total / (np.sqrt(squares["tree"]) + TREE_EASE)
 
 
 def log_softmax(w: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> np.ndarray:
@@ -280,15 +376,15 @@ def step(w: dict[str, np.ndarray], squares: dict[str, np.ndarray], rows: dict[st
 
 
 def flat(w: dict[str, np.ndarray], squares: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[name].ravel() for name, _, _ in TABLES] + [squares[name].ravel() for name, _, _ in TABLES])
+    return np.concatenate([x[name].ravel() for x in (w, squares) for name in w])
 
 
-def unflat(x: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+def unflat(x: np.ndarray, tables: tuple) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     w, squares, at = {}, {}, 0
-    for name, rows, columns in TABLES:
+    for name, rows, columns in tables:
         w[name] = x[at:at + rows * columns].reshape(rows, columns).copy()
         at += rows * columns
-    for name, rows, _ in TABLES:
+    for name, rows, _ in tables:
         squares[name] = x[at:at + rows].copy()
         at += rows
     return w, squares
@@ -297,27 +393,33 @@ def unflat(x: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]
 def train(resolved: DataFrame, shape: Shape, rounds: int = ROUNDS) -> np.ndarray:
     """The flat weights after all training tokens were seen once, a part of the texts each round."""
     spark = resolved.sparkSession
-    now = flat(shape.weights(), {name: np.zeros(rows, np.float32) for name, rows, _ in TABLES})
+    now = flat(shape.weights(), {name: np.zeros(rows, np.float32) for name, rows, _ in shape.tables})
     rows = resolved.select(F.spark_partition_id().alias("part"), "texts", "words")
     for turn in range(rounds):
-        shipped = spark.sparkContext.broadcast((now, shape))  # a fixed size
+        shipped = spark.sparkContext.broadcast((now, shape))  # its size has a bound
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, turn=turn) -> Iterator[pa.RecordBatch]:
             weights, shape = shipped.value
-            w, squares = unflat(weights)
+            w, squares = unflat(weights, shape.tables)
+            start, gained = w["tree"].copy(), squares["tree"].copy()
             tokens, part = 0, 0
             for batch in batches:
                 for i in range(batch.num_rows):
                     part = batch.column(0)[i].as_py()
                     block = Batches(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), shape)
                     texts = np.flatnonzero(~block.held)
-                    for p, kind, inside, outer, _, inner in block.of(texts[texts % rounds == turn]):
+                    for p, kind, inside, outer, _, inner, seldom, (_, odds, bit, at) in block.of(texts[texts % rounds == turn]):
                         step(w, squares, outer, kind)
                         if len(inside):
                             step(w, squares, inner, inside)
+                        if len(seldom):
+                            bit_step(w, squares, odds, bit, at)
                         tokens += len(p)
             if tokens:
-                total = (flat(w, squares).astype(np.float64) * tokens).astype(np.float32)
+                squares["tree"] -= gained
+                moved = (w["tree"] - start) * squares["tree"][:, None]
+                own = {name: x * np.float32(tokens) for name, x in w.items()} | {"tree": moved}
+                total = flat(own, {name: x * np.float32(tokens) for name, x in squares.items()} | {"tree": squares["tree"]})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part % TASKS_SUMMED], pa.int32()), pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())],
                     names=["part", "tokens", "weights"],
@@ -338,7 +440,15 @@ def train(resolved: DataFrame, shape: Shape, rounds: int = ROUNDS) -> np.ndarray
             total += np.frombuffer(row["weights"], np.float32)
             tokens += row["tokens"]
         if tokens:
-            now = (total / tokens).astype(np.float32)
+            before, gained = unflat(now, shape.tables)
+            moved, squares = unflat(total, shape.tables)
+            for name in moved:
+                if name == "tree":
+                    moved[name] = before[name] + moved[name] / np.maximum(squares[name], 1e-12)[:, None]
+                    squares[name] += gained[name]
+                else:
+                    moved[name], squares[name] = moved[name] / tokens, squares[name] / tokens
+            now = flat(moved, squares).astype(np.float32)
     return now
 
 
@@ -350,18 +460,20 @@ def score(resolved: DataFrame, shape: Shape, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat_weights, shape = shipped.value
-        w, _ = unflat(flat_weights)
+        w, _ = unflat(flat_weights, shape.tables)
         for batch in batches:
             for i in range(batch.num_rows):
                 block = Batches(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), shape)
                 base = np.log10((block.c + 1) / (shape.tokens + shape.words + 1))
-                rare = np.log((block.c + 1) / (shape.class_tokens + shape.class_words + 1)[block.kind])
                 log = np.zeros(len(block.ids))
-                for p, kind, inside, outer, often, inner in block.of(np.arange(len(block.sizes))):
-                    found = log_softmax(w, outer)[np.arange(len(p)), kind].astype(np.float64)
-                    own = rare[block.ids[p]]
-                    own[often] = log_softmax(w, inner)[np.arange(len(often)), inside] if len(often) else own[often]
-                    log[p] = found + own
+                for p, kind, inside, outer, often, inner, seldom, (token, odds, bit, at) in block.of(np.arange(len(block.sizes))):
+                    own = log_softmax(w, outer)[np.arange(len(p)), kind].astype(np.float64) + block.rest[block.ids[p]]
+                    if len(often):
+                        own[often] += log_softmax(w, inner)[np.arange(len(often)), inside]
+                    if len(token):
+                        z = bit_logits(w, odds, at)
+                        own[seldom] -= np.bincount(token, np.logaddexp(0, np.where(bit == 1, -z, z)), len(seldom))
+                    log[p] = own
                 total = lambda x: np.add.reduceat(x, block.starts)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, 1).flatten(), pa.array(block.sizes), pa.array(total((block.c > 0)[block.ids].astype(np.int64))),

@@ -123,16 +123,103 @@ def test_lm_of_nothing(spark, no_docs, odd_docs):
     assert taught_nothing.count() == 1
 
 
-def test_probabilities_sum_to_one():
-    """Over all frequent words and, for the rest, the classes' totals with one unknown word each."""
-    rng = np.random.default_rng(1)
-    shape = maxent.Shape(rng.integers(1, 500, maxent.CLASSES).astype(float), np.full(maxent.CLASSES, 9.0), np.arange(384, 0, -1), np.arange(384, dtype=np.uint32))
-    w = shape.weights()
-    for name, rows, columns in maxent.TABLES:
-        w[name] += rng.normal(scale=0.3, size=(rows, columns)).astype(np.float32)
-    outer = np.exp(maxent.log_softmax(w, {"bias": np.zeros(1, int), "last": np.array([5]), "skip": np.array([7]), "both": np.array([9])}))[0]
-    inner = [np.exp(maxent.log_softmax(w, {"bias_in": np.array([k]), "last_in": np.array([k]), "skip_in": np.array([k])})).sum() for k in range(maxent.TOP_CLASSES)]
-    assert outer.sum() == pytest.approx(1, abs=1e-4) and np.allclose(inner, 1, atol=1e-4)
+def softmax(z):
+    e = np.exp(np.array(z, float) - max(z))
+    return e / e.sum()
+
+
+class PlainModel:
+    """The language model word by word: counts and nodes in dictionaries, hashes as Python integers."""
+
+    def __init__(self, texts, weights, shape):
+        self.w, _ = maxent.unflat(weights, shape.tables)
+        self.counts, self.bits, self.tree_bits = Counter(w for t in texts for w in t), shape.bits, shape.tree_bits
+        self.frequent = sorted(self.counts, key=lambda w: (-self.counts[w], w))[:384]
+        self.rare = [w for w in self.counts if w not in set(self.frequent)]
+        self.classes, self.nodes, self.alike = Counter(), Counter(), Counter()
+        for w in self.rare:
+            kind, path = maxent.rare_class(w), f"{maxent.word_hash(w) >> 32:032b}"
+            self.alike[kind, path] += self.counts[w] + 1
+            self.classes[kind, path[: self.bits]] += self.counts[w] + 1
+            for n in range(self.bits, 33):
+                self.nodes[kind, path[:n]] += self.counts[w] + 1
+        for kind in range(20):
+            for c in range(1 << self.bits):
+                path = f"{c:0{self.bits}b}" if self.bits else ""
+                for n in range(self.bits):
+                    self.nodes[kind, path[:n]] += self.classes[kind, path] + 1
+                self.nodes[kind, path[: self.bits], "class"] += self.classes[kind, path] + 1
+
+    def side(self, kind, path):
+        return self.nodes[(kind, path, "class")] if len(path) == self.bits else self.nodes[kind, path]
+
+    def log_prob(self, word, context, depth):
+        m = 0xFFFFFFFF
+        top = [maxent.word_hash(w) >> 32 for w in context]
+        last = top[-1] if top else 1
+        two = (top[-2] * 0x9E3779B1 & m) ^ (top[-2] >> 15) if len(top) > 1 else 2
+        both = (last * 0x85EBCA6B & m) ^ (two + 0x9E3779B9 & m)
+        both = ((both ^ both >> 13) * 0xC2B2AE35 & m) >> 8
+        w = self.w
+        outer = softmax(w["bias"][0] + w["last"][last % 2048] + w["skip"][two % 1024] + w["both"][both % 8192])
+        if word in self.frequent:
+            k, i = divmod(self.frequent.index(word), 32)
+            inner = softmax(w["bias_in"][k] + w["last_in"][last % 512 * 12 + k] + w["skip_in"][two % 256 * 12 + k])
+            return math.log(outer[k]) + math.log(inner[i])
+        kind, h = maxent.rare_class(word), maxent.word_hash(word) >> 32
+        path = f"{h:032b}"
+        found = math.log(outer[12 + kind])
+        known = self.counts[word] > 0
+        for n in range(self.bits + depth[path[: self.bits]] if known else self.bits):
+            if n < self.bits:
+                left, right = (self.side(kind, path[:n] + x) for x in "01")
+            else:
+                left, right = (self.nodes[kind, path[:n] + x] for x in "01")
+            if not left or not right:
+                continue
+            z = max(-127, min(127, round(16 * math.log(right / left)))) / 16
+            node = (int(path[:n] or "0", 2) * 0x9E3779B1 & m) ^ ((12 + kind) * 0x85EBCA6B & m) ^ (n * 0x27D4EB2F & m)
+            node ^= node >> 16
+            for i, f in enumerate((last, two, both)):
+                z += w["tree"][(((f * 0xC2B2AE35 + (i + 1) * 0x165667B1 & m) ^ node) * 0x9E3779B1 & m) >> 32 - self.tree_bits, 0]
+            found -= math.log1p(math.exp(-z if path[n] == "1" else z))
+        mass = self.classes[kind, path[: self.bits]] + 1
+        if not known:
+            return found - math.log(mass)
+        last_node = self.nodes[kind, path[: self.bits + depth[path[: self.bits]]]]
+        return found + math.log((mass - 1) / mass) + math.log((self.counts[word] + 1) / last_node)
+
+
+def test_every_word_is_scored_by_features_as_a_plain_model_does(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{int(x)}q{int(x) % 37}" for x in rng.zipf(1.25, 60) % 2500) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    held = language_id.fold(F.col("doc_id"), 7) == 2
+    resolved, shape = maxent.resolve(maxent.number_blocks(docs, "text", held, ["doc_id"]))
+    weights = maxent.train(resolved, shape)
+    assert shape.bits == 2 and np.count_nonzero(maxent.unflat(weights, shape.tables)[0]["tree"]) > 1000
+    tokens = [[*t.encode().split(), b"\n"] for t in texts]
+    plain = PlainModel([t for i, t in enumerate(tokens) if crc(i) % 7 != 2], weights, shape)
+    assert len(plain.rare) > 500
+    most = Counter()
+    for w in plain.rare:
+        path = f"{maxent.word_hash(w) >> 32:032b}"[: shape.bits]
+        most[path, maxent.rare_class(w)] += 1
+    depth = Counter()
+    for (path, _), n in most.items():
+        depth[path] = max(depth[path], n.bit_length())
+    got = {r["rec"]["doc_id"]: r["score"] for r in maxent.score(resolved, shape, weights).collect()}
+    for i in range(0, 300, 12):
+        expected = sum(plain.log_prob(w, tokens[i][:at], depth) for at, w in enumerate(tokens[i])) / math.log(10)
+        assert got[i] == pytest.approx(expected, rel=1e-4)
+    unknown = {}
+    for n in range(20_000):  # one unknown word of each class
+        w = f"x{n}".encode()
+        unknown.setdefault((maxent.rare_class(w), maxent.word_hash(w) >> (64 - shape.bits)), w)
+    assert len(unknown) == 80
+    for context in ([], [b"w1q1"], [b"w2q2", b"w900q12"], [b"never", b"met"]):
+        total = sum(math.exp(plain.log_prob(w, context, depth)) for w in [*plain.counts, *unknown.values()])
+        assert total == pytest.approx(1, abs=1e-4)
 
 
 @data
