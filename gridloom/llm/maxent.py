@@ -24,7 +24,7 @@ empty result. Records travel in a struct, so column names cannot clash.
 from __future__ import annotations
 
 import heapq
-import io
+import json
 import math
 from collections.abc import Iterator
 
@@ -36,14 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from gridloom.session import stage
+from gridloom.session import drop_staged, stage, staged
 
 from .common import blocks, register, schema_of, table, text_bytes, utf8
 from .language_id import fold
 
 BLOCK_BYTES = 24 << 20
 #: Classes of a kind, as a share of the root of the number of documents; bits of the largest table of bit weights.
-CLASS_SHARE, MOST_TREE_BITS = 0.25, 20
+CLASS_SHARE, MOST_TREE_BITS = 0.1, 20
 TOP_CLASSES, CLASS_WORDS, RARE_CLASSES = 12, 32, 20
 CLASSES = TOP_CLASSES + RARE_CLASSES
 LAST, SKIP, BOTH = 2048, 1024, 8192
@@ -51,8 +51,8 @@ LAST_IN, SKIP_IN = 512, 256
 BATCH, ROUNDS, RATE = 8192, 3, 0.15
 #: Added to the root of a bit weight's squares, so that a feature met once moves little.
 TREE_EASE = 1.0
-#: Log odds are kept in sixteenths; ``SURE`` marks a bit that all words of a node share.
-ODDS, SURE = 16, -128
+#: Log odds are kept in quarters; ``SURE`` marks a bit that all words of a node share.
+ODDS, SURE = 4, -128
 MOST_FREQUENT = TOP_CLASSES * CLASS_WORDS
 END = b"\n"
 TASKS_SUMMED = 64
@@ -70,13 +70,26 @@ class _Numbers(dict):
 
 
 def _packed(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return zstandard.ZstdCompressor(1).compress(out.getvalue())
+    """One blob; numbers lie byte by byte (all first bytes, all second ones, ...), which packs better."""
+    head, body = [], []
+    for name, x in arrays.items():
+        flat = np.ascontiguousarray(x.T if x.ndim == 2 else x)
+        head.append((name, x.dtype.str, x.shape))
+        body.append(flat.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(1).compress(json.dumps(head).encode() + b"\n" + b"".join(body))
 
 
 def _opened(blob: bytes) -> dict[str, np.ndarray]:
-    return np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(blob)))
+    held = zstandard.ZstdDecompressor().decompress(blob)
+    at = held.index(b"\n")
+    head, at, out = json.loads(held[:at]), at + 1, {}
+    for name, kind, shape in head:
+        kind, size = np.dtype(kind), math.prod(shape)
+        planes = np.frombuffer(held, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        x = np.ascontiguousarray(planes.T).view(kind).reshape(shape[::-1])
+        out[name] = x.T if len(shape) == 2 else x
+        at += size * kind.itemsize
+    return out
 
 
 def class_bits(documents: int) -> int:
@@ -120,7 +133,8 @@ def number_blocks(docs: DataFrame, text: str, held_out: Column, keep: list[str]
             most = heapq.nsmallest(4 * MOST_FREQUENT, ((-int(trained[i]), words[i]) for i in np.flatnonzero(trained)))
             often = pa.array([[{"word": w, "c": -c} for c, w in most]], list_kind)
             yield pa.RecordBatch.from_arrays([
-                pa.array([block]), listed, pa.array([blob], pa.binary()), often, pa.array([bits], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                pa.array([block]), listed, pa.array([blob], pa.binary()), often, pa.array([bits], pa.int32()),
+                pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
             ], names=names)
             bucket = np.fromiter((word_hash(w) >> (64 - bits) for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
@@ -131,7 +145,8 @@ def number_blocks(docs: DataFrame, text: str, held_out: Column, keep: list[str]
             ]
             n = len(cut)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, block)), pa.nulls(n, listed.type), pa.nulls(n, pa.binary()), pa.nulls(n, list_kind), pa.nulls(n, pa.int32()), pa.array(bucket[order][cut]), pa.array(packed, pa.binary()),
+                pa.array(np.full(n, block)), pa.nulls(n, listed.type), pa.nulls(n, pa.binary()), pa.nulls(n, list_kind), pa.nulls(n, pa.int32()),
+                pa.array(bucket[order][cut]), pa.array(packed, pa.binary()),
             ], names=names)
 
     return stage(rows.mapInArrow(run, schema), "lm-blocks")
@@ -167,15 +182,15 @@ class Shape:
         return w
 
     def class_odds(self, kind: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """The log odds of each bit that leads from a rare kind to a word's class, in sixteenths."""
+        """The log odds of each bit that leads from a rare kind to a word's class, in quarters."""
         out = np.empty((len(kind), self.bits), np.int8)
         for bit in range(self.bits):
             sides = self.mass.reshape(RARE_CLASSES, 1 << bit, 2, -1).sum(3)
-            out[:, bit] = in_sixteenths(sides[..., 1], sides[..., 0])[kind, hashes.astype(np.int64) >> (32 - bit)]
+            out[:, bit] = in_quarters(sides[..., 1], sides[..., 0])[kind, hashes.astype(np.int64) >> (32 - bit)]
         return out
 
 
-def in_sixteenths(right: np.ndarray, left: np.ndarray) -> np.ndarray:
+def in_quarters(right: np.ndarray, left: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         odds = np.round(ODDS * np.log(right / left))
     return np.where((right > 0) & (left > 0), np.clip(np.nan_to_num(odds), -127, 127), SURE).astype(np.int8)
@@ -201,7 +216,7 @@ def word_odds(kind: np.ndarray, hashes: np.ndarray, c: np.ndarray, bits: int) ->
             share[order] = np.log(mass / np.repeat(whole, sizes))
         else:
             right = np.add.reduceat(mass * (key >> (31 - bits - level) & 1), new)
-            odds[order, level] = np.repeat(in_sixteenths(right, whole - right), sizes)
+            odds[order, level] = np.repeat(in_quarters(right, whole - right), sizes)
     return odds, share
 
 
@@ -219,9 +234,10 @@ def resolve(numbered: DataFrame) -> tuple[DataFrame, Shape]:
     def count(group: pa.Table) -> pa.Table:
         blobs, owners = group.column("words").to_pylist(), group.column("block").to_pylist()
         number, c = _Numbers(), np.zeros(1024, np.int64)
-        places = []
+        places, numbers = [], []
         for blob in blobs:
-            words, _, trained = opened(blob)
+            words, mine, trained = opened(blob)
+            numbers.append(mine)
             at = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
             if len(number) > len(c):
                 c = np.concatenate([c, np.zeros(len(number), np.int64)])
@@ -237,8 +253,8 @@ def resolve(numbered: DataFrame) -> tuple[DataFrame, Shape]:
         odds, share = np.full((n, found.shape[1]), SURE, np.int8), np.zeros(n, np.float32)
         odds[rare], share[rare] = found, shares
         out = []
-        for owner, blob, at in zip(owners, blobs, places):
-            arrays = _packed(numbers=_opened(blob)["numbers"], c=c[at], kind=kind[at], rank=rank[at], hash=hashes[at], odds=odds[at], share=share[at])
+        for owner, mine, at in zip(owners, numbers, places):
+            arrays = _packed(numbers=mine, c=c[at], kind=kind[at], rank=rank[at], hash=hashes[at], odds=odds[at], share=share[at])
             out.append({"block": owner, "arrays": arrays})
         tokens, kinds = np.bincount(kind[rare], c[rare], RARE_CLASSES), np.bincount(kind[rare], minlength=RARE_CLASSES)
         out.append({
@@ -266,7 +282,7 @@ def resolve(numbered: DataFrame) -> tuple[DataFrame, Shape]:
     shape = Shape(tokens, words, top_counts, mass)
 
     def merge(group: pa.Table) -> pa.Table:
-        parts = [dict(_opened(b.as_py())) for b in group.column("arrays")]
+        parts = [_opened(b.as_py()) for b in group.column("arrays")]
         order = np.argsort(np.concatenate([p["numbers"] for p in parts]))
         depth = max(p["odds"].shape[1] for p in parts)
         for p in parts:
@@ -309,8 +325,9 @@ class Batches:
 
     def bits_of(self, ids: np.ndarray, features: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         """(token, log odds by counts, the bit, rows of the bit weights by feature) for every bit that is open in the given rare tokens."""
-        odds = self.odds[ids]
+        odds = self.odds.take(ids, axis=0)
         token, level = np.nonzero(odds != SURE)
+        odds = odds[token, level]
         hashes, level = self.one[ids][token], level.astype(np.uint32)
         above = np.where(level > 0, hashes >> np.minimum(np.uint32(32) - level, np.uint32(31)), np.uint32(0))
         node = (above * np.uint32(0x9E3779B1)) ^ (self.kind[ids][token].astype(np.uint32) * np.uint32(0x85EBCA6B)) ^ (level * np.uint32(0x27D4EB2F))
@@ -319,7 +336,7 @@ class Batches:
         for i, f in enumerate(features):
             own = (f * np.uint32(0xC2B2AE35) + np.uint32(i + 1) * np.uint32(0x165667B1))[token]
             rows[i] = ((own ^ node) * np.uint32(0x9E3779B1)) >> self.shift
-        return token, odds[odds != SURE].astype(np.float32) / ODDS, (hashes >> (np.uint32(31) - level)) & np.uint32(1), rows
+        return token, odds.astype(np.float32) / ODDS, (hashes >> (np.uint32(31) - level)) & np.uint32(1), rows
 
     def of(self, chosen: np.ndarray) -> Iterator[tuple]:
         """(places, kind, inside, rows of the kind tables, frequent tokens, their rows of the inner tables, rare tokens, their bits)."""
@@ -485,9 +502,10 @@ def score(resolved: DataFrame, shape: Shape, weights: np.ndarray) -> DataFrame:
 
 @register("op2_maxent_score")
 def op2(spark, sf_dir):
-    """Every document's probability, learned from six folds of seven."""
-    held_out = fold(F.col("doc_id"), 7) == 2
+    """Every document's probability, learned from six folds of seven; what the resolved blocks were made from is dropped."""
+    held_out, start = fold(F.col("doc_id"), 7) == 2, staged()
     resolved, shape = resolve(number_blocks(table(spark, sf_dir, "documents"), "text", held_out, ["doc_id"]))
+    drop_staged(spark, start, staged() - 1)
     found = score(resolved, shape, train(resolved, shape))
     return found.select(
         F.col("rec.doc_id").alias("doc_id"), (fold(F.col("rec.doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
