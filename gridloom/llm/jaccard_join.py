@@ -17,7 +17,7 @@ lists with sets not yet connected are cut into chunks again, and each pair of ch
 cell. In a cell overlaps are exact, each set against the sets it is not yet connected to. Only a spanning forest of
 links leaves a cell, never all pairs of a group.
 
-Null, empty and wordless texts have empty sets and link with nothing. Repeated rows fall into one class. An
+Null, empty and wordless texts have empty sets and link with nothing. Very long texts have whole sets. Repeated rows fall into one class. An
 empty table gives an empty result. Records travel in a struct, so column names cannot clash.
 """
 

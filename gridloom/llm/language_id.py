@@ -7,7 +7,8 @@ loss; a bit weighs as much as it parts its two sides. The score is the share of
 the softmax of the negative losses, and a text whose best two codewords lie close is flagged ambiguous.
 
 A null text, one without a letter, and any text when nothing was learned are ``und`` with score 0. Texts
-with a null label teach nothing. Repeated rows count as often as they occur. An empty table gives an empty
+with a null label teach nothing. Of codewords equally near, the language first by name is taken, and the text is
+ambiguous. Very long texts are read whole. Repeated rows count as often as they occur. An empty table gives an empty
 result. Records travel in a struct, so column names cannot clash. The model's size is fixed by the number of
 languages, which is taken to be a list of languages and not data.
 """

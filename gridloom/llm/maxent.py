@@ -16,7 +16,7 @@ counts the class's words over the corpus, and the counts come back as arrays, so
 classes grow with the corpus, the table of bit weights with the vocabulary's root up to ``MOST_TREE_BITS``, so that a worker's memory has a
 bound; the tables of the kinds have a fixed size.
 
-A null text counts as empty: its one token is the end. Very long texts are handled whole, in a block of their own if need be. Repeated
+A null text counts as empty: its one token is the end. Very long texts are handled whole, in one block. Repeated
 rows count as often as they occur; equally frequent words rank by their bytes. Without training texts every word is unknown. An empty table gives an
 empty result. Records travel in a struct, so column names cannot clash.
 """

@@ -6,7 +6,7 @@ boosting over histograms of binned statistics, from the vectors of a bounded sam
 and leaf values, which numpy walks for a block of documents at once, one step a level.
 
 A null text counts as empty; it has a vector and a score like any other. Labels that disagree about a document are
-averaged; null labels teach nothing; without labels every score is 0.5. Repeated rows are scored row by
+averaged; null labels teach nothing; very long texts are read whole; without labels every score is 0.5. Repeated rows are scored row by
 row. An empty table gives an empty result. Records travel in a struct, so column names cannot clash.
 """
 

@@ -8,7 +8,7 @@ live, in however many documents of theirs it stands. How many owners are many gr
 corpus. Only live candidates become spans. Repositories are distinct texts where no column names them.
 
 Nulls: a null text has no spans; a null owner or repository counts as one owner or repository of its
-own. Empty tables give empty results. Repeated rows are scanned row by row.
+own. Very long texts are searched whole; matches of one kind do not overlap, the leftmost stands. Empty tables give empty results. Repeated rows are scanned row by row.
 """
 
 from __future__ import annotations
