@@ -12,7 +12,7 @@ the block size however common a term is. Test items are taken in runs of bounded
 blocks. The index is written to the shared folder once.
 
 A null or wordless text has no words and no hits; a null or wordless item has no window; items with equal ids
-count once, and a null id is the id of an empty text. A very long text is indexed whole, in one block. Repeated
+count once, and a null id counts as the id "" (empty). A very long text is indexed whole, in one block. Repeated
 documents are judged row by row. Empty tables give empty or clean results. Records travel in a struct, so column
 names cannot clash.
 """
