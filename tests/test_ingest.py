@@ -223,6 +223,21 @@ def test_part_numbers_beyond_five_digits(spark, folder):
     assert [r.v for r in got] == [0, 1, 2]
 
 
+def test_numbering_deals_no_rows_by_file(spark, folder):
+    """All rows of a file would land in one task, however large it is."""
+    spark.range(20).coalesce(1).write.parquet(folder("one"))
+    spark.range(20).write.option("header", True).csv(folder("ones"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for out in (row_id.number_files(spark.read.parquet(folder("one"))), imports.scan_csv(spark, folder("ones")).numbered()):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert [(r[0], r[1]) for r in out.orderBy(ROW_ID).collect()] == [(i + 1, i) for i in range(20)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 SHEET = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
 <row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>
 <row r="3"><c r="A3" t="str"><v>calc</v></c><c r="B3" s="1"><v>1.5</v></c><c r="C3" t="e"><v>#N/A</v></c></row>
