@@ -20,18 +20,23 @@ PARTS = 64
 FOLLOWED = 4096
 
 
-def _heavy(df: DataFrame, keys: Sequence[str]) -> Column:
+def _heavy(df: DataFrame, keys: Sequence[str], nulls: bool = False) -> Column:
     """The hashes of the heavy keys, at most ``PARTS``; other keys of the same hash are dealt too, which does no harm."""
     key = F.xxhash64(*[column(k) for k in keys])
-    there = df.where(~F.greatest(*[column(k).isNull() for k in keys], F.lit(False))).select(key.alias("k"))
+    there = df if nulls else df.where(~F.greatest(*[column(k).isNull() for k in keys], F.lit(False)))
+    there = there.select(key.alias("k"))
     found = there.agg(F.expr(f"approx_top_k(k, {PARTS}, {FOLLOWED})").alias("top"), F.count(F.lit(1)).alias("n"))
     often = F.filter("top", lambda t: t["count"] * PARTS > F.col("n"))
     return found.select(F.coalesce(F.transform(often, lambda t: t["item"]), F.array().cast("array<bigint>"))).scalar()
 
 
 def _dealt(df: DataFrame, keys: Sequence[str], heavy: Column, part: str) -> DataFrame:
-    """Rows of heavy keys get a part by their row id, or else by their values, so that a rerun task gives the same."""
-    row = [column(ROW_ID)] if ROW_ID in df.columns else [column(c) for c in df.columns]
+    """Rows of heavy keys get a part by their row id, or else by their values, so that a rerun task gives the same.
+
+    Maps and variants, which Spark does not hash, are left out of the values.
+    """
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    row = [column(c) for c in ([ROW_ID] if ROW_ID in df.columns else hashed)]
     own = F.pmod(F.xxhash64(*row), F.lit(PARTS)).cast("int")
     return df.withColumn(part, F.when(F.array_contains(heavy, F.xxhash64(*[column(k) for k in keys])), own).otherwise(F.lit(0)))
 
@@ -41,6 +46,12 @@ def _repeated(df: DataFrame, keys: Sequence[str], heavy: Column, part: str) -> D
     return df.withColumn(part, F.explode(F.sequence(F.lit(0), last)))
 
 
+def facts_sides(rows: DataFrame, facts: DataFrame, keys: Sequence[str], fact_keys: Sequence[str], part: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a further key column ``part``, for a join of rows with the facts of their groups, where null is a key too."""
+    heavy = _heavy(rows, keys, nulls=True)
+    return _dealt(rows, keys, heavy, part), _repeated(facts, fact_keys, heavy, part)
+
+
 def sides(left: DataFrame, right: DataFrame, lefts: Sequence[str], rights: Sequence[str], how: str, parts: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
     """Both sides with further key columns ``parts``, for a join on the keys and these.
 

@@ -582,10 +582,15 @@ def flag_outliers(flow: Flow, config: dict) -> Flow:
         bounds = limits.scalar()
         outside = (column(name) < bounds["low"]) | (column(name) > bounds["high"])
         return add(flow, target, F.coalesce(outside, F.lit(False)))
-    # one row per group; Spark broadcasts it only if it turns out small
-    match = [column(k).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)]
+    # one row per group; Spark broadcasts it only if it turns out small, so large groups are dealt over several tasks
+    part = "_part"
+    while part in {c.lower() for c in flow.df.columns}:
+        part += "_"
+    rows, limits = heavy_join.facts_sides(flow.df, limits, keys, [f"k{i}" for i in range(len(keys))], part)
+    limits = limits.withColumnRenamed(part, f"{part}_of")
+    match = [*[column(k).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)], F.col(part) == F.col(f"{part}_of")]
     outside = (column(name) < F.col("limits.low")) | (column(name) > F.col("limits.high"))
-    joined = flow.df.join(limits, match, "left")
+    joined = rows.join(limits, match, "left")
     df = joined.select(*[column(c) for c in flow.df.columns], F.coalesce(outside, F.lit(False)).alias(target))
     return flow.to(df, sorted=False)
 

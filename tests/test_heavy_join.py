@@ -1,10 +1,11 @@
 import statistics
+from collections import Counter
 
 import pytest
 from conftest import code_of
 from pyspark.sql import functions as F
 
-from gridloom import ROW_ID, Step
+from gridloom import ROW_ID, Step, recipe
 from gridloom.operators.steps import Flow, fold
 
 ON = [{"left": "k", "right": "k"}]
@@ -52,3 +53,24 @@ def test_a_third_of_the_rows_is_spread(spark):
 def test_split_keys_need_one_type(spark):
     left, right = tables(spark)
     assert code_of(joined, left, right.withColumn("k", F.col("k").cast("long")), "inner", split_heavy=True) == "invalid_cleaning_step"
+
+
+def test_outlier_limits_meet_large_groups_in_many_tasks(spark):
+    """Groups by null, NaN and zeros of both signs, each too large for one task, and a small one; a map among the fields."""
+    keys = [None, float("nan"), 0.0, -0.0]
+    data = [(i, keys[i % 4], 100.0 if i < 4 else float(i % 7), {"a": i}) for i in range(4000)] + [(4000, 9.0, 1.0, None)]
+    df = spark.createDataFrame(data, "id long, k double, v double, m map<string, int>").repartition(4)
+    step = Step("flag_outliers", 0, {"field": "v", "group_by": ["k"], "threshold": 5, "target": "far"})
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = recipe.apply_steps(df, [step])
+        assert out.columns == ["id", "k", "v", "m", "far"]
+        rows = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.id, r.far) for r in rows) == [(i, i < 4) for i in range(4001)]
+    assert max(Counter(r.task for r in rows).values()) < 400
