@@ -4,7 +4,8 @@ A quote parity scan: every split counts its quotes, and the parity of all quotes
 inside a quoted cell. One pass walks the lines of each split under both assumptions at once, numbering the records that
 start in it; the few facts of each split (its parity, its record counts) then decide which assumption holds, and
 which record the lines before its first start belong to. Records of one line are used where they are; only
-lines of longer records are shuffled, by record. Cells are parsed by Spark's own CSV parser.
+lines of longer records are shuffled, by record. The records are written once to the shared folder, as header, types and
+cells are read from them in turn. Cells are parsed by Spark's own CSV parser.
 
 Doubled quotes leave the parity as it is. A line that opens a quote anywhere but at the start of a cell, or a file that ends
 inside quotes, is refused with ``file_parse_failed``. Lines of white space between records are skipped. A record lies in one
@@ -26,11 +27,14 @@ from pyspark.sql import functions as F
 from ..errors import WorkspaceError
 from ..functions.names import normalize_headers
 from ..operators.row_id import BLOCK, MARK, PATH
-from ..session import stage
+from ..session import stage, stored_bytes
 from ..types import Field, validate_fields
 
 LINE_SCHEMA = "path string, block bigint, mark bigint, line string, inside boolean, odd boolean, blank boolean, bad boolean, p0 bigint, p1 bigint"
 
+#: A task takes several splits that are smaller than this together, in which starting it would cost more than its lines.
+TASK_BYTES = 4 << 20
+
 #: A line that opens a quoted cell which it does not close: whole cells, then a quote at the start of a cell.
 _OPENS = re.compile(r'(?:(?:"(?:[^"]|"")*+"|[^",]*+),)*+"(?:[^"]|"")*+\Z', re.DOTALL)
 
@@ -73,7 +77,8 @@ def walked_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.coalesce("value", F.lit("")).alias("line"), F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mark"),
     )
-    return lines.mapInArrow(_walk, LINE_SCHEMA)
+    tasks = max(spark.sparkContext.defaultParallelism, stored_bytes(lines) // TASK_BYTES)
+    return lines.coalesce(tasks).mapInArrow(_walk, LINE_SCHEMA)
 
 
 def split_facts(lines: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def split_facts(lines: DataFrame) -> DataFrame:
 
 def records(lines: DataFrame, splits: DataFrame) -> DataFrame:
     """(path, block, place, before, record): each record with the split it starts in and its place there, from 1."""
-    facts = lines.join(splits, ["path", "block"])
+    facts = lines.join(F.broadcast(splits), ["path", "block"])  # the driver lists the splits anyway
     inside = F.col("inside") != F.col("inside_first")
     own = F.when(F.col("inside_first"), F.col("p1")).otherwise(F.col("p0"))
     facts = facts.select(
@@ -130,6 +135,7 @@ def read_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     lines = walked_lines(spark, paths)
     splits = split_facts(lines)
     found = records(lines, splits).withColumn("record", F.regexp_replace("record", r"\r$", ""))
+    found = stage(found, "csv-records")
     is_header = (F.col("before") == 0) & (F.col("place") == 1)
     headers = found.where(is_header).groupBy("record").agg(F.count(F.lit(1)).alias("files")).limit(2).collect()
     if not headers:

@@ -238,6 +238,24 @@ def test_numbering_deals_no_rows_by_file(spark, folder):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_split_lines_are_walked_by_few_tasks_and_not_again(spark, folder):
+    """Small splits share a task, and header, types and cells come from the records as written once."""
+    rows = "".join(f'{i},"a\n""b"" {i}"\n' for i in range(300))
+    path = put(folder, "many/part-00000.csv", f"id,note\n{rows}")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        lines = records.walked_lines(spark, [path])
+        assert lines.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert lines.select("block").distinct().count() > 30
+        df = records.read_records(spark, path)
+        assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    found = imports.scan_csv(spark, path, multi_line="split")
+    assert [tuple(r) for r in found.numbered().orderBy(ROW_ID).collect()] == [(i + 1, i, f'a\n"b" {i}') for i in range(300)]
+
+
 SHEET = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
 <row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>
 <row r="3"><c r="A3" t="str"><v>calc</v></c><c r="B3" s="1"><v>1.5</v></c><c r="C3" t="e"><v>#N/A</v></c></row>
