@@ -6,15 +6,20 @@ from pyspark.sql import functions as F
 
 from gridloom import ROW_ID, Catalog, Field, databases, delimited, imports, infer, row_id, tables, workbooks
 from gridloom.plans.catalog import newest_first
-from gridloom.session import fresh_path
+from gridloom.session import fresh_path, stored_bytes
 
 from .registry import dataset, register, table
 from .workbook_bytes import group_workbook
 
 
+#: One more CSV file for so many bytes of the table's own files.
+FILE_BYTES = 32 << 20
+
+
 def drop_csv(df, order: str, files: int = 6, header: bool = True) -> str:
-    """Write a table as several CSV files in key order."""
+    """Write a table as several CSV files in key order, more of them as it grows: a task writes each."""
     path = fresh_path(df.sparkSession, "csv")
+    files = max(files, stored_bytes(df) // FILE_BYTES)
     sorted_df = df.repartitionByRange(files, order).sortWithinPartitions(order)
     sorted_df.write.option("header", header).option("escape", '"').csv(path)
     return path
@@ -46,7 +51,7 @@ def a1_multi_line(spark, sf):
     lang, source, n_chars FROM documents""",
 )
 def a1_multi_line_split(spark, sf):
-    """All documents from two large files, cut into many tasks inside their quoted texts, typed and numbered in file order."""
+    """All documents from two large files (more where they grow), cut into many tasks inside their quoted texts, typed and numbered in file order."""
     path = drop_csv(table(spark, sf, "documents"), "doc_id", files=2)
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:

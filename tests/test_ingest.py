@@ -256,6 +256,20 @@ def test_split_lines_are_walked_by_few_tasks_and_not_again(spark, folder):
     assert [tuple(r) for r in found.numbered().orderBy(ROW_ID).collect()] == [(i + 1, i, f'a\n"b" {i}') for i in range(300)]
 
 
+def test_csv_copies_grow_in_files(spark, folder, monkeypatch):
+    """A writer's task takes a bounded share of a large table, and the order of the files is that of the rows."""
+    from suite import ingest
+
+    spark.range(5000).withColumn("note", F.repeat(F.lit("x\n"), 3)).write.parquet(folder("with space"))
+    df = spark.read.parquet(folder("with space"))
+    assert len(list(pathlib.Path(ingest.drop_csv(df, "id")).glob("part-*"))) == 6
+    monkeypatch.setattr(ingest, "FILE_BYTES", 1000)
+    path = ingest.drop_csv(df, "id")
+    assert len(list(pathlib.Path(path).glob("part-*"))) > 12
+    read = delimited.read_csv(spark, path, multi_line=True)
+    assert [r[0] for r in imports.scan(read).numbered().orderBy(ROW_ID).select("id").collect()] == list(range(5000))
+
+
 SHEET = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
 <row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>
 <row r="3"><c r="A3" t="str"><v>calc</v></c><c r="B3" s="1"><v>1.5</v></c><c r="C3" t="e"><v>#N/A</v></c></row>
