@@ -27,6 +27,8 @@ from .common import pylist, register, schema_of, slices, table
 NONE = np.int64(1) << 40
 CACHE_WORDS = 200_000
 CACHE_WORD_BYTES = 200
+#: Up to so many bytes a plain list is merged sooner than a heap.
+SHORT_WORD = 64
 
 # The split pattern, and the characters newer than the Unicode version (16) that the
 # vocabulary's library knows, given as first-last.
@@ -87,9 +89,11 @@ class Vocabulary:
                 self.left[whole], self.right[whole], self.rank[whole] = a, b, rank
             keys.append(a << 32 | b)
             made.append((rank, whole))
-        self.pairs = {k: v for k, v in zip(reversed(keys), reversed(made))}
-        self.keys = np.array(sorted(self.pairs), np.int64)
-        self.key_rank = np.array([self.pairs[k][0] for k in self.keys.tolist()], np.int64)
+        #: The rank of a pair's merge, and the token that the merge of a rank makes.
+        self.ranks = {k: rank for k, (rank, _) in zip(reversed(keys), reversed(made))}
+        self.wholes = [whole for _, whole in made]
+        self.keys = np.array(sorted(self.ranks), np.int64)
+        self.key_rank = np.array([self.ranks[k] for k in self.keys.tolist()], np.int64)
         self.byte_ids = {v[0]: k for k, v in self.bytes.items() if len(v) == 1 and k not in self.special.values()}
         built = [i for i in range(n) if self.rank[i] >= 0]
         clash = self.conflicts(self.left[built], self.right[built], self.rank[built])
@@ -153,12 +157,29 @@ class Vocabulary:
         return out
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: the least rank first, the leftmost of equal ranks, over a linked list with a heap."""
+        """Exact merging: the least rank first, the leftmost of equal ranks; the ranks of all neighbours are kept in a list."""
+        if len(word) > SHORT_WORD:
+            return self.merge_long(word)
         ids = [self.byte_ids[b] for b in word]
-        n = len(ids)
+        rank_of, none = self.ranks.get, len(self.wholes)
+        ranks = [rank_of(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            ids[i] = whole = self.wholes[least]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(ids[i - 1] << 32 | whole, none)
+            if i < len(ranks):
+                ranks[i] = rank_of(whole << 32 | ids[i + 1], none)
+        return ids
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same over a linked list with a heap."""
+        ids = [self.byte_ids[b] for b in word]
+        n, wholes = len(ids), self.wholes
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*p, i, i + 1) for i in range(n - 1) if (p := self.pairs.get(ids[i] << 32 | ids[i + 1]))]
-        heap = [(rank, i, whole, ids[i], ids[j]) for rank, whole, i, j in heap]
+        heap = [(rank, i) for i in range(n - 1) if (rank := self.ranks.get(ids[i] << 32 | ids[i + 1])) is not None]
+        heap = [(rank, i, wholes[rank], ids[i], ids[i + 1]) for rank, i in heap]
         heapq.heapify(heap)
         while heap:
             _, i, whole, a, b = heapq.heappop(heap)
@@ -170,8 +191,8 @@ class Vocabulary:
             if after[i] < n:
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < n and (p := self.pairs.get(ids[left] << 32 | ids[right])):
-                    heapq.heappush(heap, (p[0], left, p[1], ids[left], ids[right]))
+                if left >= 0 and right < n and (rank := self.ranks.get(ids[left] << 32 | ids[right])) is not None:
+                    heapq.heappush(heap, (rank, left, wholes[rank], ids[left], ids[right]))
         return [i for i in ids if i >= 0]
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:

@@ -115,6 +115,8 @@ def test_speculation_is_verified():
     words = [sentence(i, 1).encode() * (i % 4 + 1) for i in range(300)] + [b"a" * n for n in range(1, 40)] + [" ".join(sentence(3, 9)).encode()]
     assert vocabulary.encode_words(words) == [vocabulary.merge(w) for w in words]
     assert any(vocabulary.propose(w) != vocabulary.merge(w) for w in words)
+    short = [w[:bpe.SHORT_WORD] for w in words]
+    assert [vocabulary.merge(w) for w in short] == [vocabulary.merge_long(w) for w in short]
 
 
 def test_bpe_of_nothing(no_docs):
