@@ -211,14 +211,17 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.ids: dict[str, str] = {}
-        self.back: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
         self.older: tuple[dict[str, str], dict[str, bytes]] = {}, {}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
     def _learn(self, words: list[str]) -> tuple[dict[str, str], dict[str, bytes]]:
-        cuts = self.vocabulary.encode_words([w.encode() for w in words])
+        """The ids of the words, and what they decode to where that is not the word itself."""
+        raw = [w.encode() for w in words]
+        cuts = self.vocabulary.encode_words(raw)
         token = self.vocabulary.bytes
-        return {w: ",".join(map(str, c)) for w, c in zip(words, cuts)}, {w: b"".join([token[i] for i in c]) for w, c in zip(words, cuts)}
+        back = [b"".join([token[i] for i in c]) for c in cuts]
+        return {w: ",".join(map(str, c)) for w, c in zip(words, cuts)}, {w: d for w, r, d in zip(words, raw, back) if r != d}
 
     def run(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(tokens, ids joined by commas, decoded text) of each text; equal texts are coded once."""
@@ -237,28 +240,34 @@ class Coder:
                 words = words_of(text)
             split.append(words)
         if len(self.ids) > CACHE_WORDS:  # words met again come back from the older half
-            self.older = self.ids, self.back
-            self.ids, self.back = {}, {}
+            self.older = self.ids, self.odd
+            self.ids, self.odd = {}, {}
         for special, i in self.vocabulary.special.items():
-            self.ids[special], self.back[special] = str(i), self.vocabulary.bytes[i]
+            self.ids[special] = str(i)
         fresh = set().union(*split).difference(self.ids)
         for w in fresh.intersection(self.older[0]):
-            self.ids[w], self.back[w] = self.older[0][w], self.older[1][w]
+            self.ids[w] = self.older[0][w]
+            if w in self.older[1]:
+                self.odd[w] = self.older[1][w]
         fresh.difference_update(self.ids)
         long = {w for w in fresh if len(w) > CACHE_WORD_BYTES}
-        ids, back = self._learn(list(fresh - long))
+        ids, odd = self._learn(list(fresh - long))
         self.ids |= ids
-        self.back |= back
-        rare_ids, rare_back = self._learn(list(long))  # long words are not kept
+        self.odd |= odd
+        rare_ids, rare_odd = self._learn(list(long))  # long words are not kept
+        odd = self.odd | rare_odd
         out = []
         for words in split:
             if rare_ids and any(len(w) > CACHE_WORD_BYTES for w in words):
                 joined = ",".join([rare_ids[w] if w in rare_ids else self.ids[w] for w in words])
-                plain = b"".join([rare_back[w] if w in rare_back else self.back[w] for w in words])
             else:
                 joined = ",".join(map(self.ids.__getitem__, words))
-                plain = b"".join(map(self.back.__getitem__, words))
-            out.append((joined.count(",") + 1 if joined else 0, joined, plain.decode("utf-8", "replace")))
+            # each distinct word was decoded from its tokens
+            if odd and not odd.keys().isdisjoint(words):
+                plain = b"".join([odd[w] if w in odd else w.encode() for w in words]).decode("utf-8", "replace")
+            else:
+                plain = "".join(words)
+            out.append((joined.count(",") + 1 if joined else 0, joined, plain))
         return out
 
 
