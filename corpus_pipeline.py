@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontaminate, jaccard_join, language_id, secret_scan
 from gridloom.llm.common import KeyFilter, table
-from gridloom.session import drop_staged, fresh_path, stage, staged
+from gridloom.session import drop_staged, fresh_path, small_batches, stage, staged
 
 #: Columns that the last stage makes.
 MADE = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -97,9 +97,13 @@ _before: list[tuple[int, int]] = []
 
 
 def _alone(step):
-    """A stage that first drops what the stages before it had staged: their results are written by then."""
+    """A stage that first drops what the stages before it had staged: their results are written by then.
+
+    Its rows travel in small batches, as executors and their workers hold whole texts.
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         while _before:
             drop_staged(spark, *_before.pop())
         start = staged()

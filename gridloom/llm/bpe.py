@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pylist, register, schema_of, slices, table
+from .common import pylist, register, schema_of, slices, table, tidy
 
 NONE = np.int64(1) << 40
 CACHE_WORDS = 200_000
@@ -299,7 +299,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
                 schema=pa.schema([batch.schema.field(0), *fields]),
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import stage
 
-from .common import blocks, register, schema_of, table, text_bytes, utf8
+from .common import blocks, register, schema_of, table, text_bytes, tidy, utf8
 
 BLOCK_BYTES = 6 << 20
 RUN_BYTES = 8 << 20
@@ -117,7 +117,7 @@ def build_index(docs: DataFrame, text: str = "text", keep: list[str] | None = No
                     pa.nulls(b - a, rec.type), pa.nulls(b - a, pa.int64()),
                 ], schema=fields)
 
-    return stage(rows.mapInArrow(run, schema), "postings")
+    return stage(rows.mapInArrow(tidy(run), schema), "postings")
 
 
 class Windows:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from gridloom.session import stage
 from gridloom.types import column
 
-from .common import KeyFilter, components, register, schema_of, slices, table, utf8
+from .common import KeyFilter, components, register, schema_of, slices, table, tidy, utf8
 
 WIDTH, PERCENT = 4, 85
 SKETCH_CELLS = 1 << 22  # of shingles; a quarter as many for words
@@ -152,7 +152,7 @@ def summarise(docs: DataFrame, text: str, keep: list[str] | None, width: int, ce
                 pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array(parts, pa.binary()),
             ], names=["rec", "th", "at", "n", "sig", "chunk", "part", "counts"])
 
-    return stage(rows.mapInArrow(run, schema), "jaccard-sets")
+    return stage(rows.mapInArrow(tidy(run), schema), "jaccard-sets")
 
 
 def sketch_of(summary: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +321,7 @@ def candidate_lists(
             names += [int(e["key"][a]).to_bytes(8, "big") + int(e["n"][a]).to_bytes(4, "big")] * (b - a)
         return pa.table([pa.array(names, pa.binary()), pa.array(sigs, pa.binary()), pa.array(e["n"].astype(np.int64)), pa.array(pivots, pa.binary())], names=["list", "sig", "n", "pivot"])
 
-    packed = rows.mapInArrow(run, "bucket bigint, entries binary")
+    packed = rows.mapInArrow(tidy(run), "bucket bigint, entries binary")
     found = stage(packed.groupBy("bucket").applyInArrow(lists, "list binary, sig binary, n bigint, pivot binary"), "jaccard-lists")
     hot = found.where("pivot is null").drop("pivot")
     if hot.isEmpty():
@@ -429,7 +429,7 @@ def packed_texts(docs: DataFrame, text: str, doc_id: str, width: int, asked: Dat
                     texts.append(zstandard.compress(t, 1))
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(texts, pa.binary())], names=["sig", "text"])
 
-    return rows.mapInArrow(pack, "sig binary, text binary")
+    return rows.mapInArrow(tidy(pack), "sig binary, text binary")
 
 
 def links_in(cells: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import stage
 
-from .common import pylist, register, schema_of, slices, table
+from .common import pylist, register, schema_of, slices, table, tidy
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -111,7 +111,7 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository:
                 [*kept.columns, pa.array(spans, kind)], schema=kept.schema.append(pa.field("spans", kind))
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
