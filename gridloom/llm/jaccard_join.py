@@ -45,6 +45,8 @@ LIST_SETS = 200_000
 CELL_SHINGLES = 2_000_000
 MOST_SMALL = 512
 FLUSH = 400_000
+#: Rows (cell, sig) that are broadcast at most, some 80 bytes each.
+SHIPPED_CELLS = 200_000
 ENTRY = np.dtype([("key", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("n", "<i4")])
 WORDS_KEPT = 400_000
 
@@ -110,6 +112,16 @@ def least_overlap(n: np.ndarray | int, percent: int):
     return (percent * n + 99) // 100
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Numbers of 32 bits byte by byte (all lowest bytes, all second ones, ...): few cells need more than the lowest."""
+    return zstandard.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def opened_counts(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def summarise(docs: DataFrame, text: str, keep: list[str] | None, width: int, cells: int) -> DataFrame:
     """Rows of documents (rec, n, sig, th) and, at each task's end, rows of its sketch (chunk, part, counts)."""
     kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
@@ -145,7 +157,7 @@ def summarise(docs: DataFrame, text: str, keep: list[str] | None, width: int, ce
         if rec_type is not None:
             if waiting:
                 count()
-            parts = [zstandard.compress(p.tobytes(), 1) for p in np.split(total, SHINGLE_CHUNKS + WORD_CHUNKS)]
+            parts = [packed_counts(p) for p in np.split(total, SHINGLE_CHUNKS + WORD_CHUNKS)]
             n = len(parts)
             yield pa.RecordBatch.from_arrays([
                 pa.nulls(n, rec_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
@@ -162,15 +174,15 @@ def sketch_of(summary: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(size, np.uint64)
         for b in group.column("counts"):
-            total += np.frombuffer(zstandard.decompress(b.as_py()), np.uint32)
-        counts = zstandard.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
+            total += opened_counts(b.as_py())
+        counts = packed_counts(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))
         return pa.table([group.column("chunk")[:1], pa.array([counts], pa.binary())], names=["chunk", "counts"])
 
     rows = summary.where("chunk is not null").select("chunk", F.floor(F.col("part") / 1000).alias("thousand"), "counts")
     some = rows.groupBy("chunk", "thousand").applyInArrow(add, "chunk int, counts binary")
     counts = np.zeros(cells + cells // 4, np.uint32)
     for row in some.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
-        counts[row["chunk"] * size:(row["chunk"] + 1) * size] = np.frombuffer(zstandard.decompress(row["counts"]), np.uint32)
+        counts[row["chunk"] * size:(row["chunk"] + 1) * size] = opened_counts(row["counts"])
     return counts[:cells], counts[cells:]
 
 
@@ -433,7 +445,11 @@ def packed_texts(docs: DataFrame, text: str, doc_id: str, width: int, asked: Dat
 
 
 def links_in(cells: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect every two sets of a cell which are linked there."""
+    """Links (a, b) that connect every two sets of a cell which are linked there.
+
+    Up to ``SHIPPED_CELLS`` places of sets in cells go to the texts, so that a text is shuffled once, to its cell; more
+    are joined by shuffles.
+    """
 
     def links(group: pa.Table) -> pa.Table:
         shingler = Shingler(width)
@@ -445,7 +461,9 @@ def links_in(cells: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
         pairs = [p for p in pairs if p[0] != p[1]]
         return pa.table([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
 
-    return cells.join(texts, "sig").select("cell", "sig", "text").groupBy("cell").applyInArrow(links, "a binary, b binary")
+    few = cells.limit(SHIPPED_CELLS + 1).count() <= SHIPPED_CELLS
+    placed = texts.join(F.broadcast(cells) if few else cells, "sig")
+    return placed.select("cell", "sig", "text").groupBy("cell").applyInArrow(links, "a binary, b binary")
 
 
 def join_groups(

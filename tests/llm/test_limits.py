@@ -1,8 +1,11 @@
-"""What bounds memory: batch sizes."""
+"""What bounds memory and shuffled texts: batch sizes, and where cells meet their texts."""
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 
 import corpus_pipeline
+from gridloom.llm import jaccard_join
 
 
 def sizes_of(df):
@@ -29,3 +32,29 @@ def test_pipeline_stages_hand_texts_over_in_small_batches(spark):
     finally:
         for k, v in zip(keys, before):
             spark.conf.set(k, v)
+
+
+def test_cells_go_to_the_texts_while_they_are_few(spark, monkeypatch):
+    texts = [f"{'w ' * i} one two three four five six seven eight".encode() for i in range(3)]
+    rows = [(bytes([i]), zstandard.compress(t)) for i, t in enumerate(texts)]
+    held = spark.createDataFrame(rows, "sig binary, text binary")
+    cells = spark.createDataFrame([("x", bytes([0])), ("x", bytes([1])), ("x", bytes([1])), ("y", bytes([2]))], "cell string, sig binary")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {}
+        for most in (4, 3):
+            monkeypatch.setattr(jaccard_join, "SHIPPED_CELLS", most)
+            links = jaccard_join.links_in(cells, held, 4, 60)
+            plan = links._jdf.queryExecution().executedPlan().toString()
+            found["BroadcastHashJoin" in plan] = sorted(map(tuple, links.collect()))
+        assert found[True] == found[False] == [(b"\x01", b"\x00")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sketches_pack_by_bytes():
+    counts = np.minimum(np.random.default_rng(1).zipf(1.6, 1 << 16), 0xFFFFFFFF).astype(np.uint32)
+    blob = jaccard_join.packed_counts(counts)
+    assert np.array_equal(jaccard_join.opened_counts(blob), counts)
+    assert len(blob) < 0.8 * len(zstandard.compress(counts.tobytes(), 1))
