@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from gridloom.session import drop_staged, stage, staged
+from gridloom.session import drop_staged, small_batches, stage, staged
 
 from .common import blocks, register, schema_of, table, text_bytes, utf8
 from .language_id import fold
@@ -49,6 +49,8 @@ CLASSES = TOP_CLASSES + RARE_CLASSES
 LAST, SKIP, BOTH = 2048, 1024, 8192
 LAST_IN, SKIP_IN = 512, 256
 BATCH, ROUNDS, RATE = 8192, 3, 0.15
+#: Tokens scored at a time; no score depends on it, and the arrays of so few stay in a core's cache.
+SCORED = 4096
 #: Added to the root of a bit weight's squares, so that a feature met once moves little.
 TREE_EASE = 1.0
 #: Log odds are kept in quarters; ``SURE`` marks a bit that all words of a node share.
@@ -130,7 +132,9 @@ def number_blocks(docs: DataFrame, text: str, held_out: Column, keep: list[str]
             listed = pa.ListArray.from_arrays(pa.array([0, len(recs)], pa.int32()), recs)
             blob = _packed(ids=flat, sizes=np.array(sizes, np.int64), held=held)
             words = list(number)
-            most = heapq.nsmallest(4 * MOST_FREQUENT, ((-int(trained[i]), words[i]) for i in np.flatnonzero(trained)))
+            k = 4 * MOST_FREQUENT
+            least = max(1, np.partition(trained, -k)[-k] if len(trained) > k else 1)  # no rarer word is among the k first
+            most = heapq.nsmallest(k, ((-int(trained[i]), words[i]) for i in np.flatnonzero(trained >= least)))
             often = pa.array([[{"word": w, "c": -c} for c, w in most]], list_kind)
             yield pa.RecordBatch.from_arrays([
                 pa.array([block]), listed, pa.array([blob], pa.binary()), often, pa.array([bits], pa.int32()),
@@ -308,6 +312,7 @@ class Batches:
         self.one = w["hash"]
         self.two = (self.one * np.uint32(0x9E3779B1)) ^ (self.one >> np.uint32(15))
         self.odds = np.concatenate([shape.class_odds(rare, self.one), w["odds"]], axis=1)
+        self.open = (self.odds != SURE).sum(1)
         self.shift = np.uint32(32 - shape.tree_bits)
         mass = shape.mass[rare, self.one.astype(np.int64) >> (32 - shape.bits)]
         with np.errstate(divide="ignore"):
@@ -325,25 +330,30 @@ class Batches:
 
     def bits_of(self, ids: np.ndarray, features: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         """(token, log odds by counts, the bit, rows of the bit weights by feature) for every bit that is open in the given rare tokens."""
-        odds = self.odds.take(ids, axis=0)
-        token, level = np.nonzero(odds != SURE)
-        odds = odds[token, level]
-        hashes, level = self.one[ids][token], level.astype(np.uint32)
-        above = np.where(level > 0, hashes >> np.minimum(np.uint32(32) - level, np.uint32(31)), np.uint32(0))
-        node = (above * np.uint32(0x9E3779B1)) ^ (self.kind[ids][token].astype(np.uint32) * np.uint32(0x85EBCA6B)) ^ (level * np.uint32(0x27D4EB2F))
+        odds = self.odds.take(ids, axis=0).ravel()
+        at = np.flatnonzero(odds != SURE)
+        token = np.repeat(np.arange(len(ids)), self.open[ids])
+        odds, level = odds[at], (at - token * self.odds.shape[1]).astype(np.uint32)
+        hashes = self.one[ids][token]
+        node = (hashes >> (np.uint32(32) - level)) * np.uint32(0x9E3779B1)  # a shift by all 32 bits leaves 0
+        node ^= (self.kind[ids].astype(np.uint32) * np.uint32(0x85EBCA6B))[token]
+        node ^= level * np.uint32(0x27D4EB2F)
         node ^= node >> np.uint32(16)
         rows = np.empty((len(features), len(token)), np.int64)
         for i, f in enumerate(features):
             own = (f * np.uint32(0xC2B2AE35) + np.uint32(i + 1) * np.uint32(0x165667B1))[token]
-            rows[i] = ((own ^ node) * np.uint32(0x9E3779B1)) >> self.shift
+            own ^= node
+            own *= np.uint32(0x9E3779B1)
+            own >>= self.shift
+            rows[i] = own
         return token, odds.astype(np.float32) / ODDS, (hashes >> (np.uint32(31) - level)) & np.uint32(1), rows
 
-    def of(self, chosen: np.ndarray) -> Iterator[tuple]:
+    def of(self, chosen: np.ndarray, size: int = BATCH) -> Iterator[tuple]:
         """(places, kind, inside, rows of the kind tables, frequent tokens, their rows of the inner tables, rare tokens, their bits)."""
         places = np.concatenate([np.arange(s, s + n) for s, n in zip(self.starts[chosen], self.sizes[chosen])]) if len(chosen) else np.zeros(0, np.int64)
         first = np.repeat(self.starts[chosen], self.sizes[chosen])
-        for a in range(0, len(places), BATCH):
-            p, f = places[a:a + BATCH], first[a:a + BATCH]
+        for a in range(0, len(places), size):
+            p, f = places[a:a + size], first[a:a + size]
             last, skip, both = self.features(p, f)
             ids = self.ids[p]
             kind = self.kind[ids]
@@ -355,7 +365,12 @@ class Batches:
 
 
 def bit_logits(w: dict[str, np.ndarray], odds: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return odds + w["tree"][:, 0].take(rows).sum(0)
+    tree = w["tree"][:, 0]
+    z = tree.take(rows[0])
+    for at in rows[1:]:
+        z += tree.take(at)
+    z += odds
+    return z
 
 
 def bit_step(w: dict[str, np.ndarray], squares: dict[str, np.ndarray], odds: np.ndarray, bit: np.ndarray, rows: np.ndarray) -> None:
@@ -366,19 +381,28 @@ def bit_step(w: dict[str, np.ndarray], squares: dict[str, np.ndarray], odds: np.
     w["tree"][:, 0] -= RATE * total / (np.sqrt(squares["tree"]) + TREE_EASE)
 
 
-def log_softmax(w: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> np.ndarray:
+def logits(w: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Below their rows' largest."""
     z = None
     for name, at in rows.items():
         part = w[name].take(at, axis=0)
         z = part if z is None else np.add(z, part, out=z)
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    z -= np.ascontiguousarray(z.T).max(0)[:, None]  # column by column, which is faster than along short rows
     return z
 
 
+def log_softmax_of(w: dict[str, np.ndarray], rows: dict[str, np.ndarray], target: np.ndarray) -> np.ndarray:
+    """The log probability of each row's target."""
+    z = logits(w, rows)
+    own = z[np.arange(len(target)), target]
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
 def step(w: dict[str, np.ndarray], squares: dict[str, np.ndarray], rows: dict[str, np.ndarray], target: np.ndarray) -> None:
     """One Adagrad step; a table's row has one running square."""
-    g = np.exp(log_softmax(w, rows))
+    g = logits(w, rows)
+    g -= np.log(np.exp(g).sum(1, keepdims=True))
+    np.exp(g, out=g)
     g[np.arange(len(target)), target] -= 1
     for name, at in rows.items():
         if name.startswith("bias") and len(w[name]) == 1:
@@ -483,10 +507,10 @@ def score(resolved: DataFrame, shape: Shape, weights: np.ndarray) -> DataFrame:
                 block = Batches(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), shape)
                 base = np.log10((block.c + 1) / (shape.tokens + shape.words + 1))
                 log = np.zeros(len(block.ids))
-                for p, kind, inside, outer, often, inner, seldom, (token, odds, bit, at) in block.of(np.arange(len(block.sizes))):
-                    own = log_softmax(w, outer)[np.arange(len(p)), kind].astype(np.float64) + block.rest[block.ids[p]]
+                for p, kind, inside, outer, often, inner, seldom, (token, odds, bit, at) in block.of(np.arange(len(block.sizes)), SCORED):
+                    own = log_softmax_of(w, outer, kind).astype(np.float64) + block.rest[block.ids[p]]
                     if len(often):
-                        own[often] += log_softmax(w, inner)[np.arange(len(often)), inside]
+                        own[often] += log_softmax_of(w, inner, inside)
                     if len(token):
                         z = bit_logits(w, odds, at)
                         own[seldom] -= np.bincount(token, np.logaddexp(0, np.where(bit == 1, -z, z)), len(seldom))
@@ -503,6 +527,7 @@ def score(resolved: DataFrame, shape: Shape, weights: np.ndarray) -> DataFrame:
 @register("op2_maxent_score")
 def op2(spark, sf_dir):
     """Every document's probability, learned from six folds of seven; what the resolved blocks were made from is dropped."""
+    small_batches(spark)  # a row may be a block of texts
     held_out, start = fold(F.col("doc_id"), 7) == 2, staged()
     resolved, shape = resolve(number_blocks(table(spark, sf_dir, "documents"), "text", held_out, ["doc_id"]))
     drop_staged(spark, start, staged() - 1)

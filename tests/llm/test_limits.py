@@ -3,9 +3,10 @@
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import jaccard_join
+from gridloom.llm import jaccard_join, maxent
 
 
 def sizes_of(df):
@@ -58,3 +59,23 @@ def test_sketches_pack_by_bytes():
     blob = jaccard_join.packed_counts(counts)
     assert np.array_equal(jaccard_join.opened_counts(blob), counts)
     assert len(blob) < 0.8 * len(zstandard.compress(counts.tobytes(), 1))
+
+
+def test_softmax_of_targets_alone():
+    rng = np.random.default_rng(2)
+    w = {"a": rng.normal(size=(5, 7)), "b": rng.normal(size=(3, 7))}
+    rows, target = {"a": rng.integers(0, 5, 40), "b": rng.integers(0, 3, 40)}, rng.integers(0, 7, 40)
+    z = w["a"][rows["a"]] + w["b"][rows["b"]]
+    want = (z - np.log(np.exp(z).sum(1, keepdims=True)))[np.arange(40), target]
+    assert np.allclose(maxent.log_softmax_of(w, rows, target), want)
+
+
+def test_frequent_words_of_a_block_are_the_first_of_all(spark):
+    """More equally frequent words than are listed: the first by their bytes stay, as among all words."""
+    words = [f"w{i}" for i in range(5 * maxent.MOST_FREQUENT)]
+    often = words[::-1][:100]
+    docs = spark.createDataFrame([(0, " ".join(words + often * 2))], "doc_id bigint, text string")
+    numbered = maxent.number_blocks(docs, "text", F.lit(False), ["doc_id"])
+    got = [(bytes(x["word"]), x["c"]) for x in numbered.where("often is not null").first()["often"]]
+    count = {w.encode(): 1 for w in words} | {w.encode(): 3 for w in often} | {maxent.END: 1}
+    assert got == sorted(count.items(), key=lambda x: (-x[1], x[0]))[: 4 * maxent.MOST_FREQUENT]
