@@ -63,10 +63,38 @@ def grouped_places(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(np.bincount(ids, minlength=n))
 
 
+def packed_steps(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit numbers as bytes of 7 bits, low ones first, all but a number's last marked by their top bit; and where each number ends."""
+    more = [np.flatnonzero(steps >= 1 << 7 * i) for i in range(1, 5)]
+    sizes = np.ones(len(steps), np.int64)
+    for at in more:
+        sizes[at] += 1
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    first = ends - sizes
+    out[first] = steps & 127
+    for i, at in enumerate(more, 1):
+        out[first[at] + i - 1] |= 128
+        out[first[at] + i] = steps[at] >> 7 * i & 127
+    return out, ends
+
+
+def opened_steps(packed: bytes) -> np.ndarray:
+    """The numbers of ``packed_steps``."""
+    raw = np.frombuffer(packed, np.uint8)
+    ends = np.flatnonzero(raw < 128) + 1
+    first = np.concatenate(([0], ends[:-1]))
+    out = (raw[first] & 127).astype(np.int64)
+    for i in range(1, 5):
+        at = np.flatnonzero(ends - first > i)
+        out[at] |= (raw[first[at] + i] & 127).astype(np.int64) << 7 * i
+    return out
+
+
 def build_index(docs: DataFrame, text: str = "text", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, term, n, places, rec, start): a row for each term of each block, and one (null term) for each document.
 
-    ``places`` are little-endian 32-bit differences. For a document ``n`` counts its words and ``start`` is its first place.
+    ``places`` are differences as ``packed_steps`` writes them. For a document ``n`` counts its words and ``start`` is its first place.
     """
     kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     rows = docs.select(
@@ -103,15 +131,14 @@ def build_index(docs: DataFrame, text: str = "text", keep: list[str] | None = No
             order, ends = grouped_places(ids, len(ids_of))
             place = place[order]
             first = np.concatenate(([0], ends[:-1]))
-            steps = np.diff(place, prepend=np.uint32(0)).astype("<u4")
+            steps = np.diff(place, prepend=np.uint32(0))
             steps[first] = place[first]
             terms, count = list(ids_of), np.diff(ends, prepend=0)
             for a in range(0, len(terms), 20_000):
                 b = min(a + 20_000, len(terms))
-                offsets = ((np.concatenate((first[a:b], ends[b - 1:b])) - first[a]) * 4).astype(np.int32)
-                payload = pa.Array.from_buffers(
-                    pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(steps[first[a]:ends[b - 1]].tobytes())]
-                )
+                packed, cut = packed_steps(steps[first[a]:ends[b - 1]])
+                offsets = np.concatenate(([0], cut[ends[a:b] - first[a] - 1])).astype(np.int32)
+                payload = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(b - a, number)), pa.array(terms[a:b], pa.binary()), pa.array(count[a:b]), payload,
                     pa.nulls(b - a, rec.type), pa.nulls(b - a, pa.int64()),
@@ -169,15 +196,15 @@ def _finder(shipped, slack: int) -> Callable[[pa.Table], pa.Table]:
         starts = np.sort(docs.column("start").to_numpy())
         number = {t: i for i, t in enumerate(terms)}
         held = group.filter(pc.is_valid(group.column("term")))
-        raw = {number[t]: p for t, p in zip(held.column("term").to_pylist(), held.column("places").to_pylist())}
+        of_term = [number[t] for t in held.column("term").to_pylist()]
+        raw = dict(zip(of_term, held.column("places").to_pylist()))
         count = np.zeros(len(terms), np.int64)
-        for t, p in raw.items():
-            count[t] = len(p) // 4
+        count[of_term] = held.column("n").to_numpy()
         lists: dict[int, np.ndarray] = {}
 
         def places(t: int) -> np.ndarray:
             if t not in lists:
-                lists[t] = np.cumsum(np.frombuffer(raw[t], "<u4").astype(np.int64))
+                lists[t] = np.cumsum(opened_steps(raw[t]))
             return lists[t]
 
         exact, near = {}, {}
@@ -230,7 +257,7 @@ def search(
         shipped = spark.sparkContext.broadcast((terms, listed))  # bounded by run_bytes
 
         vocabulary = spark.createDataFrame([(bytearray(t),) for t in terms], "term binary")
-        wanted = index.select("block", "term", "places", "start")
+        wanted = index.select("block", "term", "n", "places", "start")
         wanted = wanted.where("term is null").unionAll(wanted.join(F.broadcast(vocabulary), "term", "left_semi").select(*wanted.columns))
         found = wanted.groupBy("block").applyInArrow(_finder(shipped, slack), schema)
         out = found if out is None else out.unionAll(found)

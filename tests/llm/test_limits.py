@@ -6,7 +6,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import jaccard_join, maxent
+from gridloom.llm import decontaminate, jaccard_join, maxent
 
 
 def sizes_of(df):
@@ -79,3 +79,15 @@ def test_frequent_words_of_a_block_are_the_first_of_all(spark):
     got = [(bytes(x["word"]), x["c"]) for x in numbered.where("often is not null").first()["often"]]
     count = {w.encode(): 1 for w in words} | {w.encode(): 3 for w in often} | {maxent.END: 1}
     assert got == sorted(count.items(), key=lambda x: (-x[1], x[0]))[: 4 * maxent.MOST_FREQUENT]
+
+
+def test_places_take_as_many_bytes_as_their_steps_need(spark):
+    edges = np.array([0, 1, *(x for i in range(1, 5) for x in ((1 << 7 * i) - 1, 1 << 7 * i)), (1 << 32) - 1], np.uint32)
+    packed, ends = decontaminate.packed_steps(edges)
+    assert np.diff(ends, prepend=0).tolist() == [1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert decontaminate.opened_steps(packed.tobytes()).tolist() == edges.tolist()
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["the", "of"][int(r < 0.3)] if r < 0.6 else f"w{int(r * 1e6)}" for r in rng.random(300)) for _ in range(200)]
+    index = decontaminate.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1))
+    held = index.where("term is not null").agg(F.sum(F.length("places")).alias("bytes"), F.sum("n").alias("n")).first()
+    assert held["n"] == 200 * 300 and held["bytes"] < 2 * held["n"]
