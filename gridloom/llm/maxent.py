@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import drop_staged, small_batches, stage, staged
 
-from .common import blocks, register, schema_of, table, text_bytes, utf8
+from .common import blocks, register, schema_of, table, text_bytes, tidy, utf8
 from .language_id import fold
 
 BLOCK_BYTES = 24 << 20
@@ -51,6 +51,10 @@ LAST_IN, SKIP_IN = 512, 256
 BATCH, ROUNDS, RATE = 8192, 3, 0.15
 #: Tokens scored at a time; no score depends on it, and the arrays of so few stay in a core's cache.
 SCORED = 4096
+#: Tokens whose log probabilities are held at a time, as whole texts.
+HELD = 1 << 18
+#: Sums of up to so many rows are taken row by row.
+FEW = 8
 #: Added to the root of a bit weight's squares, so that a feature met once moves little.
 TREE_EASE = 1.0
 #: Log odds are kept in quarters; ``SURE`` marks a bit that all words of a node share.
@@ -153,7 +157,7 @@ def number_blocks(docs: DataFrame, text: str, held_out: Column, keep: list[str]
                 pa.array(bucket[order][cut]), pa.array(packed, pa.binary()),
             ], names=names)
 
-    return stage(rows.mapInArrow(run, schema), "lm-blocks")
+    return stage(rows.mapInArrow(tidy(run), schema), "lm-blocks")
 
 
 def word_hash(word: bytes) -> int:
@@ -304,7 +308,7 @@ class Batches:
 
     def __init__(self, texts: bytes, words: bytes, shape: Shape):
         t, w = _opened(texts), _opened(words)
-        self.ids, self.sizes, self.held = t["ids"].astype(np.int64), t["sizes"], t["held"]
+        self.ids, self.sizes, self.held = t["ids"], t["sizes"], t["held"]
         self.c, rank, rare = w["c"], w["rank"].astype(np.int64), w["kind"].astype(np.int64)
         self.kind = np.where(rank < 0, rare + TOP_CLASSES, rank // CLASS_WORDS)
         self.inside = np.maximum(rank, 0) % CLASS_WORDS
@@ -348,12 +352,26 @@ class Batches:
             rows[i] = own
         return token, odds.astype(np.float32) / ODDS, (hashes >> (np.uint32(31) - level)) & np.uint32(1), rows
 
+    def places(self, chosen: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The places of the chosen texts' tokens, and where the text of each starts, ``size`` tokens at a time."""
+        starts, sizes = self.starts[chosen], self.sizes[chosen]
+        ends = np.cumsum(sizes)
+        for a in range(0, int(ends[-1]) if len(ends) else 0, size):
+            b = min(a + size, int(ends[-1]))
+            i, j = np.searchsorted(ends, (a, b - 1), "right")
+            of = slice(i, j + 1)
+            n = np.minimum(ends[of], b) - np.maximum(ends[of] - sizes[of], a)
+            yield np.arange(a, b) + np.repeat(starts[of] - (ends[of] - sizes[of]), n), np.repeat(starts[of], n)
+
+    def runs(self, tokens: int) -> Iterator[np.ndarray]:
+        """The texts in runs of about so many tokens."""
+        ends = np.cumsum(self.sizes)
+        cuts = np.searchsorted(ends, np.arange(tokens, ends[-1], tokens))
+        yield from (run for run in np.split(np.arange(len(ends)), cuts) if len(run))
+
     def of(self, chosen: np.ndarray, size: int = BATCH) -> Iterator[tuple]:
         """(places, kind, inside, rows of the kind tables, frequent tokens, their rows of the inner tables, rare tokens, their bits)."""
-        places = np.concatenate([np.arange(s, s + n) for s, n in zip(self.starts[chosen], self.sizes[chosen])]) if len(chosen) else np.zeros(0, np.int64)
-        first = np.repeat(self.starts[chosen], self.sizes[chosen])
-        for a in range(0, len(places), size):
-            p, f = places[a:a + size], first[a:a + size]
+        for p, f in self.places(chosen, size):
             last, skip, both = self.features(p, f)
             ids = self.ids[p]
             kind = self.kind[ids]
@@ -381,6 +399,30 @@ def bit_step(w: dict[str, np.ndarray], squares: dict[str, np.ndarray], odds: np.
     w["tree"][:, 0] -= RATE * total / (np.sqrt(squares["tree"]) + TREE_EASE)
 
 
+def bit_losses(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """What each bit takes from a log probability: log(1 + exp(y)), y its log odds against."""
+    y = np.where(bit == 1, -z, z)
+    return np.maximum(y, 0) + np.log(1 + np.exp(-np.abs(y)))
+
+
+def row_sums(g: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """``np.add.reduceat(g[order], new, axis=0)``, to the bit; sums of few rows, which are most, are taken together."""
+    sizes = np.diff(np.append(new, len(order)))
+    out = g[order[new]]
+    few = np.flatnonzero((sizes > 1) & (sizes <= FEW))
+    rest, live = g[order[new[few] + 1]], np.arange(len(few))
+    for j in range(2, FEW):
+        live = live[sizes[few[live]] > j]
+        rest[live] += g[order[new[few[live]] + j]]
+    out[few] += rest
+    many = np.flatnonzero(sizes > FEW)
+    if len(many):
+        n = sizes[many]
+        starts = np.cumsum(n) - n
+        out[many] = np.add.reduceat(g[order[np.repeat(new[many] - starts, n) + np.arange(n.sum())]], starts, axis=0)
+    return out
+
+
 def logits(w: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> np.ndarray:
     """Below their rows' largest."""
     z = None
@@ -411,7 +453,7 @@ def step(w: dict[str, np.ndarray], squares: dict[str, np.ndarray], rows: dict[st
             order = np.argsort(at.astype(np.uint16), kind="stable")
             sorted_at = at[order]
             new = np.flatnonzero(np.concatenate(([True], sorted_at[1:] != sorted_at[:-1])))
-            seen, total = sorted_at[new], np.add.reduceat(g[order], new, axis=0)
+            seen, total = sorted_at[new], row_sums(g, order, new)
         squares[name][seen] += (total * total).mean(1)
         w[name][seen] -= RATE * total / (np.sqrt(squares[name][seen])[:, None] + 1e-3)
 
@@ -475,7 +517,7 @@ def train(resolved: DataFrame, shape: Shape, rounds: int = ROUNDS) -> np.ndarray
                 pa.array([sum(group.column("tokens").to_pylist())], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())
             ], names=["tokens", "weights"])
 
-        sums = rows.mapInArrow(run, "part int, tokens bigint, weights binary").groupBy("part").applyInArrow(add, "tokens bigint, weights binary")
+        sums = rows.mapInArrow(tidy(run), "part int, tokens bigint, weights binary").groupBy("part").applyInArrow(add, "tokens bigint, weights binary")
         total, tokens = np.zeros(len(now)), 0
         for row in sums.toLocalIterator():  # at most TASKS_SUMMED rows of a fixed size, one at a time
             total += np.frombuffer(row["weights"], np.float32)
@@ -490,6 +532,7 @@ def train(resolved: DataFrame, shape: Shape, rounds: int = ROUNDS) -> np.ndarray
                 else:
                     moved[name], squares[name] = moved[name] / tokens, squares[name] / tokens
             now = flat(moved, squares).astype(np.float32)
+        shipped.unpersist()  # else executors and workers keep the weights of every round
     return now
 
 
@@ -506,22 +549,25 @@ def score(resolved: DataFrame, shape: Shape, weights: np.ndarray) -> DataFrame:
             for i in range(batch.num_rows):
                 block = Batches(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), shape)
                 base = np.log10((block.c + 1) / (shape.tokens + shape.words + 1))
-                log = np.zeros(len(block.ids))
-                for p, kind, inside, outer, often, inner, seldom, (token, odds, bit, at) in block.of(np.arange(len(block.sizes)), SCORED):
-                    own = log_softmax_of(w, outer, kind).astype(np.float64) + block.rest[block.ids[p]]
-                    if len(often):
-                        own[often] += log_softmax_of(w, inner, inside)
-                    if len(token):
-                        z = bit_logits(w, odds, at)
-                        own[seldom] -= np.bincount(token, np.logaddexp(0, np.where(bit == 1, -z, z)), len(seldom))
-                    log[p] = own
-                total = lambda x: np.add.reduceat(x, block.starts)
+                known, totals = (block.c > 0).astype(np.int64), []
+                for texts in block.runs(HELD):
+                    start, end = block.starts[texts[0]], block.starts[texts[-1]] + block.sizes[texts[-1]]
+                    ids, log = block.ids[start:end], np.zeros(end - start)
+                    for p, kind, inside, outer, often, inner, seldom, (token, odds, bit, at) in block.of(texts, SCORED):
+                        own = log_softmax_of(w, outer, kind).astype(np.float64) + block.rest[block.ids[p]]
+                        if len(often):
+                            own[often] += log_softmax_of(w, inner, inside)
+                        if len(token):
+                            own[seldom] -= np.bincount(token, bit_losses(bit_logits(w, odds, at), bit), len(seldom))
+                        log[p - start] = own
+                    totals.append([np.add.reduceat(x, block.starts[texts] - start) for x in (known[ids], base[ids], log)])
+                n_known, base_score, score = map(np.concatenate, zip(*totals))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, 1).flatten(), pa.array(block.sizes), pa.array(total((block.c > 0)[block.ids].astype(np.int64))),
-                    pa.array(total(base[block.ids])), pa.array(total(log) / np.log(10)),
+                    batch.column(0).slice(i, 1).flatten(), pa.array(block.sizes), pa.array(n_known),
+                    pa.array(base_score), pa.array(score / np.log(10)),
                 ], names=["rec", "n_tokens", "n_known", "base_score", "score"])
 
-    return resolved.select("recs", "texts", "words").mapInArrow(run, schema)
+    return resolved.select("recs", "texts", "words").mapInArrow(tidy(run), schema)
 
 
 @register("op2_maxent_score")

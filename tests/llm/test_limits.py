@@ -1,5 +1,7 @@
 """What bounds memory and shuffled texts: batch sizes, and where cells meet their texts."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -91,3 +93,45 @@ def test_places_take_as_many_bytes_as_their_steps_need(spark):
     index = decontaminate.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1))
     held = index.where("term is not null").agg(F.sum(F.length("places")).alias("bytes"), F.sum("n").alias("n")).first()
     assert held["n"] == 200 * 300 and held["bytes"] < 2 * held["n"]
+
+
+def block_of(texts, words):
+    """A block of ``texts`` short texts over so many words, each met and rare."""
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 60, texts)
+    c, hashes = np.ones(words, np.int64), rng.integers(0, 1 << 32, words, dtype=np.uint32)
+    held = {"ids": rng.integers(0, words, sizes.sum()).astype(np.uint32), "sizes": sizes, "held": np.zeros(texts, bool)}
+    known = {
+        "c": c, "kind": rng.integers(0, maxent.RARE_CLASSES, words).astype(np.int8), "rank": np.full(words, -1, np.int16),
+        "hash": hashes, "odds": np.zeros((words, 4), np.int8), "share": np.zeros(words, np.float32),
+    }
+    shape = maxent.Shape(int(sizes.sum()), words, np.zeros(0), np.full((maxent.RARE_CLASSES, 2), 9.0))
+    return maxent.Batches(maxent._packed(**held), maxent._packed(**known), shape)
+
+
+def test_a_block_is_walked_without_arrays_of_all_its_tokens():
+    block = block_of(20_000, 500)
+    chosen = np.flatnonzero(np.arange(20_000) % 3 != 1)
+    want = np.concatenate([np.arange(s, s + n) for s, n in zip(block.starts[chosen], block.sizes[chosen])])
+    tracemalloc.start()
+    got, most = [], 0
+    for p, *_ in block.of(chosen, 1000):
+        got.append(p.astype(np.uint32))
+        most = max(most, tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in got))
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert np.array_equal(np.concatenate(got), want)
+    assert all(len(p) == 1000 for p in got[:-1]) and most < 8 * len(want)
+    runs = list(block.runs(5000))
+    assert np.array_equal(np.concatenate(runs), np.arange(20_000)) and max(block.sizes[r].sum() for r in runs) < 5060
+    assert [len(r) for r in block_of(3, 10).runs(1)] == [1, 1, 1]
+
+
+def test_row_sums_and_bit_losses_are_the_plain_ones():
+    rng = np.random.default_rng(8)
+    at = np.sort(np.minimum(rng.geometric(0.002, 5000), 1500) // rng.choice([1, 300], 5000))
+    g, order = rng.normal(size=(5000, 32)).astype(np.float32), rng.permutation(5000)
+    new = np.flatnonzero(np.diff(at, prepend=-1))
+    assert np.array_equal(maxent.row_sums(g, order, new), np.add.reduceat(g[order], new, axis=0))
+    z, bit = np.linspace(-90, 90, 2001, dtype=np.float32), rng.integers(0, 2, 2001)
+    assert np.allclose(maxent.bit_losses(z, bit), np.logaddexp(0, np.where(bit == 1, -1.0, 1.0) * z), rtol=1e-6, atol=3e-7)
