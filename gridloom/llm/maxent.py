@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import drop_staged, small_batches, stage, staged
 
-from .common import blocks, register, schema_of, table, text_bytes, tidy, utf8
+from .common import blocks, register, schema_of, table, text_bytes, tidy
 from .language_id import fold
 
 BLOCK_BYTES = 24 << 20
@@ -55,6 +56,8 @@ SCORED = 4096
 HELD = 1 << 18
 #: Sums of up to so many rows are taken row by row.
 FEW = 8
+#: Bit weights, and rows of softmaxes, worked on at a time in training; no weight depends on it, and so few stay in a core's cache.
+PIECE, SOFT = 1 << 14, 2048
 #: Added to the root of a bit weight's squares, so that a feature met once moves little.
 TREE_EASE = 1.0
 #: Log odds are kept in quarters; ``SURE`` marks a bit that all words of a node share.
@@ -121,21 +124,12 @@ def number_blocks(docs: DataFrame, text: str, held_out: Column, keep: list[str]
         list_kind = pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64())]))
         for k, pieces in enumerate(blocks(batches, text_bytes, BLOCK_BYTES)):
             block = pieces[0].column(2)[0].as_py() << 32 | k
-            number, ids, sizes = _Numbers(), [], []
-            number[END]
-            for piece in pieces:
-                for value in utf8(piece):
-                    words = value.lower().split() if value else []
-                    words.append(END)
-                    ids.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
-                    sizes.append(len(words))
+            words, flat, sizes = numbered_words([p.column(3) for p in pieces])
             held = np.concatenate([p.column(1).to_numpy(zero_copy_only=False) for p in pieces]).astype(bool)
-            flat = np.concatenate(ids)
-            trained = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(number))
+            trained = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(words))
             recs = pa.concat_arrays([p.column(0) for p in pieces])
             listed = pa.ListArray.from_arrays(pa.array([0, len(recs)], pa.int32()), recs)
-            blob = _packed(ids=flat, sizes=np.array(sizes, np.int64), held=held)
-            words = list(number)
+            blob = _packed(ids=flat, sizes=sizes, held=held)
             k = 4 * MOST_FREQUENT
             least = max(1, np.partition(trained, -k)[-k] if len(trained) > k else 1)  # no rarer word is among the k first
             most = heapq.nsmallest(k, ((-int(trained[i]), words[i]) for i in np.flatnonzero(trained >= least)))
@@ -148,7 +142,7 @@ def number_blocks(docs: DataFrame, text: str, held_out: Column, keep: list[str]
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             packed = [
-                _packed(words=np.frombuffer(b" ".join([words[i] for i in held_by]), np.uint8), numbers=held_by.astype(np.int32), trained=trained[held_by])
+                _packed(words=np.frombuffer(b" ".join([words[i] for i in held_by.tolist()]), np.uint8), numbers=held_by.astype(np.int32), trained=trained[held_by])
                 for held_by in np.split(order, cut[1:])
             ]
             n = len(cut)
@@ -160,6 +154,28 @@ def number_blocks(docs: DataFrame, text: str, held_out: Column, keep: list[str]
     return stage(rows.mapInArrow(tidy(run), schema), "lm-blocks")
 
 
+def numbered_words(texts: list[pa.Array]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens as they come, ``END`` first, all tokens as numbers of them, and the tokens of each text."""
+    found, sizes = [], []
+    for text in texts:
+        listed = pc.ascii_split_whitespace(pc.ascii_lower(text))
+        n, words = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(), listed.flatten()
+        full = pc.binary_length(words).to_numpy() > 0  # white space at either end of a text leaves an empty word there
+        sizes.append(np.bincount(np.repeat(np.arange(len(text)), n)[full], minlength=len(text)) + 1)
+        found.append(words.filter(pa.array(full)))
+    sizes = np.concatenate(sizes).astype(np.int64)
+    flat, inner = np.zeros(sizes.sum(), np.uint32), np.ones(sizes.sum(), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    coded = pa.chunked_array(found).dictionary_encode()
+    if not len(coded):
+        return [END], flat, sizes
+    flat[inner] = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+    flat[inner] += 1
+    words = coded.chunk(0).dictionary
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.binary())), b" ")
+    return [END, *joined[0].as_py().split()], flat, sizes
+
+
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
@@ -191,11 +207,15 @@ class Shape:
 
     def class_odds(self, kind: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The log odds of each bit that leads from a rare kind to a word's class, in quarters."""
-        out = np.empty((len(kind), self.bits), np.int8)
+        table = np.empty((RARE_CLASSES, 1 << self.bits, self.bits), np.int8)
         for bit in range(self.bits):
             sides = self.mass.reshape(RARE_CLASSES, 1 << bit, 2, -1).sum(3)
-            out[:, bit] = in_quarters(sides[..., 1], sides[..., 0])[kind, hashes.astype(np.int64) >> (32 - bit)]
-        return out
+            table[:, :, bit] = np.repeat(in_quarters(sides[..., 1], sides[..., 0]), 1 << (self.bits - bit), axis=1)
+        return table.reshape(RARE_CLASSES << self.bits, self.bits).take(self.classes(kind, hashes), axis=0)
+
+    def classes(self, kind: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word's class."""
+        return kind.astype(np.int64) << self.bits | hashes.astype(np.int64) >> (32 - self.bits)
 
 
 def in_quarters(right: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -316,9 +336,8 @@ class Batches:
         self.one = w["hash"]
         self.two = (self.one * np.uint32(0x9E3779B1)) ^ (self.one >> np.uint32(15))
         self.odds = np.concatenate([shape.class_odds(rare, self.one), w["odds"]], axis=1)
-        self.open = (self.odds != SURE).sum(1)
         self.shift = np.uint32(32 - shape.tree_bits)
-        mass = shape.mass[rare, self.one.astype(np.int64) >> (32 - shape.bits)]
+        mass = shape.mass.ravel().take(shape.classes(rare, self.one))
         with np.errstate(divide="ignore"):
             known = np.log(mass - 1) + w["share"]
         #: What is left of a word's log probability behind all softmaxes.
@@ -333,24 +352,31 @@ class Batches:
         return last, skip, both >> np.uint32(8)
 
     def bits_of(self, ids: np.ndarray, features: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        """(token, log odds by counts, the bit, rows of the bit weights by feature) for every bit that is open in the given rare tokens."""
-        odds = self.odds.take(ids, axis=0).ravel()
-        at = np.flatnonzero(odds != SURE)
-        token = np.repeat(np.arange(len(ids)), self.open[ids])
-        odds, level = odds[at], (at - token * self.odds.shape[1]).astype(np.uint32)
-        hashes = self.one[ids][token]
-        node = (hashes >> (np.uint32(32) - level)) * np.uint32(0x9E3779B1)  # a shift by all 32 bits leaves 0
-        node ^= (self.kind[ids].astype(np.uint32) * np.uint32(0x85EBCA6B))[token]
-        node ^= level * np.uint32(0x27D4EB2F)
+        """(log odds by counts, the bit, rows of the bit weights by feature) of the given rare tokens: a line a level, a column a token.
+
+        The odds of a bit that is not open are infinite for it, so it takes nothing from a log probability and moves no weight.
+        """
+        levels = np.arange(self.odds.shape[1], dtype=np.uint32)[:, None]
+        hashes = self.one[ids]
+        bit = hashes >> (np.uint32(31) - levels)
+        bit &= np.uint32(1)
+        quarters = np.ascontiguousarray(self.odds.take(ids, axis=0).T)
+        odds = quarters.astype(np.float32)
+        odds /= ODDS
+        sure = np.flatnonzero(quarters.ravel() == SURE)
+        odds.ravel()[sure] = np.array([-np.inf, np.inf], np.float32)[bit.ravel()[sure]]
+        node = hashes >> (np.uint32(32) - levels)  # a shift by all 32 bits leaves 0
+        node *= np.uint32(0x9E3779B1)
+        node ^= self.kind[ids].astype(np.uint32) * np.uint32(0x85EBCA6B)
+        node ^= levels * np.uint32(0x27D4EB2F)
         node ^= node >> np.uint32(16)
-        rows = np.empty((len(features), len(token)), np.int64)
+        rows, own = np.empty((len(features), *node.shape), np.int64), np.empty_like(node)
         for i, f in enumerate(features):
-            own = (f * np.uint32(0xC2B2AE35) + np.uint32(i + 1) * np.uint32(0x165667B1))[token]
-            own ^= node
+            np.bitwise_xor(f * np.uint32(0xC2B2AE35) + np.uint32(i + 1) * np.uint32(0x165667B1), node, out=own)
             own *= np.uint32(0x9E3779B1)
             own >>= self.shift
             rows[i] = own
-        return token, odds.astype(np.float32) / ODDS, (hashes >> (np.uint32(31) - level)) & np.uint32(1), rows
+        return odds, bit, rows
 
     def places(self, chosen: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The places of the chosen texts' tokens, and where the text of each starts, ``size`` tokens at a time."""
@@ -383,43 +409,61 @@ class Batches:
 
 
 def bit_logits(w: dict[str, np.ndarray], odds: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    tree = w["tree"][:, 0]
-    z = tree.take(rows[0])
-    for at in rows[1:]:
-        z += tree.take(at)
-    z += odds
+    tree, rows, odds, z = w["tree"][:, 0], rows.reshape(len(rows), -1), odds.ravel(), np.empty(odds.size, np.float32)
+    for a in range(0, len(z), PIECE):
+        part = slice(a, a + PIECE)
+        own = tree.take(rows[0, part])
+        for at in rows[1:, part]:
+            own += tree.take(at)
+        np.add(own, odds[part], out=z[part])
     return z
 
 
 def bit_step(w: dict[str, np.ndarray], squares: dict[str, np.ndarray], odds: np.ndarray, bit: np.ndarray, rows: np.ndarray) -> None:
     """One Adagrad step of the bit weights."""
-    g = 1 / (1 + np.exp(-bit_logits(w, odds, rows))) - bit
-    total = np.bincount(rows.ravel(), np.tile(g, len(rows)), len(w["tree"])).astype(np.float32)
-    squares["tree"] += total * total
-    w["tree"][:, 0] -= RATE * total / (np.sqrt(squares["tree"]) + TREE_EASE)
+    z = bit_logits(w, odds, rows)
+    np.exp(np.negative(z, out=z), out=z)
+    z += 1
+    g = np.subtract(np.divide(1, z, out=z), bit.ravel(), dtype=np.float64)
+    tree, square, total = w["tree"][:, 0], squares["tree"], np.bincount(rows.ravel(), np.tile(g, len(rows)), len(w["tree"]))
+    for a in range(0, len(total), PIECE):
+        t, q = total[a:a + PIECE].astype(np.float32), square[a:a + PIECE]
+        q += t * t
+        t *= RATE
+        t /= np.sqrt(q) + TREE_EASE
+        tree[a:a + PIECE] -= t
 
 
 def bit_losses(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """What each bit takes from a log probability: log(1 + exp(y)), y its log odds against."""
-    y = np.where(bit == 1, -z, z)
-    return np.maximum(y, 0) + np.log(1 + np.exp(-np.abs(y)))
+    y = (z.view(np.uint32) ^ (bit.astype(np.uint32, copy=False) << np.uint32(31))).view(np.float32)  # turns the sign where the bit is 1
+    loss = np.abs(y)
+    np.exp(np.negative(loss, out=loss), out=loss)
+    loss += 1
+    np.log(loss, out=loss)
+    loss += np.maximum(y, 0, out=y)
+    return loss
 
 
 def row_sums(g: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
     """``np.add.reduceat(g[order], new, axis=0)``, to the bit; sums of few rows, which are most, are taken together."""
     sizes = np.diff(np.append(new, len(order)))
-    out = g[order[new]]
-    few = np.flatnonzero((sizes > 1) & (sizes <= FEW))
-    rest, live = g[order[new[few] + 1]], np.arange(len(few))
-    for j in range(2, FEW):
-        live = live[sizes[few[live]] > j]
-        rest[live] += g[order[new[few[live]] + j]]
-    out[few] += rest
+    out = np.empty((len(new), g.shape[1]), g.dtype)
+    few = np.argsort(np.where(sizes > FEW, 0, -sizes).astype(np.int8), kind="stable")[:np.count_nonzero(sizes <= FEW)]
+    more, at = np.bincount(sizes[few], minlength=FEW + 1)[::-1].cumsum()[::-1], new[few]  # sums of so many rows or more come first
+    total = g.take(order[at], axis=0)
+    if more[2]:
+        rest = g.take(order[at[:more[2]] + 1], axis=0)
+        for j in range(3, FEW + 1):
+            if more[j]:
+                rest[:more[j]] += g.take(order[at[:more[j]] + (j - 1)], axis=0)
+        total[:more[2]] += rest
+    out[few] = total
     many = np.flatnonzero(sizes > FEW)
     if len(many):
         n = sizes[many]
         starts = np.cumsum(n) - n
-        out[many] = np.add.reduceat(g[order[np.repeat(new[many] - starts, n) + np.arange(n.sum())]], starts, axis=0)
+        out[many] = np.add.reduceat(g.take(order[np.repeat(new[many] - starts, n) + np.arange(n.sum())], axis=0), starts, axis=0)
     return out
 
 
@@ -442,10 +486,12 @@ def log_softmax_of(w: dict[str, np.ndarray], rows: dict[str, np.ndarray], target
 
 def step(w: dict[str, np.ndarray], squares: dict[str, np.ndarray], rows: dict[str, np.ndarray], target: np.ndarray) -> None:
     """One Adagrad step; a table's row has one running square."""
-    g = logits(w, rows)
-    g -= np.log(np.exp(g).sum(1, keepdims=True))
-    np.exp(g, out=g)
-    g[np.arange(len(target)), target] -= 1
+    g = np.empty((len(target), next(iter(w[name] for name in rows)).shape[1]), np.float32)
+    for a in range(0, len(g), SOFT):
+        z = logits(w, {name: at[a:a + SOFT] for name, at in rows.items()})
+        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        np.exp(z, out=g[a:a + SOFT])
+    g.ravel()[np.arange(0, g.size, g.shape[1]) + target] -= 1
     for name, at in rows.items():
         if name.startswith("bias") and len(w[name]) == 1:
             seen, total = np.zeros(1, np.int64), g.sum(0, keepdims=True)
@@ -454,8 +500,11 @@ def step(w: dict[str, np.ndarray], squares: dict[str, np.ndarray], rows: dict[st
             sorted_at = at[order]
             new = np.flatnonzero(np.concatenate(([True], sorted_at[1:] != sorted_at[:-1])))
             seen, total = sorted_at[new], row_sums(g, order, new)
-        squares[name][seen] += (total * total).mean(1)
-        w[name][seen] -= RATE * total / (np.sqrt(squares[name][seen])[:, None] + 1e-3)
+        square = squares[name][seen] + (total * total).mean(1)
+        squares[name][seen] = square
+        total *= RATE
+        total /= np.sqrt(square)[:, None] + 1e-3
+        w[name][seen] = np.subtract(w[name].take(seen, axis=0), total, out=total)
 
 
 def flat(w: dict[str, np.ndarray], squares: dict[str, np.ndarray]) -> np.ndarray:
@@ -491,12 +540,12 @@ def train(resolved: DataFrame, shape: Shape, rounds: int = ROUNDS) -> np.ndarray
                     part = batch.column(0)[i].as_py()
                     block = Batches(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), shape)
                     texts = np.flatnonzero(~block.held)
-                    for p, kind, inside, outer, _, inner, seldom, (_, odds, bit, at) in block.of(texts[texts % rounds == turn]):
+                    for p, kind, inside, outer, _, inner, seldom, (odds, bit, at) in block.of(texts[texts % rounds == turn]):
+                        if len(seldom):  # first, while its rows are in the core's cache
+                            bit_step(w, squares, odds, bit, at)
                         step(w, squares, outer, kind)
                         if len(inside):
                             step(w, squares, inner, inside)
-                        if len(seldom):
-                            bit_step(w, squares, odds, bit, at)
                         tokens += len(p)
             if tokens:
                 squares["tree"] -= gained
@@ -553,12 +602,12 @@ def score(resolved: DataFrame, shape: Shape, weights: np.ndarray) -> DataFrame:
                 for texts in block.runs(HELD):
                     start, end = block.starts[texts[0]], block.starts[texts[-1]] + block.sizes[texts[-1]]
                     ids, log = block.ids[start:end], np.zeros(end - start)
-                    for p, kind, inside, outer, often, inner, seldom, (token, odds, bit, at) in block.of(texts, SCORED):
+                    for p, kind, inside, outer, often, inner, seldom, (odds, bit, at) in block.of(texts, SCORED):
                         own = log_softmax_of(w, outer, kind).astype(np.float64) + block.rest[block.ids[p]]
                         if len(often):
                             own[often] += log_softmax_of(w, inner, inside)
-                        if len(token):
-                            own[seldom] -= np.bincount(token, bit_losses(bit_logits(w, odds, at), bit), len(seldom))
+                        if len(seldom):
+                            own[seldom] -= bit_losses(bit_logits(w, odds, at), bit.ravel()).reshape(bit.shape).sum(0, dtype=np.float64)
                         log[p - start] = own
                     totals.append([np.add.reduceat(x, block.starts[texts] - start) for x in (known[ids], base[ids], log)])
                 n_known, base_score, score = map(np.concatenate, zip(*totals))

@@ -1,9 +1,11 @@
 """What bounds memory and shuffled texts: batch sizes, and where cells meet their texts."""
 
+import math
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
@@ -135,3 +137,50 @@ def test_row_sums_and_bit_losses_are_the_plain_ones():
     assert np.array_equal(maxent.row_sums(g, order, new), np.add.reduceat(g[order], new, axis=0))
     z, bit = np.linspace(-90, 90, 2001, dtype=np.float32), rng.integers(0, 2, 2001)
     assert np.allclose(maxent.bit_losses(z, bit), np.logaddexp(0, np.where(bit == 1, -1.0, 1.0) * z), rtol=1e-6, atol=3e-7)
+
+
+def test_words_are_numbered_as_they_come_without_an_object_a_token():
+    texts = [
+        [None, "", "  ", "B a\tb \x0b\x0cÉ\r\nx y", "\x1cZ\x85 z"], [], ["a" * 300 + " end "], ["q r", None, " c Q"],
+    ]
+    number, ids, sizes = {maxent.END: 0}, [], []
+    for value in (v for piece in texts for v in piece):
+        words = [*(value or "").encode().lower().split(), maxent.END]
+        ids += [number.setdefault(w, len(number)) for w in words]
+        sizes.append(len(words))
+    got = maxent.numbered_words([pa.array(piece, pa.string()) for piece in texts])
+    assert got[0] == list(number) and got[1].tolist() == ids and got[2].tolist() == sizes
+    none = maxent.numbered_words([pa.array([None, " "], pa.string())])
+    assert none[0] == [maxent.END] and none[1].tolist() == [0, 0] and none[2].tolist() == [1, 1]
+    many = pa.array([" ".join(f"w{i % 97}" for i in range(200_000))])
+    tracemalloc.start()
+    words, flat, _ = maxent.numbered_words([many])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words) == 98 and len(flat) == 200_001 and most < 20 * len(flat)
+
+
+def test_bits_of_tokens_lie_level_by_level_and_closed_ones_weigh_nothing():
+    block, rng = block_of(40, 300), np.random.default_rng(9)
+    block.odds = rng.integers(-40, 40, block.odds.shape).astype(np.int8)
+    block.odds[rng.random(block.odds.shape) < 0.3] = maxent.SURE
+    size = 1 << 32 - int(block.shift)
+    w, squares = {"tree": rng.normal(size=(size, 1)).astype(np.float32)}, {"tree": np.zeros(size, np.float32)}
+    ids = rng.integers(0, 300, 500)
+    features = tuple(rng.integers(0, 1 << 32, 500, dtype=np.uint32) for _ in range(3))
+    odds, bit, rows = block.bits_of(ids, features)
+    assert rows.shape == (3, block.odds.shape[1], 500)
+    losses = maxent.bit_losses(maxent.bit_logits(w, odds, rows), bit.ravel()).reshape(bit.shape)
+    before, total = w["tree"][:, 0].copy(), np.zeros(size)
+    for token, word in enumerate(ids):
+        for level, own in enumerate(block.odds[word]):
+            if own == maxent.SURE:
+                assert losses[level, token] == 0
+                continue
+            z = float(before[rows[:, level, token]].sum(dtype=np.float64)) + own / maxent.ODDS
+            right = int(block.one[word]) >> 31 - level & 1
+            assert losses[level, token] == pytest.approx(np.logaddexp(0, -z if right else z), rel=1e-4, abs=1e-6)
+            np.add.at(total, rows[:, level, token], 1 / (1 + math.exp(-z)) - right)
+    maxent.bit_step(w, squares, odds, bit, rows)
+    want = before - maxent.RATE * total / (np.abs(total) + maxent.TREE_EASE)
+    assert np.allclose(w["tree"][:, 0], want, atol=1e-5) and np.allclose(squares["tree"], total ** 2, atol=1e-4)
