@@ -10,7 +10,10 @@ both kinds of keys. The boundary minimises keys written plus list entries scanne
 
 Keys travel packed, a blob for each task and bucket. A shingle that the sketch shows to be very common is hot: two hot
 shingles make no 2-subset, the rarer one is a key by itself, and the entries of a hot key are dealt over many
-buckets, so no task holds an unbounded list. Lists with two or more sets make candidates. Candidates connected by
+buckets, so no task holds an unbounded list. Sets that share a key by chance, whose pairs grow with the square of the corpus,
+part before any text moves, by two bounds that no link ever exceeds: a set leaves a list in which it stands too far behind in
+the order to overlap enough with any other, and lists are split where the sets' odd cells differ too much (``odd_cells``).
+Lists with two or more sets left make candidates. Candidates connected by
 lists are verified together in one cell where their sets fit. Where they do not, each set is first met in one
 of its lists, in chunks that fit a cell and share the list's pivot, so that near copies become connected; then only
 lists with sets not yet connected are cut into chunks again, and each pair of chunks that may hold a new link is a
@@ -47,9 +50,14 @@ MOST_SMALL = 512
 FLUSH = 400_000
 #: Rows (cell, sig) that are broadcast at most, some 80 bytes each.
 SHIPPED_CELLS = 200_000
-ENTRY = np.dtype([("key", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("n", "<i4")])
+#: ``behind``: how many of the set's shingles a pair that first meets under this key cannot share, at least.
+ENTRY = np.dtype([("key", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("n", "<i4"), ("behind", "<u2")])
 WORDS_KEPT = 400_000
-
+#: Odd cells of a set, at least; sets of a list all pairs of which are compared at once, at most; pairs of a longer list that are
+#: compared, at most: with more it stays whole.
+LEAST_CELLS, SHORT_LIST, MOST_PAIRS = 128, 25, 1 << 24
+#: Bytes of a list's row with its odd cells, about.
+MEMBER_BYTES = 160
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,6 +120,22 @@ def least_overlap(n: np.ndarray | int, percent: int):
     return (percent * n + 99) // 100
 
 
+def least_shared(both: np.ndarray | int, percent: int):
+    """The least overlap of two linked sets of so many shingles together."""
+    return (percent * both + 99 + percent) // (100 + percent)
+
+
+def odd_cells(s: np.ndarray) -> bytes:
+    """Which cells hold an odd number of the set's shingles, a bit each; cells are a power of two, over half the set's size.
+
+    Two sets differ in as many shingles at least as their odd cells differ in bits; the halves of a longer one, one xor
+    the other, are the odd cells of half as many.
+    """
+    cells = max(LEAST_CELLS, 1 << (len(s).bit_length() - 1) if len(s) else 0)
+    at = (s >> np.uint64(24) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells) & 1).tobytes()
+
+
 def packed_counts(counts: np.ndarray) -> bytes:
     """Numbers of 32 bits byte by byte (all lowest bytes, all second ones, ...): few cells need more than the lowest."""
     return zstandard.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
@@ -123,11 +147,11 @@ def opened_counts(blob: bytes) -> np.ndarray:
 
 
 def summarise(docs: DataFrame, text: str, keep: list[str] | None, width: int, cells: int) -> DataFrame:
-    """Rows of documents (rec, n, sig, th) and, at each task's end, rows of its sketch (chunk, part, counts)."""
+    """Rows of documents (rec, n, sig, odd, th) and, at each task's end, rows of its sketch (chunk, part, counts)."""
     kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     value = F.col(text).cast("string")
     rows = docs.select(F.struct(*kept).alias("rec"), F.xxhash64(value).alias("th"), F.spark_partition_id().alias("part"), value.alias("text"), F.monotonically_increasing_id().alias("at"))
-    schema = schema_of(rows.select("rec").schema, "th bigint, at bigint, n bigint, sig binary, chunk int, part int, counts binary")
+    schema = schema_of(rows.select("rec").schema, "th bigint, at bigint, n bigint, sig binary, odd binary, chunk int, part int, counts binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, total, part, rec_type, waiting, held = Shingler(width), np.zeros(cells + cells // 4, np.uint32), 0, None, [], 0
@@ -152,17 +176,18 @@ def summarise(docs: DataFrame, text: str, keep: list[str] | None, width: int, ce
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), batch.column(4), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([odd_cells(s) if len(s) else None for s in sets], pa.binary()),
                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-            ], names=["rec", "th", "at", "n", "sig", "chunk", "part", "counts"])
+            ], names=["rec", "th", "at", "n", "sig", "odd", "chunk", "part", "counts"])
         if rec_type is not None:
             if waiting:
                 count()
             parts = [packed_counts(p) for p in np.split(total, SHINGLE_CHUNKS + WORD_CHUNKS)]
             n = len(parts)
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(n, rec_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
+                pa.nulls(n, rec_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
                 pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array(parts, pa.binary()),
-            ], names=["rec", "th", "at", "n", "sig", "chunk", "part", "counts"])
+            ], names=["rec", "th", "at", "n", "sig", "odd", "chunk", "part", "counts"])
 
     return stage(rows.mapInArrow(tidy(run), schema), "jaccard-sets")
 
@@ -209,13 +234,32 @@ def boundary(sizes: dict[int, int], counts: np.ndarray, percent: int) -> int:
     return min(range(0, MOST_SMALL + 1), key=cost)
 
 
+def partnered(e: np.ndarray, run_of: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries, in runs by size, may link with another one of their run; all in runs beyond ``SHORT_LIST``.
+
+    Of two linked sets the first shingle that both hold (or the first two) leaves enough behind it in the order in either, so
+    there is a list in which neither leaves.
+    """
+    n, left = e["n"].astype(np.int64), e["n"].astype(np.int64) - e["behind"]
+    stay = np.bincount(run_of)[run_of] > SHORT_LIST
+    for far in range(1, min(SHORT_LIST, len(e))):
+        met = run_of[far:] == run_of[:-far]
+        if not met.any():
+            break
+        met &= np.minimum(left[far:], left[:-far]) >= least_shared(n[far:] + n[:-far], percent)
+        stay[far:] |= met
+        stay[:-far] |= met
+    return stay
+
+
 def candidate_lists(
     docs: DataFrame, text: str, width: int, percent: int, counts: np.ndarray, word_counts: np.ndarray, edge: int, entries: int,
-    list_sets: int = LIST_SETS,
+    classes: DataFrame, list_sets: int = LIST_SETS,
 ) -> DataFrame:
     """(list, sig, n, pivot): the sets of each list of two or more; the pivot is the list's least signature.
 
-    A list of more than ``list_sets`` sets, by the sketch, is met in parts of about so many, and nowhere as a whole.
+    A list of more than ``list_sets`` sets, by the sketch, is met in parts of about so many, and nowhere as a whole. The
+    others are told apart by their sets, each list once, and split by the odd cells of ``classes`` (sig, n, odd).
     """
     buckets = 1 + entries * ENTRY.itemsize // BUCKET_BYTES
     cells = len(counts)
@@ -226,15 +270,15 @@ def candidate_lists(
     shipped = docs.sparkSession.sparkContext.broadcast((common, word_level))  # as large as the sketch has cells
     rows = docs.select(F.col(text).cast("string").alias("text"))
 
-    def keys_of(s: np.ndarray, words: np.ndarray, common: np.ndarray, pairs: dict) -> tuple[np.ndarray, np.ndarray]:
-        """The set's keys, and into how many parts each key's list is dealt. A pair's list is no longer than its rarer shingle's."""
+    def keys_of(s: np.ndarray, words: np.ndarray, common: np.ndarray, pairs: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The set's keys, into how many parts each key's list is dealt, and what lies behind. A pair's list is no longer than its rarer shingle's."""
         n = len(s)
         cell = (s & np.uint64(cells - 1)).astype(np.int64)
         level = common[cell]
         token = (level.astype(np.uint64) << np.uint64(8) | words.astype(np.uint64)) << np.uint64(50) | s >> np.uint64(14)
         parts = ((1 << level.astype(np.int64)) - 1) // list_sets + 1
         p = n - least_overlap(n, percent)
-        keys, dealt = [], []
+        keys, dealt, behind = [], [], []
         if n * percent <= edge * 100:
             chosen = np.argsort(token)[:p + 2]
             token2, parts2 = token[chosen], parts[chosen]
@@ -246,11 +290,14 @@ def candidate_lists(
                 i, j = i[i < cold], j[i < cold]
             keys += [mix(mix(token2[i]) + token2[j]), mix(token2[cold:-1])]  # of two shared shingles one is not the last
             dealt += [np.ones(len(i), np.int64), parts2[cold:-1]]
+            behind += [j - 1, np.arange(cold, len(token2) - 1)]  # all before the second but the first of the two
         if n > edge:
             chosen = np.argpartition(token, p)[:p + 1]
+            chosen = chosen[np.argsort(token[chosen])]
             keys.append(mix(token[chosen]))
             dealt.append(parts[chosen])
-        return np.concatenate(keys), np.concatenate(dealt)
+            behind.append(np.arange(p + 1))
+        return np.concatenate(keys), np.concatenate(dealt), np.minimum(np.concatenate(behind), 0xFFFF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, word_level = shipped.value
@@ -278,9 +325,9 @@ def candidate_lists(
                 if sig in seen:
                     continue
                 seen.add(sig)
-                keys, dealt = keys_of(s, words, common, pairs)
+                keys, dealt, behind = keys_of(s, words, common, pairs)
                 e = np.empty(len(keys), ENTRY)
-                e["key"], e["n"] = keys, n
+                e["key"], e["n"], e["behind"] = keys, n, behind
                 e["hi"], e["lo"] = np.frombuffer(sig, ">u8")
                 waiting.append((e, dealt))
                 held += len(e)
@@ -290,56 +337,137 @@ def candidate_lists(
         if held:
             yield flush()
 
-    def parts_of(e: np.ndarray) -> pa.Table:
-        """Lists in parts as they are; their partners may be in other buckets."""
-        e = e[np.lexsort((e["lo"], e["hi"], e["key"]))]
-        e = e[np.concatenate(([True], (e["key"][1:] != e["key"][:-1]) | (e["hi"][1:] != e["hi"][:-1]) | (e["lo"][1:] != e["lo"][:-1])))]
-        raw, names = np.stack([e["hi"], e["lo"]], 1).astype(">u8").tobytes(), e["key"].astype(">u8").tobytes()
-        return pa.table([
-            pa.array([names[i:i + 8] for i in range(0, len(names), 8)], pa.binary()), pa.array([raw[i:i + 16] for i in range(0, len(raw), 16)], pa.binary()),
-            pa.array(e["n"].astype(np.int64)), pa.nulls(len(e), pa.binary()),
-        ], names=["list", "sig", "n", "pivot"])
+    def once(e: np.ndarray) -> np.ndarray:
+        """Equal sets of different tasks are one in a list."""
+        return e[np.concatenate(([True], (e["key"][1:] != e["key"][:-1]) | (e["hi"][1:] != e["hi"][:-1]) | (e["lo"][1:] != e["lo"][:-1])))]
+
+    def listed(names: np.ndarray, e: np.ndarray, starts: np.ndarray, hot: bool) -> pa.Table:
+        """A row for each name, once: the signatures, one after the other, of its list, which begins at its place of ``starts``."""
+        raw = np.stack([e["hi"], e["lo"]], 1).astype(">u8").tobytes()
+        ends = np.append(starts[1:], len(e)).tolist()
+        sigs = {name.astype(">u8").tobytes(): raw[16 * a:16 * b] for name, a, b in zip(names, starts.tolist(), ends)}
+        return pa.table([pa.array(list(sigs), pa.binary()), pa.array(list(sigs.values()), pa.binary()), pa.array([hot] * len(sigs), pa.bool_())], names=["list", "sigs", "hot"])
 
     def lists(group: pa.Table) -> pa.Table:
         e = np.concatenate([np.frombuffer(b.as_py(), ENTRY) for b in group.column("entries")])
-        if group.column("bucket")[0].as_py() < 0:
-            return parts_of(e)
+        if group.column("bucket")[0].as_py() < 0:  # lists in parts as they are; their partners may be in other buckets
+            e = once(e[np.lexsort((e["lo"], e["hi"], e["key"]))])
+            starts = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
+            return listed(e["key"][starts], e, starts, True)
         order = np.argsort(e["key"])
         key = e["key"][order]
         twice = np.concatenate((key[1:] == key[:-1], [False]))
         twice[1:] |= twice[:-1].copy()
         e = e[order[twice]]
-        e = e[np.lexsort((e["lo"], e["hi"], e["n"], e["key"]))]
+        e = e[np.lexsort((e["behind"], e["lo"], e["hi"], e["n"], e["key"]))]
         if len(e):
-            e = e[np.concatenate(([True], (e["key"][1:] != e["key"][:-1]) | (e["hi"][1:] != e["hi"][:-1]) | (e["lo"][1:] != e["lo"][:-1])))]
+            e = once(e)
             far = (e["key"][1:] != e["key"][:-1]) | (e["n"][1:].astype(np.int64) * percent > e["n"][:-1].astype(np.int64) * 100)
             run_of = np.concatenate(([0], np.cumsum(far)))
+            stay = partnered(e, run_of, percent)
+            e, run_of = e[stay], run_of[stay]
             many = np.bincount(run_of)
             e, run_of = e[many[run_of] > 1], run_of[many[run_of] > 1]
         if not len(e):
-            return pa.table({k: pa.array([], t) for k, t in zip(("list", "sig", "n", "pivot"), (pa.binary(), pa.binary(), pa.int64(), pa.binary()))})
-        _, first, run_of = np.unique(run_of, return_index=True, return_inverse=True)
-        same = np.add.reduceat(mix(e["hi"] ^ mix(e["lo"])), first)  # lists of the same sets are one
-        _, keep = np.unique(same, return_index=True)
-        stay = np.isin(run_of, keep)
-        e, run_of = e[stay], run_of[stay]
-        raw = np.stack([e["hi"], e["lo"]], 1).astype(">u8").tobytes()
-        sigs = [raw[i:i + 16] for i in range(0, len(raw), 16)]
+            return listed(e["key"], e, np.zeros(0, np.int64), False)
         starts = np.flatnonzero(np.diff(run_of, prepend=-1))
-        ends = np.append(starts[1:], len(e))
-        pivots, names = [], []
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            pivots += [min(sigs[a:b])] * (b - a)
-            names += [int(e["key"][a]).to_bytes(8, "big") + int(e["n"][a]).to_bytes(4, "big")] * (b - a)
-        return pa.table([pa.array(names, pa.binary()), pa.array(sigs, pa.binary()), pa.array(e["n"].astype(np.int64)), pa.array(pivots, pa.binary())], names=["list", "sig", "n", "pivot"])
+        one = mix(e["hi"] ^ mix(e["lo"]))
+        same = np.stack([np.add.reduceat(one, starts), np.add.reduceat(mix(one ^ e["lo"]), starts)], 1)
+        return listed(same, e, starts, False)  # lists of the same sets are one
+
+    def split(group: pa.Table) -> pa.Table:
+        name, sig, n = (group.column(c).to_pylist() for c in ("list", "sig", "n"))
+        number = {x: i for i, x in enumerate(dict.fromkeys(name))}
+        of, n = np.array([number[x] for x in name]), np.array(n, np.int64)
+        raw = np.frombuffer(b"".join(sig), ">u8").reshape(-1, 2)
+        odd = group.column("odd").to_pylist()
+        order = np.lexsort((raw[:, 1], raw[:, 0], n, of))
+        label = parted(of[order], n[order], [odd[i] for i in order.tolist()], percent)
+        many = np.bincount(label)[label] > 1
+        order, label = order[many], label[many]
+        last = np.lexsort((raw[order, 1], raw[order, 0], label))
+        order, label = order[last], label[last]
+        first = np.flatnonzero(np.diff(label, prepend=-1))
+        pivot = order[np.repeat(first, np.diff(np.append(first, len(label))))]
+        return pa.table([
+            pa.array([name[i] + sig[k] for i, k in zip(order.tolist(), pivot.tolist())], pa.binary()),
+            pa.array([sig[i] for i in order.tolist()], pa.binary()), pa.array(n[order]), pa.array([sig[i] for i in pivot.tolist()], pa.binary()),
+        ], names=["list", "sig", "n", "pivot"])
+
+    def members(lists: DataFrame, *more: str) -> DataFrame:
+        sig = F.explode(F.expr("transform(sequence(0, int(length(sigs) / 16) - 1), i -> substring(sigs, 16 * i + 1, 16))"))
+        return lists.select("list", sig.alias("sig")).join(classes.select("sig", "n", *more), "sig")
 
     packed = rows.mapInArrow(tidy(run), "bucket bigint, entries binary")
-    found = stage(packed.groupBy("bucket").applyInArrow(lists, "list binary, sig binary, n bigint, pivot binary"), "jaccard-lists")
-    hot = found.where("pivot is null").drop("pivot")
+    found = stage(packed.groupBy("bucket").applyInArrow(lists, "list binary, sigs binary, hot boolean"), "jaccard-found")
+    distinct = stage(found.where("not hot").groupBy("list").agg(F.min("sigs").alias("sigs")), "jaccard-distinct")
+    held = distinct.agg(F.sum(F.length("sigs"))).first()[0] or 0
+    dealt = F.pmod(F.xxhash64("list"), F.lit(1 + held // 16 * MEMBER_BYTES // BUCKET_BYTES)).alias("dealt")
+    near = stage(members(distinct, "odd").groupBy(dealt).applyInArrow(split, "list binary, sig binary, n bigint, pivot binary"), "jaccard-lists")
+    hot = found.where("hot")
     if hot.isEmpty():
-        return found
+        return near
+    hot = stage(members(hot), "jaccard-hot")
     pivots = hot.groupBy("list").agg(F.min("sig").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    return stage(found.where("pivot is not null").unionByName(hot.join(pivots, "list")), "jaccard-lists")
+    return stage(near.unionByName(hot.join(pivots, "list")), "jaccard-lists")
+
+
+def parted(of: np.ndarray, n: np.ndarray, odd: list[bytes], percent: int) -> np.ndarray:
+    """A label for each set of some lists, sorted by list and size: sets of one list that may link have equal labels.
+
+    Sets within reach of each other's size are compared; a list of too many such pairs stays whole.
+    """
+    words = np.array([len(x) // 8 for x in odd], np.int64)
+    flat, at = np.frombuffer(b"".join(odd), np.uint64), np.cumsum(words) - words
+
+    def cells(rows: np.ndarray, many: int) -> np.ndarray:
+        """The odd cells of rows, folded into so many words."""
+        out = np.zeros((len(rows), many), np.uint64)
+        for k in range(int(words[rows].max(initial=0)) // many):
+            more = words[rows] > k * many
+            out[more] ^= flat[at[rows[more], None] + (k * many + np.arange(many))]
+        return out
+
+    def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = (n[a] * percent <= n[b] * 100) & (n[b] * percent <= n[a] * 100)
+        both, least = n[a] + n[b], np.minimum(words[a], words[b])
+        for many in np.unique(least[out]).tolist():
+            mine = np.flatnonzero(out & (least == many))
+            for some in np.split(mine, range(65_536 // many + 1, len(mine), 65_536 // many + 1)):
+                differ = np.bitwise_count(cells(a[some], many) ^ cells(b[some], many)).sum(1, dtype=np.int64)
+                out[some] = differ <= both[some] - 2 * least_shared(both[some], percent)
+        return out
+
+    label = np.arange(len(of))
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    sizes = np.diff(np.append(starts, len(of)))
+    short = np.repeat(sizes <= SHORT_LIST, sizes)
+    pairs = []
+    for far in range(1, min(SHORT_LIST, len(of))):
+        a = np.flatnonzero((of[far:] == of[:-far]) & short[far:])
+        if len(a):
+            a = a[may_link(a, a + far)]
+            pairs.append((a, a + far))
+    if pairs:
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        while (label[a] != label[b]).any():
+            least = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+    long = sizes > SHORT_LIST
+    for start, size in zip(starts[long].tolist(), sizes[long].tolist()):
+        end = start + size
+        reach = start + np.searchsorted(n[start:end], n[start:end] * 100 // percent, "right")
+        if (reach - np.arange(start, end)).sum() > MOST_PAIRS:
+            label[start:end] = start
+            continue
+        for i, last in zip(range(start, end), reach.tolist()):
+            others = np.arange(i + 1, last)
+            others = others[label[others] != label[i]]
+            hit = others[may_link(np.full(len(others), i), others)]
+            if len(hit):
+                label[start:end][np.isin(label[start:end], label[hit])] = label[i]
+    return label
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -476,15 +604,15 @@ def join_groups(
     Two documents link when 100 * intersection >= ``percent`` * union. A record with an empty set is a component of its own.
     """
     summary = summarise(docs, text, sorted({doc_id, *(docs.columns if keep is None else keep)}, key=docs.columns.index), width, sketch_cells)
-    found = summary.where("chunk is null").select("rec", F.col(f"rec.`{doc_id}`").alias("id"), "th", "at", "n", "sig")
-    classes = found.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "th", "at")).alias("row"), F.min("id").alias("least"), F.max("n").alias("n"))
-    classes = stage(classes.select("sig", F.col("row.id").alias("id"), F.col("row.th").alias("th"), "row", "least", "n"), "jaccard-classes")
+    found = summary.where("chunk is null").select("rec", F.col(f"rec.`{doc_id}`").alias("id"), "th", "at", "n", "sig", "odd")
+    classes = found.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "th", "at")).alias("row"), F.min("id").alias("least"), F.max("n").alias("n"), F.max("odd").alias("odd"))
+    classes = stage(classes.select("sig", F.col("row.id").alias("id"), F.col("row.th").alias("th"), "row", "least", "n", "odd"), "jaccard-classes")
     counts, word_counts = sketch_of(summary, sketch_cells)
     sizes = {r[0]: r[1] for r in classes.where(F.col("n") <= MOST_SMALL * 2).groupBy("n").count().collect()}
     total = classes.agg(F.sum("n")).first()[0] or 0
     entries = total * (101 - percent) // 100
     edge = boundary(sizes, counts, percent)
-    lists = candidate_lists(docs, text, width, percent, counts, word_counts, edge, entries, list_sets)
+    lists = candidate_lists(docs, text, width, percent, counts, word_counts, edge, entries, classes, list_sets)
     edges = verify(docs, text, width, percent, lists, classes.select("sig", "id", "th"), doc_id, cell_shingles)
     groups = components(edges, "jaccard-links")
     rooted = classes.join(groups, F.col("sig") == F.col("node"), "left").select(F.coalesce("root", "sig").alias("root"), "sig", "row", "least")

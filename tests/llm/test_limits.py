@@ -184,3 +184,74 @@ def test_bits_of_tokens_lie_level_by_level_and_closed_ones_weigh_nothing():
     maxent.bit_step(w, squares, odds, bit, rows)
     want = before - maxent.RATE * total / (np.abs(total) + maxent.TREE_EASE)
     assert np.allclose(w["tree"][:, 0], want, atol=1e-5) and np.allclose(squares["tree"], total ** 2, atol=1e-4)
+
+
+def near_and_far_sets(seed: int):
+    """Random sets, half of them near copies of the one before."""
+    rng, sets = np.random.default_rng(seed), []
+    for i in range(120):
+        n = int(rng.integers(20, 400))
+        s = rng.integers(0, 2**64, n, np.uint64)
+        if i % 2:
+            old = sets[-1]
+            s = np.concatenate([old[: len(old) - int(rng.integers(0, 1 + len(old) // 8))], s[: int(rng.integers(0, 1 + len(old) // 12))]])
+        sets.append(np.unique(s))
+    return sets
+
+
+def linked_pairs(sets, percent):
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                yield i, j
+
+
+@pytest.mark.parametrize("seed, lists, most", [(1, 60, 1 << 24), (2, 8, 1 << 24), (3, 1, 1 << 24), (4, 1, 5)])
+def test_odd_cells_part_sets_but_no_links(monkeypatch, seed, lists, most):
+    monkeypatch.setattr(jaccard_join, "MOST_PAIRS", most)
+    sets = near_and_far_sets(seed)
+    of, n = np.arange(120) * lists // 120, np.array([len(s) for s in sets])
+    order = np.lexsort((n, of))
+    label = np.empty(120, np.int64)
+    label[order] = jaccard_join.parted(of[order], n[order], [jaccard_join.odd_cells(sets[i]) for i in order], 85)
+    links = [(i, j) for i, j in linked_pairs(sets, 85) if of[i] == of[j]]
+    assert len(links) >= 20 and all(label[i] == label[j] for i, j in links)
+    assert len(set(label.tolist())) >= 60 if most > 5 else len(set(label.tolist())) == 1, "sets that only share a list part"
+
+
+def test_linked_sets_stay_in_the_list_of_their_first_common_shingle():
+    sets, links = near_and_far_sets(5), 0
+    for i, j in linked_pairs(sets, 85):
+        x, y = sets[i], sets[j]
+        common = np.intersect1d(x, y)
+        e = np.zeros(2, jaccard_join.ENTRY)
+        e["n"], e["behind"] = [len(x), len(y)], [np.searchsorted(x, common[0]), np.searchsorted(y, common[0])]
+        assert jaccard_join.partnered(e, np.zeros(2, np.int64), 85).all()
+        two = [np.searchsorted(x, common[1]) - 1, np.searchsorted(y, common[1]) - 1]
+        e["behind"] = two
+        assert jaccard_join.partnered(e, np.zeros(2, np.int64), 85).all()
+        links += 1
+    assert links >= 20
+    e["n"], e["behind"] = 100, [12, 0]  # 88 shared at most, 92 needed
+    assert not jaccard_join.partnered(e, np.zeros(2, np.int64), 85).any()
+
+
+def test_sets_that_share_a_key_by_chance_ask_for_no_text(spark, monkeypatch):
+    """Pairs of documents with a passage in common, and few cells in the sketch, so that it is among the rarest shingles of many."""
+    rows = [(i, " ".join([f"own{i}x{k}" for k in range(90)] + [f"both{i // 2}x{k}" for k in range(12)])) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(3)]
+    asked = []
+
+    def keep(df, label="stage", real=jaccard_join.stage):
+        out = real(df, label)
+        if label == "jaccard-texts":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", keep)
+    monkeypatch.setattr(jaccard_join, "boundary", lambda *a: 0)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r[0]: r[1] for r in jaccard_join.join_groups(docs, sketch_cells=64).select("rec.doc_id", "component").collect()}
+    assert found == {i: i - 100 if i >= 100 else i for i, _ in rows}
+    assert sum(asked) == 6, "texts of the three copies and their originals"
