@@ -50,8 +50,9 @@ MOST_SMALL = 512
 FLUSH = 400_000
 #: Rows (cell, sig) that are broadcast at most, some 80 bytes each.
 SHIPPED_CELLS = 200_000
+#: ``key`` has 48 bits, ``half`` is the second half of the signature: other sets that share either by chance are further candidates.
 #: ``behind``: how many of the set's shingles a pair that first meets under this key cannot share, at least.
-ENTRY = np.dtype([("key", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("n", "<i4"), ("behind", "<u2")])
+ENTRY = np.dtype([("key", "<u8"), ("half", "<u8"), ("n", "<i4"), ("behind", "<u2")])
 WORDS_KEPT = 400_000
 #: Odd cells of a set, at least; sets of a list all pairs of which are compared at once, at most; pairs of a longer list that are
 #: compared, at most: with more it stays whole.
@@ -146,6 +147,16 @@ def opened_counts(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def packed_entries(e: np.ndarray) -> bytes:
+    """Byte by byte, like counts: most of what can be saved is the high bytes."""
+    return zstandard.compress(e.view(np.uint8).reshape(-1, ENTRY.itemsize).T.tobytes(), 1)
+
+
+def opened_entries(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(ENTRY.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(ENTRY).ravel()
+
+
 def summarise(docs: DataFrame, text: str, keep: list[str] | None, width: int, cells: int) -> DataFrame:
     """Rows of documents (rec, n, sig, odd, th) and, at each task's end, rows of its sketch (chunk, part, counts)."""
     kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
@@ -307,12 +318,12 @@ def candidate_lists(
             e, dealt = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
             bucket = (e["key"] % np.uint64(buckets)).astype(np.int64)
             hot = np.flatnonzero(dealt > 1)  # below 0: lists in parts
-            part = mix(e["key"][hot] + mix(e["lo"][hot] % dealt[hot].astype(np.uint64)))
+            part = mix(e["key"][hot] + mix(e["half"][hot] % dealt[hot].astype(np.uint64)))
             bucket[hot] = -1 - (part % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             e, bucket = e[order], bucket[order]
             cut = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
-            blobs = [x.tobytes() for x in np.split(e, cut[1:])]
+            blobs = [packed_entries(x) for x in np.split(e, cut[1:])]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
         for batch in slices(batches):
@@ -327,8 +338,8 @@ def candidate_lists(
                 seen.add(sig)
                 keys, dealt, behind = keys_of(s, words, common, pairs)
                 e = np.empty(len(keys), ENTRY)
-                e["key"], e["n"], e["behind"] = keys, n, behind
-                e["hi"], e["lo"] = np.frombuffer(sig, ">u8")
+                e["key"], e["n"], e["behind"] = keys >> np.uint64(16), n, behind
+                e["half"] = np.frombuffer(sig, ">u8")[1]
                 waiting.append((e, dealt))
                 held += len(e)
                 if held >= FLUSH:
@@ -339,19 +350,19 @@ def candidate_lists(
 
     def once(e: np.ndarray) -> np.ndarray:
         """Equal sets of different tasks are one in a list."""
-        return e[np.concatenate(([True], (e["key"][1:] != e["key"][:-1]) | (e["hi"][1:] != e["hi"][:-1]) | (e["lo"][1:] != e["lo"][:-1])))]
+        return e[np.concatenate(([True], (e["key"][1:] != e["key"][:-1]) | (e["half"][1:] != e["half"][:-1])))]
 
     def listed(names: np.ndarray, e: np.ndarray, starts: np.ndarray, hot: bool) -> pa.Table:
-        """A row for each name, once: the signatures, one after the other, of its list, which begins at its place of ``starts``."""
-        raw = np.stack([e["hi"], e["lo"]], 1).astype(">u8").tobytes()
+        """A row for each name, once: the halves, one after the other, of its list, which begins at its place of ``starts``."""
+        raw = e["half"].astype(">u8").tobytes()
         ends = np.append(starts[1:], len(e)).tolist()
-        sigs = {name.astype(">u8").tobytes(): raw[16 * a:16 * b] for name, a, b in zip(names, starts.tolist(), ends)}
-        return pa.table([pa.array(list(sigs), pa.binary()), pa.array(list(sigs.values()), pa.binary()), pa.array([hot] * len(sigs), pa.bool_())], names=["list", "sigs", "hot"])
+        halves = {name.astype(">u8").tobytes(): raw[8 * a:8 * b] for name, a, b in zip(names, starts.tolist(), ends)}
+        return pa.table([pa.array(list(halves), pa.binary()), pa.array(list(halves.values()), pa.binary()), pa.array([hot] * len(halves), pa.bool_())], names=["list", "halves", "hot"])
 
     def lists(group: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(b.as_py(), ENTRY) for b in group.column("entries")])
+        e = np.concatenate([opened_entries(b.as_py()) for b in group.column("entries")])
         if group.column("bucket")[0].as_py() < 0:  # lists in parts as they are; their partners may be in other buckets
-            e = once(e[np.lexsort((e["lo"], e["hi"], e["key"]))])
+            e = once(e[np.lexsort((e["half"], e["key"]))])
             starts = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
             return listed(e["key"][starts], e, starts, True)
         order = np.argsort(e["key"])
@@ -359,7 +370,7 @@ def candidate_lists(
         twice = np.concatenate((key[1:] == key[:-1], [False]))
         twice[1:] |= twice[:-1].copy()
         e = e[order[twice]]
-        e = e[np.lexsort((e["behind"], e["lo"], e["hi"], e["n"], e["key"]))]
+        e = e[np.lexsort((e["behind"], e["half"], e["n"], e["key"]))]
         if len(e):
             e = once(e)
             far = (e["key"][1:] != e["key"][:-1]) | (e["n"][1:].astype(np.int64) * percent > e["n"][:-1].astype(np.int64) * 100)
@@ -371,8 +382,8 @@ def candidate_lists(
         if not len(e):
             return listed(e["key"], e, np.zeros(0, np.int64), False)
         starts = np.flatnonzero(np.diff(run_of, prepend=-1))
-        one = mix(e["hi"] ^ mix(e["lo"]))
-        same = np.stack([np.add.reduceat(one, starts), np.add.reduceat(mix(one ^ e["lo"]), starts)], 1)
+        one = mix(e["half"])
+        same = np.stack([np.add.reduceat(one, starts), np.add.reduceat(mix(one ^ e["half"]), starts)], 1)
         return listed(same, e, starts, False)  # lists of the same sets are one
 
     def split(group: pa.Table) -> pa.Table:
@@ -395,14 +406,15 @@ def candidate_lists(
         ], names=["list", "sig", "n", "pivot"])
 
     def members(lists: DataFrame, *more: str) -> DataFrame:
-        sig = F.explode(F.expr("transform(sequence(0, int(length(sigs) / 16) - 1), i -> substring(sigs, 16 * i + 1, 16))"))
-        return lists.select("list", sig.alias("sig")).join(classes.select("sig", "n", *more), "sig")
+        half = F.explode(F.expr("transform(sequence(0, int(length(halves) / 8) - 1), i -> substring(halves, 8 * i + 1, 8))"))
+        whole = classes.select(F.substring("sig", 9, 8).alias("half"), "sig", "n", *more)
+        return lists.select("list", half.alias("half")).join(whole, "half").drop("half")
 
     packed = rows.mapInArrow(tidy(run), "bucket bigint, entries binary")
-    found = stage(packed.groupBy("bucket").applyInArrow(lists, "list binary, sigs binary, hot boolean"), "jaccard-found")
-    distinct = stage(found.where("not hot").groupBy("list").agg(F.min("sigs").alias("sigs")), "jaccard-distinct")
-    held = distinct.agg(F.sum(F.length("sigs"))).first()[0] or 0
-    dealt = F.pmod(F.xxhash64("list"), F.lit(1 + held // 16 * MEMBER_BYTES // BUCKET_BYTES)).alias("dealt")
+    found = stage(packed.groupBy("bucket").applyInArrow(lists, "list binary, halves binary, hot boolean"), "jaccard-found")
+    distinct = stage(found.where("not hot").groupBy("list").agg(F.min("halves").alias("halves")), "jaccard-distinct")
+    held = distinct.agg(F.sum(F.length("halves"))).first()[0] or 0
+    dealt = F.pmod(F.xxhash64("list"), F.lit(1 + held // 8 * MEMBER_BYTES // BUCKET_BYTES)).alias("dealt")
     near = stage(members(distinct, "odd").groupBy(dealt).applyInArrow(split, "list binary, sig binary, n bigint, pivot binary"), "jaccard-lists")
     hot = found.where("hot")
     if hot.isEmpty():

@@ -255,3 +255,15 @@ def test_sets_that_share_a_key_by_chance_ask_for_no_text(spark, monkeypatch):
     found = {r[0]: r[1] for r in jaccard_join.join_groups(docs, sketch_cells=64).select("rec.doc_id", "component").collect()}
     assert found == {i: i - 100 if i >= 100 else i for i, _ in rows}
     assert sum(asked) == 6, "texts of the three copies and their originals"
+
+
+def test_entries_of_lists_pack_into_few_bytes():
+    rng = np.random.default_rng(3)
+    e = np.zeros(20_000, jaccard_join.ENTRY)
+    e["key"], e["half"] = rng.integers(0, 1 << 48, 20_000), rng.integers(0, 2**64, 20_000, np.uint64)
+    e["n"] = np.repeat(rng.integers(20, 3000, 400), 50)
+    e["behind"] = np.arange(20_000) % 50
+    blob = jaccard_join.packed_entries(e)
+    assert (jaccard_join.opened_entries(blob) == e).all()
+    assert len(blob) < 18 * len(e), "28 bytes an entry before, hardly to be compressed"
+    assert (jaccard_join.opened_entries(jaccard_join.packed_entries(e[:1])) == e[:1]).all()
